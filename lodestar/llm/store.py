@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is ``spark.checkpoint.dir``; only a session that has none (a local test)
-    gets a temporary folder, which is then set for that session.
+    gets a temporary folder, the same for the whole process.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        path = _local[0]
     return path.rstrip("/")
 
 
