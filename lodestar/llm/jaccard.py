@@ -1,28 +1,30 @@
 """N-gram Jaccard self-join in size-banded tiles with bitmap signatures.
 
 1. ``set_nodes``: every whole text becomes its set of shingle hashes; equal sets
-   are one node, named by a 64-bit fingerprint.  A bounded sketch of shingle
-   counts comes from the same pass; it orders shingles (common ones last) and
-   never decides a link.
-2. Two sets with a Jaccard of ``threshold`` share a shingle among the first
-   ``n - ceil(threshold * n) + 1`` of each in any common order.  These postings
-   are shuffled by shingle; each shingle ties its nodes to the least of them.
-3. Components of those ties hold every link.  A component is a tile when it is
-   small; a large one is cut into size bands of ratio ``1 / threshold`` and
-   bands into blocks, and pairs of blocks of the same or neighbouring bands are
-   tiles.
-4. In a tile, bitmap signatures bound each overlap from above by bit counts;
+   are one node, named by a 64-bit fingerprint.
+2. Two sets with a Jaccard of ``threshold`` share a shingle among the
+   ``n - ceil(threshold * n) + 1`` least hashes of each.  These postings are
+   shuffled by shingle, and shingles of one node go.
+3. Hashes are in random order, so that a node with a partner has most of its
+   postings in common with it; ``least_shared`` is the number that such a node
+   misses with a chance below ``MISS`` (less than that of two hashes clashing).
+   Nodes with fewer shared postings go, and the shingles they leave alone.
+4. Each shingle ties its nodes to the least of them.  Components of those ties
+   hold every link.  A component is a tile when it is small; a large one is cut
+   into size bands of ratio ``1 / threshold`` and bands into blocks, and pairs of
+   blocks of the same or neighbouring bands are tiles.
+5. In a tile, bitmap signatures bound each overlap from above by bit counts;
    pairs that survive are settled by exact intersection of the sorted arrays.
    Nodes that are joined already need no further test, so a tile returns a
    forest of links.
-5. Components of the links give the class of each document.
+6. Components of the links give the class of each document.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,9 @@ from .components import connected_components
 from .store import materialise
 from .textarrays import shingles, slices, utf8, words
 
-SKETCH_BITS = 22
-SKETCH_CHUNKS = 64
 TILE_SHINGLES = 4_000_000
+MISS = 1e-12
+PEELS = 2
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -51,108 +53,117 @@ def _name(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def set_nodes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, node) of every row, and the commonness class of each sketch bucket."""
-    size, chunk = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_CHUNKS
+@lru_cache(maxsize=1 << 16)
+def least_shared(n: int, pct: int) -> int:
+    """Postings that a set of n shares with a partner, but for a chance of ``MISS``.
+
+    A partner has at least pct of the set, the postings are a random sample of
+    it without replacement; the tail is bounded by Hoeffding's entropy bound.
+    """
+    keep = n - -(-pct * n // 100) + 1
+    t, limit = pct / 100, -math.log(MISS) / keep
+    least = 1
+    for m in range(1, keep):
+        x = m / keep
+        if x >= t or x * math.log(x / t) + (1 - x) * math.log((1 - x) / (1 - t)) < limit:
+            break
+        least = m + 1
+    return least
+
+
+def set_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, node) of every row."""
 
     def run(batches):
-        counts = np.zeros(size, dtype=np.uint32)
         for batch in batches:
             n, node = [], []
-            seen = []
             for _, s in _sets(batch, k):
                 n.append(len(s))
                 node.append(_name(s) if len(s) else None)
-                seen.append(s)
-                if len(seen) == 512:
-                    np.add.at(counts, np.concatenate(seen) & np.uint64(size - 1), np.uint32(1))
-                    seen = []
-            if seen:
-                np.add.at(counts, np.concatenate(seen) & np.uint64(size - 1), np.uint32(1))
-            m = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["doc_id", "n_shingles", "node", "chunk", "counts"])
-        part = [(c, zlib.compress(counts[c * chunk : (c + 1) * chunk].tobytes(), 1)) for c in range(SKETCH_CHUNKS) if counts[c * chunk : (c + 1) * chunk].any()]
-        m = len(part)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([c for c, _ in part], pa.int32()), pa.array([b for _, b in part], pa.binary())], names=["doc_id", "n_shingles", "node", "chunk", "counts"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, b in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(zlib.decompress(b), dtype=np.uint32)
-                total[c] = total[c] + x if c in total else x.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
-
-    both = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, chunk int, counts binary"))
-    counts = np.zeros(size, dtype=np.uint64)
-    for c, b in both.where("chunk is not null").select("chunk", "counts").repartition(SKETCH_CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        counts[c * chunk : (c + 1) * chunk] = np.frombuffer(b, dtype=np.uint64)
-    floor = 4 * counts.mean() + 64
-    common = np.zeros(size, dtype=np.uint8)
-    high = counts > floor
-    common[high] = 1 + np.log2(counts[high] / floor).astype(np.uint8)
-    return both.where("chunk is null").select("doc_id", "n_shingles", "node"), common
-
-
-def _postings(docs: DataFrame, common, k: int, pct: int) -> DataFrame:
-    """(key, node) of each node's prefix in the common order; each task names a node once."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(common)
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long")
+
+
+def _postings(docs: DataFrame, k: int, pct: int) -> DataFrame:
+    """(key, node, least): each node's least hashes; each task names a node once."""
+
+    def out(keys, nodes, least):
+        lens = [len(x) for x in keys]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lens)), pa.array(np.repeat(np.array(least, np.int32), lens))], names=["key", "node", "least"])
 
     def run(batches):
         seen: set[int] = set()
-        rank = shared.value
         for batch in batches:
-            keys, nodes, lens = [], [], []
+            keys, nodes, least = [], [], []
             for _, s in _sets(batch, k):
                 n = len(s)
-                if not n:
-                    continue
-                node = _name(s)
-                if node in seen:
+                if not n or (node := _name(s)) in seen:
                     continue
                 seen.add(node)
-                keep = n - -(-pct * n // 100) + 1
-                c = rank[s & mask]
-                if c.any():
-                    s = s[np.argsort(c, kind="stable")]
-                keys.append(s[:keep])
+                keys.append(s[: n - -(-pct * n // 100) + 1])
                 nodes.append(node)
-                lens.append(keep)
+                least.append(least_shared(n, pct))
                 if len(keys) == 2000:
-                    yield out(keys, nodes, lens)
-                    keys, nodes, lens = [], [], []
+                    yield out(keys, nodes, least)
+                    keys, nodes, least = [], [], []
             if keys:
-                yield out(keys, nodes, lens)
+                yield out(keys, nodes, least)
 
-    def out(keys, nodes, lens):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lens))], names=["key", "node"])
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, node long, least int")
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, node long")
 
+def _by_key(batches):
+    """All rows of a partition, ordered by key and node, one of each; and where keys begin."""
+    parts = [[batch.column(c).to_numpy() for c in ("key", "node", "least")] for batch in batches]
+    if not parts:
+        return None
+    key, node, least = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((node, key))
+    key, node, least = key[order], node[order], least[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, least = key[new], node[new], least[new]
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    return key, node, least, first
 
-def _ties(postings: DataFrame) -> DataFrame:
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """Postings of the shingles that several nodes have."""
+
+    def run(batches):
+        got = _by_key(batches)
+        if got is None:
+            return
+        key, node, least, first = got
+        group = np.cumsum(first) - 1
+        many = np.bincount(group)[group] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, least)], names=["key", "node", "least"])
+
+    return postings.repartition("key").mapInArrow(run, "key long, node long, least int")
+
+
+def _peeled(shared: DataFrame) -> DataFrame:
+    """Postings of the nodes that share enough of them, where still shared."""
+    enough = shared.groupBy("node").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("node")
+    return _shared(shared.join(enough, "node", "left_semi").select("key", "node", "least"))
+
+
+def _ties(shared: DataFrame) -> DataFrame:
     """(a, b): each node of a shingle with the least node of that shingle."""
 
     def run(batches):
-        keys, nodes = [], []
-        for batch in batches:
-            keys.append(batch.column("key").to_numpy())
-            nodes.append(batch.column("node").to_numpy())
-        if not keys:
+        got = _by_key(batches)
+        if got is None:
             return
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
+        _, node, _, first = got
         least = node[np.flatnonzero(first)][np.cumsum(first) - 1]
         other = node != least
         pair = np.unique(np.stack([node[other], least[other]], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    return postings.repartition("key").mapInArrow(run, "a long, b long").distinct()
+    return shared.repartition("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def tile_links(sets: list[np.ndarray], pct: int = 75) -> list[tuple[int, int]]:
@@ -282,14 +293,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
 
     Two rows are linked when 100 * |A n B| >= ``pct`` * |A u B| for their sets of
     ``k``-word shingles; component_id is the least doc_id reachable.  Sets are
-    compared as 64-bit hashes.  A null or empty text, or one without words, has
+    compared as 64-bit hashes; a link is missed with a chance below ``MISS``.  A null or empty text, or one without words, has
     no shingles and is its own component; a null doc_id stays a row of its own
     with a null or shared component.  Equal texts share a component; repeated
     rows stay rows.  Further columns are ignored; an empty table gives no rows.
     """
-    plain, common = set_nodes(docs, k)
+    plain = materialise(set_nodes(docs, k))
     nodes = materialise(plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")))
-    labels = connected_components(_ties(_postings(docs, common, k, pct)))
+    shared = materialise(_shared(_postings(docs, k, pct)))
+    for _ in range(PEELS):
+        shared = materialise(_peeled(shared))
+    labels = connected_components(_ties(shared))
     active = nodes.join(labels.withColumnRenamed("id", "node"), "node").where("doc_id is not null")
     links = materialise(_links(_tile_rows(docs, _tiles(active, pct), k, pct), pct))
     classes = connected_components(links).withColumnRenamed("id", "node")
