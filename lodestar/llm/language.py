@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textarrays import mix, slices
 
@@ -117,7 +118,7 @@ def identify(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast((names, logp))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(*kept)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         names, logp = model.value

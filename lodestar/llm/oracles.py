@@ -23,5 +23,31 @@ r(doc_id, reach) AS (
   SELECT e.x, r.reach FROM r JOIN e ON r.doc_id = e.y)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.reach) AS component_id
 FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(s.sh)
+""",
+    "op8_line_dedup": r"""
+WITH t AS (
+  SELECT page_id,
+    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'g'),
+      '[\x0A\x0D]+', ' ', 'g'),
+      '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>', chr(10), 'g'),
+      '<[^>]*>', '', 'g') AS body
+  FROM pages),
+l AS (
+  SELECT row_number() OVER () AS r, page_id, host,
+    list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines
+  FROM t),
+h AS (SELECT host, count(*) AS pages FROM l GROUP BY host HAVING count(*) >= 5),
+c AS (
+  SELECT s.host, s.line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) s JOIN h USING (host)
+  GROUP BY s.host, s.line, h.pages HAVING count(*) > 1 AND count(*) > 0.3 * h.pages),
+b AS (SELECT host, list(line) AS common FROM c GROUP BY host),
+k AS (
+  SELECT page_id, l.host, lines, CASE WHEN common IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(common, x)) END AS kept
+  FROM l LEFT JOIN b ON l.host = b.host)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(kept) AS BIGINT) AS n_kept,
+  coalesce(array_to_string(kept, chr(10)), '') AS text
+FROM k
 """,
 }

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 64
 
@@ -452,9 +453,9 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
     height and channel sums of the RGB tensor) and, with ``tensors``, rgb (binary,
     rows by columns by three).  A null file gives nulls.
     """
-    schema = media.schema.add("payload", "binary").add("height", "int").add("width", "int").add("feature", "string")
-    if tensors:
-        schema = schema.add("rgb", "binary")
+    new = [("payload", T.BinaryType()), ("height", T.IntegerType()), ("width", T.IntegerType()), ("feature", T.StringType())]
+    new += [("rgb", T.BinaryType())] if tensors else []
+    schema = T.StructType([*media.schema.fields, *(T.StructField(*x) for x in new)])
 
     def one(data):
         if data is None:

@@ -6,18 +6,64 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import brown_lm, decontaminate, html_mincut, jaccard, language, line_dedup, mixing, progressive_jpeg, secrets_scan, token_packing
 from .store import table
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.media_report(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing.pack_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate_lines(table(spark, sf_dir, "pages"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op3_ngram_jaccard": op3_ngram_jaccard,
-    }
+    found = (
+        op1_progressive_jpeg,
+        op2_language_id,
+        op3_ngram_jaccard,
+        op4_decontaminate,
+        op5_html_mincut,
+        op6_secret_scan,
+        op7_token_packing,
+        op8_line_dedup,
+        op9_source_mix,
+        op10_brown_lm,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
