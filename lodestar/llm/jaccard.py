@@ -3,13 +3,13 @@
 1. ``set_nodes``: every whole text becomes its set of shingle hashes; equal sets
    are one node, named by a 64-bit fingerprint.
 2. Two sets with a Jaccard of ``threshold`` share a shingle among the
-   ``n - ceil(threshold * n) + 1`` least hashes of each.  These postings are
-   shuffled by shingle, and shingles of one node go.
+   ``n - ceil(threshold * n) + 1`` least hashes of each.  These postings, 64 at
+   least, are shuffled by shingle, and shingles of one node go.
 3. Hashes are in random order, so that a node with a partner has most of its
    postings in common with it; ``least_shared`` is the number that such a node
    misses with a chance below ``MISS`` (less than that of two hashes clashing).
    Nodes with fewer shared postings go, and the shingles they leave alone.
-4. Each shingle ties its nodes to the least of them.  Components of those ties
+4. Each shingle ties its nodes of like size to the least of them.  Components of those ties
    hold every link.  A component is a tile when it is small; a large one is cut
    into size bands of ratio ``1 / threshold`` and bands into blocks, and pairs of
    blocks of the same or neighbouring bands are tiles.
@@ -35,8 +35,9 @@ from .components import connected_components
 from .store import materialise
 from .textarrays import shingles, slices, utf8, words
 
-TILE_SHINGLES = 4_000_000
+TILE_SHINGLES = 1_000_000
 MISS = 1e-12
+MIN_POSTINGS = 64
 PEELS = 2
 
 
@@ -53,19 +54,26 @@ def _name(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def postings_of(n: int, pct: int) -> int:
+    """Postings of a set of n: enough to share one with any partner, and to judge by."""
+    return max(n - -(-pct * n // 100) + 1, min(n, MIN_POSTINGS))
+
+
 @lru_cache(maxsize=1 << 16)
 def least_shared(n: int, pct: int) -> int:
     """Postings that a set of n shares with a partner, but for a chance of ``MISS``.
 
-    A partner has at least pct of the set, the postings are a random sample of
-    it without replacement; the tail is bounded by Hoeffding's entropy bound.
+    A partner has at least pct of the set, and the postings are a random sample
+    of it without replacement, so the number shared is hypergeometric.
     """
-    keep = n - -(-pct * n // 100) + 1
-    t, limit = pct / 100, -math.log(MISS) / keep
-    least = 1
+    common = -(-pct * n // 100)
+    keep = postings_of(n, pct)
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    chance, least = 0.0, 1
     for m in range(1, keep):
-        x = m / keep
-        if x >= t or x * math.log(x / t) + (1 - x) * math.log((1 - x) / (1 - t)) < limit:
+        if keep - m <= n - common:
+            chance += math.exp(log(common, m) + log(n - common, keep - m) - log(n, keep))
+        if chance >= MISS:
             break
         least = m + 1
     return least
@@ -85,80 +93,95 @@ def set_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
+_POSTING = "key long, node long, n int"
+
+
 def _postings(docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """(key, node, least): each node's least hashes; each task names a node once."""
+    """(key, node, n): each node's least hashes and its size; each task names a node once."""
 
-    def out(keys, nodes, least):
+    def out(keys, nodes, sizes):
         lens = [len(x) for x in keys]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lens)), pa.array(np.repeat(np.array(least, np.int32), lens))], names=["key", "node", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens))], names=["key", "node", "n"])
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes, least = [], [], []
+            keys, nodes, sizes = [], [], []
             for _, s in _sets(batch, k):
                 n = len(s)
                 if not n or (node := _name(s)) in seen:
                     continue
                 seen.add(node)
-                keys.append(s[: n - -(-pct * n // 100) + 1])
+                keys.append(s[: postings_of(n, pct)])
                 nodes.append(node)
-                least.append(least_shared(n, pct))
+                sizes.append(n)
                 if len(keys) == 2000:
-                    yield out(keys, nodes, least)
-                    keys, nodes, least = [], [], []
+                    yield out(keys, nodes, sizes)
+                    keys, nodes, sizes = [], [], []
             if keys:
-                yield out(keys, nodes, least)
+                yield out(keys, nodes, sizes)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, _POSTING)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, node long, least int")
 
+def _by_key(batches, pct: int):
+    """All rows of a partition, ordered by key and size, one of a node, and where runs begin.
 
-def _by_key(batches):
-    """All rows of a partition, ordered by key and node, one of each; and where keys begin."""
-    parts = [[batch.column(c).to_numpy() for c in ("key", "node", "least")] for batch in batches]
+    A run is a stretch of a key's nodes in which each has at least pct of the
+    size of the next; partners are in one run.
+    """
+    parts = [[batch.column(c).to_numpy() for c in ("key", "node", "n")] for batch in batches]
     if not parts:
         return None
-    key, node, least = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((node, key))
-    key, node, least = key[order], node[order], least[order]
+    key, node, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((node, n, key))
+    key, node, n = key[order], node[order], n[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, least = key[new], node[new], least[new]
+    key, node, n = key[new], node[new], n[new]
     first = np.ones(len(key), dtype=bool)
-    first[1:] = key[1:] != key[:-1]
-    return key, node, least, first
+    first[1:] = (key[1:] != key[:-1]) | (100 * n[:-1].astype(np.int64) < pct * n[1:].astype(np.int64))
+    return key, node, n, first
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of the shingles that several nodes have."""
+def _shared(postings: DataFrame, pct: int) -> DataFrame:
+    """Postings of the shingles that several nodes of like size have."""
 
     def run(batches):
-        got = _by_key(batches)
+        got = _by_key(batches, pct)
         if got is None:
             return
-        key, node, least, first = got
+        key, node, n, first = got
         group = np.cumsum(first) - 1
         many = np.bincount(group)[group] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, least)], names=["key", "node", "least"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, n)], names=["key", "node", "n"])
 
-    return postings.repartition("key").mapInArrow(run, "key long, node long, least int")
+    return postings.repartition("key").mapInArrow(run, _POSTING)
 
 
-def _peeled(shared: DataFrame) -> DataFrame:
+def _peeled(shared: DataFrame, pct: int) -> DataFrame:
     """Postings of the nodes that share enough of them, where still shared."""
-    enough = shared.groupBy("node").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("node")
-    return _shared(shared.join(enough, "node", "left_semi").select("key", "node", "least"))
+
+    def enough(batches):
+        for batch in batches:
+            n, have = batch.column("n").to_numpy(), batch.column("have").to_numpy()
+            keep = np.array([h >= least_shared(int(x), pct) for x, h in zip(n, have)], dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(keep))], names=["node"])
+
+    counts = shared.groupBy("node").agg(F.count("*").alias("have"), F.first("n").alias("n"))
+    return _shared(shared.join(counts.mapInArrow(enough, "node long"), "node", "left_semi").select("key", "node", "n"), pct)
 
 
-def _ties(shared: DataFrame) -> DataFrame:
-    """(a, b): each node of a shingle with the least node of that shingle."""
+def _ties(shared: DataFrame, pct: int) -> DataFrame:
+    """(a, b): each node of a run with the least node of that run."""
 
     def run(batches):
-        got = _by_key(batches)
+        got = _by_key(batches, pct)
         if got is None:
             return
         _, node, _, first = got
-        least = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+        at = np.flatnonzero(first)
+        least = np.minimum.reduceat(node, at)[np.cumsum(first) - 1]
         other = node != least
         pair = np.unique(np.stack([node[other], least[other]], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
@@ -300,10 +323,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     """
     plain = materialise(set_nodes(docs, k))
     nodes = materialise(plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")))
-    shared = materialise(_shared(_postings(docs, k, pct)))
+    shared = materialise(_shared(_postings(docs, k, pct), pct))
     for _ in range(PEELS):
-        shared = materialise(_peeled(shared))
-    labels = connected_components(_ties(shared))
+        shared = materialise(_peeled(shared, pct))
+    labels = connected_components(_ties(shared, pct))
     active = nodes.join(labels.withColumnRenamed("id", "node"), "node").where("doc_id is not null")
     links = materialise(_links(_tile_rows(docs, _tiles(active, pct), k, pct), pct))
     classes = connected_components(links).withColumnRenamed("id", "node")
