@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles_places, queries_places
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return queries_places.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles_places.oracles()
