@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialise
+from .textarrays import slices
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -22,6 +23,7 @@ MOST = 2.0
 BLOCK = 64
 SHARD_SLOTS = 4096
 BUCKET_ROWS = 20_000
+PLACE_SLOTS = 50_000
 MAX_SOURCES = 100_000
 SEED = 20_240_601
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -125,15 +127,15 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Dat
     def place(batches):
         for batch in batches:
             src, n, a, b = (batch.column(c).to_numpy() for c in ("source_no", "blocks", "a", "b"))
-            count = b - a
-            many = np.repeat(np.arange(len(a)), count)
-            if not len(many):
-                continue
-            j = a[many] + np.arange(len(many)) - np.repeat(np.cumsum(count) - count, count)
-            at = permute(j % n[many], n[many], np.uint64(seed) + src[many].astype(np.uint64) * np.uint64(7919))
-            yield pa.RecordBatch.from_arrays([pa.array(src[many].astype(np.int32)), pa.array(at)], names=["source_no", "block"])
-
-    takes = slot.where("b > a").mapInArrow(place, "source_no int, block long").groupBy("source_no", "block").agg(F.count("*").alias("takes"))
+            for i, k in slices(np.concatenate([[0], np.cumsum(b - a)]), PLACE_SLOTS):
+                count = b[i:k] - a[i:k]
+                many = np.repeat(np.arange(i, k), count)
+                j = a[many] + np.arange(len(many)) - np.repeat(np.cumsum(count) - count, count)
+                at = permute(j % n[many], n[many], np.uint64(seed) + src[many].astype(np.uint64) * np.uint64(7919))
+                yield pa.RecordBatch.from_arrays([pa.array(src[many].astype(np.int32)), pa.array(at)], names=["source_no", "block"])
+
+    slot = slot.where("b > a").repartition(-(-slots // (4 * PLACE_SLOTS)), "source_no", "shard")
+    takes = slot.mapInArrow(place, "source_no int, block long").groupBy("source_no", "block").agg(F.count("*").alias("takes"))
     return placed, takes, sources
 
 
