@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles_places, queries_places
+from . import oracles, queries_places, queries_plans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return queries_places.queries()
+    return queries_places.queries() | queries_plans.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles_places.oracles()
+    return oracles.all_oracles()
