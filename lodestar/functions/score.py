@@ -12,6 +12,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """A non-negative number rounded half up, decimal halves that binary fractions fall short of included."""
+    return F.round(x + 1e-9, digits)
+
+
 def clip01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
@@ -46,7 +51,7 @@ def place_sustainability() -> Column:
 
 
 def heuristic_preference(interests: Column) -> Column:
-    return F.round(F.least(F.lit(1.0), F.when(F.array_contains(interests, F.col("category")), 0.75).otherwise(0.25) + F.col("prominence") * 0.25), 4)
+    return half_up(F.least(F.lit(1.0), F.when(F.array_contains(interests, F.col("category")), 0.75).otherwise(0.25) + F.col("prominence") * 0.25), 4)
 
 
 def utility(w_pref: Column, pref: Column, sust: Column) -> Column:

@@ -18,7 +18,7 @@ _CAND = (
     _NEAR
     + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rs DESC, prominence DESC, poi_id) AS rk FROM near WHERE dist <= 60 AND list_contains(interests, category) AND prominence >= 0.25),
-cand AS (SELECT *, round(w_pref * pref + (1 - w_pref) * (1 - 0.4::DOUBLE) * sust, 6) AS u FROM (SELECT *, round(least(1.0, CASE WHEN list_contains(interests, category) THEN 0.75 ELSE 0.25 END + prominence * 0.25), 4) AS pref,
+cand AS (SELECT *, round(w_pref * pref + (1 - w_pref) * (1 - 0.4::DOUBLE) * sust, 6) AS u FROM (SELECT *, round(least(1.0, CASE WHEN list_contains(interests, category) THEN 0.75 ELSE 0.25 END + prominence * 0.25) + 1e-9, 4) AS pref,
   round(greatest(0.0, least(1.0, 1.0 - (CASE WHEN popularity_known THEN round(popularity_index, 4) ELSE 0.35 END * 0.75 + {_ECO} * 0.25))), 4) AS sust FROM ranked WHERE rk <= 150))"""
 )
 _KEEP = """kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sm, poi_id) AS near_rank FROM (SELECT *, round(dist * 1.35 / 35.0 * 60.0, 6) AS sm FROM cand)) WHERE near_rank <= 12 AND sm <= 240)"""
@@ -91,7 +91,7 @@ _VERDICT = (
     + ",\n"
     + _clock("ml", "ck", "minutes")
     + """,
-dy AS (SELECT run_id, sum(CASE WHEN he0 = 0 AND e0 > cl0 THEN 1 ELSE 0 END + CASE WHEN he1 = 0 AND e1 > cl1 THEN 1 ELSE 0 END + CASE WHEN he2 = 0 AND e2 > cl2 THEN 1 ELSE 0 END) AS oh, count(*) FILTER (round(e2, 6) > 1080) AS ov FROM ck GROUP BY 1),
+dy AS (SELECT run_id, sum(CASE WHEN he0 = 0 AND e0 > cl0 + 1e-6 THEN 1 ELSE 0 END + CASE WHEN he1 = 0 AND e1 > cl1 + 1e-6 THEN 1 ELSE 0 END + CASE WHEN he2 = 0 AND e2 > cl2 + 1e-6 THEN 1 ELSE 0 END) AS oh, count(*) FILTER (round(e2, 6) > 1080) AS ov FROM ck GROUP BY 1),
 hp AS (SELECT *, row_number() OVER (PARTITION BY run_id, day_no ORDER BY slot, poi_id) = 1 AS hop FROM ml),
 ct AS (SELECT run_id, count(*) FILTER (hop AND minutes > 240) AS tl, count(*) FILTER (measured) AS lm, count(*) FILTER (NOT measured) AS le FROM hp GROUP BY 1),
 fl AS (SELECT run_id, count(*) AS stops, count(*) - count(DISTINCT poi_id) AS dup, max(day_no) AS last_day FROM v_plan GROUP BY 1),
@@ -154,7 +154,7 @@ SELECT request_id, poi_id, CAST(step AS INTEGER) AS step, CAST(rank AS INTEGER)
     o["retrieval_diag"] = _W(
         _REQ,
         _CAND
-        + "\nSELECT request_id, count(*) AS n, count(DISTINCT category) AS categories, count(DISTINCT district) AS districts, round(avg(prominence), 6) AS mean_prominence, round(100.0 * count(*) FILTER (popularity_known) / count(*), 1) AS known_pct, round(coalesce(avg(popularity_index) FILTER (popularity_known), 0.0), 6) AS mean_popularity FROM cand GROUP BY 1",
+        + "\nSELECT request_id, count(*) AS n, count(DISTINCT category) AS categories, count(DISTINCT district) AS districts, round(avg(prominence) + 1e-9, 5) AS mean_prominence, round(100.0 * count(*) FILTER (popularity_known) / count(*), 1) AS known_pct, round(coalesce(avg(popularity_index) FILTER (popularity_known), 0.0) + 1e-9, 5) AS mean_popularity FROM cand GROUP BY 1",
     )
     o["induced_edges"] = _W(
         [*_REQ, "v_edges"],
@@ -178,7 +178,7 @@ SELECT request_id, CAST(floor((rk - 1) / 20) AS BIGINT) AS batch, count(*) AS n,
     o["unknown_ids"] = _W(["v_plan"], "SELECT run_id, day_no, slot, 'x/' || poi_id AS poi_id FROM v_plan WHERE run_id % 50 = 0 AND slot = 0")
     o["heuristic_preference"] = _W(_REQ, _CAND + "\nSELECT request_id, poi_id, pref FROM cand")
     o["utility"] = _W(_REQ, _CAND + "\nSELECT request_id, poi_id, round(u, 4) AS utility FROM cand")
-    o["request_budgets"] = _W(["v_request"], "SELECT request_id, round(1 - w_pref, 4) AS w_sust, round(budget * 0.20, 3) AS poi_budget, round(budget * 0.45, 3) AS lodging_budget FROM v_request")
+    o["request_budgets"] = _W(["v_request"], "SELECT request_id, round(1 - w_pref, 4) AS w_sust, round(budget * 0.20 + 1e-9, 3) AS poi_budget, round(budget * 0.45 + 1e-9, 3) AS lodging_budget FROM v_request")
     o["unary_feasible"] = _W(
         _REQ,
         _CAND
@@ -230,12 +230,12 @@ SELECT request_id, CAST(floor((n - 1) / 3) + 1 AS INTEGER) AS day_no, CAST((n -
         _CAND
         + """,
 tp AS (SELECT * FROM (SELECT request_id, poi_id, district, category, row_number() OVER (PARTITION BY request_id ORDER BY u DESC, poi_id) AS rn FROM cand) WHERE rn <= 3)
-SELECT c.request_id, c.poi_id, round(any_value(c.u) - coalesce(max(CASE WHEN t.district = c.district AND t.category = c.category THEN 1.0 WHEN t.district = c.district THEN 0.6 WHEN t.category = c.category THEN 0.4 ELSE 0.0 END), 0.0)::DOUBLE * any_value(c.u) * 0.3::DOUBLE, 4) AS mmr
+SELECT c.request_id, c.poi_id, round(any_value(c.u) - coalesce(max(CASE WHEN t.district = c.district AND t.category = c.category THEN 1.0 WHEN t.district = c.district THEN 0.6 WHEN t.category = c.category THEN 0.4 ELSE 0.0 END), 0.0)::DOUBLE * any_value(c.u) * 0.3::DOUBLE + 1e-9, 4) AS mmr
 FROM cand c LEFT JOIN tp t ON t.request_id = c.request_id AND t.poi_id <> c.poi_id GROUP BY 1, 2""",
     )
     o["kg_per_traveller"] = _W(
         ["v_poi"],
-        "x AS (SELECT poi_id, ['walk', 'train', 'bus', 'tuktuk', 'car_private', 'car_shared', 'boat'][k % 7 + 1] AS mode, (k * 13 % 900) / 10.0 AS km, k % 6 + 1 AS party FROM v_poi)\nSELECT poi_id, " + ", ".join(f"round({kg('mode', 'km', 'party', sc)}, 6) AS {sc}" for sc in ("low", "central", "high")) + " FROM x",
+        "x AS (SELECT poi_id, ['walk', 'train', 'bus', 'tuktuk', 'car_private', 'car_shared', 'boat'][k % 7 + 1] AS mode, (k * 13 % 900) / 10.0 AS km, k % 6 + 1 AS party FROM v_poi)\nSELECT poi_id, " + ", ".join(f"round({kg('mode', 'km', 'party', sc)} + 1e-9, 6) AS {sc}" for sc in ("low", "central", "high")) + " FROM x",
     )
     o["estimated_mode"] = _W(["v_poi"], f"SELECT poi_id, {mode('x')} AS mode FROM (SELECT poi_id, (k * 7 % 1000) / 10.0 AS x FROM v_poi)")
     ref = "(227.5::DOUBLE * 0.16691::DOUBLE)"
@@ -245,10 +245,10 @@ FROM cand c LEFT JOIN tp t ON t.request_id = c.request_id AND t.poi_id <> c.poi_
         f"SELECT poi_id, mode, round(CASE mode WHEN 'walk' THEN km * 1.35::DOUBLE / 4.5::DOUBLE * 60.0::DOUBLE WHEN 'tuktuk' THEN km * 1.35::DOUBLE / 35.0::DOUBLE * 60.0::DOUBLE * 1.1::DOUBLE + 5.0 WHEN 'bus' THEN km * 1.35::DOUBLE / 35.0::DOUBLE * 60.0::DOUBLE * 1.4::DOUBLE + 10.0 ELSE km * 1.35::DOUBLE / 35.0::DOUBLE * 60.0::DOUBLE END, 1) AS minutes, round(km * 1.35::DOUBLE, 1) AS km FROM (SELECT *, {mode('(km * 1.35::DOUBLE)')} AS mode FROM (SELECT poi_id, (k * 7 % 1500) / 10.0 AS km FROM v_poi))",
     )
     o["build_legs"] = _W(_PLAN, _LEGS + "\nSELECT run_id, day_no, slot, from_id, poi_id, kind, round(km, 3) AS km FROM lg")
-    e = lambda i: f"SELECT run_id, day_no, {i} AS slot, pp{i} AS poi_id, e{i} - dw{i} AS at, e{i} AS en, he{i} = 0 AND e{i} > cl{i} AS late, e2 FROM ck WHERE pp{i} IS NOT NULL"
+    e = lambda i: f"SELECT run_id, day_no, {i} AS slot, pp{i} AS poi_id, e{i} - dw{i} AS arr, e{i} AS dep, he{i} = 0 AND e{i} > cl{i} + 1e-6 AS late, e2 FROM ck WHERE pp{i} IS NOT NULL"
     o["retime"] = _W(
         _PLAN,
-        _LEGS + ",\n" + _TR + ",\n" + _clock("tv", "ck", "dmin") + f"\nSELECT run_id, day_no, slot, poi_id, CAST(round(at) AS INTEGER) AS arrive, CAST(round(en) AS INTEGER) AS depart, late, CAST(greatest(0, round(e2 - 1080)) AS INTEGER) AS overflow FROM ({e(0)} UNION ALL {e(1)} UNION ALL {e(2)})",
+        _LEGS + ",\n" + _TR + ",\n" + _clock("tv", "ck", "dmin") + f"\nSELECT run_id, day_no, slot, poi_id, CAST(round(arr + 1e-9) AS INTEGER) AS arrive, CAST(round(dep + 1e-9) AS INTEGER) AS depart, late, CAST(greatest(0, round(e2 - 1080 + 1e-9)) AS INTEGER) AS overflow FROM ({e(0)} UNION ALL {e(1)} UNION ALL {e(2)})",
     )
     o["schedule_day"] = _W(
         _PLAN,
@@ -258,7 +258,7 @@ FROM cand c LEFT JOIN tp t ON t.request_id = c.request_id AND t.poi_id <> c.poi_
         + f""",
 hp AS (SELECT run_id, day_no, max(CASE WHEN minutes > CASE WHEN hop THEN 240 ELSE 120 END THEN 1 ELSE 0 END) AS far FROM (SELECT *, row_number() OVER (PARTITION BY run_id, day_no ORDER BY slot, poi_id) = 1 AS hop FROM m2) GROUP BY 1, 2),
 ap AS (SELECT DISTINCT a.run_id, a.day_no FROM st a JOIN st b ON a.run_id = b.run_id AND a.day_no = b.day_no AND a.slot < b.slot WHERE {_PAIRM} > 150)
-SELECT run_id, day_no, far = 0 AND ap.run_id IS NULL AND e2 <= 1080 AND NOT (coalesce(he0 = 0 AND e0 > cl0, false) OR coalesce(he1 = 0 AND e1 > cl1, false) OR coalesce(he2 = 0 AND e2 > cl2, false)) AS valid FROM ck JOIN hp USING (run_id, day_no) LEFT JOIN ap USING (run_id, day_no)""",
+SELECT run_id, day_no, far = 0 AND ap.run_id IS NULL AND e2 <= 1080 AND NOT (coalesce(he0 = 0 AND e0 > cl0 + 1e-6, false) OR coalesce(he1 = 0 AND e1 > cl1 + 1e-6, false) OR coalesce(he2 = 0 AND e2 > cl2 + 1e-6, false)) AS valid FROM ck JOIN hp USING (run_id, day_no) LEFT JOIN ap USING (run_id, day_no)""",
     )
     o["verify_plans"] = _W([*_PLAN, "v_edges"], _VERDICT + "\nSELECT * FROM ver")
     o["trip_emissions"] = _W(_PLAN, _LEGS + ",\n" + _EMI + "\nSELECT * FROM em")
@@ -272,8 +272,8 @@ SELECT run_id, day_no, far = 0 AND ap.run_id IS NULL AND e2 <= 1080 AND NOT (coa
 sm AS (SELECT run_id, sum(dkm) AS km, sum(g) AS g, sum({car}) AS car, any_value(party) AS party FROM tv GROUP BY 1),
 s2 AS (SELECT run_id, km, g / 1000.0 * sm.party AS total, car * sm.party AS base, g / 1000.0 / greatest(n_days, 1) AS dayk FROM sm JOIN v_run USING (run_id)),
 s3 AS (SELECT *, greatest(0.0, base - total) AS saved FROM s2)
-SELECT run_id, round(km, 1) AS total_km, round(total, 2) AS total_kg_co2, round(base, 2) AS private_car_kg_co2, round(saved, 2) AS saved_kg_co2, CASE WHEN base > 0 THEN round(saved * 100.0 / base, 1) ELSE 0.0 END AS saved_pct, round(dayk, 2) AS kg_per_traveller_day,
-  round(1.0 - least(1.0, round(dayk, 6) / {ref}), 4) AS journey_score FROM s3""",
+SELECT run_id, round(km + 1e-9, 1) AS total_km, round(total + 1e-9, 2) AS total_kg_co2, round(base + 1e-9, 2) AS private_car_kg_co2, round(saved + 1e-9, 2) AS saved_kg_co2, CASE WHEN base > 0 THEN round(saved * 100.0 / base + 1e-9, 1) ELSE 0.0 END AS saved_pct, round(dayk + 1e-9, 2) AS kg_per_traveller_day,
+  round(1.0 - least(1.0, round(dayk + 1e-9, 6) / {ref}), 4) AS journey_score FROM s3""",
     )
     lodge = f"""la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, day_no ORDER BY slot DESC, poi_id) AS rn, max(day_no) OVER (PARTITION BY run_id) AS ende FROM (SELECT s.*, p.lat, p.lon FROM v_plan s JOIN v_place p USING (poi_id))) WHERE rn = 1 AND day_no < ende),
 sp AS (SELECT DISTINCT poi_id, lat, lon FROM la),
@@ -294,7 +294,7 @@ SELECT run_id, count(*) AS nights, count(rate) AS assigned, round(coalesce(sum(r
     o["itinerary_totals"] = _W(
         _PLAN,
         f"""x AS (SELECT *, round(greatest(0.0, least(1.0, 1.0 - (CASE WHEN popularity_known THEN round(popularity_index, 4) ELSE 0.35 END * 0.75 + {_ECO} * 0.25))), 4) AS sust FROM v_place)
-SELECT run_id, round(sum(entry_fee_lkr), 2) AS cost, round(avg(prominence), 4) AS s_pref, round(avg(sust), 4) AS s_sust, count(DISTINCT district) AS districts, CAST(sum(typical_dwell_min) AS BIGINT) AS active_min FROM v_plan JOIN x USING (poi_id) GROUP BY 1""",
+SELECT run_id, round(sum(entry_fee_lkr), 2) AS cost, round(avg(prominence) + 1e-9, 4) AS s_pref, round(avg(sust) + 1e-9, 4) AS s_sust, count(DISTINCT district) AS districts, CAST(sum(typical_dwell_min) AS BIGINT) AS active_min FROM v_plan JOIN x USING (poi_id) GROUP BY 1""",
     )
     o["leg_provenance"] = _W([*_PLAN, "v_edges"], _LEGS + ",\n" + _MEAS + "\nSELECT system, count(*) FILTER (measured) AS stored, count(*) FILTER (NOT measured) AS estimated FROM ml JOIN v_run USING (run_id) WHERE slot > 0 GROUP BY 1")
     o["plan_signature"] = _W(["v_plan"], _SIG + "\nSELECT * FROM sg")

@@ -75,7 +75,7 @@ def day_clock(timed: DataFrame, round_up: bool = False) -> DataFrame:
         at = s["clock"] + x["minutes"] + F.lit(float(BUFFER))
         at = F.when(x["hours_estimated"], at).otherwise(F.greatest(at, x["open_min"].cast("double")))
         end = at + x["dwell"].cast("double")
-        late = ~x["hours_estimated"] & (end > x["close_min"])
+        late = ~x["hours_estimated"] & (end > x["close_min"] + 1e-6)
         row = F.struct(x["slot"].alias("slot"), x["poi_id"].alias("poi_id"), at.alias("arrive"), end.alias("depart"), late.alias("late"))
         return F.struct(end.alias("clock"), F.concat(s["out"], F.array(row)).cast(done).alias("out"))
 
@@ -87,9 +87,9 @@ def retime(stops: DataFrame, places: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, day_no, slot, poi_id, arrive, depart, late, overflow) with the legs' own minutes."""
     legs = travelled(build_legs(stops, places, runs), runs)
     timed = legs.select("run_id", "day_no", "slot", "poi_id", F.col("duration_min").alias("minutes")).join(places.select(*PLACE), "poi_id")
-    d = day_clock(timed).withColumn("overflow", F.greatest(F.lit(0), F.round(F.element_at("stops", -1)["depart"] - DAY_END).cast("int")))
+    d = day_clock(timed).withColumn("overflow", F.greatest(F.lit(0), score.half_up(F.element_at("stops", -1)["depart"] - DAY_END, 0).cast("int")))
     return d.select("run_id", "day_no", "overflow", F.explode("stops").alias("s")).select(
-        "run_id", "day_no", "s.slot", "s.poi_id", F.round("s.arrive").cast("int").alias("arrive"), F.round("s.depart").cast("int").alias("depart"), "s.late", "overflow"
+        "run_id", "day_no", "s.slot", "s.poi_id", score.half_up(F.col("s.arrive"), 0).cast("int").alias("arrive"), score.half_up(F.col("s.depart"), 0).cast("int").alias("depart"), "s.late", "overflow"
     )
 
 
@@ -165,13 +165,13 @@ def emissions_summary(legs: DataFrame, runs: DataFrame) -> DataFrame:
     day = F.col("g") / 1000.0 / F.greatest(F.col("n_days"), F.lit(1))
     return g.select(
         "run_id",
-        F.round("km", 1).alias("total_km"),
-        F.round(total, 2).alias("total_kg_co2"),
-        F.round(base, 2).alias("private_car_kg_co2"),
-        F.round(saved, 2).alias("saved_kg_co2"),
-        F.when(base > 0, F.round(saved * 100.0 / base, 1)).otherwise(0.0).alias("saved_pct"),
-        F.round(day, 2).alias("kg_per_traveller_day"),
-        score.journey_score(F.round(day, 6)).alias("journey_score"),
+        score.half_up(F.col("km"), 1).alias("total_km"),
+        score.half_up(total, 2).alias("total_kg_co2"),
+        score.half_up(base, 2).alias("private_car_kg_co2"),
+        score.half_up(saved, 2).alias("saved_kg_co2"),
+        F.when(base > 0, score.half_up(saved * 100.0 / base, 1)).otherwise(0.0).alias("saved_pct"),
+        score.half_up(day, 2).alias("kg_per_traveller_day"),
+        score.journey_score(score.half_up(day, 6)).alias("journey_score"),
     )
 
 

@@ -45,8 +45,8 @@ def retrieval_diag(s, d):
     c = _cand(s, d)
     known = F.when(F.col("popularity_known"), F.col("popularity_index"))
     return c.groupBy("request_id").agg(
-        F.count("*").alias("n"), F.countDistinct("category").alias("categories"), F.countDistinct("district").alias("districts"), F.round(F.avg("prominence"), 6).alias("mean_prominence"),
-        F.round(F.count(known) * 100.0 / F.count("*"), 1).alias("known_pct"), F.round(F.coalesce(F.avg(known), F.lit(0.0)), 6).alias("mean_popularity"),
+        F.count("*").alias("n"), F.countDistinct("category").alias("categories"), F.countDistinct("district").alias("districts"), score.half_up(F.avg("prominence"), 5).alias("mean_prominence"),
+        F.round(F.count(known) * 100.0 / F.count("*"), 1).alias("known_pct"), score.half_up(F.coalesce(F.avg(known), F.lit(0.0)), 5).alias("mean_popularity"),
     )
 
 
@@ -126,7 +126,7 @@ def utility(s, d):
 
 
 def request_budgets(s, d):
-    return _requests(s, d).select("request_id", F.round(1 - F.col("w_pref"), 4).alias("w_sust"), F.round(F.col("budget") * 0.20, 3).alias("poi_budget"), F.round(F.col("budget") * 0.45, 3).alias("lodging_budget"))
+    return _requests(s, d).select("request_id", F.round(1 - F.col("w_pref"), 4).alias("w_sust"), score.half_up(F.col("budget") * 0.20, 3).alias("poi_budget"), score.half_up(F.col("budget") * 0.45, 3).alias("lodging_budget"))
 
 
 def unary_feasible(s, d):
@@ -214,13 +214,13 @@ def mmr_utility(s, d):
     top = c.withColumn("rn", F.row_number().over(w)).where("rn <= 3").groupBy("request_id").agg(F.collect_list(F.struct("district", "category", "poi_id")).alias("chosen"))
     alike = lambda x: F.when((x["district"] == F.col("district")) & (x["category"] == F.col("category")), 1.0).when(x["district"] == F.col("district"), 0.6).when(x["category"] == F.col("category"), 0.4).otherwise(0.0)
     worst = F.coalesce(F.array_max(F.transform(F.filter("chosen", lambda x: x["poi_id"] != F.col("poi_id")), alike)), F.lit(0.0))
-    return c.join(top, "request_id").select("request_id", "poi_id", F.round(F.col("utility") - worst * F.col("utility") * 0.3, 4).alias("mmr"))
+    return c.join(top, "request_id").select("request_id", "poi_id", score.half_up(F.col("utility") - worst * F.col("utility") * 0.3, 4).alias("mmr"))
 
 
 def kg_per_traveller(s, d):
     k = F.col("k")
     p = V.v_poi(s, d).select("poi_id", V.pick(["walk", "train", "bus", "tuktuk", "car_private", "car_shared", "boat"], k % 7).alias("mode"), ((k * 13 % 900) / F.lit(10.0)).alias("km"), (k % 6 + 1).alias("party"))
-    return p.select("poi_id", *(F.round(score.kg_per_traveller(F.col("mode"), F.col("km"), F.col("party"), sc), 6).alias(sc) for sc in ("low", "central", "high")))
+    return p.select("poi_id", *(score.half_up(score.kg_per_traveller(F.col("mode"), F.col("km"), F.col("party"), sc), 6).alias(sc) for sc in ("low", "central", "high")))
 
 
 def estimated_mode(s, d):
@@ -282,7 +282,7 @@ def choose_lodging(s, d):
 def itinerary_totals(s, d):
     p = V.v_place(s, d).select("poi_id", "entry_fee_lkr", "district", "typical_dwell_min", "prominence", score.place_sustainability().alias("sust"))
     j = _stops(s, d).join(p, "poi_id")
-    return j.groupBy("run_id").agg(F.round(F.sum("entry_fee_lkr"), 2).alias("cost"), F.round(F.avg("prominence"), 4).alias("s_pref"), F.round(F.avg("sust"), 4).alias("s_sust"), F.countDistinct("district").alias("districts"), F.sum("typical_dwell_min").cast("long").alias("active_min"))
+    return j.groupBy("run_id").agg(F.round(F.sum("entry_fee_lkr"), 2).alias("cost"), score.half_up(F.avg("prominence"), 4).alias("s_pref"), score.half_up(F.avg("sust"), 4).alias("s_sust"), F.countDistinct("district").alias("districts"), F.sum("typical_dwell_min").cast("long").alias("active_min"))
 
 
 def leg_provenance(s, d):
