@@ -35,10 +35,9 @@ from .components import connected_components
 from .store import materialise
 from .textarrays import shingles, slices, utf8, words
 
-TILE_SHINGLES = 1_000_000
+TILE_SHINGLES = 6_000_000
 MISS = 1e-12
 MIN_POSTINGS = 64
-PEELS = 2
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -173,7 +172,7 @@ def _peeled(shared: DataFrame, pct: int) -> DataFrame:
 
 
 def _ties(shared: DataFrame, pct: int) -> DataFrame:
-    """(a, b): each node of a run with the least node of that run."""
+    """(a, b): each node of a run with the least node of that run; ``shared`` has a key in one partition."""
 
     def run(batches):
         got = _by_key(batches, pct)
@@ -183,10 +182,9 @@ def _ties(shared: DataFrame, pct: int) -> DataFrame:
         at = np.flatnonzero(first)
         least = np.minimum.reduceat(node, at)[np.cumsum(first) - 1]
         other = node != least
-        pair = np.unique(np.stack([node[other], least[other]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(least[other])], names=["a", "b"])
 
-    return shared.repartition("key").mapInArrow(run, "a long, b long").distinct()
+    return shared.mapInArrow(run, "a long, b long").distinct()
 
 
 def tile_links(sets: list[np.ndarray], pct: int = 75) -> list[tuple[int, int]]:
@@ -324,8 +322,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     plain = materialise(set_nodes(docs, k))
     nodes = materialise(plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")))
     shared = materialise(_shared(_postings(docs, k, pct), pct))
-    for _ in range(PEELS):
-        shared = materialise(_peeled(shared, pct))
+    shared = _peeled(shared, pct)
     labels = connected_components(_ties(shared, pct))
     active = nodes.join(labels.withColumnRenamed("id", "node"), "node").where("doc_id is not null")
     links = materialise(_links(_tile_rows(docs, _tiles(active, pct), k, pct), pct))
