@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 2000  # the classifier is fitted on so many pages at most, those of least hashed id
+SAMPLE_PAGES = 2000  # the classifier is fitted on about so many pages, one in every count / SAMPLE_PAGES by hash
 ADJACENT = 0.6
 SAME_PARENT = 0.9
 HINT = 5.0
@@ -171,8 +171,9 @@ def features(b: Block) -> list[float]:
 def fit(pages: DataFrame) -> np.ndarray:
     """Weights of the classifier, from blocks that semantic tags place.
 
-    ``pages(page_id, html)``; at most ``SAMPLE_PAGES`` pages.  Where only one
-    kind of block is found the weights stay at zero and the tags decide.
+    ``pages(page_id, html)``; about ``SAMPLE_PAGES`` pages, of which only the
+    features of placed blocks come to the driver.  Where only one kind of block
+    is found the weights stay at zero and the tags decide.
     """
 
     def run(batches):
@@ -185,8 +186,9 @@ def fit(pages: DataFrame) -> np.ndarray:
                         y.append(b.hint > 0)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], names=["x", "y"])
 
-    some = pages.orderBy(F.xxhash64(F.col("page_id")), "page_id").limit(SAMPLE_PAGES).select("html")
-    got = some.mapInArrow(run, "x array<double>, y boolean").toArrow()
+    every = max(1, pages.count() // SAMPLE_PAGES)
+    some = pages.where(F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(every)) == 0)
+    got = some.select("html").mapInArrow(run, "x array<double>, y boolean").toArrow()
     y = got["y"].to_numpy(zero_copy_only=False).astype(float)
     w = np.zeros(FEATURES)
     if len(y) == 0 or y.min() == y.max():

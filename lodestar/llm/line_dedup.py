@@ -17,6 +17,7 @@ from .store import materialise
 
 RATIO = 0.3
 MIN_PAGES = 5
+BROADCAST_LINES = 1_000_000
 
 # fixed values: content that is never shown, and tags that end a line
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
@@ -60,7 +61,9 @@ def drop_boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: in
     hashes.  Further columns are ignored.
     """
     lines = materialise(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines")))
-    common = host_boilerplate(lines.select("host", "lines"), ratio, min_pages)
+    common = materialise(host_boilerplate(lines.select("host", "lines"), ratio, min_pages))
+    if (common.agg(F.sum(F.size("common"))).first()[0] or 0) <= BROADCAST_LINES:
+        common = F.broadcast(common)  # else pages meet their host's list in a shuffle join, which splits large hosts
     kept = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("common"), F.xxhash64(x))))
     both = lines.join(common, "host", "left").select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return both.select("page_id", "host", "n_lines", F.size("kept").cast("long").alias("n_kept"), F.array_join("kept", "\n").alias("text"))
