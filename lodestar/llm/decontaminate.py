@@ -235,4 +235,4 @@ def contaminated(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_CO
 def decontaminate(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Documents without a passage of a test item; columns of ``docs``, null ids stay."""
     leaks = materialise(contaminated(docs, items, min_coverage).where("doc_id is not null").select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, docs["doc_id"].cast("long") == F.col("_leak"), "left_anti").select(*docs.columns)
+    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["_leak"], "left_anti").select(*docs.columns)

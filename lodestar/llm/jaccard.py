@@ -336,7 +336,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
 def drop_near_copies(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     """One document of each Jaccard component, that with the least doc_id; texts without words stay.
 
-    Repeated rows of one doc_id are one document.  Columns are those of ``docs``.
+    Repeated rows of one doc_id are one document; rows without a doc_id cannot be
+    named and stay.  Columns are those of ``docs``.
     """
     keep = jaccard_components(docs, k, pct).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi").select(*docs.columns)
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))

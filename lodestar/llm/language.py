@@ -152,5 +152,6 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """Documents whose language can be told: not ``und``, and a posterior of ``min_score`` at least; columns of ``docs``."""
     names, logp = train(docs.where(~held_out(F.col("doc_id"), 3, 1)))
-    extra = identify(docs.withColumn("text", F.col("text").cast("string")), names, logp)
-    return extra.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"))
+    told = identify(packed, names, logp).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return told.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

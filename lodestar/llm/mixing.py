@@ -171,15 +171,16 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     words are cut out and joined by a space.  Columns are those of ``docs``;
     n_chars, where there is one, is that of the new text.
     """
-    rows = materialise(sized(docs).withColumn("row", F.monotonically_increasing_id()))
-    placed, takes, _ = plan_mix(rows.select("row", "doc_id", F.col("source").cast("string"), "size"), block, seed)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.col("source").cast("string").alias("source"), "doc_id")
+    rows = materialise(sized(packed).withColumn("row", F.monotonically_increasing_id()))
+    placed, takes, _ = plan_mix(rows.select("row", "doc_id", "source", "size"), block, seed)
     cut = pieces(placed, takes, block).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("takes"))))
     cut = cut.groupBy("row", "copy").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"), F.sum(F.col("last") - F.col("first")).alias("words"))
-    both = rows.join(cut, "row")
+    both = rows.select("row", "doc", "size").join(cut, "row")
     whole = F.col("words") == F.col("size")
+    split = F.regexp_extract_all(F.col("doc.text"), F.lit(f"({_WORD})"), F.lit(1))
+    both = both.withColumn("split", F.when(~whole, split))
     parts = F.flatten(F.transform("cuts", lambda c: F.slice(F.col("split"), (c["first"] + 1).cast("int"), (c["last"] - c["first"]).cast("int"))))
-    both = both.withColumn("split", F.when(~whole, F.regexp_extract_all("text", F.lit(f"({_WORD})"), F.lit(1))))
-    both = both.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(parts, " ")))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+    text = F.when(whole, F.col("doc.text")).otherwise(F.array_join(parts, " "))
+    new = {"text": text, "n_chars": F.length(text)}
+    return both.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col("doc").getField(c)).alias(c) for c in docs.columns))

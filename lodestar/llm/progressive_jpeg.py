@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textarrays import slices, utf8
+
 BLOCK = 64
+PIECE_BYTES = 4 << 20
 
 
 def _zigzag() -> np.ndarray:
@@ -428,6 +431,14 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(max(BLOCK - len(raw), 0) if len(raw) < BLOCK else -len(raw) % BLOCK)
 
 
+def _pieces(batches, column: int):
+    """Batches in pieces of a few megabytes of this column, or one row."""
+    for batch in batches:
+        _, off = utf8(batch.columns[column].cast(pa.large_binary()))
+        for i, j in slices(off, PIECE_BYTES):
+            yield batch.slice(i, j - i)
+
+
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each whole text, null as empty, as a progressive JPEG.
 
@@ -435,7 +446,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             n, media = [], []
             for raw in batch.column(1).cast(pa.large_binary()).to_pylist():
                 raw = raw or b""
@@ -455,7 +466,7 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
     """
     new = [("payload", T.BinaryType()), ("height", T.IntegerType()), ("width", T.IntegerType()), ("feature", T.StringType())]
     new += [("rgb", T.BinaryType())] if tensors else []
-    schema = T.StructType([*media.schema.fields, *(T.StructField(*x) for x in new)])
+    schema = T.StructType([*(f for f in media.schema.fields if f.name != "media"), media.schema["media"], *(T.StructField(*x) for x in new)])
 
     def one(data):
         if data is None:
@@ -466,13 +477,13 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
         return read_payload(comps, comment) if comment.startswith(b"payload ") else None, height, width, feature, rgb.tobytes() if tensors else None
 
     def run(batches):
-        for batch in batches:
-            rows = [one(x) for x in batch.column("media").to_pylist()]
+        for batch in _pieces(batches, -1):
+            rows = [one(x) for x in batch.columns[-1].to_pylist()]
             cols = list(zip(*rows)) if rows else [[]] * 5
             new = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())] + ([pa.array(cols[4], pa.binary())] if tensors else [])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names] + new, names=schema.names)
 
-    return media.mapInArrow(run, schema)
+    return media.select(*[c for c in media.columns if c != "media"], "media").mapInArrow(run, schema)
 
 
 def media_report(docs: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null rows are empty."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_large_binary(column.type) or pa.types.is_binary(column.type) else "")
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
