@@ -11,10 +11,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .textarrays import mix, slices
 
@@ -108,50 +108,44 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, logp.astype(np.float32)
 
 
-def identify(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (the posterior of that language under equal priors).
+def told(text: Column, names: list[str], logp: np.ndarray, spark: SparkSession) -> Column:
+    """struct(lang_pred, score): the most probable language and its posterior under equal priors.
 
-    A null text, a text without a letter, or an untrained model gives ``und``
-    and 0.0.  Ties go to the first language by code point.  Columns of these two
-    names are replaced; all others are kept.
+    A null text, a text without a letter, or an untrained model gives ``und`` and
+    0.0.  Ties go to the first language by code point.  Only the text goes to
+    Python.
     """
-    model = docs.sparkSession.sparkContext.broadcast((names, logp))
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*kept)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    model = spark.sparkContext.broadcast((names, logp))
 
-    def run(batches):
+    def run(column):
         names, logp = model.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            best, score = [], []
-            for i, j in _text_slices(texts):
-                ids, row = _grams(texts[i:j])
-                total = np.stack([np.bincount(row, weights=logp[ids, k], minlength=j - i) for k in range(len(names))], axis=1) if names else np.zeros((j - i, 0))
-                for t, x in zip(texts[i:j], total):
-                    if not len(x) or not _LETTER.search(t):
-                        best.append(UNKNOWN)
-                        score.append(0.0)
-                        continue
-                    k = int(np.argmax(x))
-                    best.append(names[k])
-                    score.append(float(1 / np.exp(np.minimum(x - x[k], 0)).sum()))
-            cols = [batch.column(c) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(run, schema)
+        texts = [t or "" for t in column]
+        best, score = [], []
+        for i, j in _text_slices(texts):
+            ids, row = _grams(texts[i:j])
+            total = np.stack([np.bincount(row, weights=logp[ids, k], minlength=j - i) for k in range(len(names))], axis=1) if names else np.zeros((j - i, 0))
+            for t, x in zip(texts[i:j], total):
+                if not len(x) or not _LETTER.search(t):
+                    best.append(UNKNOWN)
+                    score.append(0.0)
+                    continue
+                k = int(np.argmax(x))
+                best.append(names[k])
+                score.append(float(1 / np.exp(np.minimum(x - x[k], 0)).sum()))
+        return pd.DataFrame({"lang_pred": pd.Series(best, dtype=object), "score": np.array(score, dtype=float)})
+
+    return F.pandas_udf(run, "lang_pred string, score double")(text.cast("string"))
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learnt from rows whose crc32(doc_id) mod 3 is not 1, given for all."""
     docs = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"), held_out(F.col("doc_id"), 3, 1).alias("held_out"))
     names, logp = train(docs.where("not held_out"))
-    return identify(docs.select("doc_id", "held_out", "text"), names, logp).select("doc_id", "held_out", "lang_pred", "score")
+    return docs.select("doc_id", "held_out", told(F.col("text"), names, logp, docs.sparkSession).alias("told")).select("doc_id", "held_out", "told.lang_pred", "told.score")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """Documents whose language can be told: not ``und``, and a posterior of ``min_score`` at least; columns of ``docs``."""
     names, logp = train(docs.where(~held_out(F.col("doc_id"), 3, 1)))
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"))
-    told = identify(packed, names, logp).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return told.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
+    guess = told(F.col("text"), names, logp, docs.sparkSession)
+    return docs.where((guess["lang_pred"] != UNKNOWN) & (guess["score"] >= min_score))
