@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textarrays import slices, utf8
+from .textarrays import pieces_of
 
 BLOCK = 64
 PIECE_BYTES = 4 << 20
@@ -431,14 +431,6 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(max(BLOCK - len(raw), 0) if len(raw) < BLOCK else -len(raw) % BLOCK)
 
 
-def _pieces(batches, column: int):
-    """Batches in pieces of a few megabytes of this column, or one row."""
-    for batch in batches:
-        _, off = utf8(batch.columns[column].cast(pa.large_binary()))
-        for i, j in slices(off, PIECE_BYTES):
-            yield batch.slice(i, j - i)
-
-
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each whole text, null as empty, as a progressive JPEG.
 
@@ -446,7 +438,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches):
-        for batch in _pieces(batches, 1):
+        for batch in pieces_of(batches, 1, PIECE_BYTES):
             n, media = [], []
             for raw in batch.column(1).cast(pa.large_binary()).to_pylist():
                 raw = raw or b""
@@ -477,7 +469,7 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
         return read_payload(comps, comment) if comment.startswith(b"payload ") else None, height, width, feature, rgb.tobytes() if tensors else None
 
     def run(batches):
-        for batch in _pieces(batches, -1):
+        for batch in pieces_of(batches, -1, PIECE_BYTES):
             rows = [one(x) for x in batch.columns[-1].to_pylist()]
             cols = list(zip(*rows)) if rows else [[]] * 5
             new = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())] + ([pa.array(cols[4], pa.binary())] if tensors else [])

@@ -66,6 +66,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def pieces_of(batches, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most ``limit`` bytes of this column, or one row."""
+    for batch in batches:
+        _, off = utf8(batch.columns[column])
+        for i, j in slices(off, limit):
+            yield batch.slice(i, j - i)
+
+
 @dataclass
 class Words:
     """Words of several rows: row r has words ``indptr[r]`` to ``indptr[r + 1]``."""

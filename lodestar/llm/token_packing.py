@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textarrays import pieces_of
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LENGTH = 2048
 END_ID = 50256
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
+PIECE_BYTES = 4 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -148,7 +151,7 @@ def pack_tokens(docs: DataFrame, path: str | None = None, length: int = LENGTH,
         encode = _encoding(path).encode_ordinary
         shard = TaskContext.get().partitionId() << 32
         ids, texts, total = [], [], 0
-        for batch in batches:
+        for batch in pieces_of(batches, 1, PIECE_BYTES):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 t = encode(text) if text else []
                 t.append(end_id)
