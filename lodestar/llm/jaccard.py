@@ -159,7 +159,7 @@ def _shared(postings: DataFrame, pct: int) -> DataFrame:
 
 
 def _peeled(shared: DataFrame, pct: int) -> DataFrame:
-    """Postings of the nodes that share enough of them, where still shared."""
+    """Postings of the nodes that share enough of them."""
 
     def enough(batches):
         for batch in batches:
@@ -168,11 +168,11 @@ def _peeled(shared: DataFrame, pct: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(keep))], names=["node"])
 
     counts = shared.groupBy("node").agg(F.count("*").alias("have"), F.first("n").alias("n"))
-    return _shared(shared.join(counts.mapInArrow(enough, "node long"), "node", "left_semi").select("key", "node", "n"), pct)
+    return shared.join(counts.mapInArrow(enough, "node long"), "node", "left_semi").select("key", "node", "n")
 
 
 def _ties(shared: DataFrame, pct: int) -> DataFrame:
-    """(a, b): each node of a run with the least node of that run; ``shared`` has a key in one partition."""
+    """(a, b): each node of a run with the least node of that run; a node alone has none."""
 
     def run(batches):
         got = _by_key(batches, pct)
@@ -184,7 +184,7 @@ def _ties(shared: DataFrame, pct: int) -> DataFrame:
         other = node != least
         yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(least[other])], names=["a", "b"])
 
-    return shared.mapInArrow(run, "a long, b long").distinct()
+    return shared.repartition("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def tile_links(sets: list[np.ndarray], pct: int = 75) -> list[tuple[int, int]]:

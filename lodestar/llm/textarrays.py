@@ -2,9 +2,9 @@
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]`` of the UTF-8
 text with A-Z lower-cased.  Each word gets a 64-bit hash: a polynomial over its
-bytes, taken from prefix sums, then mixed.  Texts are handled in slices of about
-a megabyte (a longer text is a slice of its own), so memory follows the longest
-text and not the batch.
+bytes, taken from prefix sums, then mixed.  Texts are handled in slices of a
+quarter of a megabyte (a longer text is a slice of its own), so memory follows
+the longest text and not the batch.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
