@@ -6,8 +6,9 @@
    ``n - ceil(threshold * n) + 1`` least hashes of each.  These postings, 64 at
    least, are shuffled by shingle, and shingles of one node go.
 3. Hashes are in random order, so that a node with a partner has most of its
-   postings in common with it; ``least_shared`` is the number that such a node
-   misses with a chance below ``MISS`` (less than that of two hashes clashing).
+   postings in common with it; ``least_common`` is the number that such a node
+   misses with a chance below ``MISS`` (less than that of two hashes clashing),
+   whichever of the two posts the smaller part of its set.
    Nodes with fewer shared postings go, and the shingles they leave alone.
 4. Each shingle ties its nodes of like size to the least of them.  Components of those ties
    hold every link.  A component is a tile when it is small; a large one is cut
@@ -58,26 +59,46 @@ def postings_of(n: int, pct: int) -> int:
     return max(n - -(-pct * n // 100) + 1, min(n, MIN_POSTINGS))
 
 
-@lru_cache(maxsize=1 << 16)
-def least_shared(n: int, pct: int) -> int:
-    """Postings that a set of n shares with a partner, but for a chance of ``MISS``.
-
-    A partner has at least pct of the set, and the postings are a random sample
-    of it without replacement, so the number shared is hypergeometric.
-    """
-    common = -(-pct * n // 100)
-    keep = postings_of(n, pct)
+def _least_held(n: int, common: int, keep: int) -> int:
+    """How many of ``keep`` random ones of n fall into ``common`` of them, but for a chance of half ``MISS``."""
     log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
     chance, least = 0.0, 1
     for m in range(1, keep):
-        if keep - m <= n - common:
+        if m <= common and keep - m <= n - common:
             chance += math.exp(log(common, m) + log(n - common, keep - m) - log(n, keep))
-        if chance >= MISS:
+        if 2 * chance >= MISS:
             break
         least = m + 1
     return least
 
 
+@lru_cache(maxsize=1 << 16)
+def least_shared(n: int, pct: int) -> int:
+    """Postings of a set of n that a partner's set holds, but for a chance of half ``MISS``.
+
+    A partner has at least pct of the set, and the postings are a random sample
+    of it without replacement, so the number held is hypergeometric.
+    """
+    return _least_held(n, -(-pct * n // 100), postings_of(n, pct))
+
+
+@lru_cache(maxsize=1 << 16)
+def least_common(n: int, pct: int) -> int:
+    """Postings that a set of n and a partner of any size both post, but for a chance of ``MISS``.
+
+    Of the shingles that both have, either posts the least ones, so the number
+    that both post is the smaller of the two sides'.  A smaller partner has more
+    of its postings in common than the set itself; a larger one, of n / pct at
+    most, is bounded by its own ``least_shared``.  Beyond the sizes that post
+    ``MIN_POSTINGS``, that grows from one period of rounding to the next, so one
+    period of larger sizes is enough.
+    """
+    sampled = 100 * MIN_POSTINGS // max(1, 100 - pct)
+    period = 100 // math.gcd(pct, 100)
+    high = min(100 * n // pct, max(n, sampled) + period)
+    return min(least_shared(m, pct) for m in range(n, high + 1))
+
+
 def set_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, node) of every row."""
 
@@ -164,7 +185,7 @@ def _peeled(shared: DataFrame, pct: int) -> DataFrame:
     def enough(batches):
         for batch in batches:
             n, have = batch.column("n").to_numpy(), batch.column("have").to_numpy()
-            keep = np.array([h >= least_shared(int(x), pct) for x, h in zip(n, have)], dtype=bool)
+            keep = np.array([h >= least_common(int(x), pct) for x, h in zip(n, have)], dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(keep))], names=["node"])
 
     counts = shared.groupBy("node").agg(F.count("*").alias("have"), F.first("n").alias("n"))

@@ -74,6 +74,26 @@ def test_least_shared_is_never_above_what_a_partner_must_share():
     assert J.least_shared(64, 75) == 48  # all shingles are postings: the count is exact
 
 
+def test_least_common_holds_for_all_sizes_of_a_partner():
+    for n in (1, 5, 48, 63, 64, 84, 190, 256, 300, 341):
+        for m in range(-(-3 * n // 4), 4 * n // 3 + 1):
+            common = -(-3 * (n + m) // 7)
+            assert J.least_common(n, 75) <= min(J._least_held(x, common, J.postings_of(x, 75)) for x in (n, m))
+
+
+def test_prefix_copies_of_a_larger_text_are_linked(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        n = rng.randrange(60, 121)
+        long = [f"p{rng.randrange(10**6)}" for _ in range(n)]
+        short = long[: -(-3 * (n - 4) // 4) + 4]
+        rows += [(2 * i, " ".join(long)), (2 * i + 1, " ".join(short))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in J.jaccard_components(df).collect())
+    assert got == brute(rows) and all(c == d - d % 2 for d, _, c in got)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (7, 7), (200, 200)]
     df = spark.createDataFrame(edges, "a long, b long")
