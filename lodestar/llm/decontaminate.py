@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every ``SEED_WORDS``-gram of the test items is looked for in all documents and
-counted by documents.  An item keeps its rare n-grams, and its rarest half in
-any case, as seeds.  A document that holds a seed of an item is aligned with it
-around the seeds: word matches, mismatches and gaps are scored, so edits and
-insertions cost a little and a copy remains a copy.
+Every ``SEED_WORDS``-gram of the test items is looked for in all documents; it is
+a seed however many documents hold it, as edited copies may be many.  A document
+that holds a seed of an item is aligned with it around the seeds: word matches,
+mismatches and gaps are scored, so edits and insertions cost a little and a copy
+remains a copy.  Places that lack too many of the item's words to reach the least
+coverage in any alignment are left out before that.
 
 Items are the query set: they are taken in blocks of ``BLOCK_WORDS`` words, whose
 seeds are broadcast, so that the number of items bounds nothing.
@@ -21,10 +22,10 @@ from .store import materialise
 from .textarrays import shingles, slices, utf8, words
 
 SEED_WORDS = 3
-RARE_SHARE = 0.001
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_COVERAGE = 0.5
 BLOCK_WORDS = 4_000_000
+PIECE_HITS = 1_000_000
 
 
 class Seeds:
@@ -51,16 +52,12 @@ class Seeds:
         self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
         self.keys, self.first = np.unique(self.all, return_index=True)
         self.last = np.append(self.first[1:], len(self.all))
-        self.use = np.ones(len(self.all), dtype=bool)
-        self._slots()
-
-    def _slots(self) -> None:
-        """A table over 20 hash bits of the keys in use, to dismiss most n-grams at once."""
+        # a table over 20 hash bits of the keys, to dismiss most n-grams at once
         self.slot = np.zeros(1 << 22, dtype=bool)
-        self.slot[(self.all[self.use] >> np.uint64(42)).astype(np.int64)] = True
+        self.slot[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``h`` that hold a key in use, and the keys' numbers."""
+        """Positions in ``h`` that hold a key, and the keys' numbers."""
         if not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.flatnonzero(self.slot[(h >> np.uint64(42)).astype(np.int64)])
@@ -68,16 +65,16 @@ class Seeds:
         ok = self.keys[k] == h[at]
         return at[ok], k[ok]
 
-    def keep_rare(self, df: np.ndarray, docs: int, share: float) -> None:
-        """Use an item's n-grams that ``share`` of the documents hold at most, and its rarest half."""
-        n = np.repeat(df, self.last - self.first)
-        order = np.lexsort((self.all, n, self.item))
-        rank = np.empty(len(n), dtype=np.int64)
-        start = np.searchsorted(self.item[order], self.item[order], side="left")
-        rank[order] = np.arange(len(n)) - start
-        size = np.bincount(self.item, minlength=len(self.items))
-        self.use = (n <= max(1.0, share * docs)) | (2 * rank < size[self.item])
-        self._slots()
+    def pairs(self, at: np.ndarray, k: np.ndarray, row: np.ndarray):
+        """(row, item, positions in the row's text, places in the item) of each row and item that meet in keys ``k``."""
+        many = self.last[k] - self.first[k]
+        entry = np.repeat(self.first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at, row, item = np.repeat(at, many), np.repeat(row, many), self.item[entry]
+        order = np.lexsort((at, item, row))
+        at, entry, row, item = at[order], entry[order], row[order], item[order]
+        cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(at) else np.zeros(0, np.int64)
+        for a, b in zip(cut, np.append(cut[1:], len(at))):
+            yield int(row[a]), int(item[a]), at[a:b], self.place[entry[a:b]]
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -140,33 +137,6 @@ def _item_blocks(items: DataFrame):
         yield block
 
 
-def _seed_counts(docs: DataFrame, shared) -> tuple[np.ndarray, int]:
-    """Documents that hold each key, and all documents."""
-
-    def run(batches):
-        seeds = shared.value
-        total, rows = np.zeros(len(seeds.keys), dtype=np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            buf, off = utf8(batch.column("text"))
-            for i, j in slices(off):
-                sh, ptr = shingles(words(buf, off[i : j + 1]), SEED_WORDS)
-                at, k = seeds.find(sh)
-                if len(at):
-                    row = np.searchsorted(ptr, at, side="right")
-                    total += np.bincount(np.unique(row * len(total) + k) % len(total), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["key", "n"])
-
-    df, rows = np.zeros(len(shared.value.keys), dtype=np.int64), 0
-    for key, n in docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n")).collect():
-        if key < 0:
-            rows = n
-        else:
-            df[key] = n
-    return df, rows
-
-
 def contaminated(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, item_id, score, coverage, first_word, last_word): passages of test items in documents.
 
@@ -185,8 +155,6 @@ def contaminated(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_CO
     for block in _item_blocks(items):
         names = [i for i, _ in block]
         seeds = Seeds([t for _, t in block], SEED_WORDS)
-        df, rows = _seed_counts(docs, spark.sparkContext.broadcast(seeds))
-        seeds.keep_rare(df, rows, RARE_SHARE)
         shared = spark.sparkContext.broadcast((seeds, names))
 
         def run(batches, shared=shared):
@@ -201,28 +169,26 @@ def contaminated(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_CO
                     at, k = seeds.find(sh)
                     if not len(at):
                         continue
-                    many = seeds.last[k] - seeds.first[k]
-                    at = np.repeat(at, many)
-                    entry = np.repeat(seeds.first[k], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                    ok = seeds.use[entry]
-                    at, entry = at[ok], entry[ok]
                     row = np.searchsorted(ptr, at, side="right") - 1
-                    item = seeds.item[entry]
-                    order = np.lexsort((at, item, row))
-                    at, entry, row, item = at[order], entry[order], row[order], item[order]
-                    cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(at) else np.zeros(0, np.int64)
-                    for a, b in zip(cut, np.append(cut[1:], len(at))):
-                        r, it = int(row[a]), int(item[a])
-                        text = w.hash[w.indptr[r] : w.indptr[r + 1]]
-                        target = seeds.items[it]
-                        best = (0, 0, 0)
-                        for lo, hi in _windows(at[a:b] - ptr[r], seeds.place[entry[a:b]], len(target), len(text)):
-                            s, x, y = align(text[lo:hi], target)
-                            if s > best[0]:
-                                best = (s, lo + x, lo + y)
-                        coverage = best[0] / (MATCH * len(target))
-                        if coverage >= min_coverage:
-                            out.append((ids[i + r], names[it], best[0], coverage, best[1], best[2]))
+                    hits = np.zeros(j - i + 1, dtype=np.int64)
+                    np.add.at(hits, row + 1, seeds.last[k] - seeds.first[k])
+                    bound = np.searchsorted(row, np.arange(j - i + 1))
+                    for x, y in slices(np.cumsum(hits), PIECE_HITS):
+                        part = slice(bound[x], bound[y])
+                        for r, it, pos, place in seeds.pairs(at[part], k[part], row[part]):
+                            text = w.hash[w.indptr[r] : w.indptr[r + 1]]
+                            target = seeds.items[it]
+                            best = (0, 0, 0)
+                            for lo, hi in _windows(pos - ptr[r], place, len(target), len(text)):
+                                # no alignment matches more words than are there
+                                if np.isin(target, text[lo:hi]).sum() < min_coverage * len(target):
+                                    continue
+                                s, a, b = align(text[lo:hi], target)
+                                if s > best[0]:
+                                    best = (s, lo + a, lo + b)
+                            coverage = best[0] / (MATCH * len(target))
+                            if best[0] and coverage >= min_coverage:
+                                out.append((ids[i + r], names[it], best[0], coverage, best[1], best[2]))
                 cols = list(zip(*out)) if out else [[]] * 6
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "score", "coverage", "first_word", "last_word"])

@@ -70,6 +70,19 @@ def test_passages_are_found_and_clean_documents_kept(spark):
     assert D.contaminated(df, it.limit(0)).count() == 0 and D.contaminated(df.limit(0), it).count() == 0
 
 
+def test_edited_copies_in_many_documents_are_found(spark):
+    rng = random.Random(5)
+    words = [f"t{i}" for i in range(3000)]
+    item = rng.choices(words, k=40)
+    # of the item's 38 n-grams ten are left, and all copies hold the same ones
+    copy = ["edited" if i % 4 == 3 else x for i, x in enumerate(item)]
+    docs = [(d, " ".join(rng.choices(words, k=60) + (copy if d % 20 == 0 else []))) for d in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = D.contaminated(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 200, 20))
+    assert all(r.score == plain_align(copy, item) for r in got)
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     one = sorted(map(tuple, D.contaminated(docs, items).collect()))
