@@ -1,10 +1,11 @@
 """Mixing sources to target weights by blocks of words.
 
 Each source's words, its documents in a fixed order, are cut into blocks of
-``block`` words.  Every output shard draws multinomial counts of slots per
+``block`` words, of fewer where the source is small.  Every output shard draws multinomial counts of slots per
 source; the running counts number a source's slots.  Slot j goes to block
 ``permutation(j mod n)`` of the source's n blocks, so no block is taken a third
-time before all are taken twice.  Slots and blocks meet in a join on the index.
+time before all are taken twice; a source that no shard draws has its slots in
+one shard.  Slots and blocks meet in a join on the index.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCK = 64
+LEAST_BLOCKS = 16
 SHARD_SLOTS = 4096
 BUCKET_ROWS = 20_000
 PLACE_SLOTS = 50_000
@@ -78,7 +80,8 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Dat
     """Placed documents, the takes of each block, and the sources.
 
     ``docs(row, doc_id, source, size)``.  Returns (row, doc_id, size, source_no,
-    start) with start as word offset within the source, (source_no, block,
+    start, length) with start as word offset within the source and length as that
+    of the source's blocks, (source_no, block,
     takes), and [(source, number, size, target)].
     """
     spark = docs.sparkSession
@@ -89,16 +92,18 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Dat
     target = shares([r["size"] for r in found])
     sources = [(r["source"], i, r["size"], t) for i, (r, t) in enumerate(zip(found, target))]
     rows = sum(r["n"] for r in found)
-    names = spark.createDataFrame([(s, i) for s, i, _, _ in sources], "source string, source_no int") if sources else spark.createDataFrame([], "source string, source_no int")
-    docs = docs.join(F.broadcast(names), docs["source"].eqNullSafe(names["source"])).select("row", "doc_id", "size", "source_no", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(1, -(-rows // BUCKET_ROWS)))).alias("bucket"))
+    length = [max(1, min(block, s // LEAST_BLOCKS)) for _, _, s, _ in sources]
+    names = spark.createDataFrame([(s, i, n) for (s, i, _, _), n in zip(sources, length)], "source string, source_no int, length int")
+    docs = docs.join(F.broadcast(names), docs["source"].eqNullSafe(names["source"])).select("row", "doc_id", "size", "source_no", "length", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(1, -(-rows // BUCKET_ROWS)))).alias("bucket"))
     w = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "row")
     before = F.sum("size").over(w) - F.col("size")
     part = docs.groupBy("source_no", "bucket").agg(F.sum("size").alias("part"))
     base = part.select("source_no", "bucket", (F.sum("part").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("part")).alias("base"))
-    placed = docs.withColumn("before", before).join(base, ["source_no", "bucket"]).select("row", "doc_id", "size", "source_no", (F.col("before") + F.col("base")).alias("start"))
+    placed = docs.withColumn("before", before).join(base, ["source_no", "bucket"]).select("row", "doc_id", "size", "source_no", "length", (F.col("before") + F.col("base")).alias("start"))
 
-    blocks = [-(-s // block) for _, _, s, _ in sources]
-    quota = [min(2 * n, round(t / block)) for (_, _, _, t), n in zip(sources, blocks)]
+    blocks = [-(-s // n) for (_, _, s, _), n in zip(sources, length)]
+    # a source's last block is shorter: slots are counted by the mean of its blocks
+    quota = [min(2 * n, round(t * n / s)) if s else 0 for (_, _, s, t), n in zip(sources, blocks)]
     slots = sum(quota)
     if not slots:
         return placed, spark.createDataFrame([], "source_no int, block long, takes long"), sources
@@ -122,7 +127,15 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Dat
     slot = drawn.withColumn("upto", run).join(groups, ["source_no", "group"]).join(F.broadcast(limits), "source_no")
     # draws are put to the scale of the source's quota, so that its slots come out even
     scaled = lambda c: F.floor(c.cast("double") * F.col("quota") / F.col("drawn")).cast("long")
-    slot = slot.where("drawn > 0").select("source_no", "blocks", "shard", scaled(F.col("base") + F.col("upto") - F.col("n")).alias("a"), F.when((F.col("base") + F.col("upto")) == F.col("drawn"), F.col("quota")).otherwise(scaled(F.col("base") + F.col("upto"))).alias("b"))
+    before, after = F.col("base") + F.col("upto") - F.col("n"), F.col("base") + F.col("upto")
+    alone = (F.col("drawn") == 0) & (F.col("shard") == F.pmod(F.xxhash64("source_no"), F.lit(shards)))
+    slot = slot.where((F.col("drawn") > 0) | alone).select(
+        "source_no",
+        "blocks",
+        "shard",
+        F.when(F.col("drawn") > 0, scaled(before)).otherwise(0).alias("a"),
+        F.when(after == F.col("drawn"), F.col("quota")).otherwise(scaled(after)).alias("b"),
+    )
 
     def place(batches):
         for batch in batches:
@@ -139,13 +152,13 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Dat
     return placed, takes, sources
 
 
-def pieces(placed: DataFrame, takes: DataFrame, block: int = BLOCK) -> DataFrame:
+def pieces(placed: DataFrame, takes: DataFrame) -> DataFrame:
     """(row, first, last, takes): word ranges [first, last) of documents whose block is taken ``takes`` times."""
-    cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
+    cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length")))))
     return cut.join(takes, ["source_no", "block"]).select(
         "row",
-        F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("first"),
-        F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("last"),
+        F.greatest(F.lit(0), F.col("block") * F.col("length") - F.col("start")).alias("first"),
+        F.least(F.col("size"), (F.col("block") + 1) * F.col("length") - F.col("start")).alias("last"),
         "takes",
     )
 
@@ -159,7 +172,7 @@ def mix_report(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFra
     """
     rows = materialise(sized(docs.select("doc_id", F.col("source").cast("string"), "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "size"))
     placed, takes, sources = plan_mix(rows, block, seed)
-    taken = pieces(placed, takes, block).groupBy("row").agg(F.sum((F.col("last") - F.col("first")) * F.col("takes")).alias("taken"))
+    taken = pieces(placed, takes).groupBy("row").agg(F.sum((F.col("last") - F.col("first")) * F.col("takes")).alias("taken"))
     about = docs.sparkSession.createDataFrame([(i, int(s), float(t)) for _, i, s, t in sources] or [(-1, 0, 0.0)], "source_no int, source_size long, target double")
     return placed.join(taken, "row", "left").join(F.broadcast(about), "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -174,7 +187,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     packed = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.col("source").cast("string").alias("source"), "doc_id")
     rows = materialise(sized(packed).withColumn("row", F.monotonically_increasing_id()))
     placed, takes, _ = plan_mix(rows.select("row", "doc_id", "source", "size"), block, seed)
-    cut = pieces(placed, takes, block).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("takes"))))
+    cut = pieces(placed, takes).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("takes"))))
     cut = cut.groupBy("row", "copy").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"), F.sum(F.col("last") - F.col("first")).alias("words"))
     both = rows.select("row", "doc", "size").join(cut, "row")
     whole = F.col("words") == F.col("size")

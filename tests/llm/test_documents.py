@@ -270,6 +270,13 @@ def test_mix_meets_its_targets(spark):
     assert M.mix_report(df.limit(0)).count() == 0
 
 
+def test_small_sources_beside_a_hot_one_meet_their_targets(spark):
+    rows = [(i, "w " * (i % 40 + 1), f"s{i:03d}") for i in range(160)] + [(1000 + i, "w " * 4000, "t") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    small = [r for r in M.mix_report(df).collect() if r.doc_id < 1000]
+    assert len(small) == 160 and all(abs(r.taken - r.target) <= max(1, r.size // 16) for r in small)
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     rows, df = mix_rows(spark)
     df = df.selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars")
