@@ -1,19 +1,23 @@
 """N-gram Jaccard self-join in size-banded tiles with bitmap signatures.
 
+All filters are exact: no link is lost to them, whatever the data.
+
 1. ``set_nodes``: every whole text becomes its set of shingle hashes; equal sets
-   are one node, named by a 64-bit fingerprint.
-2. Two sets with a Jaccard of ``threshold`` share a shingle among the
-   ``n - ceil(threshold * n) + 1`` least hashes of each.  These postings, 64 at
-   least, are shuffled by shingle, and shingles of one node go.
-3. Hashes are in random order, so that a node with a partner has most of its
-   postings in common with it; ``least_common`` is the number that such a node
-   misses with a chance below ``MISS`` (less than that of two hashes clashing),
-   whichever of the two posts the smaller part of its set.
-   Nodes with fewer shared postings go, and the shingles they leave alone.
-4. Each shingle ties its nodes of like size to the least of them.  Components of those ties
-   hold every link.  A component is a tile when it is small; a large one is cut
-   into size bands of ratio ``1 / threshold`` and bands into blocks, and pairs of
-   blocks of the same or neighbouring bands are tiles.
+   are one node, named by a 64-bit fingerprint.  The same pass counts all shingles
+   in a sketch of fixed size; shingles in crowded cells are *common*.
+2. Shingles are ordered: common ones last, hashes otherwise.  Any order does, and
+   this one keeps passages that many texts hold out of the way.  A node posts the
+   least ``n - ceil(t n) + l(n)`` of its n shingles, with ``l(n) = t n / 6``.  Two
+   sets with a Jaccard of t share the least l of their common shingles in what
+   they post, so a node with a partner has at least ``l(ceil(t n))`` postings that
+   another node of like size posts too.  Nodes with fewer go.
+3. Each shingle ties its nodes of like size to the least of them.  Components of
+   those ties hold every link.  Postings of common shingles are salted, so that no
+   task holds all texts of a large group of copies.
+4. A small component is a tile.  A larger one is settled in levels: blocks of its
+   size bands are tiles, one node of each class found goes on to the next level,
+   until classes no longer meet.  What may still link two classes, again by the
+   exact count of step 2, is compared in tiles of pairs of blocks.
 5. In a tile, bitmap signatures bound each overlap from above by bit counts;
    pairs that survive are settled by exact intersection of the sorted arrays.
    Nodes that are joined already need no further test, so a tile returns a
@@ -25,20 +29,22 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import materialise
 from .textarrays import shingles, slices, utf8, words
 
-TILE_SHINGLES = 6_000_000
-MISS = 1e-12
-MIN_POSTINGS = 64
+TILE_SHINGLES = 1 << 16
+SKETCH_BITS = 20
+SLICE = 1 << 16  # cells of the sketch in a row
+COMMON_SPARE = 32
+SALTS = 256
+BROADCAST_NODES = 1_000_000
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -54,98 +60,132 @@ def _name(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def least_common(n: int, pct: int) -> int:
+    """How many of the least common shingles both of two linked sets post, the smaller having n."""
+    return max(1, pct * n // 600)
+
+
 def postings_of(n: int, pct: int) -> int:
-    """Postings of a set of n: enough to share one with any partner, and to judge by."""
-    return max(n - -(-pct * n // 100) + 1, min(n, MIN_POSTINGS))
-
-
-def _least_held(n: int, common: int, keep: int) -> int:
-    """How many of ``keep`` random ones of n fall into ``common`` of them, but for a chance of half ``MISS``."""
-    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-    chance, least = 0.0, 1
-    for m in range(1, keep):
-        if m <= common and keep - m <= n - common:
-            chance += math.exp(log(common, m) + log(n - common, keep - m) - log(n, keep))
-        if 2 * chance >= MISS:
-            break
-        least = m + 1
-    return least
+    """Postings of a set of n: those that no partner's overlap can leave out, and ``least_common`` more."""
+    return min(n, n - -(-pct * n // 100) + least_common(n, pct))
 
 
-@lru_cache(maxsize=1 << 16)
 def least_shared(n: int, pct: int) -> int:
-    """Postings of a set of n that a partner's set holds, but for a chance of half ``MISS``.
+    """Postings that a set of n shares with any partner; the smallest partner has ceil(pct n / 100)."""
+    return least_common(-(-pct * n // 100), pct)
 
-    A partner has at least pct of the set, and the postings are a random sample
-    of it without replacement, so the number held is hypergeometric.
-    """
-    return _least_held(n, -(-pct * n // 100), postings_of(n, pct))
 
-
-@lru_cache(maxsize=1 << 16)
-def least_common(n: int, pct: int) -> int:
-    """Postings that a set of n and a partner of any size both post, but for a chance of ``MISS``.
-
-    Of the shingles that both have, either posts the least ones, so the number
-    that both post is the smaller of the two sides'.  A smaller partner has more
-    of its postings in common than the set itself; a larger one, of n / pct at
-    most, is bounded by its own ``least_shared``.  Beyond the sizes that post
-    ``MIN_POSTINGS``, that grows from one period of rounding to the next, so one
-    period of larger sizes is enough.
-    """
-    sampled = 100 * MIN_POSTINGS // max(1, 100 - pct)
-    period = 100 // math.gcd(pct, 100)
-    high = min(100 * n // pct, max(n, sampled) + period)
-    return min(least_shared(m, pct) for m in range(n, high + 1))
+def _least_shared(n: Column, pct: int) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * pct / 100) * pct / 600))
 
 
 def set_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row."""
+    """(doc_id, n_shingles, node) of every row, and rows (part, slice, counts) of the sketch, told by ``slice``."""
+    schema = "doc_id long, n_shingles long, node long, part int, slice int, counts binary"
 
     def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for batch in batches:
-            n, node = [], []
+            n, node, held, size = [], [], [], 0
             for _, s in _sets(batch, k):
                 n.append(len(s))
                 node.append(_name(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"])
+                held.append(_cell(s))
+                size += len(s)
+                if size > SLICE:
+                    np.add.at(total, np.concatenate(held), 1)
+                    held, size = [], 0
+            if held:
+                np.add.at(total, np.concatenate(held), 1)
+            none = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *none], names=["doc_id", "n_shingles", "node", "part", "slice", "counts"])
+        for i in range(0, len(total), SLICE):
+            cells = total[i : i + SLICE]
+            if cells.any():
+                none = [pa.nulls(1, pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([*none, pa.array([part], pa.int32()), pa.array([i // SLICE], pa.int32()), pa.array([cells.astype("<i8").tobytes()], pa.binary())], names=["doc_id", "n_shingles", "node", "part", "slice", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def common_cells(sketch: DataFrame) -> np.ndarray:
+    """Which cells of the sketch are crowded, as one bit each; ``sketch(part, slice, counts)``.
+
+    Slices are added up by groups of parts, then as a whole, so a task adds a
+    few hundred rows of half a megabyte at any size; the sum is of fixed size.
+    """
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    def add(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for p, s, c in zip(batch.column("part").to_pylist(), batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+                x = np.frombuffer(c, dtype="<i8")
+                sums[p, s] = sums[p, s] + x if (p, s) in sums else x
+        for (p, s), x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "slice", "counts"])
+
+    schema = "part int, slice int, counts binary"
+    for groups in (512, 1):
+        sketch = sketch.select((F.col("part") % groups).alias("part"), "slice", "counts").repartition("part", "slice").mapInArrow(add, schema)
+    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    for r in sketch.collect():
+        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], dtype="<i8")
+    mean = total.mean()
+    return total > mean + 8 * math.sqrt(mean) + COMMON_SPARE
 
 
 _POSTING = "key long, node long, n int"
 
 
-def _postings(docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """(key, node, n): each node's least hashes and its size; each task names a node once."""
+def _rows(*cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "n"])
+
 
-    def out(keys, nodes, sizes):
-        lens = [len(x) for x in keys]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens))], names=["key", "node", "n"])
+def _postings(docs: DataFrame, common: np.ndarray, k: int, pct: int) -> DataFrame:
+    """(key, node, n): each node's least shingles and its size, negative at common ones; each task names a node once."""
+    cells = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
 
     def run(batches):
+        crowded = np.unpackbits(cells.value).astype(bool)
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, held = [], [], [], 0
             for _, s in _sets(batch, k):
                 n = len(s)
                 if not n or (node := _name(s)) in seen:
                     continue
                 seen.add(node)
-                keys.append(s[: postings_of(n, pct)])
-                nodes.append(node)
-                sizes.append(n)
-                if len(keys) == 2000:
-                    yield out(keys, nodes, sizes)
-                    keys, nodes, sizes = [], [], []
+                p = postings_of(n, pct)
+                late = crowded[_cell(s)]
+                light = s[~late][:p]
+                heavy = s[late][: p - len(light)]
+                keys += [light, heavy]
+                sizes.append(np.repeat(np.array([n, -n], np.int32), [len(light), len(heavy)]))
+                nodes.append(np.full(len(light) + len(heavy), node, np.int64))
+                held += len(light) + len(heavy)
+                if held > 200_000:
+                    yield _rows(np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes))
+                    keys, nodes, sizes, held = [], [], [], 0
             if keys:
-                yield out(keys, nodes, sizes)
+                yield _rows(np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes))
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, _POSTING)
 
 
+def _salted() -> Column:
+    """Where a posting goes: by its shingle, common ones by their node as well."""
+    return F.when(F.col("n") < 0, F.xxhash64("key", F.pmod("node", F.lit(SALTS)))).otherwise(F.col("key"))
+
+
 def _by_key(batches, pct: int):
-    """All rows of a partition, ordered by key and size, one of a node, and where runs begin.
+    """All rows of a partition by key, size and node, without repeats, and where runs begin.
 
     A run is a stretch of a key's nodes in which each has at least pct of the
     size of the next; partners are in one run.
@@ -154,18 +194,19 @@ def _by_key(batches, pct: int):
     if not parts:
         return None
     key, node, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((node, n, key))
-    key, node, n = key[order], node[order], n[order]
+    size = np.abs(n).astype(np.int64)
+    order = np.lexsort((node, size, key))
+    key, node, n, size = key[order], node[order], n[order], size[order]
     new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, n = key[new], node[new], n[new]
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])
+    key, node, n, size = key[new], node[new], n[new], size[new]
     first = np.ones(len(key), dtype=bool)
-    first[1:] = (key[1:] != key[:-1]) | (100 * n[:-1].astype(np.int64) < pct * n[1:].astype(np.int64))
+    first[1:] = (key[1:] != key[:-1]) | (100 * size[:-1] < pct * size[1:])
     return key, node, n, first
 
 
 def _shared(postings: DataFrame, pct: int) -> DataFrame:
-    """Postings of the shingles that several nodes of like size have."""
+    """Postings of the shingles that several nodes of like size have; those of common shingles all."""
 
     def run(batches):
         got = _by_key(batches, pct)
@@ -173,53 +214,76 @@ def _shared(postings: DataFrame, pct: int) -> DataFrame:
             return
         key, node, n, first = got
         group = np.cumsum(first) - 1
-        many = np.bincount(group)[group] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, n)], names=["key", "node", "n"])
+        many = (np.bincount(group)[group] > 1) | (n < 0)
+        yield _rows(key[many], node[many], n[many])
 
-    return postings.repartition("key").mapInArrow(run, _POSTING)
+    return postings.repartition(_salted()).mapInArrow(run, _POSTING)
 
 
 def _peeled(shared: DataFrame, pct: int) -> DataFrame:
     """Postings of the nodes that share enough of them."""
 
-    def enough(batches):
-        for batch in batches:
-            n, have = batch.column("n").to_numpy(), batch.column("have").to_numpy()
-            keep = np.array([h >= least_common(int(x), pct) for x, h in zip(n, have)], dtype=bool)
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(keep))], names=["node"])
+    def run(batches):
+        parts = [[batch.column(c).to_numpy() for c in ("key", "node", "n")] for batch in batches]
+        if not parts:
+            return
+        key, node, n = (np.concatenate(x) for x in zip(*parts))
+        _, at, have = np.unique(node, return_inverse=True, return_counts=True)
+        size = np.abs(n).astype(np.int64)
+        enough = have[at] >= np.maximum(1, pct * -(-pct * size // 100) // 600)
+        yield _rows(key[enough], node[enough], n[enough])
+
+    return shared.repartition("node").mapInArrow(run, _POSTING)
 
-    counts = shared.groupBy("node").agg(F.count("*").alias("have"), F.first("n").alias("n"))
-    return shared.join(counts.mapInArrow(enough, "node long"), "node", "left_semi").select("key", "node", "n")
+
+def _thin(key: np.ndarray, size: np.ndarray, pct: int) -> np.ndarray:
+    """Rows with the least and the greatest size of each size band of a run; rows are ordered by key and size."""
+    band = np.floor(np.log(size) / math.log(100 / pct)).astype(np.int64)
+    edge = np.ones(len(key) + 1, dtype=bool)
+    edge[1:-1] = (key[1:] != key[:-1]) | (band[1:] != band[:-1])
+    return edge[:-1] | edge[1:]
 
 
 def _ties(shared: DataFrame, pct: int) -> DataFrame:
-    """(a, b): each node of a run with the least node of that run; a node alone has none."""
+    """(a, b): each node of a run with the least node of that run; a node alone has none.
 
-    def run(batches):
+    A common shingle's runs are those of its salts first; their least nodes,
+    with the ends of the run's size bands, are tied in the same way.
+    """
+    schema = "a long, b long, key long, n int"
+
+    def tied(batches, again):
         got = _by_key(batches, pct)
         if got is None:
             return
-        _, node, _, first = got
-        at = np.flatnonzero(first)
-        least = np.minimum.reduceat(node, at)[np.cumsum(first) - 1]
-        other = node != least
-        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(least[other])], names=["a", "b"])
+        key, node, n, first = got
+        least = np.minimum.reduceat(node, np.flatnonzero(first))[np.cumsum(first) - 1]
+        other = np.flatnonzero(node != least)
+        none = pa.nulls(len(other), pa.int64()), pa.nulls(len(other), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(least[other]), *none], names=["a", "b", "key", "n"])
+        if again:
+            rows = np.flatnonzero((n < 0) & _thin(np.cumsum(first), np.abs(n), pct))
+            yield pa.RecordBatch.from_arrays([pa.array(least[rows]), pa.nulls(len(rows), pa.int64()), pa.array(key[rows]), pa.array(np.abs(n[rows]))], names=["a", "b", "key", "n"])
 
-    return shared.repartition("key").mapInArrow(run, "a long, b long").distinct()
+    one = materialise(shared.repartition(_salted()).mapInArrow(lambda b: tied(b, True), schema))
+    ends = one.where("key is not null").select("key", F.col("a").alias("node"), "n")
+    two = ends.repartition("key").mapInArrow(lambda b: tied(b, False), schema)
+    return one.where("b is not null").select("a", "b").unionByName(two.select("a", "b")).distinct()
 
 
-def tile_links(sets: list[np.ndarray], pct: int = 75) -> list[tuple[int, int]]:
+def tile_links(sets: list[np.ndarray], pct: int = 75, classes: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with 100 * intersection >= pct * union.
 
     Bits are set by hash; bits that only one side has are elements that the
-    other lacks, which bounds the overlap from above.
+    other lacks, which bounds the overlap from above.  Sets of one of ``classes``
+    are joined already.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     order = np.argsort(size, kind="stable")
     n = size[order]
     links: list[tuple[int, int]] = []
-    label = np.arange(m)
+    label = np.arange(m) if classes is None else np.unique(np.array(classes)[order], return_inverse=True)[1]
     bits = None
     if m > 2:
         width = 1 << min(14, max(8, math.ceil(math.log2(4 * max(1, int(np.median(n)))))))
@@ -254,80 +318,120 @@ def tile_links(sets: list[np.ndarray], pct: int = 75) -> list[tuple[int, int]]:
     return links
 
 
-def _tile_rows(docs: DataFrame, active: DataFrame, k: int, pct: int) -> DataFrame:
-    """(tile, node, hashes): the sets of the nodes in ``active(doc_id, node, tiles)``."""
+def _node_sets(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
+    """(node, hashes): the sets of the nodes in ``active(doc_id, node)``, each node once but for repeats of its row."""
 
     def run(batches):
         for batch in batches:
             want = batch.column("node").to_numpy()
-            tiles = batch.column("tiles").to_pylist()
-            tile, node, data = [], [], []
+            node, data = [], []
             for r, s in _sets(batch, k):
                 if len(s) and _name(s) == want[r]:
-                    for t in tiles[r]:
-                        tile.append(t)
-                        node.append(int(want[r]))
-                        data.append(s.tobytes())
+                    node.append(int(want[r]))
+                    data.append(s.tobytes())
                 if len(data) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(tile, pa.string()), pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["tile", "node", "hashes"])
-                    tile, node, data = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(tile, pa.string()), pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["tile", "node", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["node", "hashes"])
+                    node, data = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["node", "hashes"])
 
+    active = active.select("doc_id", "node")
+    if active.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        active = F.broadcast(active)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(active, "doc_id")
-    return rows.select("text", "node", "tiles").mapInArrow(run, "tile string, node long, hashes binary")
+    return rows.select("text", "node").mapInArrow(run, "node long, hashes binary")
 
 
 def _links(rows: DataFrame, pct: int) -> DataFrame:
-    """(a, b): a forest of exact links of each tile; tiles pass one after the other."""
+    """(a, b): a forest of exact links of each tile of ``rows(tile, node, class, hashes)``; tiles pass one after the other."""
 
-    def settle(held: dict[int, bytes]):
+    def settle(held: dict[int, tuple[int, bytes]]):
         nodes = list(held)
-        found = tile_links([np.frombuffer(held[x], dtype=np.uint64) for x in nodes], pct)
-        return [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
+        found = tile_links([np.frombuffer(held[x][1], dtype=np.uint64) for x in nodes], pct, [held[x][0] for x in nodes])
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
 
     def run(batches):
         now, held = None, {}
-        left, right = [], []
         for batch in batches:
-            for t, node, data in zip(batch.column("tile").to_pylist(), batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
+            for t, node, c, data in zip(*(batch.column(x).to_pylist() for x in ("tile", "node", "class", "hashes"))):
                 if t != now:
                     if len(held) > 1:
-                        a, b = settle(held)
-                        left += a
-                        right += b
+                        yield settle(held)
                     now, held = t, {}
-                held[node] = data
+                held[node] = (c, data)
         if len(held) > 1:
-            a, b = settle(held)
-            left += a
-            right += b
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            yield settle(held)
+
+    return rows.select("tile", "node", "class", "hashes").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, "a long, b long")
+
+
+def _band(level: int, pct: int) -> Column:
+    """The size band; every other level has its edges half a band off."""
+    return F.floor(F.log("n_shingles") / math.log(100 / pct) + (level % 2) / 2).cast("int")
 
-    return rows.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, "a long, b long")
 
+def _block_pairs(open_: DataFrame, pct: int) -> DataFrame:
+    """(node, class, tile) of nodes that may be linked beyond their class: pairs of blocks of like size.
 
-def _tiles(active: DataFrame, pct: int) -> DataFrame:
-    """(doc_id, node, tiles): a whole component, or pairs of blocks of neighbouring size bands."""
+    ``open_(node, n_shingles, label, class)``.  A class of more than half a tile
+    has blocks of its own, which meet all blocks but each other, so that a large
+    class costs its size times the number of blocks of the rest.
+    """
+    half = max(1, TILE_SHINGLES // 2)
+    open_ = open_.withColumn("band", _band(0, pct))
+    own = open_.groupBy("label", "band", "class").agg(F.sum("n_shingles").alias("total"))
+    rest = own.where(F.col("total") <= half).groupBy("label", "band").agg(F.ceil(F.sum("total") / half).alias("rest"))
+    own = own.join(rest, ["label", "band"], "left")
+    spread = lambda c, n: F.pmod(F.xxhash64(c), n.cast("long"))
+    placed = open_.join(own, ["label", "band", "class"]).withColumn("owner", F.when(F.col("total") > half, F.col("class")))
+    placed = placed.withColumn("block", F.when(F.col("owner").isNotNull(), spread("node", F.ceil(F.col("total") / half))).otherwise(spread("class", F.col("rest"))))
+    blocks = placed.select("label", "band", "owner", "block").distinct()
+    name = lambda p: F.concat_ws("/", F.col(f"{p}band"), F.coalesce(F.col(f"{p}owner").cast("string"), F.lit("rest")), F.col(f"{p}block"))
+    other = blocks.select("label", *(F.col(c).alias(f"o_{c}") for c in ("band", "owner", "block")))
+    near = (F.abs(F.col("band") - F.col("o_band")) <= 1) & ~(F.col("owner").isNotNull() & (F.col("owner").eqNullSafe(F.col("o_owner"))))
+    tile = F.concat_ws("|", F.col("label"), F.least(name(""), name("o_")), F.greatest(name(""), name("o_")))
+    tiles = blocks.join(other, "label").where(near).select("label", "band", F.coalesce("owner", F.lit(0)).alias("owner"), F.col("owner").isNull().alias("free"), "block", tile.alias("tile"))
+    key = ["label", "band", "owner", "free", "block"]
+    return placed.withColumn("free", F.col("owner").isNull()).withColumn("owner", F.coalesce("owner", F.lit(0))).join(tiles, key).select("node", "class", "tile")
+
+
+def _settled(active: DataFrame, sets: DataFrame, peeled: DataFrame, pct: int) -> DataFrame:
+    """(a, b): a forest of all links among ``active(node, n_shingles, label)``."""
+    with_sets = lambda tiles: tiles.join(sets, "node")
     total = active.groupBy("label").agg(F.sum("n_shingles").alias("total"))
-    active = active.join(total, "label")
-    small = active.where(F.col("total") <= TILE_SHINGLES).select("doc_id", "node", F.array(F.col("label").cast("string")).alias("tiles"))
-    large = active.where(F.col("total") > TILE_SHINGLES).withColumn("band", F.floor(F.log("n_shingles") / math.log(100 / pct)).cast("int"))
-    blocks = large.groupBy("label", "band").agg(F.ceil(F.sum("n_shingles") / (TILE_SHINGLES // 2)).cast("int").alias("blocks"))
-    near = lambda d, name: blocks.select("label", (F.col("band") - d).alias("band"), F.col("blocks").alias(name))
-    large = large.join(blocks, ["label", "band"]).join(near(1, "above"), ["label", "band"], "left").join(near(-1, "below"), ["label", "band"], "left")
-    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    tile = lambda band, kind, i, j: F.concat_ws("/", F.col("label"), band, F.lit(kind), i, j)
-    count = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    large = large.select(
-        "doc_id",
-        "node",
-        F.concat(
-            F.transform(count(F.col("blocks")), lambda j: tile(F.col("band"), "same", F.least(F.col("block"), j), F.greatest(F.col("block"), j))),
-            F.transform(count(F.col("above")), lambda j: tile(F.col("band"), "next", F.col("block"), j)),
-            F.transform(count(F.col("below")), lambda j: tile(F.col("band") - 1, "next", j, F.col("block"))),
-        ).alias("tiles"),
-    )
-    return small.unionByName(large)
+    active = materialise(active.join(total, "label").select("node", "n_shingles", "label", "total"))
+    small = active.where(F.col("total") <= TILE_SHINGLES).select("node", F.col("node").alias("class"), F.col("label").cast("string").alias("tile"))
+    links = materialise(_links(with_sets(small), pct))
+    large = active.where(F.col("total") > TILE_SHINGLES).select("node", "n_shingles", "label", F.col("node").alias("class"))
+    before = large.count()
+    level = 0
+    while before:
+        reps = large.groupBy("label", "class").agg(F.min(F.struct("node", "n_shingles")).alias("r")).select("label", "class", "r.*")
+        per = reps.groupBy("label").agg(F.sum("n_shingles").alias("whole"))
+        reps = reps.join(per, "label").withColumn("band", F.when(F.col("whole") > TILE_SHINGLES, _band(level, pct)).otherwise(-1))
+        of = reps.groupBy("label", "band").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).alias("blocks"))
+        reps = reps.join(of, ["label", "band"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(level)), F.col("blocks").cast("long")))
+        found = _links(with_sets(reps.select("node", F.col("node").alias("class"), F.concat_ws("/", "label", "band", "block").alias("tile"))), pct)
+        classes = connected_components(found).select(F.col("id").alias("class"), F.col("label").alias("new"))
+        links = links.unionByName(connected_edges(classes))
+        large = materialise(large.join(classes, "class", "left").select("node", "n_shingles", "label", F.coalesce("new", "class").alias("class")))
+        after = large.select("label", "class").distinct().count()
+        level += 1
+        if level > 1 and after > before // 2:
+            break
+        before = after
+    if not level:
+        return links
+    # which nodes may have a partner of another class: by the exact count, over shingles with several classes
+    mine = peeled.join(large.select("node", "label", "class"), "node")
+    ends = mine.groupBy("key", "label").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
+    have = mine.join(ends, ["key", "label"], "left_semi").groupBy("node").agg(F.countDistinct("key").alias("have"))
+    open_ = materialise(large.join(have, "node").where(F.col("have") >= _least_shared(F.col("n_shingles"), pct)).select("node", "n_shingles", "label", "class"))
+    return links.unionByName(_links(with_sets(_block_pairs(open_, pct)), pct))
+
+
+def connected_edges(classes: DataFrame) -> DataFrame:
+    """(a, b) of ``classes(class, new)``: each id with its component's least."""
+    return classes.where(F.col("class") != F.col("new")).select(F.col("class").alias("a"), F.col("new").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
@@ -335,23 +439,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
 
     Two rows are linked when 100 * |A n B| >= ``pct`` * |A u B| for their sets of
     ``k``-word shingles; component_id is the least doc_id reachable.  Sets are
-    compared as 64-bit hashes; a link is missed with a chance below ``MISS``.  A null or empty text, or one without words, has
-    no shingles and is its own component; a null doc_id stays a row of its own
-    with a null or shared component.  Equal texts share a component; repeated
-    rows stay rows.  Further columns are ignored; an empty table gives no rows.
+    compared as 64-bit hashes, the only thing that chance enters.  A null or empty
+    text, or one without words, has no shingles and is its own component; a null
+    doc_id stays a row of its own with a null or shared component.  Equal texts
+    share a component; repeated rows stay rows.  Further columns are ignored; an
+    empty table gives no rows.
     """
-    plain = materialise(set_nodes(docs, k))
+    told = materialise(set_nodes(docs, k))
+    plain = told.where("slice is null").select("doc_id", "n_shingles", "node")
+    common = common_cells(told.where("slice is not null").select("part", "slice", "counts"))
     nodes = materialise(plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")))
-    shared = materialise(_shared(_postings(docs, k, pct), pct))
-    shared = _peeled(shared, pct)
-    labels = connected_components(_ties(shared, pct))
-    active = nodes.join(labels.withColumnRenamed("id", "node"), "node").where("doc_id is not null")
-    links = materialise(_links(_tile_rows(docs, _tiles(active, pct), k, pct), pct))
+    peeled = materialise(_peeled(_shared(_postings(docs, common, k, pct), pct), pct))
+    labels = connected_components(_ties(peeled, pct))
+    active = materialise(nodes.join(labels.withColumnRenamed("id", "node"), "node").where("doc_id is not null"))
+    sets = materialise(_node_sets(docs, active, k).dropDuplicates(["node"]))
+    links = materialise(_settled(active, sets, peeled, pct))
     classes = connected_components(links).withColumnRenamed("id", "node")
-    placed = nodes.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    placed = placed.join(least, "label").select("node", "component_id")
-    return plain.join(placed, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a class's least document, and the nodes that are not their own class
+    placed = classes.join(nodes.select("node", "doc_id"), "node")
+    least = placed.groupBy("label").agg(F.min("doc_id").alias("least"))
+    placed = nodes.join(placed.join(least, "label").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
+    shown = plain.where("node is not null").join(placed, "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return shown.unionByName(plain.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:

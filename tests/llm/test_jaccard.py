@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from lodestar.llm import jaccard as J
 from lodestar.llm.components import connected_components
 
@@ -60,6 +62,32 @@ def test_tiles_of_a_large_component_lose_no_link(spark, monkeypatch):
     assert sorted(tuple(r) for r in J.jaccard_components(df).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("tile", [100, 2000])
+def test_large_groups_are_settled_in_levels(spark, monkeypatch, tile):
+    """Near copies, some of which link only to few of the group, and texts close to the group that do not link."""
+    monkeypatch.setattr(J, "TILE_SHINGLES", tile)
+    monkeypatch.setattr(J, "COMMON_SPARE", 4)
+    monkeypatch.setattr(J, "SALTS", 3)
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            copy[rng.randrange(60)] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(copy[rng.choice([0, 0, 0, 3, 8]) :] + [f"t{j}" for j in range(rng.choice([0, 0, 5, 12]))])))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in J.jaccard_components(df).collect()) == brute(rows)
+
+
+def test_long_text_and_null_ids(spark):
+    long = " ".join(f"l{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " more"), (None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (None, None)]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.n_shingles, (r.component_id or 0)) for r in got) == [(0, 0, 0), (0, 2, 3), (0, 2, 3), (1, 199_996, 1), (2, 199_997, 1), (3, 2, 3)]
+
+
 def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string")
     assert sorted(tuple(r) for r in J.jaccard_components(df).collect()) == [(1, 3, 1), (1, 3, 1), (2, 3, 1)]
@@ -67,18 +95,36 @@ def test_empty_and_repeated_rows(spark):
     assert J.jaccard_components(df.limit(0)).count() == 0
 
 
-def test_least_shared_is_never_above_what_a_partner_must_share():
-    for n in (1, 4, 20, 64, 65, 100, 400):
-        least = J.least_shared(n, 75)
-        assert 1 <= least <= J.postings_of(n, 75)
-    assert J.least_shared(64, 75) == 48  # all shingles are postings: the count is exact
-
-
-def test_least_common_holds_for_all_sizes_of_a_partner():
-    for n in (1, 5, 48, 63, 64, 84, 190, 256, 300, 341):
-        for m in range(-(-3 * n // 4), 4 * n // 3 + 1):
-            common = -(-3 * (n + m) // 7)
-            assert J.least_common(n, 75) <= min(J._least_held(x, common, J.postings_of(x, 75)) for x in (n, m))
+def test_linked_sets_post_enough_in_common_in_any_order():
+    """Both of two linked sets post ``least_shared`` shingles that the other posts too, whatever the order."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        n = rng.choice([1, 2, 5, 20, 48, 63, 64, 66, 88, 120, 200])
+        m = rng.randrange(n, 4 * n // 3 + 1)
+        both = rng.randrange(-(-3 * (n + m) // 7), n + 1)
+        rank = list(range(n + m - both))
+        if rng.random() < 0.5:  # what they share comes last, as shingles of common passages do
+            rank.sort(key=lambda x: x < both)
+        else:
+            rng.shuffle(rank)
+        at = {x: i for i, x in enumerate(rank)}
+        a, b = range(n), [*range(both), *range(n, n + m - both)]
+        least = lambda s: set(sorted(s, key=at.get)[: J.postings_of(len(s), 75)])
+        shared = len(least(a) & least(b))
+        assert shared >= J.least_shared(n, 75) and shared >= J.least_shared(m, 75), (n, m, both)
+
+
+def test_contained_sets_of_all_sizes_are_linked(spark):
+    """Sets of 45 to 105 shingles inside sets 4/3 their size, each pair at a Jaccard of 0.75 or just above."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        m = 60 + i % 81
+        long = [f"c{rng.randrange(10**7)}" for _ in range(m + 4)]
+        rows += [(2 * i, " ".join(long)), (2 * i + 1, " ".join(long[: -(-3 * m // 4) + 4]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(df).collect()}
+    assert all(c == d - d % 2 for d, c in got.items())
 
 
 def test_prefix_copies_of_a_larger_text_are_linked(spark):
