@@ -40,6 +40,7 @@ from .store import materialise
 from .textarrays import shingles, slices, utf8, words
 
 TILE_SHINGLES = 1 << 16
+PAIR_SHINGLES = 1 << 21
 SKETCH_BITS = 20
 SLICE = 1 << 16  # cells of the sketch in a row
 COMMON_SPARE = 32
@@ -372,11 +373,11 @@ def _band(level: int, pct: int) -> Column:
 def _block_pairs(open_: DataFrame, pct: int) -> DataFrame:
     """(node, class, tile) of nodes that may be linked beyond their class: pairs of blocks of like size.
 
-    ``open_(node, n_shingles, label, class)``.  A class of more than half a tile
+    ``open_(node, n_shingles, label, class)``.  A class of more than half a pair
     has blocks of its own, which meet all blocks but each other, so that a large
     class costs its size times the number of blocks of the rest.
     """
-    half = max(1, TILE_SHINGLES // 2)
+    half = max(1, PAIR_SHINGLES // 2)
     open_ = open_.withColumn("band", _band(0, pct))
     own = open_.groupBy("label", "band", "class").agg(F.sum("n_shingles").alias("total"))
     rest = own.where(F.col("total") <= half).groupBy("label", "band").agg(F.ceil(F.sum("total") / half).alias("rest"))
@@ -452,7 +453,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     peeled = materialise(_peeled(_shared(_postings(docs, common, k, pct), pct), pct))
     labels = connected_components(_ties(peeled, pct))
     active = materialise(nodes.join(labels.withColumnRenamed("id", "node"), "node").where("doc_id is not null"))
-    sets = materialise(_node_sets(docs, active, k).dropDuplicates(["node"]))
+    sets = materialise(_node_sets(docs, active, k))
     links = materialise(_settled(active, sets, peeled, pct))
     classes = connected_components(links).withColumnRenamed("id", "node")
     # a class's least document, and the nodes that are not their own class

@@ -57,6 +57,7 @@ def test_components_match_brute_force(spark):
 
 def test_tiles_of_a_large_component_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(J, "TILE_SHINGLES", 300)
+    monkeypatch.setattr(J, "PAIR_SHINGLES", 900)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in J.jaccard_components(df).collect()) == brute(rows)
@@ -66,6 +67,7 @@ def test_tiles_of_a_large_component_lose_no_link(spark, monkeypatch):
 def test_large_groups_are_settled_in_levels(spark, monkeypatch, tile):
     """Near copies, some of which link only to few of the group, and texts close to the group that do not link."""
     monkeypatch.setattr(J, "TILE_SHINGLES", tile)
+    monkeypatch.setattr(J, "PAIR_SHINGLES", 3 * tile)
     monkeypatch.setattr(J, "COMMON_SPARE", 4)
     monkeypatch.setattr(J, "SALTS", 3)
     rng = random.Random(2)
