@@ -1,11 +1,13 @@
 """Main-text extraction by minimum cut.
 
-A page becomes text blocks in page order.  A logistic classifier over shape
-features (length, links, punctuation, tag) is fitted by Spark on blocks whose
-place is told by semantic tags; its logit, with that of the nearest telling
-ancestor, is a block's cost of being called content or boilerplate and becomes
-its terminal capacity.  Neighbouring blocks and blocks of one parent are joined
-by smoothness edges.  The minimum cut parts content from boilerplate.
+A page becomes text blocks in page order.  A logistic classifier over features of
+a block (length, links, punctuation, tag, and what class names around it say) is
+fitted by Spark on blocks whose place is told by semantic tags; its weights are
+drawn to a prior, so that pages without such tags are judged as well.  The logit,
+with what the nearest semantic tag tells, is a block's cost of being called
+content or boilerplate and becomes its terminal capacity.  Neighbouring blocks and
+blocks of one parent are joined by smoothness edges.  The minimum cut parts
+content from boilerplate.
 """
 
 from __future__ import annotations
@@ -13,19 +15,29 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textarrays import pieces_of
+
 SAMPLE_PAGES = 2000  # the classifier is fitted on about so many pages, one in every count / SAMPLE_PAGES by hash
 ADJACENT = 0.6
 SAME_PARENT = 0.9
-HINT = 5.0
-FEATURES = 8
+APART = 0.3  # of an edge between blocks of which different things are told
+TOLD = 6.0
+SHAPE_LIMIT = 3.0
+WRAPPER_SHARE = 0.8
 ROUNDS = 300
+PRIOR_BLOCKS = 100  # weight of the prior against so many placed blocks
+PIECE_BYTES = 4 << 20
+
+# prior weights: constant, log of words, share of links, sentence ends, commas, p, li, heading; then names of content, names of other parts
+PRIOR = np.array([0.0, 0.4, -4.0, 1.0, 0.3, 0.6, -0.5, 1.0, 1.5, -4.0])
+SHAPES = 8
 
 # fixed values: elements by role
 _HIDDEN = frozenset("head script style noscript template svg math iframe object select option button textarea canvas audio video map datalist".split())
@@ -37,56 +49,119 @@ _CONTENT_TAGS = frozenset(["article", "main"])
 _OTHER_TAGS = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "header"])
 _RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe"])
 _CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
-_CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|story|post|main|body|text)(?:$|[\s_-])|article|maincontent", re.I)
-_OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|nav|menu|foot|footer|head|header|side|sidebar|aside|banner|promo|sponsor(?:ed)?|cookies?|consent|notice|alert|share|social|related|recommend(?:ed)?|breadcrumbs?|subscribe|newsletter|signup|login|popup|modal|overlay|widget|pagination|pager|tags?|toolbar|copyright|legal|search|form|repl(?:y|ies))(?:$|[\s_-])"
-    r"|advert|comment|sidebar|newsletter|cookie|disqus|breadcrumb|navbar|masthead|topbar",
-    re.I,
-)
 _ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+
+# fixed values: parts of class names and ids
+_CONTENT_PARTS = frozenset("article content entry story post main body text maincontent".split())
+_OTHER_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising nav navbar navigation menu foot footer head header masthead topbar side sidebar aside banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert share sharing social related recommend recommended recommendations breadcrumb breadcrumbs subscribe newsletter signup login popup modal overlay widget pagination pager tags toolbar copyright legal search form comment comments disqus reply replies respond".split()
+)
+_HEAD_PARTS = frozenset(["head", "header"])
+# a name with one of these tells of a state of the page, not of a part of it
+_STATE_PARTS = frozenset("no not has with without open opened closed enabled disabled on off hide hidden show active fixed".split())
+
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_END_OF_TAG = re.compile(r"""[>"']""")
+_PARTS = re.compile(r"[-_]+")
+_ENDS_ITSELF = re.compile(r"""(?:^|[\s"'])/$""")
 _NONE_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    __slots__ = ("text", "tag", "hint", "parent", "depth", "link", "told")
-
-    def __init__(self, text, tag, hint, parent, depth, link, told):
-        self.text, self.tag, self.hint, self.parent, self.depth, self.link, self.told = text, tag, hint, parent, depth, link, told
-
-
-def _hint(tag: str, attrs: str, inside: int) -> tuple[int | None, bool, bool]:
-    """What an element tells of its text (1 content, -1 other, None nothing), by tag only, and whether it is hidden."""
-    names, hidden = "", False
-    if attrs and not attrs.isspace():
-        for name, value in _ATTR.findall(attrs):
-            name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id"):
-                names += " " + value
-            elif name == "role" and value.lower() in _ROLES:
-                return _ROLES[value.lower()], True, hidden
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NONE_SHOWN.search(value)):
-                hidden = True
-    if tag == "header":
-        return (None if inside > 0 else -1), True, hidden
-    if tag in _OTHER_TAGS:
-        return -1, True, hidden
-    if names and _OTHER_NAMES.search(names):
-        return -1, False, hidden
-    if tag in _CONTENT_TAGS:
-        return 1, True, hidden
-    if names and tag != "body" and _CONTENT_NAMES.search(names):
-        return 1, False, hidden
-    return None, False, hidden
+    """A text block: told is what the nearest telling element says by its tag, named what the nearest name says (1 content, -1 other)."""
+
+    __slots__ = ("text", "tag", "told", "named", "parent", "depth", "link")
+
+    def __init__(self, text, tag, told, named, parent, depth, link):
+        self.text, self.tag, self.told, self.named, self.parent, self.depth, self.link = text, tag, told, named, parent, depth, link
+
+
+def _named(names: str, in_content: bool) -> int:
+    """What class names and ids say: 1 content, -1 another part, 0 nothing.
+
+    A name is taken by its parts between hyphens and underscores; a header in
+    the content is the content's.
+    """
+    found = 0
+    for name in names.lower().split():
+        parts = set(_PARTS.split(name))
+        if parts & _STATE_PARTS:
+            continue
+        other, content = parts & _OTHER_PARTS, bool(parts & _CONTENT_PARTS)
+        if other and not (other <= _HEAD_PARTS and (content or in_content)):
+            return -1
+        if content:
+            found = 1
+    return found
+
+
+def _attributes(attrs: str) -> tuple[str, int | None, bool]:
+    """Class names and ids, what a role tells, and whether the element is hidden."""
+    names, role, hidden = "", None, False
+    for name, value in _ATTR.findall(attrs):
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            names += " " + value
+        elif name == "role":
+            role = _ROLES.get(value.lower(), role)
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NONE_SHOWN.search(value)):
+            hidden = True
+    return names, role, hidden
+
+
+def _markup(page: str):
+    """(text before, tag name with a slash if it ends an element, attributes) of each tag; the last has no tag.
+
+    One pass: a quote opens a value only after an equals sign and where it is
+    closed, and what has once been looked for in vain is not looked for again.
+    """
+    at, start, n = 0, 0, len(page)
+    closed = {'"': True, "'": True}
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or page.find(">", lt) < 0:
+            break
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            yield page[start:lt], "", ""
+            at = start = n if end < 0 else end + 3
+            continue
+        if page[lt + 1] in "!?":
+            yield page[start:lt], "", ""
+            at = start = page.find(">", lt) + 1
+            continue
+        m = _NAME.match(page, lt + 1)
+        if not m:
+            at = lt + 1
+            continue
+        k = m.end()
+        while (q := _END_OF_TAG.search(page, k)) and q[0] != ">":
+            end = -1
+            if closed[q[0]] and page[k : q.start()].rstrip().endswith("="):
+                end = page.find(q[0], q.end())
+                closed[q[0]] = end >= 0
+            k = q.end() if end < 0 else end + 1
+        if not q:
+            break
+        yield page[start:lt], m[0].lower(), page[m.end() : q.start()]
+        at = start = q.end()
+        if m[0].lower() in _RAW:
+            end = re.compile(rf"</{m[0]}\b[^>]*>", re.I).search(page, at)
+            at = start = end.end() if end else n
+    yield page[start:], None, ""
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order; hidden elements, comments and markup have none."""
-    out: list[Block] = []
-    # an element: (tag, number, hint of the nearest telling ancestor, told by a tag, hidden)
-    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
-    number, text, link, at, in_link = 1, [], 0, 0, 0
+    # elements by number: parent, tag, what the tag tells, what the names say, length of the text
+    parent, tags, told, named, size = [0], [""], [0], [0], [0]
+    found: list[tuple[str, int, int, int]] = []  # text, number of the block element, depth, length in links
+    # an open element: (tag, number, hidden, place of the nearest block element in the stack, inside content)
+    stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
+    open_: Counter = Counter()
+    text: list[str] = []
+    link = in_link = 0
 
     def flush():
         nonlocal text, link
@@ -96,34 +171,32 @@ def blocks(page: str) -> list[Block]:
                 joined = html.unescape(joined)
             joined = " ".join(joined.split())
             if joined:
-                k = len(stack) - 1
-                while k and stack[k][0] not in _BLOCK:
-                    k -= 1
-                tag, _, hint, told, _ = stack[k]
-                out.append(Block(joined, tag, hint, stack[max(k - 1, 0)][1], k, min(link, len(joined)), told))
+                k = stack[-1][3]
+                found.append((joined, stack[k][1], k, min(link, len(joined))))
+                size[stack[k][1]] += len(joined)
         text, link = [], 0
 
-    while True:
-        m = _TAG.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at and not stack[-1][4]:
-            text.append(page[at:end])
+    def close(k):
+        for tag, *_ in stack[k:]:
+            open_[tag] -= 1
+        del stack[k:]
+
+    for before, tag, attrs in _markup(page):
+        if before and not stack[-1][2]:
+            text.append(before)
             if in_link:
-                link += end - at
-        if m is None:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
+                link += len(before)
+        if not tag:
             continue
-        tag = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in _BLOCK:
-                        flush()
-                    del stack[k:]
-                    break
+        if tag[0] == "/":
+            tag = tag[1:]
+            if open_[tag]:
+                if tag in _BLOCK:
+                    flush()
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             if tag == "a":
                 in_link = max(0, in_link - 1)
             continue
@@ -134,38 +207,59 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
-        if tag in _BLOCK:
+        block = tag in _BLOCK
+        if block:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, an item the last item
-                if stack[k][0] == "p" or stack[k][0] in _CLOSED_BY.get(tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BLOCK:
-                    break
-        hint, told, hidden = _hint(tag, m[3], stack[-1][2])
-        hidden = hidden or stack[-1][4] or tag in _HIDDEN
-        if hint is None:
-            hint, told = stack[-1][2], stack[-1][3]
-        if tag in _RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if m[3].endswith("/") and tag not in _BLOCK:
+            shut = _CLOSED_BY.get(tag, ())
+            k = stack[-1][3]  # a block ends an open paragraph, an item the last item
+            if k and (stack[k][0] == "p" or stack[k][0] in shut):
+                close(k)
+        if tag in _RAW or (not block and _ENDS_ITSELF.search(attrs)):
             continue
-        stack.append((tag, number, hint, told, hidden))
-        number += 1
+        _, above, hidden, last, inside = stack[-1]
+        names, role, unseen = _attributes(attrs) if attrs and not attrs.isspace() else ("", None, False)
+        say = _named(names, inside) if names and tag not in ("html", "body") else 0
+        tell = 0
+        if role is not None:
+            tell = role
+        elif tag in _OTHER_TAGS and not (tag == "header" and inside):
+            tell = -1
+        elif tag in _CONTENT_TAGS and say >= 0:
+            tell = 1
+        number = len(parent)
+        for column, value in zip((parent, tags, told, named, size), (above, tag, tell, say, 0)):
+            column.append(value)
+        inside = tell > 0 or say > 0 or (inside and not tell and say >= 0)
+        stack.append((tag, number, hidden or unseen or tag in _HIDDEN, len(stack) if block else last, inside))
+        open_[tag] += 1
         if tag == "a":
             in_link += 1
     flush()
-    return out
+
+    for e in range(len(parent) - 1, 0, -1):
+        size[parent[e]] += size[e]
+    # what holds nearly all text is a wrapper, whatever its name or form says
+    for e in range(1, len(parent)):
+        if size[e] > WRAPPER_SHARE * size[0]:
+            named[e] = max(named[e], 0)
+            if tags[e] in ("form", "header", "dialog"):
+                told[e] = 0
+        up = parent[e]
+        if not told[e]:
+            told[e] = 0 if named[e] else told[up]
+        named[e] = named[e] or named[up]
+        if told[up] < 0 and not told[e] and named[e] > 0:  # no name makes content of what a tag above puts aside
+            told[e] = -1
+    return [Block(t, tags[e], told[e], named[e], parent[e], depth, n) for t, e, depth, n in found]
 
 
 def features(b: Block) -> list[float]:
-    """Shape of a block, without what its ancestors tell."""
+    """Shape of a block, then what names around it say."""
     n = len(b.text)
     words = b.text.count(" ") + 1
     stops = b.text.count(". ") + b.text.count("? ") + b.text.count("! ") + (b.text[-1] in ".?!")
-    return [1.0, math.log1p(words), b.link / n, min(1.0, stops / words * 4), min(1.0, b.text.count(",") / words * 4), float(b.tag == "p"), float(b.tag == "li"), float(b.tag in ("h1", "h2", "h3"))]
+    shape = [1.0, math.log1p(words), b.link / n, min(1.0, stops / words * 4), min(1.0, b.text.count(",") / words * 4), float(b.tag == "p"), float(b.tag == "li"), float(b.tag in ("h1", "h2", "h3"))]
+    return [*shape, float(b.named > 0), float(b.named < 0)]
 
 
 def fit(pages: DataFrame) -> np.ndarray:
@@ -173,31 +267,32 @@ def fit(pages: DataFrame) -> np.ndarray:
 
     ``pages(page_id, html)``; about ``SAMPLE_PAGES`` pages, of which only the
     features of placed blocks come to the driver.  Where only one kind of block
-    is found the weights stay at zero and the tags decide.
+    is found the weights stay at ``PRIOR``.
     """
 
     def run(batches):
-        x, y = [], []
-        for batch in batches:
+        for batch in pieces_of(batches, 0, PIECE_BYTES):
+            x, y = [], []
             for page in batch.column("html").to_pylist():
                 for b in blocks(page or ""):
                     if b.told:
                         x.append(features(b))
-                        y.append(b.hint > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], names=["x", "y"])
+                        y.append(b.told > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], names=["x", "y"])
 
     every = max(1, pages.count() // SAMPLE_PAGES)
     some = pages.where(F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(every)) == 0)
     got = some.select("html").mapInArrow(run, "x array<double>, y boolean").toArrow()
     y = got["y"].to_numpy(zero_copy_only=False).astype(float)
-    w = np.zeros(FEATURES)
+    w = PRIOR.copy()
     if len(y) == 0 or y.min() == y.max():
         return w
     x = np.array(got["x"].to_pylist())
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for _ in range(ROUNDS):  # gradient steps with a ridge
+    ridge = min(1.0, 0.01 + PRIOR_BLOCKS / len(y))
+    for _ in range(ROUNDS):  # gradient steps with a ridge towards the prior
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += 0.5 * (x.T @ (weight * (y - p)) / len(y) - 0.01 * w)
+        w += 0.5 * (x.T @ (weight * (y - p)) / len(y) - ridge * (w - PRIOR))
     return w
 
 
@@ -206,7 +301,7 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
 
     A block whose gain outweighs all its edges keeps its sign in a minimum cut;
     such blocks are settled first and their edges passed on as gains.  Maximum
-    flow by shortest augmenting paths settles the others.  Ties leave out.
+    flow by shortest augmenting paths settles the others.  Ties take.
     """
     n = len(gain)
     gain = list(gain)
@@ -228,13 +323,14 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     free = [i for i in range(n) if label[i] is None]
     if not free:
         return label  # type: ignore[return-value]
+    # the source stands for boilerplate, so that what it cannot reach is content
     source, sink = n, n + 1
     room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in free}
-    room[source] = {i: gain[i] for i in free if gain[i] > 0}
+    room[source] = {i: -gain[i] for i in free if gain[i] < 0}
     room[sink] = {}
     for i in free:
-        if gain[i] < 0:
-            room[i][sink] = -gain[i]
+        if gain[i] > 0:
+            room[i][sink] = gain[i]
     while True:
         back, queue = {source: source}, deque([source])
         while queue and sink not in back:
@@ -254,7 +350,7 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
             room[a][b] -= flow
             room[b][a] = room[b].get(a, 0.0) + flow
     for i in free:
-        label[i] = i in back
+        label[i] = i not in back
     return label  # type: ignore[return-value]
 
 
@@ -265,13 +361,16 @@ def main_text(page: str, weights: np.ndarray) -> str:
         return ""
     w = weights.tolist()
     gain, edges, last = [], [], {}
+    alike = lambda a, b: 1.0 if (a.told, a.named) == (b.told, b.named) else APART
     for i, b in enumerate(bs):
-        logit = sum(a * x for a, x in zip(w, features(b)))
-        gain.append(max(-3.0, min(3.0, logit)) + HINT * b.hint)
+        x = features(b)
+        shape = sum(a * v for a, v in zip(w[:SHAPES], x))
+        names = sum(a * v for a, v in zip(w[SHAPES:], x[SHAPES:]))
+        gain.append(max(-SHAPE_LIMIT, min(SHAPE_LIMIT, shape)) + names + TOLD * b.told)
         if i:
-            edges.append((i - 1, i, ADJACENT / (1 + abs(b.depth - bs[i - 1].depth))))
+            edges.append((i - 1, i, ADJACENT / (1 + abs(b.depth - bs[i - 1].depth)) * alike(b, bs[i - 1])))
         if b.parent in last:
-            edges.append((last[b.parent], i, SAME_PARENT))
+            edges.append((last[b.parent], i, SAME_PARENT * alike(b, bs[last[b.parent]])))
         last[b.parent] = i
     return " ".join(b.text for b, keep in zip(bs, min_cut(gain, edges)) if keep)
 
@@ -286,7 +385,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     weights = fit(pages.select("page_id", F.col("html").cast("string")))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces_of(batches, 2, PIECE_BYTES):
             texts = [main_text(p or "", weights) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

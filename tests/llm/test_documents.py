@@ -123,6 +123,47 @@ def test_main_text_of_a_page(spark):
     assert H.extract_main_text(df.limit(0)).count() == 0
 
 
+PARA = "<p>The first paragraph says what there is, and why it matters to all.</p><p>The second one goes on, with more to tell of the same.</p><p>A third ends it.</p>"
+TOLD = "The first paragraph says what there is, and why it matters to all. The second one goes on, with more to tell of the same. A third ends it."
+NAV = "<nav><a href=/a>Home</a> <a href=/b>News</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<body class="no-sidebar">{PARA}', TOLD),
+        (f'<body class="sidebar">{PARA}', TOLD),
+        (f'<body>{NAV}<div class="page comments-open">{PARA}</div></body>', TOLD),
+        (f'<body><div class="wrapper sidebar">{PARA}</div><footer>end</footer></body>', TOLD),
+        (f'<article><div class="article-header"><h1>Headline</h1></div>{PARA}</article>', "Headline " + TOLD),
+        (f'<form id="aspnetForm">{NAV}<div>{PARA}</div></form>', TOLD),
+        (PARA, TOLD),
+        (f'<p title="the hidden gem">{TOLD}</p>', TOLD),
+        (f'<div class="site-nav"><a href=/>Home</a></div><div class="entry">{PARA}<div class="share-buttons">Share this</div></div><section class="comments"><p>Great, I like it a lot, and so do all my friends.</p><p>Me too.</p></section>', TOLD),
+        (f'<article>{PARA}<div class="related-posts"><a href=/1>Another</a></div><section id="comments"><article class="comment"><p>First!</p></article></section></article>', TOLD),
+        (f'<main>{PARA}<aside><div class="content">Our best offers for you.</div></aside></main>', TOLD),
+        ("A line of text without markup", "A line of text without markup"),
+        (f"<p>a < b and c > d; {TOLD}</p>", f"a < b and c > d; {TOLD}"),
+    ],
+)
+def test_ordinary_pages_without_training(page, want):
+    assert H.main_text(page, H.PRIOR) == want
+
+
+def test_long_bad_pages_take_time_in_proportion():
+    import time
+
+    def seconds(part, n):
+        page = PARA + part * n + PARA
+        start = time.perf_counter()
+        H.main_text(page, H.PRIOR)
+        return time.perf_counter() - start
+
+    for part in ('<a title="x ', "<b x='y \"", "</i></div>", "<b>", "<!", "<a b=\"c>", "<b>x<hr>", "<script>", "<p><i>"):
+        few, many = min(seconds(part, 4_000) for _ in range(2)), seconds(part, 32_000)
+        assert many < 24 * few + 1.0, part
+
+
 def test_pages_give_their_article(spark):
     import html as entities
 
