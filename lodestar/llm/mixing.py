@@ -1,8 +1,9 @@
 """Mixing sources to target weights by blocks of words.
 
 Each source's words, its documents in a fixed order, are cut into blocks of
-``block`` words, of fewer where the source is small.  Every output shard draws multinomial counts of slots per
-source; the running counts number a source's slots.  Slot j goes to block
+``block`` words, of a 64th of the source where that is less, one word at least.
+Every output shard draws multinomial counts of slots per source; the running
+counts number a source's slots.  Slot j goes to block
 ``permutation(j mod n)`` of the source's n blocks, so no block is taken a third
 time before all are taken twice; a source that no shard draws has its slots in
 one shard.  Slots and blocks meet in a join on the index.
@@ -22,9 +23,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCK = 64
-LEAST_BLOCKS = 16
+LEAST_BLOCKS = 64
 SHARD_SLOTS = 4096
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 PLACE_SLOTS = 50_000
 MAX_SOURCES = 100_000
 SEED = 20_240_601
@@ -114,7 +115,8 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Dat
         for batch in batches:
             shard = batch.column("id").to_numpy()
             got = np.array([np.random.default_rng([seed, int(s)]).multinomial(SHARD_SLOTS, p) for s in shard]).reshape(len(shard), len(p))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shard, len(p))), pa.array(np.tile(np.arange(len(p), dtype=np.int32), len(shard))), pa.array(got.ravel().astype(np.int64))], names=["shard", "source_no", "n"])
+            at, source = np.nonzero(got)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(source.astype(np.int32)), pa.array(got[at, source].astype(np.int64))], names=["shard", "source_no", "n"])
 
     drawn = spark.range(0, shards, 1, max(1, min(shards // 64, 2000))).mapInArrow(draw, "shard long, source_no int, n long")
     # running counts per source, by groups of shards and then within a group
@@ -124,18 +126,14 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Dat
     groups = groups.select("source_no", "group", (F.sum("n").over(by.orderBy("group")) - F.col("n")).alias("base"), F.sum("n").over(by).alias("drawn"))
     limits = spark.createDataFrame([(i, int(q), int(n)) for i, (q, n) in enumerate(zip(quota, blocks))], "source_no int, quota long, blocks long")
     run = F.sum("n").over(Window.partitionBy("source_no", "group").orderBy("shard"))
-    slot = drawn.withColumn("upto", run).join(groups, ["source_no", "group"]).join(F.broadcast(limits), "source_no")
+    slot = F.broadcast(limits).join(drawn.withColumn("upto", run).join(groups, ["source_no", "group"]), "source_no")
     # draws are put to the scale of the source's quota, so that its slots come out even
     scaled = lambda c: F.floor(c.cast("double") * F.col("quota") / F.col("drawn")).cast("long")
     before, after = F.col("base") + F.col("upto") - F.col("n"), F.col("base") + F.col("upto")
-    alone = (F.col("drawn") == 0) & (F.col("shard") == F.pmod(F.xxhash64("source_no"), F.lit(shards)))
-    slot = slot.where((F.col("drawn") > 0) | alone).select(
-        "source_no",
-        "blocks",
-        "shard",
-        F.when(F.col("drawn") > 0, scaled(before)).otherwise(0).alias("a"),
-        F.when(after == F.col("drawn"), F.col("quota")).otherwise(scaled(after)).alias("b"),
-    )
+    slot = slot.select("source_no", "blocks", "shard", scaled(before).alias("a"), F.when(after == F.col("drawn"), F.col("quota")).otherwise(scaled(after)).alias("b"))
+    # a source that no shard drew has all its slots in one
+    missed = limits.join(groups.select("source_no").distinct(), "source_no", "left_anti")
+    slot = slot.unionByName(missed.select("source_no", "blocks", F.pmod(F.xxhash64("source_no"), F.lit(shards)).alias("shard"), F.lit(0).cast("long").alias("a"), F.col("quota").alias("b")))
 
     def place(batches):
         for batch in batches:
@@ -184,8 +182,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     words are cut out and joined by a space.  Columns are those of ``docs``;
     n_chars, where there is one, is that of the new text.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.col("source").cast("string").alias("source"), "doc_id")
-    rows = materialise(sized(packed).withColumn("row", F.monotonically_increasing_id()))
+    kept = F.struct(*docs.columns).alias("doc")
+    rows = materialise(sized(docs).select(kept, F.col("source").cast("string").alias("source"), "doc_id", "size", F.monotonically_increasing_id().alias("row")))
     placed, takes, _ = plan_mix(rows.select("row", "doc_id", "source", "size"), block, seed)
     cut = pieces(placed, takes).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("takes"))))
     cut = cut.groupBy("row", "copy").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"), F.sum(F.col("last") - F.col("first")).alias("words"))
