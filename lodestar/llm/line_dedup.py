@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 RATIO = 0.3
-MIN_PAGES = 5
+MIN_PAGES = 1  # hosts with fewer pages keep all lines; a line of a single page always stays
 BROADCAST_LINES = 1_000_000
 
 # fixed values: content that is never shown, and tags that end a line
@@ -64,6 +64,9 @@ def drop_boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: in
     common = materialise(host_boilerplate(lines.select("host", "lines"), ratio, min_pages))
     if (common.agg(F.sum(F.size("common"))).first()[0] or 0) <= BROADCAST_LINES:
         common = F.broadcast(common)  # else pages meet their host's list in a shuffle join, which splits large hosts
-    kept = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("common"), F.xxhash64(x))))
-    both = lines.join(common, "host", "left").select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    # the page's own share of the host's list first, by a hash set, so that each line is looked up in no more than that
+    own = F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), F.col("common"))
+    both = lines.join(common, "host", "left").withColumn("own", own)
+    kept = F.when(F.col("own").isNull() | (F.size("own") == 0), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("own"), F.xxhash64(x))))
+    both = both.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return both.select("page_id", "host", "n_lines", F.size("kept").cast("long").alias("n_kept"), F.array_join("kept", "\n").alias("text"))

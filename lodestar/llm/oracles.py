@@ -38,7 +38,7 @@ l AS (
   SELECT row_number() OVER () AS r, page_id, host,
     list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines
   FROM t),
-h AS (SELECT host, count(*) AS pages FROM l GROUP BY host HAVING count(*) >= 5),
+h AS (SELECT host, count(*) AS pages FROM l GROUP BY host),
 c AS (
   SELECT s.host, s.line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) s JOIN h USING (host)
   GROUP BY s.host, s.line, h.pages HAVING count(*) > 1 AND count(*) > 0.3 * h.pages),
