@@ -1,17 +1,21 @@
 """Secret scans: patterns, and zstandard novelty against a primed dictionary.
 
-Base spans come from patterns.  A further candidate is a token of mixed letters
-and digits in a sensitive context.  Its novelty is the marginal cost of writing
-it after what surrounds it: the compressor is primed with common identifiers and
-the text around the candidate, and the bytes of the frame beyond an empty one's
-are set against the candidate's length.  What the dictionary cannot shorten and
-the entropy coder cannot squeeze is reported.
+Base spans come from patterns.  A further candidate is a token in a sensitive
+context that is no plain word or identifier: one with a digit, or whose case
+changes at every third character or more often.  Its
+novelty is the marginal cost of writing it after what surrounds it: the
+compressor is primed with common identifiers and the text around the candidate,
+and the bytes of the frame beyond an empty one's are set against what random
+characters of the candidate's own alphabet would need, so that a long secret of
+few characters, hexadecimal ones say, counts as much as a short one of many.  What
+the dictionary cannot shorten is reported.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -22,8 +26,9 @@ KINDS = ("assign", "access", "hex", "novel")
 MIN_CANDIDATE = 12
 CONTEXT_CHARS = 256
 NEAR_CHARS = 40
-MIN_NOVELTY = 0.7
+MIN_NOVELTY = 0.85
 LEVEL = 3
+CODE_TABLE = 16  # bytes of an entropy coder's table
 
 # fixed values: identifiers that code and configuration share
 IDENTIFIERS = """
@@ -54,6 +59,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
 _SENSITIVE = re.compile(r"passw|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization|AKIA", re.IGNORECASE | re.ASCII)
 _DIGIT, _ALPHA = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_TURN = re.compile(r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
+# fixed values: alphabets of secrets, the smallest first, by pattern and bits a character
+_ALPHABETS = ((re.compile(r"[0-9]+"), math.log2(10)), (re.compile(r"[0-9a-f]+|[0-9A-F]+"), 4.0), (re.compile(r"[0-9a-z]+|[0-9A-Z]+"), math.log2(36)), (re.compile(r"[0-9A-Za-z]+"), math.log2(62)), (re.compile(r".+"), 6.0))
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 
@@ -74,15 +82,21 @@ class Novelty:
 
     def __init__(self, identifiers=IDENTIFIERS, level: int = LEVEL):
         self.prior = " ".join(identifiers).encode()
-        self.params = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=0, write_content_size=0, write_dict_id=0)
+        self.params = zstandard.ZstdCompressionParameters.from_level(level, min_match=3, write_checksum=0, write_content_size=0, write_dict_id=0)
+
+        # an empty frame has a header and one empty block, as long as a stored block's header
+        self.empty = len(zstandard.ZstdCompressor(compression_params=self.params).compress(b""))
 
     def ratio(self, text: str, start: int, end: int) -> float:
+        """Marginal bytes over those of a random string of this length and alphabet."""
         around = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]
         primed = zstandard.ZstdCompressionDict(self.prior + b" " + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packer = zstandard.ZstdCompressor(dict_data=primed, compression_params=self.params)
-        what = text[start:end].encode("utf-8", "replace")
-        # an empty frame has a header and one empty block, as long as a stored block's header
-        return (len(packer.compress(what)) - len(packer.compress(b""))) / len(what)
+        what = text[start:end]
+        bits = next(b for p, b in _ALPHABETS if p.fullmatch(what))
+        # short strings are stored as they are; entropy coding pays for its table only beyond a few dozen characters
+        floor = min(len(what), len(what) * bits / 8 + CODE_TABLE)
+        return (len(packer.compress(what.encode("utf-8", "replace"))) - self.empty) / floor
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -> list[tuple[str, int, int]]:
@@ -91,7 +105,15 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -
     cues = [m.start() for m in _SENSITIVE.finditer(text)]
     if not cues:
         return out
-    taken = sorted((s, e) for _, s, e in base)
+    # base spans joined where they overlap, so that one search tells whether a token touches any
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     near = 0
     for m in _TOKEN.finditer(text):
         s, e = m.span()
@@ -99,9 +121,10 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -
             near += 1
         if near == len(cues):
             break
-        if cues[near] >= e or not _DIGIT.search(m[0]) or not _ALPHA.search(m[0]):
+        if cues[near] >= e or not _ALPHA.search(m[0]) or not (_DIGIT.search(m[0]) or 3 * len(_TURN.findall(m[0])) >= len(m[0])):
             continue
-        if any(s < y and x < e for x, y in taken):
+        k = bisect_right(ends, s)
+        if k < len(starts) and starts[k] < e:
             continue
         if novelty.ratio(text, s, e) >= MIN_NOVELTY:
             out.append(("novel", s, e))
