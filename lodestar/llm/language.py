@@ -8,11 +8,10 @@ row order against the matrix, summed per row.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +19,8 @@ from .textarrays import mix, slices
 
 BITS = 14
 ORDERS = (2, 3)
-MAX_LANGUAGES = 1000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SLICE_CHARS = 1 << 18
 
 
@@ -98,12 +96,13 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     rows = docs.where("lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = sorted(x[0] for x in sums.where("bucket = -1").select("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    # one array of buckets for each language: the model, and no more, comes to the driver
+    model = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("x")).select("lang", F.col("x.bucket").alias("bucket"), F.col("x.n").alias("n")).toArrow()
+    names = sorted(model["lang"].to_pylist())
     counts = np.zeros((size, len(names)))
-    for lang, bucket, n in sums.where("bucket >= 0").collect():
-        counts[bucket, names.index(lang)] = n
+    for lang, bucket, n in zip(*(model[c].to_pylist() if c == "lang" else model[c] for c in ("lang", "bucket", "n"))):
+        at, n = (np.asarray(x.values) for x in (bucket, n))
+        counts[at[at >= 0], names.index(lang)] = n[at >= 0]
     logp = np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * size)
     return names, logp.astype(np.float32)
 
