@@ -204,6 +204,58 @@ def test_novel_spans_need_a_context_and_novelty(spark):
     assert S.secret_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secrets_of_any_length_and_alphabet_are_novel(spark):
+    rng = random.Random(4)
+    rows = []
+    for i, (chars, n) in enumerate((c, n) for c in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for n in (24, 48, 96, 192, 400)):
+        rows.append((i, f"send Authorization: Bearer {''.join(rng.choices(chars, k=n))} with it", n))
+    rows += [(90, "the bearer accessTokenProvider and getSecretValueRequest authorization123", 0), (91, "Bearer xyzxyzxyzxyzxyzxyzxyzxyz123", 0)]
+    got = {r.doc_id: r for r in S.secret_report(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()}
+    assert all(got[i].spans == (f"novel:27:{27 + n}" if n else "") for i, _, n in rows)
+
+
+def test_novel_spans_match_a_plain_search():
+    """Against a search that measures every token and compares it with every cue and base span."""
+    rng = random.Random(12)
+    novelty = S.Novelty()
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(40)):
+            parts.append(rng.choice(["bearer", "the cat sat", "password: hunter22", "token", "words of no note here", "secret=abcdef99", "".join(rng.choices("ABCDEFGHabcdefgh23456789", k=rng.choice([8, 14, 30])))]))
+        text = " ".join(parts)
+        base = S.base_spans(text)
+        cues = [m.start() for m in S._SENSITIVE.finditer(text)]
+        want = []
+        for m in S._TOKEN.finditer(text):
+            a, b = m.span()
+            near = any(a - S.NEAR_CHARS <= c < b for c in cues)
+            free = not any(a < y and x < b for _, x, y in base)
+            kind = re.search("[A-Za-z]", m[0]) and (re.search("[0-9]", m[0]) or 3 * sum(x.isalpha() and y.isalpha() and x.isupper() != y.isupper() for x, y in zip(m[0], m[0][1:])) >= len(m[0]))
+            if near and free and kind and novelty.ratio(text, a, b) >= S.MIN_NOVELTY:
+                want.append(("novel", a, b))
+        assert S.novel_spans(text, base, novelty) == want
+
+
+def test_many_spans_in_a_long_text_take_time_in_proportion():
+    import time
+
+    part, novelty = "password: hunter2222 token zz ", S.Novelty()
+    seconds = []
+    for n in (2_000, 16_000):
+        text = part * n
+        start = time.perf_counter()
+        base = S.base_spans(text)
+        S.novel_spans(text, base, novelty)
+        seconds.append(time.perf_counter() - start)
+        assert len(base) == n
+    assert seconds[1] < 30 * seconds[0] + 0.5
+
+
+def test_repeated_rows_stay_rows(spark):
+    df = spark.createDataFrame([(1, "token: abcdef12")] * 3 + [(None, "token: abcdef12")], "doc_id long, text string")
+    assert [r.n_assign for r in S.secret_report(df).collect()] == [1] * 4
+
+
 # ---- packing ---------------------------------------------------------------
 
 
@@ -261,9 +313,22 @@ def test_lines_above_the_ratio_go(spark):
     assert got[1].host == "site.example" and got[1].n_lines == 3 and got[1].text == "own 1\noften bold"
     assert L.drop_boilerplate_lines(df, 0.4, 5).where("page_id = 1").first().text == "own 1"
     assert got[21].text == "menu\nsame" and got[30].text == "a\na" and got[31].n_lines == got[32].n_lines == 0
+    # by default a host of any number of pages counts, and a line of one page stays
+    every = {r.page_id: r.text for r in L.drop_boilerplate_lines(df, 0.45).collect()}
+    assert every[21] == "" and every[30] == "a\na"
     assert L.drop_boilerplate_lines(df.limit(0)).count() == 0
 
 
+def test_line_ratios_match_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i % 55, f"http://h{min(i % 7, 3)}.example/", "".join(f"<p>{rng.choice('abcdefghij')}{rng.randrange(3)}</p>" for _ in range(rng.randrange(9)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    lines = [(d, u[7:-1], re.findall("<p>(.*?)</p>", h)) for d, u, h in rows]
+    pages, seen = Counter(h for _, h, _ in lines), Counter((h, x) for _, h, ls in lines for x in set(ls))
+    want = sorted((d, h, len(ls), "\n".join(x for x in ls if not (seen[h, x] > 1 and seen[h, x] > 0.3 * pages[h]))) for d, h, ls in lines)
+    assert sorted((r.page_id, r.host, r.n_lines, r.text) for r in L.drop_boilerplate_lines(df).collect()) == want
+
+
 # ---- mixing ----------------------------------------------------------------
 
 
@@ -315,7 +380,25 @@ def test_small_sources_beside_a_hot_one_meet_their_targets(spark):
     rows = [(i, "w " * (i % 40 + 1), f"s{i:03d}") for i in range(160)] + [(1000 + i, "w " * 4000, "t") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     small = [r for r in M.mix_report(df).collect() if r.doc_id < 1000]
-    assert len(small) == 160 and all(abs(r.taken - r.target) <= max(1, r.size // 16) for r in small)
+    assert len(small) == 160 and all(abs(r.taken - r.target) <= 1 for r in small)
+
+
+@pytest.mark.parametrize("size", [1, 10, 65, 100, 5000])
+def test_a_source_of_any_size_meets_its_target(spark, size):
+    rows = [(1, "w " * size, "a")] + [(10 + i, "x " * 2000, "b") for i in range(60)]
+    got = M.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 1").first()
+    assert got.target == 2 * size and abs(got.taken - got.target) <= max(1, size // 64)
+
+
+def test_long_and_repeated_texts_and_null_ids_are_mixed(spark):
+    rows = [(1, "w " * 300_000, "a"), (None, "y " * 900, "b"), (None, "y " * 900, "b"), (2, "z " * 500, None), (2, "z " * 500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix_report(df).collect()
+    assert len(got) == 5 and all(0 <= r.taken <= 2 * r.size for r in got)
+    total = Counter()
+    for r in got:
+        total[r.source_size, r.target] += r.taken
+    assert all(abs(n - target) <= 0.02 * target for (_, target), n in total.items())
 
 
 def test_mixed_documents_hold_the_words_taken(spark):
