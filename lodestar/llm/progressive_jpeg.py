@@ -3,7 +3,8 @@
 ``decode`` reads any three- or one-component Huffman-coded progressive file
 (SOF2): every scan, spectral selection or successive approximation, adds to the
 coefficient arrays of its components; these are dequantised, inverse-transformed
-in numpy, chroma is upsampled and the result is a full-resolution RGB tensor.
+in numpy, chroma is upsampled and the result is a full-resolution RGB tensor, which
+is stored as a column.  Pictures are transformed in strips of rows.
 Scans in which all codes have one width are read as arrays; any other scan goes
 through a bit reader.
 
@@ -26,6 +27,8 @@ from .textarrays import pieces_of
 
 BLOCK = 64
 PIECE_BYTES = 4 << 20
+OUT_BYTES = 16 << 20
+STRIP_BLOCKS = 4096
 
 
 def _zigzag() -> np.ndarray:
@@ -139,7 +142,7 @@ class Component:
     def __init__(self, ident: int, h: int, v: int, quant: int):
         self.ident, self.h, self.v, self.quant = ident, h, v, quant
         self.wide = self.high = self.stride = self.rows = 0
-        self.coef = np.zeros((0, 64), dtype=np.int32)
+        self.coef = np.zeros((0, 64), dtype=np.int16)
 
 
 class _Reader:
@@ -230,7 +233,7 @@ def _fixed_scan(data: bytes, start: int, c: Component, dc, ac, ss, se, ah, al, r
         if (x[:-1, 1] != 0xFF).any() or (x[:, 0] == 0xFF).any():
             return None
         s = one[1]
-        raw = (x[:, 0] & ((1 << s) - 1)).astype(np.int32)
+        raw = (x[:, 0] & ((1 << s) - 1)).astype(np.int16)
         c.coef[rows, 0] = np.where(raw >> (s - 1), raw, raw - (1 << s) + 1) << al
         return start + size
     if restart:
@@ -240,14 +243,14 @@ def _fixed_scan(data: bytes, start: int, c: Component, dc, ac, ss, se, ah, al, r
         if (x == 0xFF).any():
             return None
         s = one[1]
-        raw = (x & ((1 << s) - 1)).astype(np.int32).reshape(n, span)
+        raw = (x & ((1 << s) - 1)).astype(np.int16).reshape(n, span)
         c.coef[rows, band] = np.where(raw >> (s - 1), raw, raw - (1 << s) + 1) << al
         return start + n * span
     if ah:
         end = _scan_end(data, start)
         bits = np.unpackbits(np.frombuffer(data[start:end].replace(b"\xff\x00", b"\xff"), dtype=np.uint8))
         if ss == 0:
-            c.coef[rows, 0] |= bits[:n].astype(np.int32) << al
+            c.coef[rows, 0] |= bits[:n].astype(np.int16) << np.int16(al)
             return end
         now = c.coef[rows, band]
         if len(bits) < n or not now.all():
@@ -266,7 +269,7 @@ def _fixed_scan(data: bytes, start: int, c: Component, dc, ac, ss, se, ah, al, r
             fix[done : done + count] = bits[at : at + count * span].reshape(count, span)
             at += count * span
             done += count
-        c.coef[rows, band] = now + np.sign(now) * (fix.astype(np.int32) << al)
+        c.coef[rows, band] = now + np.sign(now) * (fix.astype(np.int16) << np.int16(al))
         return end
     return None
 
@@ -363,7 +366,7 @@ def read_coefficients(data: bytes) -> tuple[int, int, list[Component], dict[int,
             for c in comps:
                 c.wide, c.high = -(-width * c.h // (8 * hmax)), -(-height * c.v // (8 * vmax))
                 c.stride, c.rows = across * c.h, down * c.v
-                c.coef = np.zeros((c.stride * c.rows, 64), dtype=np.int32)
+                c.coef = np.zeros((c.stride * c.rows, 64), dtype=np.int16)
         elif marker in (0xC0, 0xC1, 0xC3):
             raise ValueError("not a progressive JPEG")
         elif marker == 0xDA:
@@ -384,14 +387,15 @@ def read_coefficients(data: bytes) -> tuple[int, int, list[Component], dict[int,
             at = end
 
 
-def _plane(c: Component, quant: dict[int, np.ndarray]) -> np.ndarray:
-    """Samples of a component, unclipped and centred on 128."""
-    natural = np.zeros((len(c.coef), 64), dtype=np.float32)
-    natural[:, _NATURAL] = c.coef * quant[c.quant]
+def _plane(c: Component, quant: dict[int, np.ndarray], first: int, last: int) -> np.ndarray:
+    """Samples of block rows ``first`` to ``last`` of a component, unclipped and centred on 128."""
+    coef = c.coef[first * c.stride : last * c.stride]
+    natural = np.zeros((len(coef), 64), dtype=np.float32)
+    natural[:, _NATURAL] = coef * quant[c.quant]
     x = natural.reshape(-1, 8) @ _DCT  # along rows
     x = x.reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 8) @ _DCT
-    x = x.reshape(c.rows, c.stride, 8, 8).transpose(0, 3, 1, 2)
-    return x.reshape(8 * c.rows, 8 * c.stride) + np.float32(128)
+    x = x.reshape(last - first, c.stride, 8, 8).transpose(0, 3, 1, 2)
+    return x.reshape(8 * (last - first), 8 * c.stride) + np.float32(128)
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -401,24 +405,29 @@ def decode(data: bytes) -> np.ndarray:
 
 def to_rgb(width: int, height: int, comps: list[Component], quant: dict[int, np.ndarray]) -> np.ndarray:
     hmax, vmax = max(c.h for c in comps), max(c.v for c in comps)
-    planes = []
-    for c in comps:
-        x = np.clip(_plane(c, quant), 0, 255)
-        x = np.repeat(np.repeat(x, vmax // c.v, axis=0), hmax // c.h, axis=1)
-        planes.append(x[:height, :width])
-    if len(planes) == 1:
-        return np.repeat(np.rint(planes[0])[:, :, None], 3, axis=2).astype(np.uint8)
-    y, cb, cr = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
     out = np.empty((height, width, 3), dtype=np.uint8)
-    for k, v in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
-        out[:, :, k] = np.rint(np.clip(v, 0, 255))
+    units = max(1, STRIP_BLOCKS // max(1, sum(c.stride * c.v for c in comps)))
+    for unit in range(0, -(-height // (8 * vmax)), units):
+        top = unit * 8 * vmax
+        planes = []
+        for c in comps:
+            x = np.clip(_plane(c, quant, unit * c.v, min((unit + units) * c.v, c.rows)), 0, 255)
+            x = np.repeat(np.repeat(x, vmax // c.v, axis=0), hmax // c.h, axis=1)
+            planes.append(x[: height - top, :width])
+        strip = out[top : top + len(planes[0])]
+        if len(planes) == 1:
+            strip[:] = np.rint(planes[0])[:, :, None]
+            continue
+        y, cb, cr = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
+        for k, v in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
+            strip[:, :, k] = np.rint(np.clip(v, 0, 255))
     return out
 
 
 def read_payload(comps: list[Component], comment: bytes) -> bytes:
     """The bytes that ``encode_payload`` put into the coefficients."""
     x = np.concatenate([c.coef[_blocks_of(c)] for c in comps])
-    low = np.where(x < 0, x + 255, x)
+    low = np.where(x < 0, x + np.int16(255), x)
     low[:, 0] -= x[:, 0] < 0
     return low.astype(np.uint8).tobytes()[: int(comment.split()[1])]
 
@@ -454,7 +463,8 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
 
     payload (binary, null when the file has none), height, width, feature (width,
     height and channel sums of the RGB tensor) and, with ``tensors``, rgb (binary,
-    rows by columns by three).  A null file gives nulls.
+    rows by columns by three).  A null file, and one that is cut short, malformed
+    or no progressive JPEG, gives nulls.
     """
     new = [("payload", T.BinaryType()), ("height", T.IntegerType()), ("width", T.IntegerType()), ("feature", T.StringType())]
     new += [("rgb", T.BinaryType())] if tensors else []
@@ -463,24 +473,37 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
     def one(data):
         if data is None:
             return None, None, None, None, None
-        width, height, comps, quant, comment = read_coefficients(data)
-        rgb = to_rgb(width, height, comps, quant)
+        try:
+            width, height, comps, quant, comment = read_coefficients(data)
+            rgb = to_rgb(width, height, comps, quant)
+            payload = read_payload(comps, comment) if comment.startswith(b"payload ") else None
+        except (ValueError, IndexError, KeyError, StopIteration, ZeroDivisionError, OverflowError, struct.error):
+            return None, None, None, None, None
         feature = f"{width}x{height}:" + ",".join(str(int(rgb[:, :, k].sum(dtype=np.int64))) for k in range(3))
-        return read_payload(comps, comment) if comment.startswith(b"payload ") else None, height, width, feature, rgb.tobytes() if tensors else None
+        return payload, height, width, feature, rgb.tobytes() if tensors else None
+
+    def out(batch, rows):
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        new = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names] + new[: 4 + tensors], names=schema.names)
 
     def run(batches):
         for batch in pieces_of(batches, -1, PIECE_BYTES):
-            rows = [one(x) for x in batch.columns[-1].to_pylist()]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            new = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())] + ([pa.array(cols[4], pa.binary())] if tensors else [])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names] + new, names=schema.names)
+            rows, start, held = [], 0, 0
+            for k, data in enumerate(batch.columns[-1].to_pylist()):
+                rows.append(one(data))
+                held += len(rows[-1][4] or b"")
+                if held > OUT_BYTES:
+                    yield out(batch.slice(start, len(rows)), rows)
+                    rows, start, held = [], k + 1, 0
+            yield out(batch.slice(start), rows)
 
     return media.select(*[c for c in media.columns if c != "media"], "media").mapInArrow(run, schema)
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """Digests of the media column of whole texts; see ``encode_texts`` and ``decode_media``."""
-    back = decode_media(encode_texts(docs))
+    """Digests of the media column of whole texts and its RGB tensor; see ``encode_texts`` and ``decode_media``."""
+    back = decode_media(encode_texts(docs), tensors=True)
     return back.select(
         "doc_id",
         "n_bytes",
@@ -490,4 +513,7 @@ def media_report(docs: DataFrame) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        "rgb",
     )

@@ -150,5 +150,31 @@ def test_report(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert rows[3][1:] == rows[4][1:] and rows[0].feature == rows[1].feature
     assert J.media_report(df.limit(0)).count() == 0
-    rgb = J.decode_media(J.encode_texts(df.where("doc_id = 3")), tensors=True).first()
-    assert len(rgb.rgb) == rgb.height * rgb.width * 3
+    for r in rows.values():  # the stored tensor gives the feature
+        rgb = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        assert r.feature == f"{r.width}x{r.height}:" + ",".join(str(int(rgb[:, :, k].sum())) for k in range(3))
+
+
+def test_tensors_come_back_from_storage(spark, tmp_path):
+    df = spark.createDataFrame([(i, "some text of a row " * i * i) for i in range(12)], "doc_id long, text string")
+    J.media_report(df).write.parquet(f"file://{tmp_path}/media")
+    back = {r.doc_id: r for r in spark.read.parquet(f"file://{tmp_path}/media").collect()}
+    for i in range(12):
+        media = J.encode_payload(J.padded(("some text of a row " * i * i).encode()))
+        assert back[i].rgb == J.decode(media).tobytes() and back[i].media_sha256 == hashlib.sha256(media).hexdigest()
+
+
+def test_strips_make_the_same_picture(monkeypatch):
+    media = J.encode_payload(J.padded(os.urandom(40_000)))
+    whole = J.decode(media)
+    monkeypatch.setattr(J, "STRIP_BLOCKS", 1)
+    assert (J.decode(media) == whole).all()
+
+
+def test_malformed_files_give_nulls(spark):
+    good = J.encode_payload(J.padded(b"text " * 90))
+    bad = [b"", b"\xff", b"not a picture", good[:2], good[:200], good[: len(good) // 2], good[:-2], good[:40] + b"\0" * 40, good.replace(b"\xff\xc2", b"\xff\xc0", 1), b"\xff\xd8\xff\xd9", good.replace(b"payload", b"payload x", 1)]
+    rows = [(i, m, 5) for i, m in enumerate([good, None, good, *bad])]
+    got = {r.id: r for r in J.decode_media(spark.createDataFrame(rows, "id int, media binary, payload_bytes int"), tensors=True).collect()}
+    assert got[0].payload == J.padded(b"text " * 90) and got[2].feature == got[0].feature
+    assert all(got[i].payload is None and got[i].feature is None and got[i].rgb is None for i in (1, *range(3, 3 + len(bad))))
