@@ -15,14 +15,14 @@ All filters are exact: no link is lost to them, whatever the data.
    those ties hold every link.  Postings of common shingles are salted, so that no
    task holds all texts of a large group of copies.
 4. A small component is a tile.  A larger one is settled in levels: blocks of its
-   size bands are tiles, one node of each class found goes on to the next level,
-   until classes no longer meet.  What may still link two classes, again by the
+   size bands are tiles, the least node of each class found goes on to the next
+   level, until classes no longer halve.  What may still link two classes, again by the
    exact count of step 2, is compared in tiles of pairs of blocks.
 5. In a tile, bitmap signatures bound each overlap from above by bit counts;
    pairs that survive are settled by exact intersection of the sorted arrays.
-   Nodes that are joined already need no further test, so a tile returns a
-   forest of links.
-6. Components of the links give the class of each document.
+   Nodes that are joined already need no further test, so a tile returns each
+   of its nodes with the least that it is joined to.
+6. Classes of nodes are classes of documents, named by the least of them.
 """
 
 from __future__ import annotations
@@ -342,13 +342,31 @@ def _node_sets(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
     return rows.select("text", "node").mapInArrow(run, "node long, hashes binary")
 
 
+def _stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, least node of its component) of every node but the least ones."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while x in up:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return [(x, top(x)) for x in list(up)]
+
+
 def _links(rows: DataFrame, pct: int) -> DataFrame:
-    """(a, b): a forest of exact links of each tile of ``rows(tile, node, class, hashes)``; tiles pass one after the other."""
+    """(a, b): the linked nodes of each tile of ``rows(tile, node, class, hashes)`` with the least of them; tiles pass one after the other."""
 
     def settle(held: dict[int, tuple[int, bytes]]):
         nodes = list(held)
         found = tile_links([np.frombuffer(held[x][1], dtype=np.uint64) for x in nodes], pct, [held[x][0] for x in nodes])
-        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
+        stars = _stars([(nodes[i], nodes[j]) for i, j in found])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in stars], pa.int64()), pa.array([b for _, b in stars], pa.int64())], names=["a", "b"])
 
     def run(batches):
         now, held = None, {}
@@ -396,43 +414,41 @@ def _block_pairs(open_: DataFrame, pct: int) -> DataFrame:
 
 
 def _settled(active: DataFrame, sets: DataFrame, peeled: DataFrame, pct: int) -> DataFrame:
-    """(a, b): a forest of all links among ``active(node, n_shingles, label)``."""
+    """(node, class): the classes of ``active(node, n_shingles, label)``, named by their least node; a node alone may be missing."""
     with_sets = lambda tiles: tiles.join(sets, "node")
     total = active.groupBy("label").agg(F.sum("n_shingles").alias("total"))
     active = materialise(active.join(total, "label").select("node", "n_shingles", "label", "total"))
     small = active.where(F.col("total") <= TILE_SHINGLES).select("node", F.col("node").alias("class"), F.col("label").cast("string").alias("tile"))
-    links = materialise(_links(with_sets(small), pct))
+    classes = materialise(_links(with_sets(small), pct)).select(F.col("a").alias("node"), F.col("b").alias("class"))
     large = active.where(F.col("total") > TILE_SHINGLES).select("node", "n_shingles", "label", F.col("node").alias("class"))
-    before = large.count()
-    level = 0
-    while before:
-        reps = large.groupBy("label", "class").agg(F.min(F.struct("node", "n_shingles")).alias("r")).select("label", "class", "r.*")
+    before, level = large.count(), 0
+    if not before:
+        return classes
+    while True:
+        # a class is named by its least node, which stands for it; a level has it in one tile
+        reps = large.where(F.col("node") == F.col("class"))
         per = reps.groupBy("label").agg(F.sum("n_shingles").alias("whole"))
         reps = reps.join(per, "label").withColumn("band", F.when(F.col("whole") > TILE_SHINGLES, _band(level, pct)).otherwise(-1))
         of = reps.groupBy("label", "band").agg(F.ceil(F.sum("n_shingles") / TILE_SHINGLES).alias("blocks"))
         reps = reps.join(of, ["label", "band"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(level)), F.col("blocks").cast("long")))
-        found = _links(with_sets(reps.select("node", F.col("node").alias("class"), F.concat_ws("/", "label", "band", "block").alias("tile"))), pct)
-        classes = connected_components(found).select(F.col("id").alias("class"), F.col("label").alias("new"))
-        links = links.unionByName(connected_edges(classes))
-        large = materialise(large.join(classes, "class", "left").select("node", "n_shingles", "label", F.coalesce("new", "class").alias("class")))
-        after = large.select("label", "class").distinct().count()
+        stars = _links(with_sets(reps.select("node", "class", F.concat_ws("/", "label", "band", "block").alias("tile"))), pct)
+        large = materialise(large.join(stars.select(F.col("a").alias("class"), F.col("b").alias("least")), "class", "left").select("node", "n_shingles", "label", F.coalesce("least", "class").alias("class")))
+        after = large.where(F.col("node") == F.col("class")).count()
         level += 1
         if level > 1 and after > before // 2:
             break
         before = after
-    if not level:
-        return links
     # which nodes may have a partner of another class: by the exact count, over shingles with several classes
     mine = peeled.join(large.select("node", "label", "class"), "node")
     ends = mine.groupBy("key", "label").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
     have = mine.join(ends, ["key", "label"], "left_semi").groupBy("node").agg(F.countDistinct("key").alias("have"))
     open_ = materialise(large.join(have, "node").where(F.col("have") >= _least_shared(F.col("n_shingles"), pct)).select("node", "n_shingles", "label", "class"))
-    return links.unionByName(_links(with_sets(_block_pairs(open_, pct)), pct))
-
-
-def connected_edges(classes: DataFrame) -> DataFrame:
-    """(a, b) of ``classes(class, new)``: each id with its component's least."""
-    return classes.where(F.col("class") != F.col("new")).select(F.col("class").alias("a"), F.col("new").alias("b"))
+    if not open_.isEmpty():
+        pairs = _links(with_sets(_block_pairs(open_, pct)), pct)
+        of = lambda c: large.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class"))
+        joined = connected_components(pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
+        large = large.join(joined.select(F.col("id").alias("class"), F.col("label").alias("least")), "class", "left").select("node", F.coalesce("least", "class").alias("class"))
+    return classes.unionByName(large.select("node", "class"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
@@ -454,12 +470,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     labels = connected_components(_ties(peeled, pct))
     active = materialise(nodes.join(labels.withColumnRenamed("id", "node"), "node").where("doc_id is not null"))
     sets = materialise(_node_sets(docs, active, k))
-    links = materialise(_settled(active, sets, peeled, pct))
-    classes = connected_components(links).withColumnRenamed("id", "node")
-    # a class's least document, and the nodes that are not their own class
-    placed = classes.join(nodes.select("node", "doc_id"), "node")
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("least"))
-    placed = nodes.join(placed.join(least, "label").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
+    classes = materialise(_settled(active, sets, peeled, pct))
+    placed = nodes.join(classes, "node", "left").select("node", "doc_id", F.coalesce("class", "node").alias("class"))
+    least = placed.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    placed = placed.join(least, "class").select("node", "component_id")
     shown = plain.where("node is not null").join(placed, "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return shown.unionByName(plain.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
