@@ -41,9 +41,9 @@ from .textarrays import shingles, slices, utf8, words
 
 TILE_SHINGLES = 1 << 16
 PAIR_SHINGLES = 1 << 21
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SLICE = 1 << 16  # cells of the sketch in a row
-COMMON_SPARE = 32
+COMMON_SPARE = 16
 SALTS = 256
 BROADCAST_NODES = 1_000_000
 
@@ -111,35 +111,38 @@ def set_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
             cells = total[i : i + SLICE]
             if cells.any():
                 none = [pa.nulls(1, pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([*none, pa.array([part], pa.int32()), pa.array([i // SLICE], pa.int32()), pa.array([cells.astype("<i8").tobytes()], pa.binary())], names=["doc_id", "n_shingles", "node", "part", "slice", "counts"])
+                yield pa.RecordBatch.from_arrays([*none, pa.array([part], pa.int32()), pa.array([i // SLICE], pa.int32()), pa.array([np.minimum(cells, 255).astype(np.uint8).tobytes()], pa.binary())], names=["doc_id", "n_shingles", "node", "part", "slice", "counts"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def common_cells(sketch: DataFrame) -> np.ndarray:
-    """Which cells of the sketch are crowded, as one bit each; ``sketch(part, slice, counts)``.
+    """Which cells of the sketch are crowded, as packed bits; ``sketch(part, slice, counts)``.
 
-    Slices are added up by groups of parts, then as a whole, so a task adds a
-    few hundred rows of half a megabyte at any size; the sum is of fixed size.
+    A cell is crowded when its count is above what chance puts into a cell.
+    Slices are added up by groups of parts, then as a whole, so a task adds a few
+    hundred short rows at any size; the bits are of fixed size.
     """
 
-    def add(batches):
+    def add(batches, last):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for p, s, c in zip(batch.column("part").to_pylist(), batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(c, dtype="<i8")
-                sums[p, s] = sums[p, s] + x if (p, s) in sums else x
+                x = np.frombuffer(c, dtype=np.uint8 if last is None else "<i8")
+                sums[p, s] = sums[p, s] + x if (p, s) in sums else x.astype(np.int64)
         for (p, s), x in sums.items():
+            if last:
+                mean = x.mean()
+                x = np.packbits(x > mean + 8 * math.sqrt(mean) + COMMON_SPARE)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "slice", "counts"])
 
     schema = "part int, slice int, counts binary"
-    for groups in (512, 1):
-        sketch = sketch.select((F.col("part") % groups).alias("part"), "slice", "counts").repartition("part", "slice").mapInArrow(add, schema)
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in sketch.collect():
-        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], dtype="<i8")
-    mean = total.mean()
-    return total > mean + 8 * math.sqrt(mean) + COMMON_SPARE
+    some = sketch.select((F.col("part") % 512).alias("part"), "slice", "counts").repartition("part", "slice").mapInArrow(lambda b: add(b, None), schema)
+    whole = some.select(F.lit(0).alias("part"), "slice", "counts").repartition("slice").mapInArrow(lambda b: add(b, True), schema)
+    bits = np.zeros((1 << SKETCH_BITS) // 8, dtype=np.uint8)
+    for r in whole.collect():
+        bits[r["slice"] * SLICE // 8 : (r["slice"] + 1) * SLICE // 8] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return bits
 
 
 _POSTING = "key long, node long, n int"
@@ -151,7 +154,7 @@ def _rows(*cols) -> pa.RecordBatch:
 
 def _postings(docs: DataFrame, common: np.ndarray, k: int, pct: int) -> DataFrame:
     """(key, node, n): each node's least shingles and its size, negative at common ones; each task names a node once."""
-    cells = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
+    cells = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         crowded = np.unpackbits(cells.value).astype(bool)
