@@ -187,8 +187,8 @@ def canonical_district(name: Column) -> Column:
 
 
 def latest_per_key(delta: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    """The last row of each key; of rows alike in ``order`` that with the least hash of all its columns."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.xxhash64(*delta.columns))
     return delta.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

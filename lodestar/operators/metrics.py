@@ -94,12 +94,38 @@ def violation_rates(verdicts: DataFrame, runs: DataFrame) -> DataFrame:
     return g.unpivot("system", VIOLATIONS, "violation", "pct")
 
 
+def at_ranks(df: DataFrame, group: str, value: str, ranks: DataFrame, parts: int = 1024) -> DataFrame:
+    """(group, p, value): the value at rank ``r`` from 0 of its group in order, for ``ranks(group, p, r)``.
+
+    Equal values are counted first.  The range of each group is cut into parts,
+    whose counts tell which part holds a rank; only that part is put in order, so
+    no task sorts a group.  Null values are left out.
+    """
+    v = df.select(group, F.col(value).cast("double").alias("value")).where("value is not null").groupBy(group, "value").agg(F.count("*").alias("n"))
+    ends = v.groupBy(group).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts)).otherwise(F.lit(0)).cast("int")
+    v = v.join(ends, group).select(group, "value", "n", part.alias("part"))
+    sums = v.groupBy(group, "part").agg(F.sum("n").alias("m"))
+    sums = sums.withColumn("upto", F.sum("m").over(Window.partitionBy(group).orderBy("part")))  # at most parts + 1 rows of a group
+    hit = sums.join(ranks, group).where((F.col("r") >= F.col("upto") - F.col("m")) & (F.col("r") < F.col("upto"))).select(group, "part", "p", (F.col("r") - F.col("upto") + F.col("m")).alias("at"))
+    rows = v.join(hit.select(group, "part").distinct(), [group, "part"], "left_semi")
+    rows = rows.withColumn("last", F.sum("n").over(Window.partitionBy(group, "part").orderBy("value")))
+    return rows.join(hit, [group, "part"]).where((F.col("at") >= F.col("last") - F.col("n")) & (F.col("at") < F.col("last"))).select(group, "p", "value")
+
+
 def nearest_rank(df: DataFrame, group: str, value: str, percents: list[int]) -> DataFrame:
     """(group, p, value): the value at rank round(p / 100 * (n - 1)) from 0, half to even."""
-    w = Window.partitionBy(group)
-    r = df.select(group, F.col(value).alias("value")).withColumns({"rn": F.row_number().over(w.orderBy("value")) - 1, "n": F.count("*").over(w)})
-    r = r.withColumn("p", F.explode(F.array(*map(F.lit, percents))))
-    return r.where(F.col("rn") == F.bround(F.col("p") / 100.0 * (F.col("n") - 1))).select(group, "p", "value")
+    n = df.groupBy(group).agg(F.count(value).alias("n")).where("n > 0")
+    ranks = n.withColumn("p", F.explode(F.array(*map(F.lit, percents)))).select(group, "p", F.bround(F.col("p") / 100.0 * (F.col("n") - 1)).cast("long").alias("r"))
+    return at_ranks(df, group, value, ranks)
+
+
+def median_of(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median) of a column: the mean of the two middle values."""
+    n = df.groupBy(group).agg((F.count(value) - 1).alias("n")).where("n >= 0")
+    middle = F.explode(F.array(F.struct(F.lit(0).alias("p"), F.floor(F.col("n") / 2).alias("r")), F.struct(F.lit(1).alias("p"), F.ceil(F.col("n") / 2).alias("r"))))
+    ranks = n.select(group, middle.alias("m")).select(group, "m.p", "m.r")
+    return at_ranks(df, group, value, ranks).groupBy(group).agg(F.avg("value").alias("median"))
 
 
 def average_rank(value: str, by: Window | None = None) -> Column:

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, road_minutes
 from ..sources.dims import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN
+from ..sources.shared import materialise
 
 KM_PER_DEGREE = 109.0  # at least, for either axis within 11 degrees of the equator
-EXTENT = 4.6
+EARTH_KM = 6371.0
+WHOLE = 400.0  # a cell of so many degrees has all sites in reach
 
 
 def _spread(sites: DataFrame, size: float, lat: str = "slat", lon: str = "slon") -> DataFrame:
@@ -28,37 +30,48 @@ def _spread(sites: DataFrame, size: float, lat: str = "slat", lon: str = "slon")
 def first_cell(n: int, k: int) -> float:
     """A cell in which n sites over the bounding box have about four times k in reach."""
     area = (LAT_MAX - LAT_MIN) * (LON_MAX - LON_MIN)
-    return min(EXTENT, max(0.01, math.sqrt(4 * area * k / (9 * max(n, 1))) * 1.2))
+    return min(4.6, max(0.01, math.sqrt(4 * area * k / (9 * max(n, 1))) * 1.2))
+
+
+def _reach_km(size: float):
+    """No site beyond the nine cells around a point is nearer than this; parallels shrink away from the equator."""
+    across = F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(min(size, 90.0)))) * EARTH_KM
+    return F.least(F.lit(size * KM_PER_DEGREE), across) * 0.999
 
 
 def k_nearest(points: DataFrame, sites: DataFrame, k: int, same: bool = False) -> DataFrame:
     """(pid, sid, km, rn): the k nearest sites of each point, nearest first, ties by sid.
 
     ``points(pid, lat, lon)``, ``sites(sid, slat, slon)``.  Rings widen for the
-    points whose k-th distance is not yet within the cell width, so the result is
-    exact; the last ring holds the whole bounding box.  With ``same`` a site of
-    the point's own id is left out.  Points with null coordinates have no rows;
-    fewer sites than k give all of them.
+    points whose k-th distance is not yet proven by the cell width, until none is
+    left or all sites are in reach, so the result is exact for any point; longitudes
+    do not wrap.  Each ring is written once.  With ``same`` a site of the point's
+    own id is left out.  Points with null coordinates have no rows; fewer sites
+    than k give all of them; a pid repeated is one point.
     """
-    points = points.select("pid", "lat", "lon").where("lat is not null and lon is not null")
+    points = points.select("pid", "lat", "lon").where("lat is not null and lon is not null").dropDuplicates(["pid"])
     sites = sites.select("sid", "slat", "slon").where("slat is not null and slon is not null")
-    size = first_cell(sites.count(), k)
+    n = sites.count()
+    size, enough = first_cell(n, k), n - (1 if same else 0) >= k
     by = Window.partitionBy("pid")
     out, left = None, points
     while True:
-        last = size >= EXTENT
+        size = size if enough else WHOLE  # too few sites: all of them
         p = left.withColumns({"_cx": F.floor(F.col("lat") / size), "_cy": F.floor(F.col("lon") / size)})
         j = p.join(_spread(sites, size), ["_cx", "_cy"])
         if same:
             j = j.where(F.col("pid") != F.col("sid"))
-        top = j.select("pid", "sid", haversine_km("lat", "lon", "slat", "slon").alias("km")).withColumn("rn", F.row_number().over(by.orderBy("km", "sid"))).where(F.col("rn") <= k)
-        if not last:
-            top = top.withColumns({"_n": F.count("*").over(by), "_far": F.max("km").over(by)}).where((F.col("_n") == k) & (F.col("_far") <= size * KM_PER_DEGREE)).drop("_n", "_far")
-            left = left.join(top.where("rn = 1").select("pid"), "pid", "left_anti")
+        top = j.select("pid", "sid", haversine_km("lat", "lon", "slat", "slon").alias("km"), _reach_km(size).alias("_reach")).withColumn("rn", F.row_number().over(by.orderBy("km", "sid"))).where(F.col("rn") <= k)
+        if size < WHOLE:
+            top = top.withColumns({"_n": F.count("*").over(by), "_far": F.max("km").over(by)}).where((F.col("_n") == k) & (F.col("_far") <= F.col("_reach")))
+        top = materialise(top.select("pid", "sid", "km", "rn"))
         out = top if out is None else out.unionByName(top)
-        if last:
+        if size >= WHOLE:
+            return out
+        left = materialise(left.join(top.where("rn = 1").select("pid"), "pid", "left_anti"))
+        if left.isEmpty():
             return out
-        size = EXTENT if size * 4 >= EXTENT / 2 else size * 4
+        size = WHOLE if size * 4 > 90 else size * 4
 
 
 def within(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
@@ -121,21 +134,32 @@ def containing(points: DataFrame, segments: DataFrame, size: float = 0.25) -> Da
     return hits.groupBy("pid").agg(F.min("district").alias("district"))
 
 
-def nearest_polygon(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """(pid, district, degrees): the polygon whose side is nearest in the plane.
+def nearest_polygon(points: DataFrame, segments: DataFrame, size: float = 0.1) -> DataFrame:
+    """(pid, district, degrees): the polygon whose side is nearest in the plane, ties by name.
 
-    Sides are few (a boundary set), so they are broadcast after their number is
-    checked.
+    Sides are entered in the cells that their boxes touch; a side beyond the nine
+    cells around a point is farther than the cell width, so rings widen for the
+    points whose nearest side is farther than that.
     """
-    if segments.limit(200_001).count() > 200_000:
-        raise ValueError("too many boundary sides to broadcast; simplify them first")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     t = ((F.col("lon") - F.col("ax")) * dx + (F.col("lat") - F.col("ay")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-18))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     ex, ey = F.col("lon") - (F.col("ax") + t * dx), F.col("lat") - (F.col("ay") + t * dy)
-    j = points.crossJoin(F.broadcast(segments)).withColumn("d", F.round(F.sqrt(ex * ex + ey * ey), 9))
-    best = j.groupBy("pid").agg(F.min(F.struct("d", "district")).alias("b"))
-    return best.select("pid", F.col("b.district").alias("district"), F.col("b.d").alias("degrees"))
+    out, left = None, points.select("pid", "lat", "lon").where("lat is not null and lon is not null")
+    while True:
+        cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / size) - 1, F.floor(F.greatest(a, b) / size) + 1)  # noqa: E731, B023
+        sides = segments.withColumn("_cx", F.explode(cells("ax", "bx"))).withColumn("_cy", F.explode(cells("ay", "by")))
+        p = left.withColumns({"_cx": F.floor(F.col("lon") / size), "_cy": F.floor(F.col("lat") / size)})
+        best = p.join(sides, ["_cx", "_cy"]).withColumn("d", F.round(F.sqrt(ex * ex + ey * ey), 9)).groupBy("pid").agg(F.min(F.struct("d", "district")).alias("b"))
+        best = best.select("pid", F.col("b.district").alias("district"), F.col("b.d").alias("degrees"))
+        found = materialise(best if size >= WHOLE else best.where(F.col("degrees") < size * 0.999))
+        out = found if out is None else out.unionByName(found)
+        if size >= WHOLE:
+            return out
+        left = materialise(left.join(found, "pid", "left_anti"))
+        if left.isEmpty():
+            return out
+        size = WHOLE if size * 4 > 90 else size * 4
 
 
 def nearest_photo(poi: DataFrame, photos: DataFrame) -> DataFrame:

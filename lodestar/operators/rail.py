@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, in_hills
 from ..sources.dims import DETOUR, TRAIN_KMH, lookup
+from ..sources.shared import materialise
 from .near import within
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's shared checkpoint folder and read back; a local test gets its own folder."""
-    import tempfile
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def track_edges(ways: DataFrame) -> DataFrame:
     """(a, b, km): consecutive nodes of each way in use, smaller node first.
 
@@ -89,14 +77,14 @@ def rail_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000) ->
     """
     mins = F.col("km") / lookup(F.col("cls"), TRAIN_KMH, 47.6) * 60.0
     e = edges.select("a", "b", F.col("km").alias("w"), mins.alias("t"))
-    e = cut_lineage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "t")))
+    e = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "t")))
     best = sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("minutes"), F.lit(0.0).alias("km"))
-    best = cut_lineage(best.withColumn("fresh", F.lit(True)))
+    best = materialise(best.withColumn("fresh", F.lit(True)))
     for _ in range(max_hops):
         front = best.where("fresh")
         step = front.join(e, front["node"] == e["a"]).select("src", F.col("b").alias("node"), F.round(F.col("minutes") + F.col("t"), 9).alias("minutes"), (F.col("km") + F.col("w")).alias("km"), F.lit(True).alias("fresh"))
         both = best.select("src", "node", "minutes", "km", F.lit(False).alias("fresh")).unionByName(step)
-        best = cut_lineage(both.groupBy("src", "node").agg(F.min(F.struct("minutes", "km", "fresh")).alias("x")).select("src", "node", "x.minutes", "x.km", "x.fresh"))
+        best = materialise(both.groupBy("src", "node").agg(F.min(F.struct("minutes", "km", "fresh")).alias("x")).select("src", "node", "x.minutes", "x.km", "x.fresh"))
         if best.where("fresh").isEmpty():
             break
     return best.select("src", "node", "minutes", "km")

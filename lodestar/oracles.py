@@ -105,7 +105,7 @@ FROM v_acc a) t) s""",
         f"""SELECT o_orderkey AS request_id, CAST(1 + o_orderkey % 3 AS INTEGER) AS n_days, o_totalprice AS budget, CAST(1 + o_orderkey % 4 AS INTEGER) AS party,
   6.50 + ((o_custkey * 911) % 2500) / 1000.0 AS start_lat, 79.90 + ((o_custkey * 577) % 1500) / 1000.0 AS start_lon, (o_orderkey % 5) / 4.0 AS w_pref,
   [{lst(CATEGORIES)}[o_orderkey % 8 + 1], {lst(CATEGORIES)}[(o_orderkey + 3) % 8 + 1]] AS interests
-FROM orders WHERE o_orderkey % 100 = 0""",
+FROM orders WHERE o_orderkey % 50 = 0""",
     ),
     "v_plan": (
         [],

@@ -209,7 +209,7 @@ SELECT round(rho, 6) AS rho, n, round(rho * sqrt((n - 2) / (1 - rho * rho)), 4)
     )
     o["popularity_index"] = _W(
         ["v_views", "v_poi"],
-        """m AS (SELECT title, avg(views) AS mv FROM v_views GROUP BY 1), p AS (SELECT poi_id, ln(1 + mv) AS lv FROM v_poi LEFT JOIN m ON k % 11 = 0 AND title = k % 100 WHERE k < 3000)
+        """m AS (SELECT title, avg(views) AS mv FROM v_views GROUP BY 1), p AS (SELECT poi_id, ln(1 + mv) AS lv FROM v_poi LEFT JOIN m ON k % 11 = 0 AND title = k % 100)
 SELECT poi_id, round(coalesce(round((lv - lo) / (hi - lo), 4), 0.0), 3) AS popularity_index, CASE WHEN lv IS NULL THEN 'none' ELSE 'wikipedia' END AS source FROM p, (SELECT min(lv) AS lo, max(lv) AS hi FROM p)""",
     )
     o["reassignment_matrix"] = _W(

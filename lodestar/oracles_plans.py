@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .functions import text as X
 from .oracles import hav, kg, mode, with_views
 from .sources.dims import BUDGETS, DURATIONS, ECO_COST, INTEREST_STEMS, PROFILES, TRAIN_KMH
 
@@ -118,21 +117,27 @@ dv{n} AS (SELECT f.system, any_value(pl) AS plans, CAST(sum(f.n) AS BIGINT) AS t
   FROM f{n} f LEFT JOIN v_place USING (poi_id) JOIN gi{n} USING (system) JOIN t5{n} USING (system) JOIN fk{n} USING (system) JOIN (SELECT system, count(DISTINCT run_id) AS pl FROM s{n} GROUP BY 1) USING (system) GROUP BY 1)"""
 
 
-_NUMD = r"regexp_extract(t, '(\d+)\s*(?:-|\s)?(?:day|days|night|nights)\b', 1)"
-
-
 def _text() -> str:
-    whole = "|".join(X.BUDGET_FORMS)
-    part = lambda g: f"nullif(regexp_extract(t, '{whole}', {g}), '')"
-    stems = ", ".join(f"CASE WHEN regexp_matches(t, '\\b({'|'.join(v)})') THEN '{c}' END" for c, v in INTEREST_STEMS.items())
-    return f"""tx AS (SELECT 'o' || o_orderkey AS id, lower(CASE WHEN o_orderkey % 7 = 0 THEN 'A week away' WHEN o_orderkey % 11 = 0 THEN 'Weekend trip' ELSE (1 + o_orderkey % 25) || [' days', ' day trip', '-night stay'][o_orderkey % 3 + 1] END
+    """Messages by windows over their numbered tokens; the patterns are written for this SQL alone."""
+    stems = ", ".join("CASE WHEN " + " OR ".join(f"contains(line, ' {x}')" for x in v) + f" THEN '{c}' END" for c, v in INTEREST_STEMS.items())
+    unit = lambda c: f"CASE WHEN {c} IN ('k', 'thousand') THEN 1000.0 WHEN {c} IN ('lakh', 'lakhs', 'lac') THEN 100000.0 WHEN {c} IN ('m', 'mn', 'million') THEN 1000000.0 END"
+    money = lambda c: f"coalesce({c} IN ('lkr', 'rs', 'rupee', 'rupees'), false)"
+    return f"""tx AS (SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'A week away' WHEN o_orderkey % 11 = 0 THEN 'Weekend trip' ELSE (1 + o_orderkey % 25) || [' days', ' day trip', '-night stay'][o_orderkey % 3 + 1] END
   || [', budget 90k LKR', ', rs 1.5 lakh', ', 120,000 rupees', ', about 2 mn lkr', ''][o_orderkey % 5 + 1] || [', 4 people', ', solo', ', a couple', ', 30 adults', ''][(o_orderkey // 5) % 5 + 1]
-  || [', love temples and safari', ', hiking and waterfalls', ', beaches and markets', ''][(o_orderkey // 25) % 4 + 1]) AS t FROM orders),
-pt AS (SELECT id, coalesce(TRY_CAST({_NUMD} AS INTEGER), CASE WHEN regexp_matches(t, '\\b(a|one)\\s+week\\b') THEN 7 END, CASE WHEN regexp_matches(t, '\\bweekend\\b') THEN 2 END) AS n_days,
-  TRY_CAST(replace(coalesce({part(1)}, {part(3)}, {part(5)}), ',', '') AS DOUBLE) * CASE CASE WHEN {part(1)} IS NOT NULL THEN {part(2)} WHEN {part(3)} IS NOT NULL THEN {part(4)} ELSE {part(6)} END
-    WHEN 'k' THEN 1e3 WHEN 'thousand' THEN 1e3 WHEN 'lakh' THEN 1e5 WHEN 'lakhs' THEN 1e5 WHEN 'lac' THEN 1e5 WHEN 'm' THEN 1e6 WHEN 'mn' THEN 1e6 WHEN 'million' THEN 1e6 ELSE 1 END AS budget_lkr,
-  coalesce(TRY_CAST(regexp_extract(t, '{X.PARTY}', 1) AS INTEGER), CASE WHEN regexp_matches(t, '{X.ALONE}') THEN 1 END, CASE WHEN regexp_matches(t, '{X.PAIR}') THEN 2 END) AS party_size,
-  list_filter([{stems}], lambda x: x IS NOT NULL) AS interests FROM tx)"""
+  || [', love temples and safari', ', hiking and waterfalls', ', beaches and markets', ''][(o_orderkey // 25) % 4 + 1] AS t FROM orders
+  UNION ALL SELECT 'c' || conv_id || '.' || turn, text FROM conversations WHERE role = 'user'),
+ty AS (SELECT row_number() OVER () AS r, id, regexp_extract_all(lower(coalesce(t, '')), '\\p{{L}}+|[0-9]+(?:,[0-9]+)*(?:\\.[0-9]+)?') AS ws FROM tx),
+tk AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ty),
+tn AS (SELECT *, TRY_CAST(replace(w, ',', '') AS DOUBLE) AS v, lag(w) OVER o AS p1, lag(w, 2) OVER o AS p2, lead(w) OVER o AS n1, lead(w, 2) OVER o AS n2, sum(length(w) + 1) OVER o AS upto FROM tk WINDOW o AS (PARTITION BY r ORDER BY i)),
+tb AS (SELECT *, max(CASE WHEN w = 'budget' THEN i END) OVER e AS bi, max(CASE WHEN w = 'budget' THEN upto END) OVER e AS bu, max(CASE WHEN v IS NOT NULL THEN i END) OVER e AS vi FROM tn WINDOW e AS (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tm AS (SELECT *, least(CASE WHEN {money("p1")} THEN i - 1 END, CASE WHEN bi IS NOT NULL AND coalesce(vi < bi, true) AND upto - length(w) - 1 - bu + 1 <= 12 THEN bi END,
+    CASE WHEN CASE WHEN {unit("n1")} IS NULL THEN {money("n1")} ELSE {money("n2")} END THEN i END) AS f, v * coalesce({unit("n1")}, 1.0) AS amount FROM tb WHERE v IS NOT NULL),
+ta AS (SELECT r, arg_min(amount, f) AS budget_lkr FROM tm WHERE f IS NOT NULL GROUP BY r),
+tw AS (SELECT r, arg_min(TRY_CAST(p1 AS INTEGER), i) FILTER (w IN ('day', 'days', 'night', 'nights') AND regexp_full_match(p1, '[0-9]+') AND TRY_CAST(p1 AS INTEGER) IS NOT NULL) AS days, bool_or(w = 'week' AND p1 IN ('a', 'one')) AS week, bool_or(w = 'weekend') AS weekend,
+    arg_min(TRY_CAST(CASE WHEN w = 'us' THEN p2 ELSE p1 END AS INTEGER), i) FILTER (CASE WHEN w = 'us' THEN p1 = 'of' AND regexp_full_match(p2, '[0-9]+') ELSE w IN ('people', 'persons', 'pax', 'adults', 'travellers', 'travelers', 'friends') AND regexp_full_match(p1, '[0-9]+') END) AS party,
+    bool_or(w IN ('solo', 'alone', 'myself')) AS alone, bool_or(w = 'couple' OR (w IN ('wife', 'husband', 'partner') AND p1 = 'my') OR (w = 'us' AND p1 = 'of' AND p2 = 'two')) AS pair FROM tn GROUP BY r),
+pt AS (SELECT id, coalesce(days, CASE WHEN week THEN 7 END, CASE WHEN weekend THEN 2 END) AS n_days, budget_lkr, coalesce(party, CASE WHEN alone THEN 1 END, CASE WHEN pair THEN 2 END) AS party_size, list_filter([{stems}], lambda x: x IS NOT NULL) AS interests
+  FROM (SELECT *, ' ' || array_to_string(ws, ' ') AS line FROM ty) LEFT JOIN tw USING (r) LEFT JOIN ta USING (r))"""
 
 
 _LOG = """lo AS (SELECT o_orderdate AS ts, CASE WHEN o_orderstatus = 'O' THEN 'llm' ELSE 'rules' END AS source, f.field, 1 - ((o_custkey % 16) // f.bit) % 2 AS kept
@@ -395,7 +400,7 @@ SELECT wanted, station_id, CAST(match AS INTEGER) AS match FROM (SELECT *, row_n
     speed = "CASE cls " + " ".join(f"WHEN '{c}' THEN {v}::DOUBLE" for c, v in TRAIN_KMH.items()) + " END"
     # lines have twenty nodes, so simple paths of forty hops are more than enough; the graph is a chain with short cuts
     paths = f"""tb AS (SELECT a, b, km, km / {speed} * 60.0 AS t FROM v_track UNION ALL SELECT b, a, km, km / {speed} * 60.0 FROM v_track),
-sr AS (SELECT DISTINCT a AS src FROM v_track WHERE a % 10 = 0),
+sr AS (SELECT DISTINCT a AS src FROM v_track),
 wk AS (SELECT src, src AS node, 0.0::DOUBLE AS minutes, 0.0::DOUBLE AS km, [src] AS seen FROM sr UNION ALL SELECT w.src, tb.b, round(w.minutes + tb.t, 9), w.km + tb.km, list_append(w.seen, tb.b) FROM wk w JOIN tb ON tb.a = w.node WHERE NOT list_contains(w.seen, tb.b)),
 bp AS (SELECT src, node, minutes, km FROM (SELECT *, row_number() OVER (PARTITION BY src, node ORDER BY minutes, km) AS rn FROM wk) WHERE rn = 1)"""
     o["rail_paths"] = rec(_W(["v_track"], paths + "\nSELECT src, node, round(minutes, 4) AS minutes, km FROM bp"))
@@ -404,7 +409,7 @@ bp AS (SELECT src, node, minutes, km FROM (SELECT *, row_number() OVER (PARTITIO
         _W(
             ["v_track", "v_station"],
             paths
-            + ",\ntt AS (SELECT x.station_id AS trip_id, x.lat AS lat1, x.lon AS lon1, y.lat + 0.005 AS lat2, y.lon AS lon2 FROM v_station x JOIN v_station y ON y.station_id - 5 = x.station_id WHERE x.station_id % 10 = 0),\n"
+            + ",\ntt AS (SELECT x.station_id AS trip_id, x.lat AS lat1, x.lon AS lon1, y.lat + 0.005 AS lat2, y.lon AS lon2 FROM v_station x JOIN v_station y ON y.station_id - 5 = x.station_id),\n"
             + end(1, "lat1", "lon1")
             + ",\n"
             + end(2, "lat2", "lon2")

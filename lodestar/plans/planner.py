@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
-from ..operators.rail import cut_lineage
+from ..sources.shared import materialise
 from ..sources.dims import BUFFER, DAY_END, DAY_START, DETOUR, MAX_INTRA_DAY, MAX_LEG, MAX_TRANSFER, ROAD_KMH
 from .retrieve import pair_minutes
 
@@ -55,9 +55,9 @@ def reach_prune(cand: DataFrame, required: int = 2) -> DataFrame:
     base = cand.select("request_id", "poi_id", "lat", "lon", "typical_dwell_min")
     ok = base.join(_other(base), "request_id").where("poi_id <> poi2").withColumn("m", pair_minutes())
     ok = ok.where((F.col("m") <= MAX_LEG) & (F.col("typical_dwell_min") + F.col("m") + BUFFER + F.col("dwell2") <= DAY_END - DAY_START)).select("request_id", F.col("poi_id").alias("a"), F.col("poi2").alias("b"))
-    ok = cut_lineage(ok)
+    ok = materialise(ok)
     slots = base.select("request_id", "poi_id").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(required - 1))))
-    slots, before = cut_lineage(slots), None
+    slots, before = materialise(slots), None
     while True:
         n = slots.count()
         if n == before:
@@ -71,7 +71,7 @@ def reach_prune(cand: DataFrame, required: int = 2) -> DataFrame:
                 have = ok.join(there, ["request_id", "b"]).select("request_id", F.col("a").alias("poi_id")).distinct()
                 mine = slots.where(F.col("slot") == i).join(have, ["request_id", "poi_id"], "left_semi").select("request_id", "poi_id", "slot")
                 slots = slots.where(F.col("slot") != i).select("request_id", "poi_id", "slot").unionByName(mine)
-        slots = cut_lineage(slots)
+        slots = materialise(slots)
 
 
 def best_day_pair(capped: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
     ever dropped for width; if not, the first plan is optimal.
     """
     c = capped.where("keep").select("request_id", "poi_id", "lat", "lon", "typical_dwell_min", "open_min", "close_min", "hours_estimated", "entry_fee_lkr", "utility", "poi_budget", "n_days")
-    c = cut_lineage(c)
+    c = materialise(c)
     days = c.agg(F.max("n_days")).first()[0] or 0
     starts = capped.select("request_id", "n_days", "poi_budget", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")).distinct()
     state = starts.select("request_id", "n_days", "poi_budget", "lat", "lon", F.array().cast("array<string>").alias("stops"), F.array().cast("array<struct<lat: double, lon: double>>").alias("today"), F.lit(float(DAY_START)).alias("clock"), F.lit(0.0).alias("value"), F.lit(0.0).alias("spent"), F.lit(False).alias("truncated"))
@@ -141,7 +141,7 @@ def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
             w = Window.partitionBy("request_id")
             pool = pool.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("value"), "stops")), "n": F.count("*").over(w)}).where(F.col("rn") <= width)
             pool = pool.withColumn("truncated", F.col("truncated") | (F.col("n") > width)).select(*cols)
-            state = cut_lineage(pool.unionByName(rest.select(*cols)))
+            state = materialise(pool.unionByName(rest.select(*cols)))
     w = Window.partitionBy("request_id")
     out = state.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("value"), "stops")), "truncated": F.max("truncated").over(w)})
     return out.select("request_id", "rank", "stops", "value", "spent", "truncated")

@@ -348,7 +348,7 @@ def seasonality(s, d):
 
 def popularity_index(s, d):
     m = V.v_views(s, d).groupBy("title").agg(F.avg("views").alias("mean_views"))
-    p = _poi(s, d).where("k < 3000").select("poi_id", F.when(F.col("k") % 11 == 0, F.col("k") % 100).alias("title"))
+    p = _poi(s, d).select("poi_id", F.when(F.col("k") % 11 == 0, F.col("k") % 100).alias("title"))
     return metrics.popularity_index(p.join(m, "title", "left").select("poi_id", "mean_views")).withColumn("popularity_index", F.round("popularity_index", 3))
 
 
@@ -366,8 +366,9 @@ def prominence_hist(s, d):
 
 
 def edge_stats(s, d):
-    e = V.v_edges(s, d)
-    return e.agg(F.count("*").alias("edges"), F.round(F.count_if(F.col("method") == "osrm") * 100.0 / F.count("*"), 2).alias("measured_pct"), F.round(F.median("distance_km"), 3).alias("median_km"))
+    e = V.v_edges(s, d).withColumn("all", F.lit(1))
+    counts = e.groupBy("all").agg(F.count("*").alias("edges"), F.round(F.count_if(F.col("method") == "osrm") * 100.0 / F.count("*"), 2).alias("measured_pct"))
+    return counts.join(metrics.median_of(e, "all", "distance_km"), "all").select("edges", "measured_pct", F.round("median", 3).alias("median_km"))
 
 
 def page_places(s, d):

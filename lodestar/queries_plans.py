@@ -386,14 +386,14 @@ def _texts(s, d):
 
 
 def parse_trip_text(s, d):
-    p = _texts(s, d).where("id like 'o%'").select("id", text.parse_trip_text(F.col("text")).alias("p"))
+    p = _texts(s, d).select("id", text.parse_trip_text(F.col("text")).alias("p"))
     return p.select("id", "p.days", F.round("p.budget_lkr", 2).alias("budget_lkr"), "p.party_size", F.array_join("p.interests", ",").alias("interests"))
 
 
 def validate_trip(s, d):
     p = _texts(s, d).select("id", text.parse_trip_text(F.col("text")).alias("p"))
     given = F.concat("p.interests", F.array(F.lit("Golf"), F.lit(" Beach ")))
-    v = p.select("id", text.validate_trip(F.col("p.days"), F.col("p.budget_lkr"), F.col("p.party_size"), given).alias("v")).where("id like 'o%'")
+    v = p.select("id", text.validate_trip(F.col("p.days"), F.col("p.budget_lkr"), F.col("p.party_size"), given).alias("v"))
     return v.select("id", "v.days", "v.party_size", F.array_join("v.interests", ",").alias("interests"), F.array_join("v.notes", "; ").alias("notes"), F.array_join("v.missing", ",").alias("missing"))
 
 
@@ -449,7 +449,7 @@ def station_match(s, d):
 
 
 def _paths(s, d):
-    src = V.v_track(s, d).select(F.col("a").alias("src")).where("src % 10 = 0").distinct()
+    src = V.v_track(s, d).select(F.col("a").alias("src")).distinct()
     return rail.rail_paths(V.v_track(s, d), src)
 
 
@@ -459,7 +459,7 @@ def rail_paths(s, d):
 
 def train_offers(s, d):
     st = V.v_station(s, d)
-    a = st.select("station_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).where("station_id % 10 = 0")
+    a = st.select("station_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = st.select((F.col("station_id") - 5).alias("station_id"), (F.col("lat") + 0.005).alias("lat2"), F.col("lon").alias("lon2"))
     return rail.train_offers(a.join(b, "station_id").withColumnRenamed("station_id", "trip_id"), st, _paths(s, d))
 

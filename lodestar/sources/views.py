@@ -137,10 +137,11 @@ def v_station(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set: the orders whose number is divisible by 50, against all places."""
     o = F.col("o_orderkey")
     return (
         table(spark, sf_dir, "orders")
-        .where(o % 100 == 0)
+        .where(o % 50 == 0)
         .select(
             o.alias("request_id"),
             (F.lit(1) + o % 3).cast("int").alias("n_days"),
