@@ -39,7 +39,7 @@ from .components import connected_components
 from .store import materialise
 from .textarrays import shingles, slices, utf8, words
 
-TILE_SHINGLES = 1 << 16
+TILE_SHINGLES = 1 << 20
 PAIR_SHINGLES = 1 << 21
 SKETCH_BITS = 22
 SLICE = 1 << 16  # cells of the sketch in a row
