@@ -1,40 +1,12 @@
-"""Shared storage for cutting lineage and for rereading intermediate tables."""
+"""Tables of a folder by name; the shared folder and tables written there are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import materialise, shared_dir
 
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is ``spark.checkpoint.dir``; only a session that has none (a local test)
-    gets a temporary folder, the same for the whole process.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        path = _local[0]
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet to the shared folder and read it back.
-
-    Later jobs reread the files, so a lost executor costs no recomputation of
-    what stands above.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
