@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.score import half_up, trip_sustainability
+
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share_pct) of a column."""
@@ -70,9 +72,13 @@ def diversity(stops: DataFrame, runs: DataFrame, places: DataFrame) -> DataFrame
 VIOLATIONS = ["unknown_poi", "duplicate_poi", "budget_exceeded", "day_overflow", "opening_hours", "empty_plan", "too_many_days", "transfer_too_long"]
 
 
-def system_summary(verdicts: DataFrame, runs: DataFrame, emissions: DataFrame) -> DataFrame:
-    """One row per system from verdicts; every run claims to be feasible."""
-    v = verdicts.join(runs.select("run_id", "system"), "run_id").join(emissions, "run_id", "left")
+def system_summary(verdicts: DataFrame, runs: DataFrame, emissions: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row per system from verdicts; every run claims to be feasible.
+
+    ``totals(run_id, s_pref, s_sust, utility)``; means of preference and
+    sustainability are over plans with stops, that of utility over all runs.
+    """
+    v = verdicts.join(runs.select("run_id", "system"), "run_id").join(emissions, "run_id", "left").join(totals, "run_id", "left")
     pct = lambda a, b, d: F.round(a * 100.0 / F.greatest(b, F.lit(1)), d)
     n, ok, back = F.count("*"), F.count_if("feasible"), F.count_if(F.col("empty_plan") == 0)
     return v.groupBy("system").agg(
@@ -84,6 +90,10 @@ def system_summary(verdicts: DataFrame, runs: DataFrame, emissions: DataFrame) -
         F.round(F.avg("stops"), 2).alias("mean_stops"),
         F.round(F.avg("total_cost"), 0).alias("mean_cost"),
         F.round(F.avg("central"), 3).alias("mean_kg_ptd"),
+        half_up(F.avg("s_pref"), 4).alias("mean_pref"),
+        half_up(F.avg("s_sust"), 4).alias("mean_sust"),
+        half_up(F.sum(F.coalesce("utility", F.lit(0.0))) / n, 4).alias("mean_utility"),
+        half_up(F.avg(trip_sustainability(F.col("s_sust"), F.col("central"))), 4).alias("mean_trip_sust"),
     )
 
 

@@ -70,24 +70,31 @@ def station_match(wanted: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def rail_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000) -> DataFrame:
-    """(src, node, minutes, km): the fastest path along the track from each source to all it reaches.
+    """(src, node, minutes, km, km_by_class): the fastest path along the track from each source to all it reaches.
 
     ``edges(a, b, km, cls)``, ``sources(src)``.  The frontier of improved nodes is
     relaxed until no time improves; nodes without a path have no row.
+    km_by_class is a map of the classes on the path; of paths of one time the
+    shorter counts, then that with less of the first classes.
     """
+    classes = list(TRAIN_KMH)
     mins = F.col("km") / lookup(F.col("cls"), TRAIN_KMH, 47.6) * 60.0
-    e = edges.select("a", "b", F.col("km").alias("w"), mins.alias("t"))
-    e = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "t")))
-    best = sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("minutes"), F.lit(0.0).alias("km"))
+    e = edges.select("a", "b", F.col("km").alias("w"), mins.alias("t"), "cls")
+    e = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "t", "cls")))
+    none = F.struct(*(F.lit(0.0).alias(c) for c in classes))
+    best = sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("minutes"), F.lit(0.0).alias("km"), none.alias("parts"))
     best = materialise(best.withColumn("fresh", F.lit(True)))
     for _ in range(max_hops):
         front = best.where("fresh")
-        step = front.join(e, front["node"] == e["a"]).select("src", F.col("b").alias("node"), F.round(F.col("minutes") + F.col("t"), 9).alias("minutes"), (F.col("km") + F.col("w")).alias("km"), F.lit(True).alias("fresh"))
-        both = best.select("src", "node", "minutes", "km", F.lit(False).alias("fresh")).unionByName(step)
-        best = materialise(both.groupBy("src", "node").agg(F.min(F.struct("minutes", "km", "fresh")).alias("x")).select("src", "node", "x.minutes", "x.km", "x.fresh"))
+        more = F.struct(*((F.col("parts")[c] + F.when(F.col("cls") == c, F.col("w")).otherwise(0.0)).alias(c) for c in classes))
+        step = front.join(e, front["node"] == e["a"]).select("src", F.col("b").alias("node"), F.round(F.col("minutes") + F.col("t"), 9).alias("minutes"), (F.col("km") + F.col("w")).alias("km"), more.alias("parts"), F.lit(True).alias("fresh"))
+        both = best.select("src", "node", "minutes", "km", "parts", F.lit(False).alias("fresh")).unionByName(step)
+        least = F.min(F.struct("minutes", "km", "parts", "fresh")).alias("x")
+        best = materialise(both.groupBy("src", "node").agg(least).select("src", "node", "x.minutes", "x.km", "x.parts", "x.fresh"))
         if best.where("fresh").isEmpty():
             break
-    return best.select("src", "node", "minutes", "km")
+    some = F.filter(F.array(*(F.struct(F.lit(c).alias("k"), F.col("parts")[c].alias("v")) for c in classes)), lambda p: p["v"] > 0)
+    return best.select("src", "node", "minutes", "km", F.map_from_entries(some).alias("km_by_class"))
 
 
 def train_offers(trips: DataFrame, stations: DataFrame, paths: DataFrame, access_km: float = 3.0) -> DataFrame:

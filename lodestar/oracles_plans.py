@@ -310,29 +310,53 @@ bo AS (SELECT a, b, count(*) AS c FROM pr JOIN ss x ON x.run_id = a JOIN ss y ON
 un AS (SELECT pr.a, pr.b, coalesce(c, 0) AS c, coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(c, 0) AS u FROM pr LEFT JOIN n na ON na.run_id = pr.a LEFT JOIN n nb ON nb.run_id = pr.b LEFT JOIN bo ON bo.a = pr.a AND bo.b = pr.b)
 SELECT a, b, CASE WHEN u = 0 THEN 1.0 ELSE round(c / u, 4) END AS jaccard FROM un""",
     )
+    hm = lambda c: f"lpad(CAST({c} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({c} % 60 AS VARCHAR), 2, '0')"
+    up = lambda c: f"CAST(round({c} + 1e-9) AS BIGINT)"
     o["plan_json"] = _W(
-        ["v_plan"],
-        """dd AS (SELECT run_id, day_no, '{"day":' || day_no || ',"stops":[' || array_to_string(list('"' || poi_id || '"' ORDER BY slot, poi_id), ',') || ']}' AS j FROM v_plan GROUP BY 1, 2)
+        _PLAN,
+        _LEGS
+        + ",\n"
+        + _TR
+        + ",\n"
+        + _clock("tv", "ck", "dmin")
+        + f""",
+rt AS (SELECT run_id, day_no, slot, poi_id, CAST(round(arr + 1e-9) AS INTEGER) AS arrive, CAST(round(dep + 1e-9) AS INTEGER) AS depart, late, CAST(greatest(0, round(e2 - 1080 + 1e-9)) AS INTEGER) AS overflow FROM ({e(0)} UNION ALL {e(1)} UNION ALL {e(2)})),
+pj AS (SELECT run_id, day_no, slot, overflow, {up("p.entry_fee_lkr")} AS fee, '{{"slot":' || slot || ',"poi_id":"' || poi_id || '","name":"' || p.name || '","category":"' || p.category || '","district":"' || p.district || '","arrive":"' || {hm("arrive")} || '","depart":"' || {hm("depart")} || '","closes_before_departure":' || late
+  || ',"cost_lkr":' || {up("p.entry_fee_lkr")} || ',"transport":{{"mode":"' || tv.mode || '","kind":"' || tv.kind || '","from_id":"' || tv.from_id || '","distance_m":' || {up("dkm * 1000")} || ',"duration_min":' || {up("dmin")} || ',"emissions_g":' || {up("g")} || '}},"estimates":{{"opening_hours":' || p.hours_estimated || ',"entry_fee":' || p.fee_estimated || '}}}}' AS j
+  FROM rt JOIN tv USING (run_id, day_no, slot, poi_id) JOIN v_place p USING (poi_id)),
+dd AS (SELECT run_id, day_no, '{{"day":' || day_no || ',"cost_lkr":' || CAST(sum(fee) AS BIGINT) || ',"overflow_min":' || max(overflow) || ',"stops":[' || array_to_string(list(j ORDER BY slot), ',') || ']}}' AS j FROM pj GROUP BY 1, 2)
 SELECT run_id, '[' || array_to_string(list(j ORDER BY day_no), ',') || ']' AS plan FROM dd GROUP BY 1""",
     )
     o["gini"] = _W(_PLAN, _SIG + ",\n" + _div("v_plan", "v_run") + "\nSELECT system, gini FROM gi")
     o["diversity"] = _W(_PLAN, _SIG + ",\n" + _div("v_plan", "v_run") + "\nSELECT * FROM dv")
-    o["system_summary"] = _W(
-        [*_PLAN, "v_edges"],
-        _VERDICT
-        + ",\n"
-        + _EMI
-        + """
-SELECT system, count(*) AS runs, round(100.0 * count(*) FILTER (empty_plan = 0) / count(*), 1) AS answer_rate_pct, round(100.0 * count(*) FILTER (feasible) / greatest(count(*) FILTER (empty_plan = 0), 1), 1) AS csr_pct, round(100.0 * count(*) FILTER (feasible) / count(*), 1) AS csr_all_queries_pct,
-  round(100.0 * count(*) FILTER (NOT feasible) / count(*), 1) AS false_feasible_pct, round(avg(stops), 2) AS mean_stops, round(avg(total_cost), 0) AS mean_cost, round(avg(central), 3) AS mean_kg_ptd FROM ver JOIN v_run USING (run_id) LEFT JOIN em USING (run_id) GROUP BY 1""",
-    )
+    tot = f"""tx AS (SELECT run_id, round(avg(prominence) + 1e-9, 4) AS s_pref, round(avg(sust) + 1e-9, 4) AS s_sust FROM v_plan JOIN (SELECT *, round(greatest(0.0, least(1.0, 1.0 - (CASE WHEN popularity_known THEN round(popularity_index, 4) ELSE 0.35 END * 0.75 + {_ECO} * 0.25))), 4) AS sust FROM v_place) USING (poi_id) GROUP BY 1),
+tu AS (SELECT run_id, s_pref, s_sust, round(w_pref * s_pref + (1 - w_pref) * (1 - 0.4::DOUBLE) * s_sust + 1e-9, 6) AS utility FROM tx JOIN v_run USING (run_id))"""
+    summary = lambda runs: f"""SELECT system, count(*) AS runs, round(100.0 * count(*) FILTER (empty_plan = 0) / count(*), 1) AS answer_rate_pct, round(100.0 * count(*) FILTER (feasible) / greatest(count(*) FILTER (empty_plan = 0), 1), 1) AS csr_pct, round(100.0 * count(*) FILTER (feasible) / count(*), 1) AS csr_all_queries_pct,
+  round(100.0 * count(*) FILTER (NOT feasible) / count(*), 1) AS false_feasible_pct, round(avg(stops), 2) AS mean_stops, round(avg(total_cost), 0) AS mean_cost, round(avg(central), 3) AS mean_kg_ptd, round(avg(s_pref) + 1e-9, 4) AS mean_pref, round(avg(s_sust) + 1e-9, 4) AS mean_sust,
+  round(sum(coalesce(utility, 0.0)) / count(*) + 1e-9, 4) AS mean_utility, round(avg(round((1 - 0.4::DOUBLE) * s_sust + 0.4::DOUBLE * round(1.0 - least(1.0, central / {ref}), 4), 4)) + 1e-9, 4) AS mean_trip_sust
+  FROM ver JOIN {runs} USING (run_id) LEFT JOIN em USING (run_id) LEFT JOIN tu USING (run_id) GROUP BY 1"""
+    o["system_summary"] = _W([*_PLAN, "v_edges"], _VERDICT + ",\n" + _EMI + ",\n" + tot + "\n" + summary("(SELECT run_id, system FROM v_run)"))
     vs = ["unknown_poi", "duplicate_poi", "budget_exceeded", "day_overflow", "opening_hours", "empty_plan", "too_many_days", "transfer_too_long"]
     o["violation_rates"] = _W([*_PLAN, "v_edges"], _VERDICT + "\n" + " UNION ALL ".join(f"SELECT system, '{v}' AS violation, round(100.0 * count(*) FILTER ({v} > 0) / count(*), 1) AS pct FROM ver JOIN v_run USING (run_id) GROUP BY 1" for v in vs))
     o["latency_percentiles"] = _W(
         ["v_run"],
         "x AS (SELECT system, budget / 1000.0 AS v, row_number() OVER (PARTITION BY system ORDER BY budget) - 1 AS rn, count(*) OVER (PARTITION BY system) AS n FROM v_run)\nSELECT system, CAST(p AS INTEGER) AS p, v AS value FROM x, (VALUES (50), (95)) q(p) WHERE rn = round_even(p / 100.0::DOUBLE * (n - 1), 0)",
     )
-    o["weight_sweep"] = _W(_PLAN, _SIG + ",\nwr AS (SELECT run_id, CAST(w_pref AS VARCHAR) AS system, request_key FROM v_run),\n" + _div("v_plan", "wr") + "\nSELECT * RENAME (system AS w_pref) FROM dv")
+    o["weight_sweep"] = _W(
+        [*_PLAN, "v_edges"],
+        _VERDICT
+        + ",\n"
+        + _EMI
+        + ",\n"
+        + tot
+        + ",\n"
+        + _SIG
+        + ",\nwr AS (SELECT run_id, CAST(w_pref AS VARCHAR) AS system, request_key FROM v_run),\n"
+        + _div("v_plan", "wr")
+        + ",\nsm AS ("
+        + summary("wr")
+        + ")\nSELECT dv.* RENAME (system AS w_pref), answer_rate_pct, mean_pref, mean_sust, round(1 - CAST(dv.system AS DOUBLE), 2) AS w_sust FROM dv JOIN sm ON sm.system = dv.system",
+    )
     o["alternatives_gain"] = _W(
         _PLAN,
         _SIG
@@ -399,11 +423,13 @@ j AS (SELECT wanted, station_id, CASE WHEN low = lower(wanted) THEN 1 WHEN regex
 SELECT wanted, station_id, CAST(match AS INTEGER) AS match FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY match, station_id) AS rn FROM j WHERE match IS NOT NULL) WHERE rn = 1"""
     speed = "CASE cls " + " ".join(f"WHEN '{c}' THEN {v}::DOUBLE" for c, v in TRAIN_KMH.items()) + " END"
     # lines have twenty nodes, so simple paths of forty hops are more than enough; the graph is a chain with short cuts
-    paths = f"""tb AS (SELECT a, b, km, km / {speed} * 60.0 AS t FROM v_track UNION ALL SELECT b, a, km, km / {speed} * 60.0 FROM v_track),
+    order = ", ".join({"lowland": "c1", "hill": "c2", "fast": "c3", "slow": "c4"}[c] for c in TRAIN_KMH)
+    paths = f"""tb AS (SELECT a, b, km, cls, km / {speed} * 60.0 AS t FROM v_track UNION ALL SELECT b, a, km, cls, km / {speed} * 60.0 FROM v_track),
 sr AS (SELECT DISTINCT a AS src FROM v_track),
-wk AS (SELECT src, src AS node, 0.0::DOUBLE AS minutes, 0.0::DOUBLE AS km, [src] AS seen FROM sr UNION ALL SELECT w.src, tb.b, round(w.minutes + tb.t, 9), w.km + tb.km, list_append(w.seen, tb.b) FROM wk w JOIN tb ON tb.a = w.node WHERE NOT list_contains(w.seen, tb.b)),
-bp AS (SELECT src, node, minutes, km FROM (SELECT *, row_number() OVER (PARTITION BY src, node ORDER BY minutes, km) AS rn FROM wk) WHERE rn = 1)"""
-    o["rail_paths"] = rec(_W(["v_track"], paths + "\nSELECT src, node, round(minutes, 4) AS minutes, km FROM bp"))
+wk AS (SELECT src, src AS node, 0.0::DOUBLE AS minutes, 0.0::DOUBLE AS km, [src] AS seen, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3, 0.0::DOUBLE AS c4 FROM sr UNION ALL SELECT w.src, tb.b, round(w.minutes + tb.t, 9), w.km + tb.km, list_append(w.seen, tb.b),
+  c1 + CASE cls WHEN 'lowland' THEN tb.km ELSE 0 END, c2 + CASE cls WHEN 'hill' THEN tb.km ELSE 0 END, c3 + CASE cls WHEN 'fast' THEN tb.km ELSE 0 END, c4 + CASE cls WHEN 'slow' THEN tb.km ELSE 0 END FROM wk w JOIN tb ON tb.a = w.node WHERE NOT list_contains(w.seen, tb.b)),
+bp AS (SELECT src, node, minutes, km, c1, c2, c3, c4 FROM (SELECT *, row_number() OVER (PARTITION BY src, node ORDER BY minutes, km, {order}) AS rn FROM wk) WHERE rn = 1)"""
+    o["rail_paths"] = rec(_W(["v_track"], paths + "\nSELECT src, node, round(minutes, 4) AS minutes, km, c1 AS km_lowland, c2 AS km_hill, c3 AS km_fast, c4 AS km_slow FROM bp"))
     end = lambda n, la, lo: f"e{n} AS (SELECT * FROM (SELECT trip_id, node AS n{n}, km AS k{n}, row_number() OVER (PARTITION BY trip_id ORDER BY km, node) AS rn FROM (SELECT trip_id, s.node, {hav(la, lo, 's.lat', 's.lon')} AS km FROM tt, v_station s) WHERE km < 3) WHERE rn = 1)"
     o["train_offers"] = rec(
         _W(

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean, dedupe, near
+from ..sources.shared import materialise
 from ..sources.views import impute
 from . import planner
 
 MIN_POLYGONS = 20
 
 # planners by name: candidates of many requests -> (request_id, day_no, slot, poi_id)
-PLANNERS: dict[str, Callable[[DataFrame], DataFrame]] = {"rule_based": planner.rule_based, "greedy_eco": planner.greedy_eco}
+PLANNERS: dict[str, Callable[[DataFrame], DataFrame]] = {"rule_based": planner.rule_based, "greedy_eco": planner.greedy_eco, "beam": planner.beam}
 
 
 def run_planner(name: str, cand: DataFrame) -> DataFrame:
@@ -57,6 +58,55 @@ def build_dataset(elements: DataFrame, segments: DataFrame | None, reference: Da
     return assign_districts(impute(p), segments, reference, centres)
 
 
+def _as_plans(plans: DataFrame, number) -> DataFrame:
+    return plans.select(number.alias("run_id"), "day_no", "slot", "poi_id")
+
+
+def planner_gates(name: str, cand: DataFrame, changed_min: float = 80.0, overlap_max: float = 30.0) -> DataFrame:
+    """(gate, observed, threshold, passed) of a named planner over scored candidates of many requests.
+
+    T2: the share of plans that change under twice the budget, in percent.  T3: the
+    mean overlap, in percent, of each request's plans for two disjoint sets of
+    categories; requests with a plan for one only do not count.  T8: the share of score tables with a made-up id that
+    the score contract lets through.  T9: the number of requests whose plans differ
+    when made twice.
+    """
+    from ..operators.metrics import plan_jaccard, plan_signature
+
+    plan = PLANNERS[name]
+    rid = F.col("request_id")
+    base = materialise(plan(cand))
+
+    def against(other: DataFrame) -> DataFrame:
+        """(a, same, jaccard) of each request's plan and its plan in ``other``."""
+        both = _as_plans(base, rid * 2).unionByName(_as_plans(other, rid * 2 + 1))
+        pairs = cand.select(rid).distinct().select((rid * 2).alias("a"), (rid * 2 + 1).alias("b"))
+        sig = materialise(plan_signature(both))
+        j = pairs.join(sig.select(F.col("run_id").alias("a"), F.col("signature").alias("sa")), "a", "left").join(sig.select(F.col("run_id").alias("b"), F.col("signature").alias("sb")), "b", "left")
+        return j.withColumn("same", F.col("sa").eqNullSafe(F.col("sb"))).join(plan_jaccard(both, pairs), ["a", "b"]).select("a", "same", "jaccard", F.col("sb").isNotNull().alias("other"))
+
+    richer = against(plan(cand.withColumn("poi_budget", F.col("poi_budget") * 2)))
+    half = F.pmod(F.xxhash64("category"), F.lit(2)) == 0
+    one, two = plan(cand.where(half)), plan(cand.where(~half))
+    both = _as_plans(one, rid * 2).unionByName(_as_plans(two, rid * 2 + 1))
+    met = both.select(F.floor(F.col("run_id") / 2).alias("r"), (F.col("run_id") % 2).alias("side")).distinct().groupBy("r").count().where("count = 2")
+    overlap = plan_jaccard(both, met.select((F.col("r") * 2).alias("a"), (F.col("r") * 2 + 1).alias("b")))
+    again = against(plan(cand))
+    fake = cand.groupBy("request_id").agg(F.collect_set("poi_id").alias("given")).withColumn("answer", F.concat("given", F.array(F.lit("made-up"))))
+    through = fake.agg(F.coalesce(F.avg(F.when(F.size(F.array_except("answer", "given")) == 0, 100.0).otherwise(0.0)), F.lit(0.0)).alias("x"))
+    rows = [
+        ("T2", richer.agg(F.coalesce(F.avg(F.when(F.col("same"), 0.0).otherwise(100.0)), F.lit(100.0)).alias("x")), changed_min, lambda x: x >= changed_min),
+        ("T3", overlap.agg(F.coalesce(F.avg("jaccard") * 100, F.lit(0.0)).alias("x")), overlap_max, lambda x: x <= overlap_max),
+        ("T8", through, 0.0, lambda x: x == 0),
+        ("T9", again.agg(F.count_if(~F.col("same")).cast("double").alias("x")), 0.0, lambda x: x == 0),
+    ]
+    out = None
+    for gate, observed, threshold, passed in rows:
+        row = observed.select(F.lit(gate).alias("gate"), F.round("x", 2).alias("observed"), F.lit(threshold).alias("threshold"), passed(F.col("x")).alias("passed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def audit(requests: DataFrame, cand: DataFrame, widened: DataFrame) -> DataFrame:
     """(request_id, audit struct<candidates, categories, widening_step, known_popularity>) of every request."""
     c = cand.groupBy("request_id").agg(F.count("*").alias("candidates"), F.countDistinct("category").alias("categories"), F.count_if("popularity_known").alias("known_popularity"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score
 from ..functions.geo import haversine_km
+from ..functions.text import hhmm
 from ..sources.dims import BUFFER, DAY_END, DAY_START, DETOUR, MAX_INTRA_DAY, MAX_LEG, MAX_TRANSFER, ROAD_KMH
 
 PLACE = ["poi_id", "lat", "lon", "open_min", "close_min", "hours_estimated", "entry_fee_lkr", "typical_dwell_min"]
@@ -93,6 +94,23 @@ def retime(stops: DataFrame, places: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def plan_payload(stops: DataFrame, places: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, days): days with their cost and overrun, stops with times, transport and estimate flags.
+
+    Times are HH:MM; amounts are whole rupees, metres, minutes and grams; a stop's
+    transport is the leg that leads to it.
+    """
+    about = places.select("poi_id", "name", "category", "district", "entry_fee_lkr", "hours_estimated", "fee_estimated")
+    whole = lambda c: score.half_up(c, 0).cast("long")
+    leg = travelled(build_legs(stops, places, runs), runs).drop("party")
+    j = retime(stops, places, runs).join(leg, ["run_id", "day_no", "slot", "poi_id"]).join(about, "poi_id")
+    transport = F.struct("mode", "kind", "from_id", whole(F.col("distance_km") * 1000).alias("distance_m"), whole(F.col("duration_min")).alias("duration_min"), whole(F.col("emissions_g")).alias("emissions_g"))
+    estimates = F.struct(F.col("hours_estimated").alias("opening_hours"), F.col("fee_estimated").alias("entry_fee"))
+    stop = F.struct("slot", "poi_id", "name", "category", "district", hhmm(F.col("arrive")).alias("arrive"), hhmm(F.col("depart")).alias("depart"), F.col("late").alias("closes_before_departure"), whole(F.col("entry_fee_lkr")).alias("cost_lkr"), transport.alias("transport"), estimates.alias("estimates"))
+    days = j.groupBy("run_id", "day_no").agg(F.max("overflow").alias("overflow_min"), F.sum(whole(F.col("entry_fee_lkr"))).alias("cost_lkr"), F.sort_array(F.collect_list(stop)).alias("stops"))
+    return days.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct(F.col("day_no").alias("day"), "cost_lkr", "overflow_min", "stops"))).alias("days"))
+
+
 def schedule_day(stops: DataFrame, places: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, day_no, valid): whether each day can be kept under the planner's rules.
 

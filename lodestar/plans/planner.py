@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km
 from ..sources.shared import materialise
 from ..sources.dims import BUFFER, DAY_END, DAY_START, DETOUR, MAX_INTRA_DAY, MAX_LEG, MAX_TRANSFER, ROAD_KMH
-from .retrieve import pair_minutes
+from .retrieve import keep_affordable, pair_minutes, stratified_cap
 
 SLOTS = 3
 
@@ -95,7 +95,7 @@ def best_day_pair(capped: DataFrame) -> DataFrame:
 
 
 def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
-    """(request_id, rank, stops, value, spent, truncated): the plans a beam keeps, best first.
+    """(request_id, rank, stops, days, value, spent, truncated): the plans a beam keeps, best first; days has each stop's.
 
     Slot by slot a state takes one more of the kept candidates under the
     planner's rules; the third slot of a day may stay empty.  A state is a plan
@@ -106,7 +106,7 @@ def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
     c = materialise(c)
     days = c.agg(F.max("n_days")).first()[0] or 0
     starts = capped.select("request_id", "n_days", "poi_budget", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")).distinct()
-    state = starts.select("request_id", "n_days", "poi_budget", "lat", "lon", F.array().cast("array<string>").alias("stops"), F.array().cast("array<struct<lat: double, lon: double>>").alias("today"), F.lit(float(DAY_START)).alias("clock"), F.lit(0.0).alias("value"), F.lit(0.0).alias("spent"), F.lit(False).alias("truncated"))
+    state = starts.select("request_id", "n_days", "poi_budget", "lat", "lon", F.array().cast("array<string>").alias("stops"), F.array().cast("array<int>").alias("days"), F.array().cast("array<struct<lat: double, lon: double>>").alias("today"), F.lit(float(DAY_START)).alias("clock"), F.lit(0.0).alias("value"), F.lit(0.0).alias("spent"), F.lit(False).alias("truncated"))
     cols = state.columns
     nxt = c.drop("poi_budget", "n_days").withColumnsRenamed({"lat": "lat2", "lon": "lon2"})
     for day in range(1, days + 1):
@@ -130,6 +130,7 @@ def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
                 F.col("lat2").alias("lat"),
                 F.col("lon2").alias("lon"),
                 F.concat("stops", F.array("poi_id")).alias("stops"),
+                F.concat("days", F.array(F.lit(day))).alias("days"),
                 F.concat("today", F.array(F.struct(F.col("lat2").alias("lat"), F.col("lon2").alias("lon")))).alias("today"),
                 F.col("end").alias("clock"),
                 F.round(F.col("value") + F.col("utility") - F.col("m") / 60.0 * 0.12, 6).alias("value"),
@@ -144,7 +145,15 @@ def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
             state = materialise(pool.unionByName(rest.select(*cols)))
     w = Window.partitionBy("request_id")
     out = state.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("value"), "stops")), "truncated": F.max("truncated").over(w)})
-    return out.select("request_id", "rank", "stops", "value", "spent", "truncated")
+    return out.select("request_id", "rank", "stops", "days", "value", "spent", "truncated")
+
+
+def beam(cand: DataFrame) -> DataFrame:
+    """(request_id, day_no, slot, poi_id): the beam's best plan for scored candidates of many requests."""
+    best = beam_plan(keep_affordable(stratified_cap(cand))).where("rank = 1")
+    stops = best.select("request_id", F.posexplode(F.arrays_zip("days", "stops")).alias("at", "s"))
+    slot = F.row_number().over(Window.partitionBy("request_id", "s.days").orderBy("at")) - 1
+    return stops.select("request_id", F.col("s.days").alias("day_no"), slot.cast("int").alias("slot"), F.col("s.stops").alias("poi_id"))
 
 
 def alternatives(plans: DataFrame, shared: float = 0.5, quality: float = 0.9, most: int = 2) -> DataFrame:

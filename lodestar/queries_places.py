@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .functions import score
 from .functions import tags as T
 from .functions.geo import haversine_km, in_bbox, road_km, road_minutes
-from .operators import clean, dedupe, metrics, near
-from .sources import osm
+from .operators import browse, clean, dedupe, metrics, near
+from .sources import osm, register
 from .sources import views as V
 from .sources.dims import DISTRICTS
 
@@ -35,7 +35,7 @@ def latest_snapshot(s, d):
 def register_load(s, d):
     """The register with a number by customer, trimmed names, upper-case grades and numeric rooms."""
     c = V.v_acc(s, d).withColumn("raw_rooms", F.when(F.col("k") % 17 == 0, F.lit("n/a")).otherwise(F.col("rooms").cast("string"))).withColumn("raw_grade", F.when(F.col("k") % 5 == 0, F.lit(" nan ")).otherwise(F.lower("grade")))
-    return c.select("acc_id", F.trim("name").alias("name"), F.nullif(F.upper(F.trim("raw_grade")), F.lit("NAN")).alias("grade"), F.col("raw_rooms").try_cast("int").alias("rooms"))
+    return register.clean_register(c.select("acc_id", "name", F.col("raw_grade").alias("grade"), F.col("raw_rooms").alias("rooms")))
 
 
 def node_upsert(s, d):
@@ -103,15 +103,11 @@ def completeness(s, d):
 
 
 def browse_places(s, d):
-    """Optional filters: a category, part of a name and a least prominence."""
-    wanted = {"category": "heritage", "q": "a", "min_prominence": 0.3}
-    p = V.v_place(s, d)
-    p = p.where(F.col("category") == wanted["category"]).where(F.lower("name").contains(wanted["q"])).where(F.col("prominence") >= wanted["min_prominence"])
-    return p.select("poi_id", "name", "prominence")
+    return browse.browse_places(V.v_place(s, d), categories=["heritage"], text="a", min_prominence=0.3).select("poi_id", "name", "prominence")
 
 
 def browse_stays(s, d):
-    return V.v_stay(s, d).where(F.lower("sltda_type").contains("home")).where("sustainability_score >= 0.8").select("acc_id", "sltda_type", F.round("sustainability_score", 4).alias("sustainability_score"))
+    return browse.browse_stays(V.v_stay(s, d), "home", 0.8).select("acc_id", "sltda_type", F.round("sustainability_score", 4).alias("sustainability_score"))
 
 
 def validate_candidates(s, d):
@@ -373,17 +369,12 @@ def edge_stats(s, d):
 
 def page_places(s, d):
     """Page three of a category's places, twenty a page, with totals."""
-    page, size = 3, 20
-    p = V.v_place(s, d).where("category = 'nature'")
-    # the page comes from a top-k over all rows, the total from one count
-    total = p.agg(F.count("*").alias("total"))
-    rows = p.orderBy(F.desc("prominence"), "poi_id").offset((page - 1) * size).limit(size)
-    j = rows.crossJoin(F.broadcast(total))
-    return j.select("poi_id", "prominence", "total", F.ceil(F.col("total") / size).cast("long").alias("pages"), (F.col("total") > page * size).alias("has_next"), F.lit(page > 1).alias("has_prev"))
+    p = browse.browse_places(V.v_place(s, d), categories=["nature"]).select("poi_id", "prominence")
+    return browse.page_of(p, 3, 20)
 
 
 def top_prominent(s, d):
-    return V.v_place(s, d).orderBy(F.desc("prominence"), "poi_id").limit(25).select("poi_id", "prominence")
+    return browse.top_prominent(V.v_place(s, d)).select("poi_id", "prominence")
 
 
 def place_by_id(s, d):

@@ -279,6 +279,13 @@ def choose_lodging(s, d):
     return out.groupBy("run_id").agg(F.count("*").alias("nights"), F.count("acc_id").alias("assigned"), F.round(F.coalesce(F.sum("rate"), F.lit(0.0)), 0).alias("total"))
 
 
+def _totals(s, d):
+    """Means of preference and sustainability of each run, and its utility."""
+    p = V.v_place(s, d).select("poi_id", "prominence", score.place_sustainability().alias("sust"))
+    t = _stops(s, d).join(p, "poi_id").groupBy("run_id").agg(score.half_up(F.avg("prominence"), 4).alias("s_pref"), score.half_up(F.avg("sust"), 4).alias("s_sust"))
+    return t.join(V.v_run(s, d).select("run_id", "w_pref"), "run_id").select("run_id", "s_pref", "s_sust", score.half_up(score.utility(F.col("w_pref"), F.col("s_pref"), F.col("s_sust")), 6).alias("utility"))
+
+
 def itinerary_totals(s, d):
     p = V.v_place(s, d).select("poi_id", "entry_fee_lkr", "district", "typical_dwell_min", "prominence", score.place_sustainability().alias("sust"))
     j = _stops(s, d).join(p, "poi_id")
@@ -301,10 +308,10 @@ def plan_jaccard(s, d):
 
 
 def plan_json(s, d):
-    """Each plan as nested JSON: days, their stops."""
-    item = F.struct("slot", "poi_id")
-    days = _stops(s, d).groupBy("run_id", "day_no").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["poi_id"]).alias("stops"))
-    return days.groupBy("run_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("day_no").alias("day"), "stops")))).alias("plan"))
+    """Each plan as nested JSON: days, their stops with times, transport and what is estimated."""
+    r, p = V.v_run(s, d), V.v_place(s, d)
+    st = _stops(s, d)
+    return legs.plan_payload(st, p, r).select("run_id", F.to_json("days").alias("plan"))
 
 
 def gini(s, d):
@@ -317,7 +324,11 @@ def diversity(s, d):
 
 
 def system_summary(s, d):
-    return metrics.system_summary(_verdicts(s, d), V.v_run(s, d), legs.trip_emissions(_stops(s, d), V.v_place(s, d), V.v_run(s, d)))
+    return _summary(s, d, V.v_run(s, d))
+
+
+def _summary(s, d, runs):
+    return metrics.system_summary(_verdicts(s, d), runs, legs.trip_emissions(_stops(s, d), V.v_place(s, d), V.v_run(s, d)), _totals(s, d))
 
 
 def violation_rates(s, d):
@@ -329,9 +340,11 @@ def latency_percentiles(s, d):
 
 
 def weight_sweep(s, d):
-    """Diversity of plans by interest weight."""
+    """Answers, means and diversity of plans by interest weight."""
     r = V.v_run(s, d).withColumn("system", F.col("w_pref").cast("string"))
-    return metrics.diversity(_stops(s, d), r, V.v_place(s, d)).withColumnRenamed("system", "w_pref")
+    means = _summary(s, d, r).select("system", "answer_rate_pct", "mean_pref", "mean_sust")
+    both = metrics.diversity(_stops(s, d), r, V.v_place(s, d)).join(means, "system")
+    return both.withColumn("w_sust", F.round(1 - F.col("system").cast("double"), 2)).withColumnRenamed("system", "w_pref")
 
 
 def alternatives_gain(s, d):
@@ -363,6 +376,13 @@ def gates(s, d):
     return j.select("system", F.explode(rows).alias("r")).select("system", "r.*")
 
 
+def planner_gates(s, d):
+    """Budget, interest, made-up id and repetition gates of a baseline planner."""
+    from .plans.jobs import planner_gates as gates_of
+
+    return gates_of("rule_based", _cand(s, d).withColumn("poi_budget", F.col("poi_budget") * 0.3))
+
+
 def query_set(s, d):
     """The request grid times the customers' market segments as repeats."""
     b = s.createDataFrame(list(BUDGETS.items()), "budget_band string, budget double")
@@ -454,7 +474,8 @@ def _paths(s, d):
 
 
 def rail_paths(s, d):
-    return _paths(s, d).select("src", "node", F.round("minutes", 4).alias("minutes"), "km")
+    by = [F.coalesce(F.col("km_by_class")[c], F.lit(0.0)).alias(f"km_{c}") for c in ("lowland", "hill", "fast", "slow")]
+    return _paths(s, d).select("src", "node", F.round("minutes", 4).alias("minutes"), "km", *by)
 
 
 def train_offers(s, d):

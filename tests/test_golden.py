@@ -301,3 +301,104 @@ def test_entry(spark):
     import __spark_entry__ as E
 
     assert E.entry(spark).count() > 0 and {"retrieve_candidates", "verify_plans"} <= set(E.queries())
+
+
+def test_nearest_is_exact_for_points_anywhere(spark):
+    import math
+    import random
+
+    from lodestar.operators import near
+
+    rng = random.Random(3)
+    sites = [(i, 5.9 + rng.random() * 4, 79.6 + rng.random() * 2.3) for i in range(120)]
+    points = [(i, 5.9 + rng.random() * 4, 79.6 + rng.random() * 2.3) for i in range(60)] + [(900, 40.0, 81.0), (901, -60.0, 20.0), (902, 7.0, 170.0), (903, None, 80.0)]
+
+    def km(a, b, c, d):
+        x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(x))
+
+    p, s = spark.createDataFrame(points, "pid long, lat double, lon double"), spark.createDataFrame(sites, "sid long, slat double, slon double")
+    got = {}
+    for r in near.k_nearest(p, s, 3).collect():
+        got.setdefault(r.pid, []).append((r.rn, r.sid))
+    for i, a, b in points[:-1]:
+        want = sorted((km(a, b, c, d), j) for j, c, d in sites)[:3]
+        assert sorted(got[i]) == [(k + 1, j) for k, (_, j) in enumerate(want)], i
+    assert 903 not in got
+    few = near.k_nearest(p, s.limit(2), 5).groupBy("pid").count().collect()
+    assert len(few) == len(points) - 1 and all(r["count"] == 2 for r in few)
+    assert near.k_nearest(p, s.limit(0), 2).count() == 0 and near.k_nearest(p.limit(0), s, 2).count() == 0
+
+
+def test_nearest_polygon_matches_all_sides(spark):
+    import math
+    import random
+
+    from lodestar.operators import near
+
+    rng = random.Random(6)
+    sides = [(f"d{i % 9}", *(x := (79 + rng.random() * 3, 5 + rng.random() * 5)), x[0] + rng.uniform(-0.5, 0.5), x[1] + rng.uniform(-0.5, 0.5)) for i in range(60)]
+    points = [(i, 5 + rng.random() * 5, 79 + rng.random() * 3) for i in range(50)] + [(99, 50.0, -3.0)]
+    got = {r.pid: r for r in near.nearest_polygon(spark.createDataFrame(points, "pid long, lat double, lon double"), spark.createDataFrame(sides, "district string, ax double, ay double, bx double, by double")).collect()}
+
+    def degrees(lat, lon, ax, ay, bx, by):
+        t = max(0.0, min(1.0, ((lon - ax) * (bx - ax) + (lat - ay) * (by - ay)) / max((bx - ax) ** 2 + (by - ay) ** 2, 1e-18)))
+        return round(math.hypot(lon - ax - t * (bx - ax), lat - ay - t * (by - ay)), 9)
+
+    for i, lat, lon in points:
+        d, name = min((degrees(lat, lon, *s[1:]), s[0]) for s in sides)
+        assert got[i].district == name and abs(got[i].degrees - d) < 1e-8
+
+
+def test_ranks_by_counts_match_sorting(spark):
+    import random
+
+    from lodestar.operators import metrics
+
+    rng = random.Random(7)
+    rows = [(g, rng.choice([rng.random() * 1e6, 5.0, 5.0, rng.randrange(9)])) for g in "aab" for _ in range(700)] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame([(g, float(v) if v is not None else None) for g, v in rows], "g string, v double")
+    got = {(r.g, r.p): r.value for r in metrics.nearest_rank(df, "g", "v", [0, 5, 50, 95, 100]).collect()}
+    mid = {r.g: r.median for r in metrics.median_of(df, "g", "v").collect()}
+    for g in "abc":
+        vs = sorted(float(v) for x, v in rows if x == g and v is not None)
+        assert [got[g, p] for p in (0, 5, 50, 95, 100)] == [vs[round(p / 100 * (len(vs) - 1))] for p in (0, 5, 50, 95, 100)]
+        assert mid[g] == (vs[(len(vs) - 1) // 2] + vs[len(vs) // 2]) / 2
+    assert "d" not in mid
+
+
+def test_trip_texts(spark):
+    from lodestar.functions import text
+
+    cases = {
+        "3 days in Ella for 2 people, budget 90k LKR": (3, 90000.0, 2),
+        "Rs. 1.5 lakh for a week, solo": (7, 150000.0, 1),
+        "We have 120,000 rupees; weekend trip for the two of us": (2, 120000.0, 2),
+        "budget of about 2 million, 4-night stay, 3 of us": (4, 2000000.0, 3),
+        "my husband and I, 5 day trip, budget is flexible as ever, maybe 10": (5, None, 2),
+        "10 pax for 12 nights at 40 thousand rs": (12, 40000.0, 10),
+        "nothing here 42": (None, None, None),
+        "": (None, None, None),
+    }
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", text.parse_trip_text(F.col("t")).alias("p"))
+    for r in df.collect():
+        assert (r.p.days, r.p.budget_lkr, r.p.party_size) == cases.get(r.t, (None, None, None)), r.t
+
+
+def test_shared_folder(spark):
+    """The setting, else the context's folder, else a temporary one in local mode alone."""
+    from types import SimpleNamespace as N
+
+    from lodestar.sources import shared
+
+    def session(setting, given, master):
+        folder = N(isDefined=lambda: given is not None, get=lambda: given)
+        context = N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: folder)))
+        return N(conf=N(get=lambda name, default: setting), sparkContext=context)
+
+    assert shared.shared_dir(session("store://x/y/", None, "spark://a")) == "store://x/y"
+    assert shared.shared_dir(session(None, "store://z", "spark://a")) == "store://z"
+    assert shared.shared_dir(session(None, None, "local[4]")).startswith("file:")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(session(None, None, "spark://a"))
+    assert shared.materialise(spark.range(3)).count() == 3

@@ -48,3 +48,49 @@ def test_audit_and_csv(spark, tmp_path):
     jobs.write_csv(QP.violation_rates(spark, DATA), str(tmp_path / "v"))
     back = spark.read.option("header", True).csv(str(tmp_path / "v"))
     assert back.columns == ["system", "violation", "pct"] and back.count() == 24
+
+
+def test_beam_is_a_planner_by_name(spark):
+    from lodestar.plans import planner
+
+    cand = QP._cand(spark, DATA)
+    rows = jobs.run_planner("beam", cand).collect()
+    best = {r.request_id: r.stops for r in planner.beam_plan(QP._capped(spark, DATA)).where("rank = 1").collect()}
+    plans = {}
+    for r in sorted(rows, key=lambda r: (r.request_id, r.day_no, r.slot)):
+        plans.setdefault(r.request_id, []).append(r.poi_id)
+        assert r.system == "beam" and 0 <= r.slot < 3
+    assert plans == {k: v for k, v in best.items() if v} and plans
+
+
+def test_planner_gates(spark):
+    got = {r.gate: r for r in QP.planner_gates(spark, DATA).collect()}
+    assert set(got) == {"T2", "T3", "T8", "T9"}
+    assert got["T9"].observed == 0 and got["T8"].observed == 0 and got["T3"].observed == 0 and got["T8"].passed
+    assert got["T2"].passed == (got["T2"].observed >= 80)
+
+
+def test_register_reader(spark, tmp_path):
+    from lodestar.sources import register
+
+    head = ",".join(register.COLUMNS.values())
+    (tmp_path / "a.csv").write_text(f'{head},Extra\n" Sea View ", Homestay ,five,12,6.9,79.8,Galle,X,1\nTwin,Inn,nan,n/a,,80.1,Kandy,Y,2\nTwin,Inn,nan,n/a,,80.1,Kandy,Y,3\n"A ""quoted"" name",Inn,,7.0,6,80,Kandy,,4\n')
+    rows = sorted(register.read_register(spark, f"file://{tmp_path}/a.csv").collect(), key=lambda r: (r.name, r.acc_id))
+    assert [(r.name, r.sltda_type, r.grade, r.rooms, r.lat) for r in rows] == [('A "quoted" name', "Inn", None, 7, 6.0), ("Sea View", "Homestay", "FIVE", 12, 6.9), ("Twin", "Inn", None, None, None), ("Twin", "Inn", None, None, None)]
+    assert len({r.acc_id for r in rows}) == 4
+    (tmp_path / "b.csv").write_text("Name,Type\nx,y\n")
+    with pytest.raises(ValueError, match="District, Division, Grade"):
+        register.read_register(spark, f"file://{tmp_path}/b.csv")
+
+
+def test_browse_filters_are_optional(spark):
+    from lodestar.operators import browse
+
+    p = V.v_place(spark, DATA)
+    assert browse.browse_places(p).count() == p.count()
+    one = p.first()
+    some = browse.browse_places(p, district=one.district, text=one.name[:4].upper()).collect()
+    assert one.poi_id in {r.poi_id for r in some} and all(r.district == one.district for r in some)
+    assert browse.browse_stays(V.v_stay(spark, DATA)).count() == V.v_stay(spark, DATA).count()
+    page = browse.page_of(p.select("poi_id", "prominence"), 1, 7).collect()
+    assert len(page) == 7 and not page[0].has_prev and page[0].has_next and page[0].total == p.count()
