@@ -163,13 +163,18 @@ def bucketed(poi: DataFrame) -> DataFrame:
 
 
 def dup_pairs(poi: DataFrame, metres: float = 200.0) -> DataFrame:
-    """(a, b, m, contained): pairs of a bucket closer than ``metres``, a before b, and whether one Latin name holds the other."""
+    """(a, b, m, contained): pairs of a bucket closer than ``metres``, a before b, and whether one Latin name holds the other.
+
+    Pairs meet on a grid of ``metres``, so a dense bucket does not pair all its places.
+    """
+    from .near import within
+
     p = bucketed(poi).select("poi_id", "lat", "lon", "bucket", T.normalise_name(F.col("name")).alias("latin"))
-    a, b = p.alias("a"), p.alias("b")
-    near = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.poi_id") < F.col("b.poi_id")))
-    m = haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) * 1000
-    held = (F.col("a.latin") != "") & (F.col("b.latin") != "") & (F.col("a.latin").contains(F.col("b.latin")) | F.col("b.latin").contains(F.col("a.latin")))
-    return near.withColumn("m", m).where(F.col("m") < metres).select(F.col("a.poi_id").alias("a"), F.col("b.poi_id").alias("b"), F.round("m", 2).alias("m"), held.alias("contained"))
+    others = p.select(F.col("poi_id").alias("b"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.col("bucket").alias("other"), F.col("latin").alias("latin_b"))
+    near = within(p.withColumnRenamed("poi_id", "a"), others, metres / 1000).where((F.col("bucket") == F.col("other")) & (F.col("a") < F.col("b")))
+    m = haversine_km("lat", "lon", "slat", "slon") * 1000
+    held = (F.col("latin") != "") & (F.col("latin_b") != "") & (F.col("latin").contains(F.col("latin_b")) | F.col("latin_b").contains(F.col("latin")))
+    return near.withColumn("m", m).where(F.col("m") < metres).select("a", "b", F.round("m", 2).alias("m"), held.alias("contained"))
 
 
 def canonical_district(name: Column) -> Column:

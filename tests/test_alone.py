@@ -16,6 +16,17 @@ def test_entry_without_the_optional_part(tmp_path):
     subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path / "repo", check=True, timeout=120)
 
 
+def test_the_other_tests_run_without_the_optional_part(tmp_path):
+    """All other test files are collected and a few run in a copy without both folders."""
+    skip = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "spark-warehouse", "test_alone.py")
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=skip)
+    run = lambda *a: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *a], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=600)
+    seen = run("--collect-only", "tests")
+    assert seen.returncode == 0 and "error" not in seen.stdout.lower().splitlines()[-1], seen.stdout[-2000:]
+    some = run("tests/test_oracles.py", "-k", "haversine or without")
+    assert some.returncode == 0, some.stdout[-2000:]
+
+
 def test_nothing_else_imports_the_optional_part():
     for path in (ROOT / "lodestar").rglob("*.py"):
         if "llm" not in path.parts:
