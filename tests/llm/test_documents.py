@@ -83,6 +83,37 @@ def test_edited_copies_in_many_documents_are_found(spark):
     assert all(r.score == plain_align(copy, item) for r in got)
 
 
+def test_found_pairs_are_those_of_all_pairs(spark):
+    """Against alignment of every document with every item, with edits from none to heavy and repeated rows."""
+    rng = random.Random(21)
+    words = [f"q{i}" for i in range(400)]
+    items = [(i, rng.choices(words, k=rng.choice([3, 8, 25, 60]))) for i in range(14)]
+    docs = []
+    for d in range(90):
+        text = rng.choices(words, k=rng.choice([3, 30, 120]))
+        copy = list(items[rng.randrange(14)][1])
+        for _ in range(int(len(copy) * rng.choice([0, 0.1, 0.2, 0.3, 0.45]))):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([[], [rng.choice(words)], [copy[at], rng.choice(words)]])
+            copy = copy or [rng.choice(words)]
+        text[rng.randrange(len(text)) :] = copy
+        docs.append((d, text))
+    docs += [docs[0], docs[0]]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(4)
+    it = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.score) for r in D.contaminated(df, it).collect())
+    code = {w: i for i, w in enumerate(words)}
+    want, missed = Counter(), 0
+    for d, t in docs:
+        for i, u in items:
+            score = D.align(np.array([code[w] for w in t]), np.array([code[w] for w in u]))[0]
+            if score >= D.MIN_COVERAGE * D.MATCH * len(u):
+                want[d, i, score] += 1
+                seeds = {tuple(u[k : k + 3]) for k in range(len(u) - 2)}
+                missed += not any(tuple(t[k : k + 3]) in seeds for k in range(len(t) - 2))
+    assert not got - want and sum((want - got).values()) == missed and sum(got.values()) >= 0.9 * sum(want.values()) > 60
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     one = sorted(map(tuple, D.contaminated(docs, items).collect()))
