@@ -97,6 +97,16 @@ def system_summary(verdicts: DataFrame, runs: DataFrame, emissions: DataFrame, t
     )
 
 
+def quality_ratio(best: DataFrame, other: DataFrame) -> DataFrame:
+    """One row, mean_quality: the mean utility of other plans over that of the best plan of their request.
+
+    Both are ``(request_key, utility)``; requests without a best plan of positive
+    utility do not count.
+    """
+    top = best.groupBy("request_key").agg(F.max("utility").alias("top")).where("top > 0")
+    return other.join(top, "request_key").agg(half_up(F.avg(F.col("utility") / F.col("top")), 4).alias("mean_quality"))
+
+
 def violation_rates(verdicts: DataFrame, runs: DataFrame) -> DataFrame:
     """(system, violation, pct) of runs with each violation."""
     v = verdicts.join(runs.select("run_id", "system"), "run_id")

@@ -360,11 +360,16 @@ tu AS (SELECT run_id, s_pref, s_sust, round(w_pref * s_pref + (1 - w_pref) * (1
     o["alternatives_gain"] = _W(
         _PLAN,
         _SIG
+        + ",\n"
+        + tot
         + ",\nra AS (SELECT run_id, 'best' AS system, request_key FROM v_run WHERE run_id % 2 = 0), rb AS (SELECT run_id, 'offered' AS system, request_key FROM v_run),\n"
         + _div("v_plan", "ra", "a")
         + ",\n"
         + _div("v_plan", "rb", "b")
-        + "\nSELECT * EXCLUDE (distinct_plan_pct) FROM dva UNION ALL SELECT * EXCLUDE (distinct_plan_pct) FROM dvb",
+        + """,
+tk AS (SELECT run_id, request_key, utility FROM tu JOIN v_run USING (run_id)),
+mq AS (SELECT round(avg(utility / top) + 1e-9, 4) AS mean_quality FROM (SELECT request_key, utility FROM tk WHERE run_id % 2 = 1) JOIN (SELECT request_key, max(utility) AS top FROM tk WHERE run_id % 2 = 0 GROUP BY 1 HAVING max(utility) > 0) USING (request_key))
+SELECT * EXCLUDE (distinct_plan_pct), CAST(NULL AS DOUBLE) AS mean_quality FROM dva UNION ALL SELECT * EXCLUDE (distinct_plan_pct), (SELECT mean_quality FROM mq) FROM dvb""",
     )
     sc = " UNION ALL ".join(f"SELECT '{x}' AS scenario, system, round(avg({x}), 4) AS kg FROM em JOIN v_run USING (run_id) GROUP BY 2" for x in ("low", "central", "high"))
     o["scenario_ranking"] = _W(_PLAN, _LEGS + ",\n" + _EMI + f",\nsr AS (SELECT scenario, array_to_string(list(system ORDER BY kg, system), ',') AS ranking FROM ({sc}) GROUP BY 1)\nSELECT scenario, ranking, (SELECT count(DISTINCT ranking) = 1 FROM sr) AS stable FROM sr")

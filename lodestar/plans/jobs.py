@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clean, dedupe, near
+from ..functions import score, tags
+from ..operators import clean, dedupe, metrics, near
 from ..sources.shared import materialise
 from ..sources.views import impute
 from . import planner
@@ -58,6 +59,45 @@ def build_dataset(elements: DataFrame, segments: DataFrame | None, reference: Da
     return assign_districts(impute(p), segments, reference, centres)
 
 
+def build_tables(
+    elements: DataFrame,
+    segments: DataFrame | None,
+    reference: DataFrame | None,
+    centres: DataFrame,
+    stations: DataFrame | None = None,
+    views: DataFrame | None = None,
+    register: DataFrame | None = None,
+    k: int = 25,
+) -> dict[str, DataFrame]:
+    """The whole dataset by name: places, edges and, with a register, stays.
+
+    Places have rail access by ``stations(station_id, lat, lon)``, popularity by
+    ``views(title, mean_views)`` and prominence; without stations or views the
+    scores are 0 and popularity unknown.  Edges join each place with its ``k``
+    nearest.  ``register`` is that of ``sources.register``.  Places are written
+    once, as all tables read them.
+    """
+    p = materialise(build_dataset(elements, segments, reference, centres))
+    if stations is not None:
+        spots = near.nearest_station(p.select(F.col("poi_id").alias("pid"), "lat", "lon"), stations)
+        spots = spots.select(F.col("pid").alias("poi_id"), "nearest_station", F.col("station_km").alias("nearest_station_km"), score.rail_access(F.col("station_km")).alias("rail_access_score"))
+        p = p.join(spots, "poi_id", "left")
+    else:
+        p = p.withColumn("rail_access_score", F.lit(0.0))
+    if views is not None:
+        means = p.select("poi_id", tags.wiki_title(F.col("wikipedia")).alias("title")).join(views.select("title", "mean_views"), "title", "left").select("poi_id", "mean_views")
+        p = p.join(metrics.popularity_index(means).withColumnRenamed("source", "popularity_source"), "poi_id", "left")
+    else:
+        p = p.withColumns({"popularity_index": F.lit(0.0), "popularity_source": F.lit("none")})
+    p = p.withColumn("popularity_known", F.col("popularity_source") == "wikipedia")
+    p = materialise(p.withColumn("prominence", score.prominence()))
+    edges = near.knn_edges(p.select(F.xxhash64("poi_id").alias("k"), "poi_id", "lat", "lon"), k).drop("ka", "kb")
+    out = {"places": p, "edges": edges}
+    if register is not None:
+        out["stays"] = score.scored_stays(register)
+    return out
+
+
 def _as_plans(plans: DataFrame, number) -> DataFrame:
     return plans.select(number.alias("run_id"), "day_no", "slot", "poi_id")
 

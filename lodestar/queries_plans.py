@@ -348,13 +348,15 @@ def weight_sweep(s, d):
 
 
 def alternatives_gain(s, d):
-    """Diversity of the runs of even number alone and of all runs."""
+    """Diversity of the runs of even number alone and of all runs, and the others' mean utility over the best of their request."""
     r = V.v_run(s, d)
     best = r.where("run_id % 2 = 0").withColumn("system", F.lit("best"))
     every = r.withColumn("system", F.lit("offered"))
     st = _stops(s, d)
     one = metrics.diversity(st.join(best.select("run_id"), "run_id", "left_semi"), best, V.v_place(s, d))
-    return one.unionByName(metrics.diversity(st, every, V.v_place(s, d))).drop("distinct_plan_pct")
+    both = one.unionByName(metrics.diversity(st, every, V.v_place(s, d))).drop("distinct_plan_pct")
+    worth = _totals(s, d).join(r.select("run_id", "request_key"), "run_id")
+    return both.join(F.broadcast(metrics.quality_ratio(worth.where("run_id % 2 = 0"), worth.where("run_id % 2 = 1")).withColumn("system", F.lit("offered"))), "system", "left")
 
 
 def scenario_ranking(s, d):

@@ -94,3 +94,21 @@ def test_browse_filters_are_optional(spark):
     assert browse.browse_stays(V.v_stay(spark, DATA)).count() == V.v_stay(spark, DATA).count()
     page = browse.page_of(p.select("poi_id", "prominence"), 1, 7).collect()
     assert len(page) == 7 and not page[0].has_prev and page[0].has_next and page[0].total == p.count()
+
+
+def test_whole_dataset_by_name(spark):
+    e = osm.v_osm(spark, DATA)
+    stations = V.v_station(spark, DATA).select("station_id", "lat", "lon")
+    views = spark.createDataFrame([(f"T {i}", float(i * i)) for i in range(100)], "title string, mean_views double")
+    got = jobs.build_tables(e, V.v_segments(spark, DATA), None, centres(spark), stations, views, V.v_acc(spark, DATA), k=3)
+    places = {r.poi_id: r for r in got["places"].collect()}
+    assert len(places) == QL.normalise_pois(spark, DATA).count()
+    assert all(0 <= r.prominence <= 1 and 0 <= r.rail_access_score <= 1 and r.nearest_station is not None for r in places.values())
+    assert {r.popularity_source for r in places.values()} <= {"wikipedia", "none"}
+    edges = got["edges"].collect()
+    assert edges and all(r.from_id in places and r.to_id in places and r.from_id != r.to_id for r in edges)
+    ends = {x for r in edges for x in (r.from_id, r.to_id)}
+    assert ends == set(places)
+    assert got["stays"].count() == V.v_acc(spark, DATA).count()
+    bare = jobs.build_tables(e, V.v_segments(spark, DATA), None, centres(spark), k=1)
+    assert set(bare) == {"places", "edges"} and bare["places"].where("popularity_known or rail_access_score <> 0").count() == 0
