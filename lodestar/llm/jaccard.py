@@ -32,6 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ from .components import connected_components
 from .store import materialise
 from .textarrays import shingles, slices, utf8, words
 
-TILE_SHINGLES = 1 << 20
-PAIR_SHINGLES = 1 << 21
+TILE_SHINGLES = 1 << 18
+PAIR_SHINGLES = 1 << 24  # of bitmaps, which take a thirtieth of the sets
 SKETCH_BITS = 22
 SLICE = 1 << 16  # cells of the sketch in a row
 COMMON_SPARE = 16
@@ -80,10 +81,6 @@ def least_shared(n: int, pct: int) -> int:
     return least_common(-(-pct * n // 100), pct)
 
 
-def _least_shared(n: Column, pct: int) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.ceil(n * pct / 100) * pct / 600))
-
-
 def set_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, node) of every row, and rows (part, slice, counts) of the sketch, told by ``slice``."""
     schema = "doc_id long, n_shingles long, node long, part int, slice int, counts binary"
@@ -111,7 +108,7 @@ def set_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
             cells = total[i : i + SLICE]
             if cells.any():
                 none = [pa.nulls(1, pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([*none, pa.array([part], pa.int32()), pa.array([i // SLICE], pa.int32()), pa.array([np.minimum(cells, 255).astype(np.uint8).tobytes()], pa.binary())], names=["doc_id", "n_shingles", "node", "part", "slice", "counts"])
+                yield pa.RecordBatch.from_arrays([*none, pa.array([part], pa.int32()), pa.array([i // SLICE], pa.int32()), pa.array([zstandard.compress(np.minimum(cells, 255).astype(np.uint8).tobytes(), 1)], pa.binary())], names=["doc_id", "n_shingles", "node", "part", "slice", "counts"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -128,7 +125,7 @@ def common_cells(sketch: DataFrame) -> np.ndarray:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for p, s, c in zip(batch.column("part").to_pylist(), batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(c, dtype=np.uint8 if last is None else "<i8")
+                x = np.frombuffer(zstandard.decompress(c), dtype=np.uint8) if last is None else np.frombuffer(c, dtype="<i8")
                 sums[p, s] = sums[p, s] + x if (p, s) in sums else x.astype(np.int64)
         for (p, s), x in sums.items():
             if last:
@@ -275,12 +272,36 @@ def _ties(shared: DataFrame, pct: int) -> DataFrame:
     return one.where("b is not null").select("a", "b").unionByName(two.select("a", "b")).distinct()
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A signature of a set: its hashes as bits, a power of two of at least twice its size."""
+    width = 1 << max(8, math.ceil(math.log2(2 * len(s))))
+    h = (s >> np.uint64(20)) & np.uint64(width - 1)
+    bits = np.zeros(width // 64, dtype=np.uint64)
+    np.bitwise_or.at(bits, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return bits
+
+
+def folded(bits: list[np.ndarray]) -> np.ndarray:
+    """Signatures as rows of the least width among them; a wider one is folded by halves, which keeps every bit's hash."""
+    width = min(map(len, bits))
+    out = np.zeros((len(bits), width), dtype=np.uint64)
+    for i, b in enumerate(bits):
+        out[i] = np.bitwise_or.reduce(b.reshape(-1, width), axis=0)
+    return out
+
+
+def most_shared(i: int, cand: np.ndarray, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A bound from above of the overlaps of set i with others: bits that only one side has are elements that the other lacks."""
+    mine, theirs = bits[i], bits[cand]
+    lacks = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
+    return np.minimum(n[i] - lacks[0], n[cand] - lacks[1])
+
+
 def tile_links(sets: list[np.ndarray], pct: int = 75, classes: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with 100 * intersection >= pct * union.
 
-    Bits are set by hash; bits that only one side has are elements that the
-    other lacks, which bounds the overlap from above.  Sets of one of ``classes``
-    are joined already.
+    Sets of one of ``classes`` are joined already; of the others, those that their
+    bitmaps do not keep apart are intersected, the likeliest first.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
@@ -288,25 +309,18 @@ def tile_links(sets: list[np.ndarray], pct: int = 75, classes: list[int] | None
     n = size[order]
     links: list[tuple[int, int]] = []
     label = np.arange(m) if classes is None else np.unique(np.array(classes)[order], return_inverse=True)[1]
-    bits = None
-    if m > 2:
-        width = 1 << min(14, max(8, math.ceil(math.log2(4 * max(1, int(np.median(n)))))))
-        bits = np.zeros((m, width // 64), dtype=np.uint64)
-        for i, r in enumerate(order):
-            h = (sets[r] >> np.uint64(20)) & np.uint64(width - 1)
-            np.bitwise_or.at(bits[i], (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    own = [bitmap(sets[r]) for r in order] if m > 2 else []
     low = np.searchsorted(n, -(-pct * n // 100), side="left")
     for i in range(1, m):
         cand = np.arange(low[i], i)
         cand = cand[label[cand] != label[i]]
         if not len(cand):
             continue
-        if bits is not None:
-            mine, theirs = bits[i], bits[cand]
-            bound = np.minimum(n[i] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), n[cand] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+        if own:
+            bits = folded([own[i], *(own[j] for j in cand)])
+            bound = most_shared(0, np.arange(1, len(bits)), bits, np.append(n[i], n[cand]))
             good = 100 * bound >= pct * (n[i] + n[cand] - bound)
-            cand, bound = cand[good], bound[good]
-            cand = cand[np.argsort(-bound, kind="stable")]
+            cand = cand[good][np.argsort(-bound[good], kind="stable")]
         a = sets[order[i]]
         for j in cand:
             if label[j] == label[i]:
@@ -322,6 +336,27 @@ def tile_links(sets: list[np.ndarray], pct: int = 75, classes: list[int] | None
     return links
 
 
+def close_nodes(sizes: np.ndarray, bits: list[np.ndarray], classes: np.ndarray, pct: int = 75) -> np.ndarray:
+    """Which of some sets have another of another class that their bitmaps do not keep apart."""
+    order = np.argsort(sizes, kind="stable")
+    n, kind = sizes[order].astype(np.int64), np.unique(classes[order], return_inverse=True)[1]
+    rows = folded([bits[r] for r in order])
+    low = np.searchsorted(n, -(-pct * n // 100), side="left")
+    near = np.zeros(len(n), dtype=bool)
+    for i in range(1, len(n)):
+        cand = np.arange(low[i], i)
+        cand = cand[kind[cand] != kind[i]]
+        for part in range(0, len(cand), 1 << 12):
+            some = cand[part : part + (1 << 12)]
+            bound = most_shared(i, some, rows, n)
+            good = 100 * bound >= pct * (n[i] + n[some] - bound)
+            near[some[good]] = True
+            near[i] |= good.any()
+    out = np.zeros(len(n), dtype=bool)
+    out[order] = near
+    return out
+
+
 def _node_sets(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
     """(node, hashes): the sets of the nodes in ``active(doc_id, node)``, each node once but for repeats of its row."""
 
@@ -386,6 +421,46 @@ def _links(rows: DataFrame, pct: int) -> DataFrame:
     return rows.select("tile", "node", "class", "hashes").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, "a long, b long")
 
 
+def _close(rows: DataFrame, pct: int) -> DataFrame:
+    """(tile, node, class) of the nodes of ``rows(tile, node, class, n, bits)`` that a bitmap does not keep apart from another class."""
+    schema = "tile string, node long, class long"
+
+    def settle(tile, held):
+        node, cls, n, bits = (list(x) for x in zip(*held))
+        keep = close_nodes(np.array(n), [np.frombuffer(b, dtype=np.uint64) for b in bits], np.array(cls), pct)
+        at = np.flatnonzero(keep)
+        return pa.RecordBatch.from_arrays([pa.array([tile] * len(at), pa.string()), pa.array([node[i] for i in at], pa.int64()), pa.array([cls[i] for i in at], pa.int64())], names=["tile", "node", "class"])
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for t, *row in zip(*(batch.column(x).to_pylist() for x in ("tile", "node", "class", "n", "bits"))):
+                if t != now:
+                    if len(held) > 1:
+                        yield settle(now, held)
+                    now, held = t, []
+                held.append(row)
+        if len(held) > 1:
+            yield settle(now, held)
+
+    return rows.select("tile", "node", "class", "n", "bits").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, schema)
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(node, n, bits) of ``sets(node, hashes)``."""
+
+    def run(batches):
+        for batch in batches:
+            n, bits = [], []
+            for data in batch.column("hashes").to_pylist():
+                s = np.frombuffer(data, dtype=np.uint64)
+                n.append(len(s))
+                bits.append(bitmap(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["node", "n", "bits"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "node long, n long, bits binary")
+
+
 def _band(level: int, pct: int) -> Column:
     """The size band; every other level has its edges half a band off."""
     return F.floor(F.log("n_shingles") / math.log(100 / pct) + (level % 2) / 2).cast("int")
@@ -416,7 +491,7 @@ def _block_pairs(open_: DataFrame, pct: int) -> DataFrame:
     return placed.withColumn("free", F.col("owner").isNull()).withColumn("owner", F.coalesce("owner", F.lit(0))).join(tiles, key).select("node", "class", "tile")
 
 
-def _settled(active: DataFrame, sets: DataFrame, peeled: DataFrame, pct: int) -> DataFrame:
+def _settled(active: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """(node, class): the classes of ``active(node, n_shingles, label)``, named by their least node; a node alone may be missing."""
     with_sets = lambda tiles: tiles.join(sets, "node")
     total = active.groupBy("label").agg(F.sum("n_shingles").alias("total"))
@@ -441,13 +516,13 @@ def _settled(active: DataFrame, sets: DataFrame, peeled: DataFrame, pct: int) ->
         if level > 1 and after > before // 2:
             break
         before = after
-    # which nodes may have a partner of another class: by the exact count, over shingles with several classes
-    mine = peeled.join(large.select("node", "label", "class"), "node")
-    ends = mine.groupBy("key", "label").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
-    have = mine.join(ends, ["key", "label"], "left_semi").groupBy("node").agg(F.countDistinct("key").alias("have"))
-    open_ = materialise(large.join(have, "node").where(F.col("have") >= _least_shared(F.col("n_shingles"), pct)).select("node", "n_shingles", "label", "class"))
+    # components of several classes: bitmaps of blocks meet in pairs, and what they do not keep apart is settled exactly
+    several = large.where(F.col("node") == F.col("class")).groupBy("label").count().where("count > 1")
+    open_ = materialise(large.join(several, "label", "left_semi"))
     if not open_.isEmpty():
-        pairs = _links(with_sets(_block_pairs(open_, pct)), pct)
+        bits = materialise(_bitmaps(sets.join(open_.select("node"), "node", "left_semi")))
+        near = materialise(_close(_block_pairs(open_, pct).join(bits, "node"), pct))
+        pairs = _links(with_sets(near), pct)
         of = lambda c: large.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class"))
         joined = connected_components(pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
         large = large.join(joined.select(F.col("id").alias("class"), F.col("label").alias("least")), "class", "left").select("node", F.coalesce("least", "class").alias("class"))
@@ -473,7 +548,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     labels = connected_components(_ties(peeled, pct))
     active = materialise(nodes.join(labels.withColumnRenamed("id", "node"), "node").where("doc_id is not null"))
     sets = materialise(_node_sets(docs, active, k))
-    classes = materialise(_settled(active, sets, peeled, pct))
+    classes = materialise(_settled(active, sets, pct))
     placed = nodes.join(classes, "node", "left").select("node", "doc_id", F.coalesce("class", "node").alias("class"))
     least = placed.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     placed = placed.join(least, "class").select("node", "component_id")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestar.llm import jaccard as J
@@ -90,6 +91,33 @@ def test_long_text_and_null_ids(spark):
     assert sorted(((r.doc_id or 0), r.n_shingles, (r.component_id or 0)) for r in got) == [(0, 0, 0), (0, 2, 3), (0, 2, 3), (1, 199_996, 1), (2, 199_997, 1), (3, 2, 3)]
 
 
+def test_bitmaps_bound_the_overlap_at_any_width():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        both, a, b = rng.integers(0, 200), rng.integers(1, 200), rng.integers(1, 300)
+        h = rng.integers(0, 1 << 63, both + a + b, dtype=np.uint64)
+        x, y = np.unique(h[: both + a]), np.unique(np.concatenate([h[:both], h[both + a :]]))
+        rows = J.folded([J.bitmap(x), J.bitmap(y)])
+        assert J.most_shared(0, np.array([1]), rows, np.array([len(x), len(y)]))[0] >= len(np.intersect1d(x, y))
+
+
+def test_close_nodes_keep_every_linked_pair_of_two_classes():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+    sets = []
+    for i in range(60):
+        some = base[rng.random(80) < 0.9] if i % 2 else rng.integers(0, 1 << 63, 70, dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([some, rng.integers(0, 1 << 63, rng.integers(0, 12), dtype=np.uint64)])))
+    classes = np.arange(60) // 3
+    close = J.close_nodes(np.array([len(s) for s in sets]), [J.bitmap(s) for s in sets], classes)
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if classes[i] != classes[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                assert close[i] and close[j]
+    assert not close[0::2].all()
+
+
 def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string")
     assert sorted(tuple(r) for r in J.jaccard_components(df).collect()) == [(1, 3, 1), (1, 3, 1), (2, 3, 1)]
