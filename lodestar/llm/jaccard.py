@@ -245,8 +245,35 @@ def _thin(key: np.ndarray, size: np.ndarray, pct: int) -> np.ndarray:
     return edge[:-1] | edge[1:]
 
 
+def _pairs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, ordered."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _hooked(ties: DataFrame) -> DataFrame:
+    """(a, b): the same components with fewer edges: each a to the least of its b, and its other b to that as well."""
+
+    def run(batches):
+        parts = [[batch.column(c).to_numpy() for c in ("a", "b")] for batch in batches]
+        if not parts:
+            return
+        a, b = _pairs_of(*(np.concatenate(x) for x in zip(*parts)))
+        first = np.ones(len(a), dtype=bool)
+        first[1:] = a[1:] != a[:-1]
+        least = b[first][np.cumsum(first) - 1]
+        rest = b != least
+        x, y = _pairs_of(np.concatenate([a[first], b[rest]]), np.concatenate([b[first], least[rest]]))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return ties.repartition("a").mapInArrow(run, "a long, b long").distinct()
+
+
 def _ties(shared: DataFrame, pct: int) -> DataFrame:
-    """(a, b): each node of a run with the least node of that run; a node alone has none.
+    """(a, b): ties of each node of a run with the least node of that run; a node alone has none.
 
     A common shingle's runs are those of its salts first; their least nodes,
     with the ends of the run's size bands, are tied in the same way.
@@ -260,8 +287,9 @@ def _ties(shared: DataFrame, pct: int) -> DataFrame:
         key, node, n, first = got
         least = np.minimum.reduceat(node, np.flatnonzero(first))[np.cumsum(first) - 1]
         other = np.flatnonzero(node != least)
-        none = pa.nulls(len(other), pa.int64()), pa.nulls(len(other), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(least[other]), *none], names=["a", "b", "key", "n"])
+        a, b = _pairs_of(node[other], least[other])
+        none = pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names=["a", "b", "key", "n"])
         if again:
             rows = np.flatnonzero((n < 0) & _thin(np.cumsum(first), np.abs(n), pct))
             yield pa.RecordBatch.from_arrays([pa.array(least[rows]), pa.nulls(len(rows), pa.int64()), pa.array(key[rows]), pa.array(np.abs(n[rows]))], names=["a", "b", "key", "n"])
@@ -269,7 +297,7 @@ def _ties(shared: DataFrame, pct: int) -> DataFrame:
     one = materialise(shared.repartition(_salted()).mapInArrow(lambda b: tied(b, True), schema))
     ends = one.where("key is not null").select("key", F.col("a").alias("node"), "n")
     two = ends.repartition("key").mapInArrow(lambda b: tied(b, False), schema)
-    return one.where("b is not null").select("a", "b").unionByName(two.select("a", "b")).distinct()
+    return _hooked(one.where("b is not null").select("a", "b").unionByName(two.select("a", "b")))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
