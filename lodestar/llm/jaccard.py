@@ -117,24 +117,26 @@ def common_cells(sketch: DataFrame) -> np.ndarray:
     """Which cells of the sketch are crowded, as packed bits; ``sketch(part, slice, counts)``.
 
     A cell is crowded when its count is above what chance puts into a cell.
-    Slices are added up by groups of parts, then as a whole, so a task adds a few
-    hundred short rows at any size; the bits are of fixed size.
+    Slices are added up by groups of parts, then as a whole, one row at a time;
+    the bits are of fixed size.
     """
 
     def add(batches, last):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for p, s, c in zip(batch.column("part").to_pylist(), batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(zstandard.decompress(c), dtype=np.uint8) if last is None else np.frombuffer(c, dtype="<i8")
+                x = np.frombuffer(zstandard.decompress(c), dtype=np.uint8 if not last else "<i8")
                 sums[p, s] = sums[p, s] + x if (p, s) in sums else x.astype(np.int64)
         for (p, s), x in sums.items():
             if last:
                 mean = x.mean()
-                x = np.packbits(x > mean + 8 * math.sqrt(mean) + COMMON_SPARE)
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "slice", "counts"])
+                out = np.packbits(x > mean + 8 * math.sqrt(mean) + COMMON_SPARE).tobytes()
+            else:
+                out = zstandard.compress(x.tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([s], pa.int32()), pa.array([out], pa.binary())], names=["part", "slice", "counts"])
 
     schema = "part int, slice int, counts binary"
-    some = sketch.select((F.col("part") % 512).alias("part"), "slice", "counts").repartition("part", "slice").mapInArrow(lambda b: add(b, None), schema)
+    some = sketch.select((F.col("part") % 8).alias("part"), "slice", "counts").repartition("part", "slice").mapInArrow(lambda b: add(b, False), schema)
     whole = some.select(F.lit(0).alias("part"), "slice", "counts").repartition("slice").mapInArrow(lambda b: add(b, True), schema)
     bits = np.zeros((1 << SKETCH_BITS) // 8, dtype=np.uint8)
     for r in whole.collect():
