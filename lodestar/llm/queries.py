@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import brown_lm, decontaminate, html_mincut, jaccard, language, line_dedup, mixing, progressive_jpeg, secrets_scan, token_packing
+from . import brown_lm, decontaminate, fill_middle, hard_negatives, html_mincut, jaccard, language, line_dedup, mixing, pca_dedup, progressive_jpeg, secrets_scan, token_packing
 from .store import table
 
 
@@ -50,6 +51,20 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.hard_negatives(v.select("vec_id", label.alias("label"), "embedding"))
+
+
+def op12_pca_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pca_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_progressive_jpeg,
@@ -62,6 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_source_mix,
         op10_brown_lm,
+        op11_hard_negatives,
+        op12_pca_dedup,
+        op13_fill_middle,
     )
     return {f.__name__: f for f in found}
 
