@@ -162,19 +162,26 @@ def bucketed(poi: DataFrame) -> DataFrame:
     return poi.withColumn("bucket", F.concat_ws("_", F.floor(F.col("lat") * 100 + 0.5), F.floor(F.col("lon") * 100 + 0.5)))
 
 
-def dup_pairs(poi: DataFrame, metres: float = 200.0) -> DataFrame:
-    """(a, b, m, contained): pairs of a bucket closer than ``metres``, a before b, and whether one Latin name holds the other.
+def close_pairs(places: DataFrame, metres: float) -> DataFrame:
+    """Pairs a, b of a bucket closer than ``metres``, a before b, with m, the tokens of both and whether one Latin name holds the other.
 
-    Pairs meet on a grid of ``metres``, so a dense bucket does not pair all its places.
+    ``places(bucket, poi_id, lat, lon, latin, tokens)``.  Pairs meet on a grid of
+    ``metres``, so a dense bucket does not pair all its places.
     """
     from .near import within
 
-    p = bucketed(poi).select("poi_id", "lat", "lon", "bucket", T.normalise_name(F.col("name")).alias("latin"))
-    others = p.select(F.col("poi_id").alias("b"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.col("bucket").alias("other"), F.col("latin").alias("latin_b"))
-    near = within(p.withColumnRenamed("poi_id", "a"), others, metres / 1000).where((F.col("bucket") == F.col("other")) & (F.col("a") < F.col("b")))
+    p = places.select(F.col("poi_id").alias("a"), "lat", "lon", "bucket", "latin", "tokens")
+    others = places.select(F.col("poi_id").alias("b"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.col("bucket").alias("other"), F.col("latin").alias("latin_b"), F.col("tokens").alias("tokens_b"))
+    near = within(p, others, metres / 1000).where((F.col("bucket") == F.col("other")) & (F.col("a") < F.col("b")))
     m = haversine_km("lat", "lon", "slat", "slon") * 1000
     held = (F.col("latin") != "") & (F.col("latin_b") != "") & (F.col("latin").contains(F.col("latin_b")) | F.col("latin_b").contains(F.col("latin")))
-    return near.withColumn("m", m).where(F.col("m") < metres).select("a", "b", F.round("m", 2).alias("m"), held.alias("contained"))
+    return near.withColumn("m", m).where(F.col("m") < metres).select("a", "b", "m", F.coalesce(held, F.lit(False)).alias("contained"), "tokens", "tokens_b")
+
+
+def dup_pairs(poi: DataFrame, metres: float = 200.0) -> DataFrame:
+    """(a, b, m, contained): pairs of a bucket closer than ``metres``, a before b, and whether one Latin name holds the other."""
+    p = bucketed(poi).select("poi_id", "lat", "lon", "bucket", T.normalise_name(F.col("name")).alias("latin"), F.lit(None).cast("string").alias("tokens"))
+    return close_pairs(p, metres).select("a", "b", F.round("m", 2).alias("m"), "contained")
 
 
 def canonical_district(name: Column) -> Column:

@@ -1,18 +1,14 @@
-"""Distance joins on a grid: nearest neighbours, radius joins, polygons.
+"""Distance joins on grids: nearest neighbours, radius joins, polygons.
 
-No join compares all points with all sites: both sides meet on a grid cell, the
-sites being entered in the nine cells around their own.
+No join compares all points with all sites: both sides meet on a grid cell.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, road_minutes
-from ..sources.dims import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN
 from ..sources.shared import materialise
 
 KM_PER_DEGREE = 109.0  # at least, for either axis within 11 degrees of the equator
@@ -27,51 +23,172 @@ def _spread(sites: DataFrame, size: float, lat: str = "slat", lon: str = "slon")
     return s.withColumns({"_cx": F.floor(F.col(lat) / size) + F.col("_d.dx"), "_cy": F.floor(F.col(lon) / size) + F.col("_d.dy")}).drop("_d")
 
 
-def first_cell(n: int, k: int) -> float:
-    """A cell in which n sites over the bounding box have about four times k in reach."""
-    area = (LAT_MAX - LAT_MIN) * (LON_MAX - LON_MIN)
-    return min(4.6, max(0.01, math.sqrt(4 * area * k / (9 * max(n, 1))) * 1.2))
+def _reach_km(size: Column):
+    """No site beyond the nine cells around a point is nearer than this; parallels shrink away from the equator."""
+    across = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(size, F.lit(90.0))))) * EARTH_KM
+    return F.least(size * KM_PER_DEGREE, across) * 0.999
 
 
-def _reach_km(size: float):
-    """No site beyond the nine cells around a point is nearer than this; parallels shrink away from the equator."""
-    across = F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(min(size, 90.0)))) * EARTH_KM
-    return F.least(F.lit(size * KM_PER_DEGREE), across) * 0.999
+FINEST = 20  # level l has cells of WHOLE / 2 ** l degrees: 42 metres at the finest
+AROUND = 2  # cells on each side of a point's own that are looked at where nine are not enough
+
+
+def _width(level: Column) -> Column:
+    return F.lit(WHOLE) / F.pow(F.lit(2.0), level)
+
+
+def _up(cell: str, by: Column) -> Column:
+    """A cell's number ``by`` levels higher: a half at each, rounded down."""
+    return F.floor(F.col(cell) / F.pow(F.lit(2.0), by)).cast("long")
+
+
+def _levels(df: DataFrame, lat: str, lon: str, levels: list[int]) -> DataFrame:
+    """Rows once for each level, with their cell there."""
+    width = WHOLE / 2**FINEST
+    d = df.withColumns({"_fx": F.floor(F.col(lat) / width), "_fy": F.floor(F.col(lon) / width), "level": F.explode(F.array(*map(F.lit, levels)))})
+    up = F.lit(FINEST) - F.col("level")
+    return d.withColumns({"cx": _up("_fx", up), "cy": _up("_fy", up)}).drop("_fx", "_fy")
+
+
+def _cell_counts(sites: DataFrame) -> DataFrame:
+    """(level, cx, cy, n) of the cells that hold sites."""
+    fine = _levels(sites, "slat", "slon", [FINEST]).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    each = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(FINEST))))
+    up = F.lit(FINEST) - F.col("level")
+    return each.groupBy("level", _up("cx", up).alias("cx"), _up("cy", up).alias("cy")).agg(F.sum("n").alias("n"))
+
+
+def _pruned(front: DataFrame, need: int) -> DataFrame:
+    """Cells of each point that may hold one of its ``need`` nearest sites.
+
+    Every site of a cell is within the cell's far distance, so the nearest
+    ``need`` are within the far distance at which the counts add up to it; a cell
+    whose near distance is beyond that holds none.
+    """
+    width = _width(F.col("level"))
+    half = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2.0))
+    span = lambda at, cell: (F.greatest(F.col(cell) * width - F.col(at), F.col(at) - (F.col(cell) + 1) * width, F.lit(0.0)), F.greatest((F.col(cell) + 1) * width - F.col(at), F.col(at) - F.col(cell) * width))
+    (u0, u1), (v0, v1) = span("lat", "cx"), span("lon", "cy")
+    south, north = F.greatest(F.col("cx") * width, F.lit(-90.0)), F.least((F.col("cx") + 1) * width, F.lit(90.0))
+    least = F.greatest(F.least(F.cos(F.radians(south)), F.cos(F.radians(north))), F.lit(0.0))
+    most = F.when((south <= 0) & (north >= 0), 1.0).otherwise(F.greatest(F.cos(F.radians(south)), F.cos(F.radians(north))))
+    own = F.cos(F.radians("lat"))
+    # around the globe a difference beyond 180 degrees is a smaller one
+    low = half(F.least(u0, F.lit(180.0))) + own * least * F.least(half(v0), half(v1))
+    high = half(F.least(u1, F.lit(180.0))) + own * most * F.when((v0 <= 180) & (v1 >= 180), 1.0).otherwise(F.greatest(half(v0), half(v1)))
+    km = lambda h: 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    f = front.withColumns({"_near": km(low) * 0.999 - 1e-6, "_far": km(high) * 1.001 + 1e-6})
+    upto = F.sum("n").over(Window.partitionBy("pid").orderBy("_far", "level", "cx", "cy"))
+    f = f.withColumn("_upto", upto)
+    limit = F.min(F.when(F.col("_upto") >= need, F.col("_far"))).over(Window.partitionBy("pid"))
+    f = f.withColumn("limit", F.coalesce(limit, F.lit(float("inf"))))
+    return f.where(F.col("_near") <= F.col("limit")).drop("_near", "_far", "_upto")
+
+
+def _own_cells(points: DataFrame, cells: DataFrame, least: int) -> DataFrame:
+    """``points`` with the finest cell around each that holds ``least`` sites, as at; null without one."""
+    full = cells.where(F.col("n") >= least)
+    found = [r["level"] for r in full.select("level").distinct().collect()]  # one for each level
+    own = _levels(points, "lat", "lon", sorted({0, *found})).join(full.select("level", "cx", "cy", F.lit(True).alias("full")), ["level", "cx", "cy"], "left")
+    return own.groupBy("pid").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.max(F.when(F.col("full"), F.struct("level", "cx", "cy"))).alias("at"))
+
+
+def _beside(df: DataFrame, side: Column | int, wide: Column | int) -> DataFrame:
+    """Rows of a cell ``at`` once for each cell around it."""
+    span = lambda n: F.explode(F.sequence(-n, n))
+    d = df.withColumn("_dx", span(F.lit(side) if isinstance(side, int) else side)).withColumn("_dy", span(F.lit(wide) if isinstance(wide, int) else wide))
+    return d.withColumns({"level": F.col("at.level"), "cx": F.col("at.cx") + F.col("_dx"), "cy": F.col("at.cy") + F.col("_dy")}).drop("_dx", "_dy")
+
+
+def _cells_near(points: DataFrame, cells: DataFrame, need: int, cap: int) -> tuple[DataFrame, list[int]]:
+    """(pid, lat, lon, level, cx, cy), and its levels: cells that together hold the ``need`` nearest sites of each point, at most ``cap`` sites in one where cells are split that far.
+
+    A point starts around its own cell at the finest level where that cell alone
+    holds enough sites, or from the whole where the cells around do not reach far
+    enough.  Crowded cells are replaced by their occupied parts, and cells that
+    are too far for the point are dropped, until none is crowded.
+    """
+    whole = F.struct(F.lit(0).alias("level"), F.floor(F.col("lat") / WHOLE).alias("cx"), F.floor(F.col("lon") / WHOLE).alias("cy"))
+    cols = ["pid", "lat", "lon", "level", "cx", "cy", "n"]
+
+    def around(p: DataFrame) -> DataFrame:
+        wide = F.least(F.lit(12), F.ceil(AROUND / F.greatest(F.cos(F.radians("lat")), F.lit(0.01)))).cast("int")
+        return _pruned(_beside(p.withColumn("wide", wide), AROUND, F.col("wide")).drop("at").join(cells, ["level", "cx", "cy"]), need)
+
+    crowded = (F.col("n") > cap) & (F.col("level") < FINEST)
+
+    def kept(front: DataFrame, proven: Column) -> tuple[DataFrame, bool, bool, list[int]]:
+        """The table once written; whether points in it want more around them, whether cells are crowded, and its levels."""
+        front = materialise(front.withColumn("proven", proven).select(*cols, "proven"))
+        r = front.agg(F.max(~F.col("proven")), F.max(crowded), F.collect_set("level")).first()
+        return front, bool(r[0]), bool(r[1]), sorted(r[2])
+
+    width = _width(F.col("level"))
+    across = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(F.col("wide") * width, F.lit(90.0))))) * EARTH_KM
+    proven = (F.col("level") == 0) | (F.col("limit") <= F.least(AROUND * width * KM_PER_DEGREE, across) * 0.999)
+    front, short, more, levels = kept(around(_own_cells(points, cells, need).withColumn("at", F.coalesce("at", whole))), proven)
+    if short:
+        again = front.where(~F.col("proven")).select("pid", "lat", "lon").distinct()
+        front, _, more, levels = kept(front.where("proven").select(*cols).unionByName(around(again.withColumn("at", whole)).select(*cols)), F.lit(True))
+    while more:
+        deeper = F.least(F.lit(2), FINEST - F.col("level"))
+        part = F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), deeper) - 1).cast("int")))
+        parts = front.where(crowded).withColumn("deeper", deeper).withColumn("dx", part).withColumn("dy", part)
+        at = lambda c, d: (F.col(c) * F.pow(F.lit(2), F.col("deeper")) + F.col(d)).cast("long").alias(c)
+        parts = parts.select("pid", "lat", "lon", (F.col("level") + F.col("deeper")).cast("int").alias("level"), at("cx", "dx"), at("cy", "dy"))
+        parts = parts.join(cells, ["level", "cx", "cy"]).select(*cols)
+        front, _, more, levels = kept(_pruned(front.where(~crowded).select(*cols).unionByName(parts), need), F.lit(True))
+    return front.select("pid", "lat", "lon", "level", "cx", "cy"), levels
 
 
 def k_nearest(points: DataFrame, sites: DataFrame, k: int, same: bool = False) -> DataFrame:
     """(pid, sid, km, rn): the k nearest sites of each point, nearest first, ties by sid.
 
-    ``points(pid, lat, lon)``, ``sites(sid, slat, slon)``.  Rings widen for the
-    points whose k-th distance is not yet proven by the cell width, until none is
-    left or all sites are in reach, so the result is exact for any point; longitudes
-    do not wrap.  Each ring is written once.  With ``same`` a site of the point's
-    own id is left out.  Points with null coordinates have no rows; fewer sites
-    than k give all of them; a pid repeated is one point.
+    ``points(pid, lat, lon)``, ``sites(sid, slat, slon)``.  Cells follow the
+    density: sites are counted on levels of cells, halved at each, and a point
+    takes the level on which its own cell holds about as many sites as it wants,
+    so that a crowded place costs no more than an even one.  What the nine cells
+    there do not prove, or where they are crowded, is found by splitting cells
+    under bounds from the counts.  The result is exact.
+
+    Of sites at one place only the first few ids can count; the others are left
+    out first.  The surroundings of a point do not reach over the 180th meridian.
+    With ``same`` a site of the point's own id is left out.  Points with null
+    coordinates have no rows; fewer sites than k give all of them; a pid repeated
+    is one point.
     """
+    need = k + 1 if same else k
     points = points.select("pid", "lat", "lon").where("lat is not null and lon is not null").dropDuplicates(["pid"])
     sites = sites.select("sid", "slat", "slon").where("slat is not null and slon is not null")
-    n = sites.count()
-    size, enough = first_cell(n, k), n - (1 if same else 0) >= k
+    sites = sites.withColumn("_rn", F.row_number().over(Window.partitionBy("slat", "slon").orderBy("sid"))).where(F.col("_rn") <= need).drop("_rn")
+    sites = materialise(sites)
+    cells = materialise(_cell_counts(sites))
     by = Window.partitionBy("pid")
-    out, left = None, points
-    while True:
-        size = size if enough else WHOLE  # too few sites: all of them
-        p = left.withColumns({"_cx": F.floor(F.col("lat") / size), "_cy": F.floor(F.col("lon") / size)})
-        j = p.join(_spread(sites, size), ["_cx", "_cy"])
+
+    def ranked(front: DataFrame, levels: list[int], within_reach: bool) -> DataFrame:
+        j = front.join(_levels(sites, "slat", "slon", levels or [0]), ["level", "cx", "cy"])
         if same:
             j = j.where(F.col("pid") != F.col("sid"))
-        top = j.select("pid", "sid", haversine_km("lat", "lon", "slat", "slon").alias("km"), _reach_km(size).alias("_reach")).withColumn("rn", F.row_number().over(by.orderBy("km", "sid"))).where(F.col("rn") <= k)
-        if size < WHOLE:
-            top = top.withColumns({"_n": F.count("*").over(by), "_far": F.max("km").over(by)}).where((F.col("_n") == k) & (F.col("_far") <= F.col("_reach")))
-        top = materialise(top.select("pid", "sid", "km", "rn"))
-        out = top if out is None else out.unionByName(top)
-        if size >= WHOLE:
-            return out
-        left = materialise(left.join(top.where("rn = 1").select("pid"), "pid", "left_anti"))
-        if left.isEmpty():
-            return out
-        size = WHOLE if size * 4 > 90 else size * 4
+        if within_reach:  # what is outside the box is out of reach as well
+            j = j.where((F.abs(F.col("slat") - F.col("lat")) <= F.col("width")) & (F.abs(F.col("slon") - F.col("lon")) <= F.col("width")))
+        j = j.withColumn("km", haversine_km("lat", "lon", "slat", "slon"))
+        if within_reach:
+            j = j.where(F.col("km") <= F.col("reach"))
+        j = j.select("pid", "sid", "km")
+        return j.withColumn("rn", F.row_number().over(by.orderBy("km", "sid"))).where(F.col("rn") <= k)
+
+    own = materialise(_own_cells(points, cells, (need + 2) // 3))
+    nine = _beside(own.where("at is not null").select("at").distinct(), 1, 1).join(cells, ["level", "cx", "cy"]).groupBy("at").agg(F.sum("n").alias("held"))
+    easy = own.join(nine.where(F.col("held") <= 16 * need + 64).select("at"), "at")
+    easy = easy.withColumn("width", _width(F.col("at.level"))).withColumn("reach", _reach_km(F.col("width")))
+    levels = [r["level"] for r in own.where("at is not null").select("at.level").distinct().collect()]  # one for each level
+    top = ranked(_beside(easy, 1, 1).drop("at"), sorted(levels), True)
+    top = top.withColumn("_n", F.count("*").over(by)).where(F.col("_n") == k)
+    top = materialise(top.select("pid", "sid", "km", "rn"))
+    left = materialise(own.join(top.where("rn = 1").select("pid"), "pid", "left_anti").select("pid", "lat", "lon"))
+    if left.isEmpty():
+        return top
+    return top.unionByName(ranked(*_cells_near(left, cells, need, max(48, 4 * need)), False))
 
 
 def within(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
