@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.score import half_up, trip_sustainability
+from ..sources.shared import materialise
 
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
@@ -114,23 +115,45 @@ def violation_rates(verdicts: DataFrame, runs: DataFrame) -> DataFrame:
     return g.unpivot("system", VIOLATIONS, "violation", "pct")
 
 
-def at_ranks(df: DataFrame, group: str, value: str, ranks: DataFrame, parts: int = 1024) -> DataFrame:
+def at_ranks(df: DataFrame, group: str, value: str, ranks: DataFrame, parts: int = 64, most: int = 1 << 18) -> DataFrame:
     """(group, p, value): the value at rank ``r`` from 0 of its group in order, for ``ranks(group, p, r)``.
 
-    Equal values are counted first.  The range of each group is cut into parts,
-    whose counts tell which part holds a rank; only that part is put in order, so
-    no task sorts a group.  Null values are left out.
+    Equal values are counted first.  While more than ``most`` values may hold a
+    rank, they are split at approximate quantiles of themselves, whatever their
+    spread, and the counts of the parts tell which one holds it; only that part
+    goes on, so no task orders more than ``most`` values.  The result is exact.
+    Null values are left out.
     """
-    v = df.select(group, F.col(value).cast("double").alias("value")).where("value is not null").groupBy(group, "value").agg(F.count("*").alias("n"))
-    ends = v.groupBy(group).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts)).otherwise(F.lit(0)).cast("int")
-    v = v.join(ends, group).select(group, "value", "n", part.alias("part"))
-    sums = v.groupBy(group, "part").agg(F.sum("n").alias("m"))
-    sums = sums.withColumn("upto", F.sum("m").over(Window.partitionBy(group).orderBy("part")))  # at most parts + 1 rows of a group
-    hit = sums.join(ranks, group).where((F.col("r") >= F.col("upto") - F.col("m")) & (F.col("r") < F.col("upto"))).select(group, "part", "p", (F.col("r") - F.col("upto") + F.col("m")).alias("at"))
-    rows = v.join(hit.select(group, "part").distinct(), [group, "part"], "left_semi")
-    rows = rows.withColumn("last", F.sum("n").over(Window.partitionBy(group, "part").orderBy("value")))
-    return rows.join(hit, [group, "part"]).where((F.col("at") >= F.col("last") - F.col("n")) & (F.col("at") < F.col("last"))).select(group, "p", "value")
+    v = materialise(df.select(group, F.col(value).cast("double").alias("value")).where("value is not null").groupBy(group, "value").agg(F.count("*").alias("n")))
+    none = F.lit(None).cast("double")
+    # a rank is among the values in (lo, hi], with base rows below them
+    want = ranks.select(group, "p", "r", F.lit(0).cast("long").alias("span"), none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("base"))
+    want = materialise(want)
+
+    def inside(spans: DataFrame) -> DataFrame:
+        j = v.join(spans.select(group, "span", "lo", "hi").distinct(), group)
+        return j.where((F.col("lo").isNull() | (F.col("value") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi"))))
+
+    while True:
+        sizes = inside(want).groupBy(group, "span").agg(F.count("*").alias("rows")).where(F.col("rows") > most)
+        big = want.join(sizes.select(group, "span"), [group, "span"], "left_semi")
+        big = materialise(big)
+        if big.isEmpty():
+            break
+        held = inside(big)
+        ends = F.percentile_approx("value", [k / parts for k in range(1, parts)], 10_000).alias("ends")
+        held = held.join(held.groupBy(group, "span").agg(ends), [group, "span"])
+        part = F.size(F.filter("ends", lambda x: x < F.col("value")))
+        sums = held.groupBy(group, "span", part.alias("part")).agg(F.sum("n").alias("m"), F.max("value").alias("top"))
+        w = Window.partitionBy(group, "span").orderBy("part")  # at most ``parts`` rows
+        sums = sums.withColumns({"upto": F.sum("m").over(w), "below": F.lag("top").over(w)})
+        at = F.col("r") - F.col("base")
+        hit = big.join(sums, [group, "span"]).where((at >= F.col("upto") - F.col("m")) & (at < F.col("upto")))
+        hit = hit.select(group, "p", "r", (F.col("span") * (parts + 1) + F.col("part") + 1).alias("span"), F.coalesce("below", "lo").alias("lo"), F.col("top").alias("hi"), (F.col("base") + F.col("upto") - F.col("m")).alias("base"))
+        want = materialise(want.join(big.select(group, "span").distinct(), [group, "span"], "left_anti").select(*hit.columns).unionByName(hit))
+    rows = inside(want).withColumn("last", F.sum("n").over(Window.partitionBy(group, "span").orderBy("value")))
+    at = F.col("r") - F.col("base")
+    return rows.select(group, "span", "value", "n", "last").join(want, [group, "span"]).where((at >= F.col("last") - F.col("n")) & (at < F.col("last"))).select(group, "p", "value")
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, percents: list[int]) -> DataFrame:

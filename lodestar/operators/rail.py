@@ -69,7 +69,7 @@ def station_match(wanted: DataFrame, stations: DataFrame) -> DataFrame:
     return best.select("wanted", F.col("x.station_id").alias("station_id"), F.col("x.match").alias("match"))
 
 
-def rail_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000) -> DataFrame:
+def rail_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(src, node, minutes, km, km_by_class): the fastest path along the track from each source to all it reaches.
 
     ``edges(a, b, km, cls)``, ``sources(src)``.  The frontier of improved nodes is
@@ -84,7 +84,7 @@ def rail_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000) ->
     none = F.struct(*(F.lit(0.0).alias(c) for c in classes))
     best = sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("minutes"), F.lit(0.0).alias("km"), none.alias("parts"))
     best = materialise(best.withColumn("fresh", F.lit(True)))
-    for _ in range(max_hops):
+    while True:
         front = best.where("fresh")
         more = F.struct(*((F.col("parts")[c] + F.when(F.col("cls") == c, F.col("w")).otherwise(0.0)).alias(c) for c in classes))
         step = front.join(e, front["node"] == e["a"]).select("src", F.col("b").alias("node"), F.round(F.col("minutes") + F.col("t"), 9).alias("minutes"), (F.col("km") + F.col("w")).alias("km"), more.alias("parts"), F.lit(True).alias("fresh"))

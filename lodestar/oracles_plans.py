@@ -206,6 +206,23 @@ z AS (SELECT request_id, count(*) AS b, (SELECT count(*) FROM sup WHERE sup.requ
 SELECT request_id, CASE WHEN b > 0 THEN round((b - a) * 100.0 / b, 2) ELSE 0.0 END AS domain_reduction_pct, CASE WHEN a > 0 THEN round((a - least(k, a)) * 100.0 / a, 2) ELSE 0.0 END AS cap_reduction_pct FROM z""",
     )
     o["best_day_pair"] = _W(_REQ, _CAND + ",\n" + _AFFORD + ",\n" + _DAYPAIR + "\nSELECT request_id, poi_id AS a, poi2 AS b, v AS value FROM best")
+    o["best_day"] = _W(
+        _REQ,
+        _CAND
+        + ",\n"
+        + _AFFORD
+        + ",\n"
+        + _DAYPAIR
+        + f""",
+tr AS (SELECT d.request_id, d.poi_id AS a, d.poi2 AS b, c.poi_id AS c, d.t2, d.u + d.u2 - (d.hop + d.m) / 60.0 * 0.12 AS w2, c.u AS u3, c.hours_estimated AS he3, c.open_min AS op3, c.close_min AS cl3, c.typical_dwell_min AS dw3,
+    {hav("k.lat", "k.lon", "c.lat", "c.lon")} * 1.35 / 35.0 * 60.0 AS m2, {hav("d.lat", "d.lon", "c.lat", "c.lon")} * 1.35 / 35.0 * 60.0 AS m3
+  FROM d3 d JOIN kc c ON c.request_id = d.request_id AND c.poi_id <> d.poi_id AND c.poi_id <> d.poi2 AND d.entry_fee_lkr + d.fee2 + c.entry_fee_lkr <= d.poi_budget
+  JOIN kc k ON k.request_id = d.request_id AND k.poi_id = d.poi2),
+t3 AS (SELECT *, CASE WHEN he3 THEN t2 + ceil(m2) + 15 ELSE greatest(t2 + ceil(m2) + 15, op3) END + dw3 AS e FROM tr WHERE m2 <= 120 AND m3 <= 150),
+al AS (SELECT request_id, v, poi_id || ',' || poi2 AS stops, [poi_id, poi2] AS l FROM d3
+  UNION ALL SELECT request_id, round(w2 + u3 - m2 / 60.0 * 0.12, 6), a || ',' || b || ',' || c, [a, b, c] FROM t3 WHERE (he3 OR e <= cl3) AND e <= 1080)
+SELECT request_id, stops, v AS value FROM al QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY v DESC, l) = 1""",
+    )
     o["conflicts"] = _W(
         _REQ,
         _CAND

@@ -74,26 +74,83 @@ def reach_prune(cand: DataFrame, required: int = 2) -> DataFrame:
         slots = materialise(slots)
 
 
+_DAY = ["request_id", "poi_id", "lat", "lon", "typical_dwell_min", "open_min", "close_min", "hours_estimated", "entry_fee_lkr", "utility", "poi_budget", "distance_from_start_km"]
+COST_PER_HOUR = 0.12
+
+
+def _leave(at, est: str, opens: str, dwell: str):
+    """Minute at which a stop reached ``at`` is left: real hours are waited for."""
+    return F.when(F.col(est), at).otherwise(F.greatest(at, F.col(opens))) + F.col(dwell)
+
+
+def _in_time(end: str, est: str, closes: str):
+    return (F.col(est) | (F.col(end) <= F.col(closes))) & (F.col(end) <= DAY_END)
+
+
+def _two_stops(c: DataFrame) -> DataFrame:
+    """Ordered pairs of a request's candidates that a first day allows, with hop and m, t2, spent and worth (not rounded)."""
+    j = c.join(_other(c, "no", "utility", "open_min", "close_min", "hours_estimated", "entry_fee_lkr"), "request_id").where("no <> no2")
+    hop = F.col("distance_from_start_km") * DETOUR / ROAD_KMH * 60.0
+    j = j.withColumns({"hop": hop, "m": pair_minutes()}).where((F.col("hop") <= MAX_TRANSFER) & (F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
+    j = j.withColumn("t1", _leave(F.lit(DAY_START) + F.ceil("hop") + BUFFER, "hours_estimated", "open_min", "typical_dwell_min"))
+    j = j.withColumn("t2", _leave(F.col("t1") + F.ceil("m") + BUFFER, "hours_estimated2", "open_min2", "dwell2"))
+    j = j.where(_in_time("t1", "hours_estimated", "close_min") & _in_time("t2", "hours_estimated2", "close_min2"))
+    j = j.withColumn("spent", F.col("entry_fee_lkr") + F.col("entry_fee_lkr2")).where(F.col("spent") <= F.col("poi_budget"))
+    return j.withColumn("worth", F.col("utility") + F.col("utility2") - (F.col("hop") + F.col("m")) / 60.0 * COST_PER_HOUR)
+
+
+def _day_pool(capped: DataFrame) -> DataFrame:
+    """The kept candidates, numbered within their request in the order of their ids."""
+    w = Window.partitionBy("request_id").orderBy("poi_id")
+    return materialise(capped.where("keep").select(*_DAY).withColumn("no", F.row_number().over(w)))
+
+
 def best_day_pair(capped: DataFrame) -> DataFrame:
     """(request_id, a, b, value): the best two-stop first day of each request, exactly.
 
     Value is utility less 0.12 an hour of travel; the planner's limits hold, with
     minutes rounded up.
     """
-    c = capped.where("keep")
-    j = c.join(_other(c, "utility", "open_min", "close_min", "hours_estimated", "entry_fee_lkr"), "request_id").where("poi_id <> poi2")
-    hop = F.col("distance_from_start_km") * DETOUR / ROAD_KMH * 60.0
-    j = j.withColumns({"hop": hop, "m": pair_minutes()}).where((F.col("hop") <= MAX_TRANSFER) & (F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
-    at = lambda t, est, op: F.when(F.col(est), t).otherwise(F.greatest(t, F.col(op)))
-    j = j.withColumn("t1", at(F.lit(DAY_START) + F.ceil("hop") + BUFFER, "hours_estimated", "open_min") + F.col("typical_dwell_min"))
-    j = j.withColumn("t2", at(F.col("t1") + F.ceil("m") + BUFFER, "hours_estimated2", "open_min2") + F.col("dwell2"))
-    j = j.where((F.col("hours_estimated") | (F.col("t1") <= F.col("close_min"))) & (F.col("hours_estimated2") | (F.col("t2") <= F.col("close_min2"))) & (F.col("t2") <= DAY_END))
-    j = j.where(F.col("entry_fee_lkr") + F.col("entry_fee_lkr2") <= F.col("poi_budget"))
-    value = F.round(F.col("utility") + F.col("utility2") - (F.col("hop") + F.col("m")) / 60.0 * 0.12, 6)
-    best = j.groupBy("request_id").agg(F.min(F.struct((-value).alias("v"), F.col("poi_id").alias("a"), F.col("poi2").alias("b"))).alias("x"))
+    j = _two_stops(_day_pool(capped)).withColumn("value", F.round("worth", 6))
+    best = j.groupBy("request_id").agg(F.min(F.struct((-F.col("value")).alias("v"), F.col("poi_id").alias("a"), F.col("poi2").alias("b"))).alias("x"))
     return best.select("request_id", "x.a", "x.b", (-F.col("x.v")).alias("value"))
 
 
+def best_day(capped: DataFrame, tried: int = 4) -> DataFrame:
+    """(request_id, stops, value): the best first day of two or three stops of each request, exactly; ties by the stops' ids.
+
+    A pair can gain at most the best that any third stop adds after its second
+    one, travel counted.  The pairs with the highest such bound are completed
+    first, ``tried`` of them, which gives each request a day to beat; only pairs
+    whose bound reaches it meet third stops then.  ``tried`` changes the work, not
+    the result.
+    """
+    c = _day_pool(capped)
+    gain = F.col("utility") - F.col("m") / 60.0 * COST_PER_HOUR
+    reach = c.join(_other(c, "no"), "request_id").where("no <> no2").withColumn("m", pair_minutes()).where((F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
+    most = reach.groupBy("request_id", F.col("no2").alias("b")).agg(F.max(gain).alias("most"))
+    pairs = _two_stops(c).select("request_id", F.col("no").alias("a"), F.col("no2").alias("b"), "t2", "spent", "worth", "poi_budget", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.col("lat2").alias("lat1"), F.col("lon2").alias("lon1"))
+    pairs = materialise(pairs.join(most, ["request_id", "b"], "left").withColumn("bound", F.col("worth") + F.greatest(F.coalesce("most", F.lit(0.0)), F.lit(0.0)) + 1e-6))
+    third = c.select("request_id", F.col("no").alias("c"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "typical_dwell_min", "open_min", "close_min", "hours_estimated", "entry_fee_lkr", "utility")
+
+    def completed(pairs: DataFrame) -> DataFrame:
+        j = pairs.join(third, "request_id").where((F.col("c") != F.col("a")) & (F.col("c") != F.col("b")) & (F.col("spent") + F.col("entry_fee_lkr") <= F.col("poi_budget")))
+        minutes = lambda k: haversine_km(f"lat{k}", f"lon{k}", "lat2", "lon2") * DETOUR / ROAD_KMH * 60.0
+        j = j.withColumn("m", minutes(1)).where((F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
+        j = j.withColumn("t3", _leave(F.col("t2") + F.ceil("m") + BUFFER, "hours_estimated", "open_min", "typical_dwell_min")).where(_in_time("t3", "hours_estimated", "close_min"))
+        j = j.where(minutes(0) <= MAX_INTRA_DAY)
+        return j.select("request_id", F.round(F.col("worth") + F.col("utility") - F.col("m") / 60.0 * COST_PER_HOUR, 6).alias("value"), F.array("a", "b", "c").alias("day"))
+
+    two = pairs.select("request_id", F.round("worth", 6).alias("value"), F.array("a", "b").alias("day"))
+    w = Window.partitionBy("request_id").orderBy(F.desc("bound"), "a", "b")
+    first = completed(pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= tried))
+    least = materialise(two.unionByName(first).groupBy("request_id").agg(F.max("value").alias("least")))
+    hopeful = pairs.join(least, "request_id").where(F.col("bound") >= F.col("least")).drop("least")
+    best = two.unionByName(completed(hopeful)).groupBy("request_id").agg(F.min(F.struct((-F.col("value")).alias("v"), "day")).alias("x"))
+    stops = best.select("request_id", (-F.col("x.v")).alias("value"), F.posexplode("x.day").alias("at", "no")).join(c.select("request_id", "no", "poi_id"), ["request_id", "no"])
+    return stops.groupBy("request_id", "value").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "poi_id"))), lambda x: x["poi_id"]).alias("stops")).select("request_id", "stops", "value")
+
+
 def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
     """(request_id, rank, stops, days, value, spent, truncated): the plans a beam keeps, best first; days has each stop's.
 
@@ -102,8 +159,9 @@ def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
     so far, its clock, place and money.  ``truncated`` tells whether states were
     ever dropped for width; if not, the first plan is optimal.
     """
-    c = capped.where("keep").select("request_id", "poi_id", "lat", "lon", "typical_dwell_min", "open_min", "close_min", "hours_estimated", "entry_fee_lkr", "utility", "poi_budget", "n_days")
-    c = materialise(c)
+    cols = ["request_id", "poi_id", "lat", "lon", "typical_dwell_min", "open_min", "close_min", "hours_estimated", "entry_fee_lkr", "utility", "poi_budget", "n_days"]
+    capped = materialise(capped.select(*cols, "start_lat", "start_lon", "keep"))
+    c = capped.where("keep").select(*cols)
     days = c.agg(F.max("n_days")).first()[0] or 0
     starts = capped.select("request_id", "n_days", "poi_budget", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")).distinct()
     state = starts.select("request_id", "n_days", "poi_budget", "lat", "lon", F.array().cast("array<string>").alias("stops"), F.array().cast("array<int>").alias("days"), F.array().cast("array<struct<lat: double, lon: double>>").alias("today"), F.lit(float(DAY_START)).alias("clock"), F.lit(0.0).alias("value"), F.lit(0.0).alias("spent"), F.lit(False).alias("truncated"))
@@ -172,7 +230,7 @@ def alternatives(plans: DataFrame, shared: float = 0.5, quality: float = 0.9, mo
         ok = ~alike & (x["value"] >= F.col("best.value") * quality) & (F.size(chosen) <= most)
         return F.when(ok, F.concat(chosen, F.array(x))).otherwise(chosen).cast(kind)
 
-    picked = F.aggregate(F.slice("items", 2, 1000), F.array("best").cast(kind), step)
+    picked = F.aggregate(F.slice("items", F.lit(2), F.size("items")), F.array("best").cast(kind), step)
     out = g.select("request_id", F.posexplode(picked).alias("alt", "p")).where("alt > 0")
     return out.select("request_id", F.col("alt").cast("int").alias("alt"), "p.stops", "p.value")
 

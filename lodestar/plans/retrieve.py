@@ -9,6 +9,7 @@ from ..functions import score
 from ..functions.geo import haversine_km
 from ..operators.near import within
 from ..sources.dims import DETOUR, MAX_TRANSFER, ROAD_KMH
+from ..sources.shared import materialise
 
 FLOOR, RADIUS_KM, WIDE_KM = 0.25, 60.0, 250.0
 LEAST, MOST = 15, 150
@@ -92,7 +93,11 @@ def cheapest_total(pool: DataFrame, need: int = 2) -> DataFrame:
 
 
 def keep_affordable(capped: DataFrame, need: int = 2) -> DataFrame:
-    """``capped`` with keep also set on the cheapest places where the capped pool cannot pay and the whole pool can."""
+    """``capped`` with keep also set on the cheapest places where the capped pool cannot pay and the whole pool can.
+
+    The pool is read three times, so it is written once.
+    """
+    capped = materialise(capped)
     inside = cheapest_total(capped.where("keep"), need).withColumnRenamed("total", "inside")
     whole = cheapest_total(capped, need).withColumnRenamed("total", "whole")
     w = Window.partitionBy("request_id").orderBy("entry_fee_lkr", F.desc("utility"), "poi_id")

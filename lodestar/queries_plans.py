@@ -171,6 +171,10 @@ def best_day_pair(s, d):
     return planner.best_day_pair(_capped(s, d))
 
 
+def best_day(s, d):
+    return planner.best_day(_capped(s, d)).select("request_id", F.array_join("stops", ",").alias("stops"), "value")
+
+
 def beam_plan(s, d):
     p = planner.beam_plan(_capped(s, d)).where("rank = 1")
     return p.select("request_id", F.array_join("stops", ",").alias("stops"), "value", "spent", "truncated")
