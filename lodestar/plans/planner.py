@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km
+from ..functions.geo import chord_km, on_sphere
 from ..sources.shared import materialise
 from ..sources.dims import BUFFER, DAY_END, DAY_START, DETOUR, MAX_INTRA_DAY, MAX_LEG, MAX_TRANSFER, ROAD_KMH
 from .retrieve import keep_affordable, pair_minutes, stratified_cap
@@ -76,6 +76,12 @@ def reach_prune(cand: DataFrame, required: int = 2) -> DataFrame:
 
 _DAY = ["request_id", "poi_id", "lat", "lon", "typical_dwell_min", "open_min", "close_min", "hours_estimated", "entry_fee_lkr", "utility", "poi_budget", "distance_from_start_km"]
 COST_PER_HOUR = 0.12
+_XYZ = ("ux", "uy", "uz")
+
+
+def _chord_minutes(a: str, b: str):
+    """Estimated minutes between the unit vectors whose columns end in ``a`` and ``b``."""
+    return chord_km([F.col(c + a) for c in _XYZ], [F.col(c + b) for c in _XYZ]) * DETOUR / ROAD_KMH * 60.0
 
 
 def _leave(at, est: str, opens: str, dwell: str):
@@ -89,9 +95,9 @@ def _in_time(end: str, est: str, closes: str):
 
 def _two_stops(c: DataFrame) -> DataFrame:
     """Ordered pairs of a request's candidates that a first day allows, with hop and m, t2, spent and worth (not rounded)."""
-    j = c.join(_other(c, "no", "utility", "open_min", "close_min", "hours_estimated", "entry_fee_lkr"), "request_id").where("no <> no2")
-    hop = F.col("distance_from_start_km") * DETOUR / ROAD_KMH * 60.0
-    j = j.withColumns({"hop": hop, "m": pair_minutes()}).where((F.col("hop") <= MAX_TRANSFER) & (F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
+    first = c.withColumn("hop", F.col("distance_from_start_km") * DETOUR / ROAD_KMH * 60.0).where(F.col("hop") <= MAX_TRANSFER)
+    j = first.join(_other(c, "no", *_XYZ, "utility", "open_min", "close_min", "hours_estimated", "entry_fee_lkr"), "request_id").where("no <> no2")
+    j = j.withColumn("m", _chord_minutes("", "2")).where((F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
     j = j.withColumn("t1", _leave(F.lit(DAY_START) + F.ceil("hop") + BUFFER, "hours_estimated", "open_min", "typical_dwell_min"))
     j = j.withColumn("t2", _leave(F.col("t1") + F.ceil("m") + BUFFER, "hours_estimated2", "open_min2", "dwell2"))
     j = j.where(_in_time("t1", "hours_estimated", "close_min") & _in_time("t2", "hours_estimated2", "close_min2"))
@@ -102,7 +108,7 @@ def _two_stops(c: DataFrame) -> DataFrame:
 def _day_pool(capped: DataFrame) -> DataFrame:
     """The kept candidates, numbered within their request in the order of their ids."""
     w = Window.partitionBy("request_id").orderBy("poi_id")
-    return materialise(capped.where("keep").select(*_DAY).withColumn("no", F.row_number().over(w)))
+    return materialise(capped.where("keep").select(*_DAY).withColumns({"no": F.row_number().over(w), **on_sphere("lat", "lon")}))
 
 
 def best_day_pair(capped: DataFrame) -> DataFrame:
@@ -127,18 +133,17 @@ def best_day(capped: DataFrame, tried: int = 4) -> DataFrame:
     """
     c = _day_pool(capped)
     gain = F.col("utility") - F.col("m") / 60.0 * COST_PER_HOUR
-    reach = c.join(_other(c, "no"), "request_id").where("no <> no2").withColumn("m", pair_minutes()).where((F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
+    reach = c.join(_other(c, "no", *_XYZ), "request_id").where("no <> no2").withColumn("m", _chord_minutes("", "2")).where((F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
     most = reach.groupBy("request_id", F.col("no2").alias("b")).agg(F.max(gain).alias("most"))
-    pairs = _two_stops(c).select("request_id", F.col("no").alias("a"), F.col("no2").alias("b"), "t2", "spent", "worth", "poi_budget", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.col("lat2").alias("lat1"), F.col("lon2").alias("lon1"))
+    pairs = _two_stops(c).select("request_id", F.col("no").alias("a"), F.col("no2").alias("b"), "t2", "spent", "worth", "poi_budget", *(F.col(u).alias(f"{u}0") for u in _XYZ), *(F.col(f"{u}2").alias(f"{u}1") for u in _XYZ))
     pairs = materialise(pairs.join(most, ["request_id", "b"], "left").withColumn("bound", F.col("worth") + F.greatest(F.coalesce("most", F.lit(0.0)), F.lit(0.0)) + 1e-6))
-    third = c.select("request_id", F.col("no").alias("c"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "typical_dwell_min", "open_min", "close_min", "hours_estimated", "entry_fee_lkr", "utility")
+    third = c.select("request_id", F.col("no").alias("c"), *_XYZ, "typical_dwell_min", "open_min", "close_min", "hours_estimated", "entry_fee_lkr", "utility")
 
     def completed(pairs: DataFrame) -> DataFrame:
         j = pairs.join(third, "request_id").where((F.col("c") != F.col("a")) & (F.col("c") != F.col("b")) & (F.col("spent") + F.col("entry_fee_lkr") <= F.col("poi_budget")))
-        minutes = lambda k: haversine_km(f"lat{k}", f"lon{k}", "lat2", "lon2") * DETOUR / ROAD_KMH * 60.0
-        j = j.withColumn("m", minutes(1)).where((F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
+        j = j.withColumn("m", _chord_minutes("1", "")).where((F.col("m") <= MAX_LEG) & (F.col("m") <= MAX_INTRA_DAY))
         j = j.withColumn("t3", _leave(F.col("t2") + F.ceil("m") + BUFFER, "hours_estimated", "open_min", "typical_dwell_min")).where(_in_time("t3", "hours_estimated", "close_min"))
-        j = j.where(minutes(0) <= MAX_INTRA_DAY)
+        j = j.where(_chord_minutes("0", "") <= MAX_INTRA_DAY)
         return j.select("request_id", F.round(F.col("worth") + F.col("utility") - F.col("m") / 60.0 * COST_PER_HOUR, 6).alias("value"), F.array("a", "b", "c").alias("day"))
 
     two = pairs.select("request_id", F.round("worth", 6).alias("value"), F.array("a", "b").alias("day"))
@@ -163,20 +168,22 @@ def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
     capped = materialise(capped.select(*cols, "start_lat", "start_lon", "keep"))
     c = capped.where("keep").select(*cols)
     days = c.agg(F.max("n_days")).first()[0] or 0
-    starts = capped.select("request_id", "n_days", "poi_budget", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")).distinct()
-    state = starts.select("request_id", "n_days", "poi_budget", "lat", "lon", F.array().cast("array<string>").alias("stops"), F.array().cast("array<int>").alias("days"), F.array().cast("array<struct<lat: double, lon: double>>").alias("today"), F.lit(float(DAY_START)).alias("clock"), F.lit(0.0).alias("value"), F.lit(0.0).alias("spent"), F.lit(False).alias("truncated"))
+    starts = capped.select("request_id", "n_days", "poi_budget", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")).distinct().withColumns(on_sphere("lat", "lon"))
+    spots = F.array().cast("array<struct<ux: double, uy: double, uz: double>>").alias("today")
+    state = starts.select("request_id", "n_days", "poi_budget", *_XYZ, F.array().cast("array<string>").alias("stops"), F.array().cast("array<int>").alias("days"), spots, F.lit(float(DAY_START)).alias("clock"), F.lit(0.0).alias("value"), F.lit(0.0).alias("spent"), F.lit(False).alias("truncated"))
     cols = state.columns
-    nxt = c.drop("poi_budget", "n_days").withColumnsRenamed({"lat": "lat2", "lon": "lon2"})
+    nxt = c.drop("poi_budget", "n_days").withColumns(on_sphere("lat", "lon", "next_")).drop("lat", "lon")
+    there = [F.col(f"next_{k}") for k in "xyz"]
     for day in range(1, days + 1):
-        state = state.withColumns({"clock": F.lit(float(DAY_START)), "today": F.array().cast("array<struct<lat: double, lon: double>>")})
+        state = state.withColumns({"clock": F.lit(float(DAY_START)), "today": spots})
         for slot in range(SLOTS):
             going = F.col("n_days") >= day
             full = F.size("today") == slot
             rest = state.where(~going)
             j = state.where(going & full).join(nxt, "request_id").where(~F.array_contains("stops", F.col("poi_id")))
-            m = F.ceil(pair_minutes()).cast("double")
+            m = F.ceil(chord_km([F.col(u) for u in _XYZ], there) * DETOUR / ROAD_KMH * 60.0).cast("double")
             j = j.withColumn("m", m).where(F.col("m") <= F.lit(MAX_TRANSFER if slot == 0 else MAX_LEG))
-            apart = F.exists("today", lambda t: haversine_km(t["lat"], t["lon"], F.col("lat2"), F.col("lon2")) * DETOUR / ROAD_KMH * 60.0 > MAX_INTRA_DAY)
+            apart = F.exists("today", lambda t: chord_km([t[u] for u in _XYZ], there) * DETOUR / ROAD_KMH * 60.0 > MAX_INTRA_DAY)
             at = F.col("clock") + F.col("m") + BUFFER
             at = F.when(F.col("hours_estimated"), at).otherwise(F.greatest(at, F.col("open_min").cast("double")))
             j = j.where(~apart).withColumn("end", at + F.col("typical_dwell_min"))
@@ -185,11 +192,10 @@ def beam_plan(capped: DataFrame, width: int = 20) -> DataFrame:
                 "request_id",
                 "n_days",
                 "poi_budget",
-                F.col("lat2").alias("lat"),
-                F.col("lon2").alias("lon"),
+                *(x.alias(u) for x, u in zip(there, _XYZ)),
                 F.concat("stops", F.array("poi_id")).alias("stops"),
                 F.concat("days", F.array(F.lit(day))).alias("days"),
-                F.concat("today", F.array(F.struct(F.col("lat2").alias("lat"), F.col("lon2").alias("lon")))).alias("today"),
+                F.concat("today", F.array(F.struct(*(x.alias(u) for x, u in zip(there, _XYZ))))).alias("today"),
                 F.col("end").alias("clock"),
                 F.round(F.col("value") + F.col("utility") - F.col("m") / 60.0 * 0.12, 6).alias("value"),
                 (F.col("spent") + F.col("entry_fee_lkr")).alias("spent"),
