@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import score, text
 from .operators import metrics, rail
-from .plans import legs, planner, retrieve
+from .plans import legs, planner, retrieve, scenarios
 from .sources import views as V
 from .sources.dims import BUDGETS, DURATIONS, PROFILES
 from .streaming import jobs
@@ -389,6 +389,17 @@ def planner_gates(s, d):
     return gates_of("rule_based", _cand(s, d).withColumn("poi_budget", F.col("poi_budget") * 0.3))
 
 
+def all_gates(s, d):
+    """Gates T1 to T6 and T8 to T10 of every planner, the beam included."""
+    return scenarios.all_gates(_requests(s, d), V.v_place(s, d))
+
+
+def beam_sensitivity(s, d):
+    """The beam's plans under twice the budget, two profiles and a repetition."""
+    r = _requests(s, d)
+    return scenarios.sensitivity(scenarios.scenario_plans("beam", scenarios.scenario_candidates(r, V.v_place(s, d))), r)
+
+
 def query_set(s, d):
     """The request grid times the customers' market segments as repeats."""
     b = s.createDataFrame(list(BUDGETS.items()), "budget_band string, budget double")

@@ -46,4 +46,4 @@ def test_same_rows_as_sql(spark, db, name):
 
 
 def test_queries_without_sql_are_tested_elsewhere():
-    assert set(Q.queries()) - set(SQL) == {"alternatives", "beam_plan", "dedupe_pois", "planner_gates", "sensitivity", "speed_fit", "token_sort_ratio"}
+    assert set(Q.queries()) - set(SQL) == {"all_gates", "alternatives", "beam_plan", "beam_sensitivity", "dedupe_pois", "planner_gates", "sensitivity", "speed_fit", "token_sort_ratio"}
