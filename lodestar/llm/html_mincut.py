@@ -300,8 +300,8 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     """Labels that minimise the cost: a block with gain g costs g to leave out, or -g to take; an edge costs its weight when its ends differ.
 
     A block whose gain outweighs all its edges keeps its sign in a minimum cut;
-    such blocks are settled first and their edges passed on as gains.  Maximum
-    flow by shortest augmenting paths settles the others.  Ties take.
+    such blocks are settled first and their edges passed on as gains; ``_settle``
+    does the others.  Ties take.
     """
     n = len(gain)
     gain = list(gain)
@@ -320,17 +320,71 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 gain[j] += w if label[i] else -w
                 todo.append(j)
             near[i] = {}
-    free = [i for i in range(n) if label[i] is None]
-    if not free:
-        return label  # type: ignore[return-value]
+    _settle(label, gain, near)
+    return label  # type: ignore[return-value]
+
+
+def _settle(label: list[bool | None], gain: list[float], near: list[dict[int, float]]) -> None:
+    """Labels of the blocks that have none yet.
+
+    A block with at most two neighbours is replaced by what it costs at best for
+    each of their labels; the edges of a page, to the block before and to the last
+    one of the same parent, do not cross, so this takes page after page apart to
+    nothing, in time proportional to its blocks.  What a graph of another kind has
+    left over is settled by maximum flow.  Labels are then read back, last first.
+    """
+    free = [i for i in range(len(label)) if label[i] is None]
+    cost = {i: [max(0.0, gain[i]), max(0.0, -gain[i])] for i in free}  # of leaving out, of taking
+    pair = {i: {j: ((0.0, w), (w, 0.0)) for j, w in near[i].items()} for i in free}
+    order, todo, gone = [], deque(i for i in free if len(pair[i]) <= 2), set()
+    while todo:
+        i = todo.popleft()
+        if i in gone or len(pair[i]) > 2:
+            continue
+        gone.add(i)
+        own, ends = cost[i], list(pair[i].items())
+        order.append((i, own, ends))
+        for j, _ in ends:
+            del pair[j][i]
+        if len(ends) == 1:
+            ((a, p),) = ends
+            for x in (0, 1):
+                cost[a][x] += min(own[0] + p[0][x], own[1] + p[1][x])
+        elif ends:
+            (a, p), (b, q) = ends
+            t = [[min(own[0] + p[0][x] + q[0][y], own[1] + p[1][x] + q[1][y]) for y in (0, 1)] for x in (0, 1)]
+            old = pair[a].get(b, ((0.0, 0.0), (0.0, 0.0)))
+            t = [[t[x][y] + old[x][y] for y in (0, 1)] for x in (0, 1)]
+            pair[a][b] = ((t[0][0], t[0][1]), (t[1][0], t[1][1]))
+            pair[b][a] = ((t[0][0], t[1][0]), (t[0][1], t[1][1]))
+        todo.extend(j for j, _ in ends if len(pair[j]) <= 2)
+    left = [i for i in free if i not in gone]
+    if left:
+        _flow(label, left, cost, pair)
+    for i, own, ends in reversed(order):
+        total = [own[x] + sum(p[x][int(label[j])] for j, p in ends) for x in (0, 1)]
+        label[i] = total[1] <= total[0] + 1e-12
+
+
+def _flow(label: list[bool | None], left: list[int], cost: dict[int, list[float]], pair: dict[int, dict[int, tuple]]) -> None:
+    """Labels by maximum flow along shortest augmenting paths."""
     # the source stands for boilerplate, so that what it cannot reach is content
-    source, sink = n, n + 1
-    room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in free}
-    room[source] = {i: -gain[i] for i in free if gain[i] < 0}
-    room[sink] = {}
-    for i in free:
-        if gain[i] > 0:
-            room[i][sink] = gain[i]
+    source, sink = -1, -2
+    room: dict[int, dict[int, float]] = {i: {} for i in left}
+    room[source], room[sink] = {}, {}
+    lean = {i: cost[i][1] - cost[i][0] for i in left}
+    for a in left:
+        for b, ((p, q), (r, s)) in pair[a].items():
+            if a < b:  # p + (r - p) a + (s - r) b + (q + r - p - s) (1 - a) b
+                lean[a] += r - p
+                lean[b] += s - r
+                room[a][b] = room[a].get(b, 0.0) + max(0.0, q + r - p - s)
+                room[b].setdefault(a, 0.0)
+    for i in left:
+        if lean[i] > 0:
+            room[source][i] = lean[i]
+        elif lean[i] < 0:
+            room[i][sink] = -lean[i]
     while True:
         back, queue = {source: source}, deque([source])
         while queue and sink not in back:
@@ -349,9 +403,8 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
         for a, b in path:
             room[a][b] -= flow
             room[b][a] = room[b].get(a, 0.0) + flow
-    for i in free:
+    for i in left:
         label[i] = i not in back
-    return label  # type: ignore[return-value]
 
 
 def main_text(page: str, weights: np.ndarray) -> str:

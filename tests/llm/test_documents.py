@@ -445,3 +445,49 @@ def test_mixed_documents_hold_the_words_taken(spark):
     for r in M.mix_report(df).collect():
         report[r.doc_id] += r.taken
     assert +words == +report
+
+
+def nested_edges(rng, n):
+    """Edges as a page has them: to the block before, and to the last block of the same parent."""
+    edges, last, stack, new = [(i - 1, i, rng.randint(0, 6) / 4) for i in range(1, n)], {}, [0], 1
+    for i in range(n):
+        move = rng.random()
+        if move < 0.35:
+            stack.append(new)
+            new += 1
+        elif move < 0.6 and len(stack) > 1:
+            stack.pop()
+        if stack[-1] in last:
+            edges.append((last[stack[-1]], i, rng.randint(0, 6) / 4))
+        last[stack[-1]] = i
+    return edges
+
+
+def test_cut_of_nested_and_of_dense_graphs_is_least_and_takes_ties():
+    rng = random.Random(4)
+    for t in range(120):
+        n = rng.randint(1, 9)
+        gain = [rng.randint(-6, 6) / 4 for _ in range(n)]
+        edges = nested_edges(rng, n) if t % 2 else [(a, b, rng.randint(0, 6) / 4) for a in range(n) for b in range(a) if rng.random() < 0.6]
+
+        def cost(x, gain=gain, edges=edges):
+            return sum(g if g > 0 and not k else -g if g < 0 and k else 0 for g, k in zip(gain, x)) + sum(w for a, b, w in edges if x[a] != x[b])
+
+        every = [[bool(m >> i & 1) for i in range(n)] for m in range(1 << n)]
+        best = min(map(cost, every))
+        # the largest of the least cuts
+        assert H.min_cut(gain, edges) == [any(x[i] for x in every if cost(x) == best) for i in range(n)]
+
+
+@pytest.mark.parametrize("row", ["<tr><td>{0}</td><td><a href=/x{0}>item {0}</a></td><td>red stone</td></tr>", "<li>{0} small</li>", "<p>blue stone {0}</p>", "<div><p>one {0}</p><ul><li>two</li></ul></div>"])
+def test_pages_of_very_many_blocks_take_time_in_proportion(row):
+    import time
+
+    def took(n):
+        page = "<body>" + "".join(row.format(i) for i in range(n))
+        began = time.process_time()
+        H.main_text(page, H.PRIOR)
+        return time.process_time() - began
+
+    took(200)
+    assert took(16_000) < 12 * max(took(2_000), 0.05)
