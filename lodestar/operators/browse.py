@@ -39,5 +39,16 @@ def page_of(places: DataFrame, page: int, size: int) -> DataFrame:
     return j.select(*places.columns, "total", F.ceil(F.col("total") / size).cast("long").alias("pages"), (F.col("total") > page * size).alias("has_next"), F.lit(page > 1).alias("has_prev"))
 
 
+def page_after(places: DataFrame, last: tuple[float, str] | None, size: int) -> DataFrame:
+    """The ``size`` places that follow the place of prominence and id ``last`` in the order of ``page_of``; the first ones for None.
+
+    Only the page itself is kept in order, however deep it lies.
+    """
+    if last is not None:
+        value, key = last
+        places = places.where((F.col("prominence") < value) | ((F.col("prominence") == value) & (F.col("poi_id") > key)))
+    return places.orderBy(F.desc("prominence"), "poi_id").limit(size)
+
+
 def top_prominent(places: DataFrame, n: int = 25) -> DataFrame:
     return places.orderBy(F.desc("prominence"), "poi_id").limit(n)

@@ -178,6 +178,21 @@ def average_rank(value: str, by: Window | None = None) -> Column:
     return F.rank().over(whole) + (F.count("*").over(peers) - 1) / F.lit(2.0)
 
 
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with rank, the place of a row's value from 1 with ties at their mean; null for null values.
+
+    Equal values are counted first, the values dealt out in ranges, and each
+    range starts after the counts of those before it, so no task orders all.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    n = materialise(n.repartitionByRange(value).withColumn("part", F.spark_partition_id()))
+    sums = n.groupBy("part").agg(F.sum("n").alias("m"))
+    before = sums.withColumn("before", F.sum("m").over(Window.orderBy("part")) - F.col("m"))  # a row for each range
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy(value))
+    ranks = n.withColumn("upto", upto).join(F.broadcast(before), "part").select(value, (F.col("before") + F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias("rank"))
+    return df.join(ranks, value, "left")
+
+
 def spearman(stays: DataFrame, value: str = "rooms") -> DataFrame:
     """(rho, n, t_stat) between the score of each stay type and its median of ``value``; types are few."""
     g = stays.groupBy("sltda_type").agg(F.first("category_score").alias("s"), F.median(value).alias("m")).where("s is not null and m is not null")

@@ -222,6 +222,8 @@ SELECT poi_id, round(coalesce(round((lv - lo) / (hi - lo), 4), 0.0), 3) AS popul
         ["v_place"],
         "SELECT poi_id, prominence, total, CAST(ceil(total / 20.0) AS BIGINT) AS pages, total > 60 AS has_next, true AS has_prev FROM (SELECT poi_id, prominence, count(*) OVER () AS total, row_number() OVER (ORDER BY prominence DESC, poi_id) AS rn FROM v_place WHERE category = 'nature') WHERE rn BETWEEN 41 AND 60",
     )
+    o["page_after"] = _W(["v_place"], "SELECT poi_id, prominence FROM v_place WHERE category = 'nature' AND (prominence < 0.75 OR (prominence = 0.75 AND poi_id > 'node/5')) ORDER BY prominence DESC, poi_id LIMIT 20")
+    o["average_ranks"] = _W(["v_place"], "SELECT poi_id, rank() OVER (ORDER BY prominence) + (count(*) OVER (PARTITION BY prominence) - 1) / 2.0::DOUBLE AS rank FROM v_place WHERE prominence IS NOT NULL")
     o["top_prominent"] = _W(["v_place"], "SELECT poi_id, prominence FROM v_place ORDER BY prominence DESC, poi_id LIMIT 25")
     o["place_by_id"] = _W(["v_place"], "SELECT poi_id, name, category, district FROM v_place WHERE poi_id = 'node/42'")
     o["missing_districts"] = _W(["v_place", "v_district"], "SELECT district FROM v_district EXCEPT SELECT district FROM v_place WHERE prominence > 0.75")

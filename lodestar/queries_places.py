@@ -373,6 +373,17 @@ def page_places(s, d):
     return browse.page_of(p, 3, 20)
 
 
+def page_after(s, d):
+    """The twenty places of a category that follow a given one."""
+    p = browse.browse_places(V.v_place(s, d), categories=["nature"]).select("poi_id", "prominence")
+    return browse.page_after(p, (0.75, "node/5"), 20)
+
+
+def average_ranks(s, d):
+    """Rank of every place by prominence, ties at their mean."""
+    return metrics.average_ranks(V.v_place(s, d).select("poi_id", "prominence"), "prominence").select("poi_id", "rank")
+
+
 def top_prominent(s, d):
     return browse.top_prominent(V.v_place(s, d)).select("poi_id", "prominence")
 
