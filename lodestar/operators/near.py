@@ -234,20 +234,32 @@ def district_vote(points: DataFrame, ref: DataFrame, k: int = 7, trust_km: float
     return best.select("pid", F.when(ok, F.col("b.district")).alias("district"), F.when(ok, F.round(-F.col("b.w") / F.col("total"), 3)).otherwise(0.0).alias("confidence"))
 
 
+def _level(at: str) -> Column:
+    """The row of a polygon's own latitude rows; rounding keeps the order of latitudes, so no side misses a row it touches."""
+    return F.floor((F.col(at) - F.col("y0")) / F.col("high")).cast("long")
+
+
 def containing(points: DataFrame, segments: DataFrame, size: float = 0.25) -> DataFrame:
     """(pid, district): the first polygon by name that holds each point, by the even-odd rule.
 
     ``segments(district, ax, ay, bx, by)`` with x east and y north, in any order.
-    A polygon is entered in the grid cells of its bounding box.
+    A polygon is entered in the grid cells of its bounding box.  It has as many
+    latitude rows as sides, and a side is entered in the rows it touches, so a
+    point meets the few sides of its own row however many the polygon has.
+    Level sides and those with a null end cross nothing.
     """
     box = segments.groupBy("district").agg(
-        F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")
+        F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"), F.count("*").alias("sides")
     )
+    box = box.withColumn("high", F.greatest((F.col("y1") - F.col("y0")) / F.col("sides"), F.lit(1e-9))).drop("sides")
     cells = box.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size))))
     p = points.withColumns({"_cx": F.floor(F.col("lon") / size), "_cy": F.floor(F.col("lat") / size)})
-    inside_box = p.join(cells, ["_cx", "_cy"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select("pid", "lat", "lon", "district")
-    crosses = ((F.col("ay") > F.col("lat")) != (F.col("by") > F.col("lat"))) & (F.col("lon") < (F.col("bx") - F.col("ax")) * (F.col("lat") - F.col("ay")) / F.when(F.col("by") != F.col("ay"), F.col("by") - F.col("ay")) + F.col("ax"))
-    hits = inside_box.join(segments, "district").groupBy("pid", "district").agg(F.sum(F.when(crosses, 1).otherwise(0)).alias("n")).where(F.col("n") % 2 == 1)
+    inside_box = p.join(cells, ["_cx", "_cy"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
+    inside_box = inside_box.select("pid", "lat", "lon", "district", _level("lat").alias("row"))
+    sloped = segments.where("ay <> by and ax is not null and bx is not null").join(box.select("district", "y0", "high"), "district").withColumns({"low": F.least("ay", "by"), "top": F.greatest("ay", "by")})
+    rows = sloped.withColumn("row", F.explode(F.sequence(_level("low"), _level("top")))).select("district", "row", "ax", "ay", "bx", "by")
+    crosses = ((F.col("ay") > F.col("lat")) != (F.col("by") > F.col("lat"))) & (F.col("lon") < (F.col("bx") - F.col("ax")) * (F.col("lat") - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) + F.col("ax"))
+    hits = inside_box.join(rows, ["district", "row"]).where(crosses).groupBy("pid", "district").agg(F.count("*").alias("n")).where(F.col("n") % 2 == 1)
     return hits.groupBy("pid").agg(F.min("district").alias("district"))
 
 

@@ -87,3 +87,56 @@ def test_a_crowded_place_meets_few_pairs(spark, monkeypatch):
         cost[name] = wide.join(seen[0], ["level", "cx", "cy"]).count()
         monkeypatch.undo()
     assert cost["town"] < 2 * cost["even"]
+
+
+def ragged(sides, seed, x=80.0, y=7.0):
+    """A star-shaped ring of ``sides`` sides with a ragged edge, its sides in any order."""
+    r = np.random.default_rng(seed)
+    turn = np.sort(r.uniform(0, 2 * np.pi, sides))
+    far = 0.6 + 0.3 * np.sin(5 * turn) + r.uniform(-0.05, 0.05, sides)
+    at = np.column_stack([x + far * np.cos(turn), y + far * np.sin(turn)])
+    return np.hstack([at, np.roll(at, -1, axis=0)])[r.permutation(sides)]
+
+
+def inside(points, sides):
+    lat, lon = points[:, :1], points[:, 1:]
+    ax, ay, bx, by = sides.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = ((ay > lat) != (by > lat)) & (lon < (bx - ax) * (lat - ay) / (by - ay) + ax)
+    return cross.sum(1) % 2 == 1
+
+
+def test_points_in_ragged_polygons(spark):
+    """As testing all sides; latitudes of corners, level sides and overlapping polygons included."""
+    box = np.array([[79.0, 6.0, 81.0, 6.0], [81.0, 6.0, 81.0, 8.0], [81.0, 8.0, 79.0, 8.0], [79.0, 8.0, 79.0, 6.0]])
+    shapes_ = {"b": ragged(400, 1), "c": ragged(37, 2, 80.4, 7.3), "d": box, "a": ragged(3, 3, 80.1, 6.9)}
+    r = np.random.default_rng(5)
+    points = np.column_stack([r.uniform(5.8, 8.4, 600), r.uniform(78.8, 81.6, 600)])
+    points = np.vstack([points, np.column_stack([shapes_["b"][:60, 1], r.uniform(79, 81, 60)]), [[6.0, 80.0], [8.0, 80.0], [7.0, 79.0], [7.0, 81.0]]])
+    names = sorted(shapes_)
+    held = np.array([inside(points, shapes_[n]) for n in names])
+    want = {i: names[int(np.argmax(h))] for i, h in enumerate(held.T) if h.any()}
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)] + [(9999, None, None)], "pid long, lat double, lon double")
+    s = spark.createDataFrame([(n, *map(float, x)) for n in names for x in shapes_[n]], "district string, ax double, ay double, bx double, by double")
+    assert {x.pid: x.district for x in near.containing(p, s).collect()} == want
+    assert near.containing(p, s.limit(0)).count() == 0 and near.containing(p.limit(0), s).count() == 0
+
+
+def test_sides_met_by_a_point_do_not_grow_with_the_polygon(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(np.column_stack([r.uniform(6.4, 7.6, 500), r.uniform(79.4, 80.6, 500)]))], "pid long, lat double, lon double")
+    met = {}
+    for n in (200, 20_000):
+        turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+        at = np.column_stack([80 + 0.7 * np.cos(turn), 7 + 0.7 * np.sin(turn)])
+        s = spark.createDataFrame([("x", *map(float, x)) for x in np.hstack([at, np.roll(at, -1, axis=0)])], "district string, ax double, ay double, bx double, by double")
+        seen = []
+        level = near._level
+        monkeypatch.setattr(near, "_level", lambda c, level=level: seen.append(c) or level(c))
+        assert near.containing(points, s).count() == sum((np.hypot(x.lon - 80, x.lat - 7) < 0.7) for x in points.collect())
+        monkeypatch.undo()
+        assert seen == ["lat", "low", "top"]
+        box = s.selectExpr("min(least(ay, by)) as y0", "(max(greatest(ay, by)) - min(least(ay, by))) / count(*) as high")
+        rows = s.where("ay <> by").crossJoin(box).selectExpr("explode(sequence(floor((least(ay, by) - y0) / high), floor((greatest(ay, by) - y0) / high))) as row")
+        met[n] = points.crossJoin(box).selectExpr("floor((lat - y0) / high) as row").join(rows, "row").count() / 500
+    assert met[20_000] < 1.5 * met[200] < 15
