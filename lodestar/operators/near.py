@@ -191,11 +191,11 @@ def k_nearest(points: DataFrame, sites: DataFrame, k: int, same: bool = False) -
     return top.unionByName(ranked(*_cells_near(left, cells, need, max(48, 4 * need)), False))
 
 
-def within(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
-    """Pairs of ``points(.., lat, lon)`` and ``sites(.., slat, slon)`` at most ``km`` apart, with their distance as km."""
+def within(points: DataFrame, sites: DataFrame, km: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of ``points(.., lat, lon)`` and ``sites(.., slat, slon)`` at most ``km`` apart and equal in the columns ``on``, with their distance as km."""
     size = max(0.002, km / KM_PER_DEGREE)
     p = points.withColumns({"_cx": F.floor(F.col("lat") / size), "_cy": F.floor(F.col("lon") / size)})
-    return p.join(_spread(sites, size), ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("km", haversine_km("lat", "lon", "slat", "slon")).where(F.col("km") <= km)
+    return p.join(_spread(sites, size), ["_cx", "_cy", *on]).drop("_cx", "_cy").withColumn("km", haversine_km("lat", "lon", "slat", "slon")).where(F.col("km") <= km)
 
 
 def knn_edges(poi: DataFrame, k: int = 25) -> DataFrame:

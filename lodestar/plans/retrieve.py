@@ -13,13 +13,15 @@ from ..sources.shared import materialise
 
 FLOOR, RADIUS_KM, WIDE_KM = 0.25, 60.0, 250.0
 LEAST, MOST = 15, 150
+ONE_PASS = 50_000_000  # requests times places that are met at once rather than in bands
 
 
-def _near(requests: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """Affordable places within ``km`` of each request's start, with distance and retrieval score."""
+def _near(requests: DataFrame, places: DataFrame, km: float, wanted: bool = False) -> DataFrame:
+    """Affordable places within ``km`` of each request's start, with distance and retrieval score; of its interests only if ``wanted``."""
     r = requests.withColumns({"lat": F.col("start_lat"), "lon": F.col("start_lon"), "poi_budget": F.round(F.col("budget") * 0.20, 4)})
     p = places.withColumnRenamed("lat", "slat").withColumnRenamed("lon", "slon")
-    j = within(r, p, km).where(F.col("entry_fee_lkr") <= F.col("poi_budget")).drop("lat", "lon")
+    r = r.withColumn("category", F.explode(F.array_distinct("interests"))) if wanted else r
+    j = within(r, p, km, ("category",) if wanted else ()).where(F.col("entry_fee_lkr") <= F.col("poi_budget")).drop("lat", "lon")
     return j.withColumnsRenamed({"slat": "lat", "slon": "lon", "km": "distance_from_start_km"}).withColumn("retrieval_score", F.round(score.retrieval_score(), 6))
 
 
@@ -38,24 +40,66 @@ def retrieve_candidates(requests: DataFrame, places: DataFrame, limit: int = MOS
     return _near(requests, places, RADIUS_KM).where(ok).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def _score_bands(places: DataFrame, requests: int) -> tuple[DataFrame, list[float]]:
+    """Places with their score, and the scores that part them into bands, falling; none where one pass is cheap.
+
+    Each band holds about three times as many places as all above it.
+    """
+    columns = ["poi_id", "lat", "lon", "entry_fee_lkr", "category", "prominence", "popularity_known", "popularity_index"]
+    p = materialise(places.select(*columns, F.round(score.retrieval_score(), 6).alias("band_score")))
+    n = p.count()
+    top = [t for t in (4.0**-i for i in range(6, 0, -1)) if n * t >= 2 * MOST]
+    if requests * n <= ONE_PASS or not top:
+        return p, []
+    cuts = p.agg(F.percentile_approx("band_score", [1 - t for t in top], F.lit(10_000))).first()[0]
+    return p, sorted(set(cuts or []), reverse=True)
+
+
+def _best_within(requests: DataFrame, places: DataFrame, cuts: list[float], km: float, wanted: bool) -> DataFrame:
+    """Rows of ``_near``, the ``MOST`` best of each request among them.
+
+    A place's score is the same for all requests, so places come in bands of
+    falling score and a request leaves once the bands so far hold enough for it.
+    A request with few places in reach meets them all, and they are all returned.
+    """
+    left, found = requests, None
+    for above, cut in zip([None, *cuts], [*cuts, None]):
+        band = places if above is None else places.where(F.col("band_score").isNull() | (F.col("band_score") < above))
+        band = band if cut is None else band.where(F.col("band_score") >= cut)
+        met = _near(left, band, km, wanted).select("request_id", "poi_id", "retrieval_score", "prominence")
+        met = materialise(met) if cuts else met
+        found = met if found is None else found.unionByName(met)
+        if cut is not None:
+            full = found.groupBy("request_id").count().where(F.col("count") >= MOST)
+            left = materialise(left.join(full, "request_id", "left_anti"))
+            if left.isEmpty():
+                break
+    return found
+
+
 def widen_candidates(requests: DataFrame, places: DataFrame) -> DataFrame:
     """(request_id, poi_id, step, rank): candidates after as many widening steps as a request needs.
 
     Steps are nested: 0 as asked, 1 without a prominence floor, 2 within the wide
     radius, 3 of all categories.  Only requests that stay short after step 1 take
-    part in the wide join.
+    part in the wide join, and only those short of wanted places there in that of
+    all categories; both stop at a request's last row.
     """
-    wanted = F.array_contains("interests", F.col("category"))
-    cols = ["request_id", "poi_id", "retrieval_score", "prominence", "need"]
-    close = _near(requests, places, RADIUS_KM).where(wanted).withColumn("need", F.when(F.col("prominence") >= FLOOR, 0).otherwise(1)).select(*cols)
+    cols = ["request_id", "poi_id", "retrieval_score", "prominence"]
     w = Window.partitionBy("request_id")
+    close = _near(requests, places, RADIUS_KM, wanted=True).withColumn("need", F.when(F.col("prominence") >= FLOOR, 0).otherwise(1)).select(*cols, "need")
     close = close.withColumns({"n0": F.count_if(F.col("need") == 0).over(w), "n1": F.count("*").over(w)})
-    done = close.where(F.col("n1") >= LEAST).withColumn("step", F.when(F.col("n0") >= LEAST, 0).otherwise(1))
-    short = requests.join(done.select("request_id").distinct(), "request_id", "left_anti")
-    wide = _near(short, places, WIDE_KM).withColumn("need", F.when(wanted, 2).otherwise(3)).select(*cols)
-    wide = wide.withColumn("n2", F.count_if(F.col("need") == 2).over(w)).withColumn("step", F.when(F.col("n2") >= LEAST, 2).otherwise(3))
-    both = done.select(*cols, "step").unionByName(wide.select(*cols, "step")).where(F.col("need") <= F.col("step"))
-    return both.withColumn("rank", F.row_number().over(w.orderBy(*best_first()))).where(F.col("rank") <= MOST).select("request_id", "poi_id", "step", "rank")
+    done = close.where(F.col("n1") >= LEAST).withColumn("step", F.when(F.col("n0") >= LEAST, 0).otherwise(1)).where(F.col("need") <= F.col("step"))
+    done = materialise(done.select(*cols, "step"))
+    short = materialise(requests.join(done.select("request_id").distinct(), "request_id", "left_anti"))
+    waiting = short.count()
+    if waiting:
+        scored, cuts = _score_bands(places, waiting)
+        wide = materialise(_best_within(short, scored, cuts, WIDE_KM, wanted=True))
+        enough = wide.groupBy("request_id").count().where(F.col("count") >= LEAST).select("request_id")
+        every = _best_within(short.join(enough, "request_id", "left_anti"), scored, cuts, WIDE_KM, wanted=False).withColumn("step", F.lit(3))
+        done = done.unionByName(wide.join(enough, "request_id", "left_semi").select(*cols, F.lit(2).alias("step"))).unionByName(every.select(*cols, "step"))
+    return done.withColumn("rank", F.row_number().over(w.orderBy(*best_first()))).where(F.col("rank") <= MOST).select("request_id", "poi_id", "step", "rank")
 
 
 def with_scores(cand: DataFrame) -> DataFrame:
