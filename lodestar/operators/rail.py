@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, in_hills
-from ..sources.dims import DETOUR, TRAIN_KMH, lookup
+from ..sources.dims import DETOUR, TRAIN_KMH
 from ..sources.shared import materialise
 from .near import within
 
+OTHER_KMH = 47.6  # speed on track of a class that is not known
+
 
 def track_edges(ways: DataFrame) -> DataFrame:
     """(a, b, km): consecutive nodes of each way in use, smaller node first.
@@ -69,32 +71,125 @@ def station_match(wanted: DataFrame, stations: DataFrame) -> DataFrame:
     return best.select("wanted", F.col("x.station_id").alias("station_id"), F.col("x.match").alias("match"))
 
 
+def _cost(parts: Column) -> list[Column]:
+    """minutes, km and parts of a path: the kilometres of each class say the rest, however the path was put together."""
+    rates = [60.0 / v for v in TRAIN_KMH.values()] + [60.0 / OTHER_KMH]
+    minutes, km = F.lit(0.0), F.lit(0.0)
+    for i, rate in enumerate(rates):
+        minutes, km = minutes + parts[i] * rate, km + parts[i]
+    return [F.round(minutes, 9).alias("minutes"), F.round(km, 6).alias("km"), parts.alias("parts")]
+
+
+def _sum(p: str, q: str, sign: int = 1) -> Column:
+    """Kilometres by class of two paths together, or how far apart they are; to the millimetre, so that any order of adding agrees."""
+    return F.zip_with(p, q, lambda x, y: F.round(x + y if sign > 0 else F.abs(x - y), 6))
+
+
+def _best(df: DataFrame, *by: str) -> DataFrame:
+    """The fastest row of each group; then the shorter, then that with less of the first classes."""
+    rest = [c for c in df.columns if c not in (*by, "parts")]
+    x = df.groupBy(*by).agg(F.min(F.struct(*_cost(F.col("parts")), *rest)).alias("x"))
+    return x.select(*by, "x.parts", *(f"x.{c}" for c in rest))
+
+
+def _runs(hops: DataFrame, stops: DataFrame) -> DataFrame:
+    """(u, v, end, last, parts, low, open): from each hop u to v on, through nodes that are no stops, to the stop at its end.
+
+    ``hops(u, v, parts)`` in both directions; ``last`` is the node before ``end``.
+    A run takes over that of the hop it has come to, so its length doubles each
+    round.  ``open`` runs go round a ring without stops, whose least node is
+    ``low``.
+    """
+    inner = hops.join(stops, F.col("u") == F.col("node"), "left_anti").groupBy("u").agg(F.min("v").alias("p"), F.max("v").alias("q"))
+    r = hops.join(inner.select(F.col("u").alias("v"), "p", "q"), "v", "left")
+    after = F.when(F.col("p") == F.col("u"), F.col("q")).otherwise(F.col("p"))
+    # (end, go) is the hop that a run has come to and not yet taken
+    r = materialise(r.select("u", "v", F.col("v").alias("end"), F.col("u").alias("last"), "parts", F.least("u", "v").alias("low"), after.alias("go")))
+    while True:
+        to = r.select(F.col("u").alias("end"), F.col("v").alias("go"), *(F.col(c).alias(f"{c}2") for c in ("end", "last", "parts", "low", "go")))
+        on = r.where("go is not null").join(to, ["end", "go"])
+        on = on.select("u", "v", F.col("end2").alias("end"), F.col("last2").alias("last"), _sum("parts", "parts2").alias("parts"), F.least("low", "low2").alias("low"), F.col("go2").alias("go"), (F.col("go2").isNull() | (F.col("low2") < F.col("low"))).alias("news"))
+        on = materialise(on)
+        r = r.where("go is null").unionByName(on.drop("news"))
+        if not on.where("news").limit(1).count():
+            return r.withColumn("open", F.col("go").isNotNull()).drop("go")
+        r = materialise(r)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v, end, last, parts): for each hop u to v the run of track through nodes with two neighbours to the next junction.
+
+    ``edges(a, b, km, cls)``.  Junctions are the nodes with another number of
+    neighbours, and the least node of a ring without any.  A run from a junction is
+    an edge between junctions; the two runs from an inner node say how far the
+    junctions around it are.  Loops at a node and edges without length are left
+    out; of parallel edges the fastest counts.
+    """
+    known = list(TRAIN_KMH)
+    cls = [F.col("cls") == c for c in known]
+    other = ~F.coalesce(F.col("cls").isin(known), F.lit(False))
+    parts = F.array(*(F.when(c, F.col("km")).otherwise(0.0) for c in [*cls, other]))
+    e = edges.where("a <> b and km is not null").select("a", "b", parts.alias("parts"))
+    hops = materialise(_best(e.select(F.col("a").alias("u"), F.col("b").alias("v"), "parts").unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"), "parts")), "u", "v"))
+    stops = hops.groupBy(F.col("u").alias("node")).count().where("count <> 2").select("node")
+    runs = _runs(hops, stops)
+    rings = materialise(runs.where("open").select(F.col("low").alias("node")).distinct())
+    if not rings.isEmpty():
+        runs = _runs(hops, stops.unionByName(rings))
+    return materialise(runs.drop("open", "low"))
+
+
+def _inner(runs: DataFrame) -> DataFrame:
+    """(node, end1, last1, parts1, end2, last2, parts2) of the nodes inside a run, its two ends in one order for all of them."""
+    mine = runs.join(runs.select(F.col("end").alias("u")).distinct(), "u", "left_anti")
+    two = mine.groupBy(F.col("u").alias("node")).agg(F.min(F.struct("end", "last", "parts")).alias("x"), F.max(F.struct("end", "last", "parts")).alias("y"))
+    return two.select("node", *(F.col(f"{s}.{c}").alias(f"{c}{i}") for i, s in ((1, "x"), (2, "y")) for c in ("end", "last", "parts")))
+
+
+def _ends() -> Column:
+    one = lambda i: F.struct(F.col(f"end{i}").alias("end"), F.col(f"parts{i}").alias("parts"))
+    return F.explode(F.array(one(1), one(2))).alias("e")
+
+
 def rail_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(src, node, minutes, km, km_by_class): the fastest path along the track from each source to all it reaches.
 
-    ``edges(a, b, km, cls)``, ``sources(src)``.  The frontier of improved nodes is
-    relaxed until no time improves; nodes without a path have no row.
+    ``edges(a, b, km, cls)``, ``sources(src)``.  Lengths count to the millimetre.
+    Runs of nodes with two neighbours are contracted first, so the frontier of
+    improved nodes is relaxed over junctions only; the nodes in between then take
+    the better of the two ends of their run, or the way along it from a source on
+    the same run.  Nodes without a path have no row; a source always reaches itself.
     km_by_class is a map of the classes on the path; of paths of one time the
     shorter counts, then that with less of the first classes.
     """
     classes = list(TRAIN_KMH)
-    mins = F.col("km") / lookup(F.col("cls"), TRAIN_KMH, 47.6) * 60.0
-    e = edges.select("a", "b", F.col("km").alias("w"), mins.alias("t"), "cls")
-    e = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "t", "cls")))
-    none = F.struct(*(F.lit(0.0).alias(c) for c in classes))
-    best = sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("minutes"), F.lit(0.0).alias("km"), none.alias("parts"))
-    best = materialise(best.withColumn("fresh", F.lit(True)))
+    runs = contracted(edges)
+    inner = materialise(_inner(runs))
+    asked = sources.select("src").where("src is not null").distinct()
+    zero = F.array(*[F.lit(0.0)] * (len(classes) + 1))
+    at = asked.join(inner, F.col("src") == F.col("node"), "left")
+    away = at.where("node is not null").select("src", _ends()).select("src", F.col("e.end").alias("node"), F.col("e.parts").alias("parts"))
+    best = at.where("node is null").select("src", F.col("src").alias("node"), zero.alias("parts")).unionByName(away)
+    best = materialise(_best(best, "src", "node").withColumn("stale", F.lit(False)))
+    legs = runs.join(inner.select(F.col("node").alias("u")), "u", "left_anti").where(F.col("u") != F.col("end")).select("u", "end", "parts")
+    legs = materialise(_best(legs, "u", "end").withColumnRenamed("parts", "more"))
     while True:
-        front = best.where("fresh")
-        more = F.struct(*((F.col("parts")[c] + F.when(F.col("cls") == c, F.col("w")).otherwise(0.0)).alias(c) for c in classes))
-        step = front.join(e, front["node"] == e["a"]).select("src", F.col("b").alias("node"), F.round(F.col("minutes") + F.col("t"), 9).alias("minutes"), (F.col("km") + F.col("w")).alias("km"), more.alias("parts"), F.lit(True).alias("fresh"))
-        both = best.select("src", "node", "minutes", "km", "parts", F.lit(False).alias("fresh")).unionByName(step)
-        least = F.min(F.struct("minutes", "km", "parts", "fresh")).alias("x")
-        best = materialise(both.groupBy("src", "node").agg(least).select("src", "node", "x.minutes", "x.km", "x.parts", "x.fresh"))
-        if best.where("fresh").isEmpty():
+        front = best.where("not stale").join(legs, F.col("node") == F.col("u"))
+        step = front.select("src", F.col("end").alias("node"), _sum("parts", "more").alias("parts"), F.lit(False).alias("stale"))
+        # of equal paths the old one counts: it comes as 0
+        both = best.select("src", "node", "parts", F.lit(0).alias("new")).unionByName(step.select("src", "node", "parts", F.lit(1).alias("new")))
+        best = materialise(_best(both, "src", "node").select("src", "node", "parts", (F.col("new") == 0).alias("stale")))
+        if best.where("not stale").isEmpty():
             break
-    some = F.filter(F.array(*(F.struct(F.lit(c).alias("k"), F.col("parts")[c].alias("v")) for c in classes)), lambda p: p["v"] > 0)
-    return best.select("src", "node", "minutes", "km", F.map_from_entries(some).alias("km_by_class"))
+    best = best.select("src", "node", "parts")
+    between = inner.select(F.col("node").alias("x"), _ends()).select("x", F.col("e.end").alias("node"), F.col("e.parts").alias("more"))
+    through = best.join(between, "node").select("src", F.col("x").alias("node"), _sum("parts", "more").alias("parts"))
+    run = ["end1", "last1", "end2", "last2"]
+    along = asked.join(inner, F.col("src") == F.col("node")).select("src", *run, F.col("parts1").alias("here")).join(inner, run)
+    along = along.select("src", "node", _sum("here", "parts1", -1).alias("parts"))
+    out = _best(best.unionByName(through).unionByName(along), "src", "node").select("src", "node", *_cost(F.col("parts")))
+    some = F.filter(F.array(*(F.struct(F.lit(c).alias("k"), F.col("parts")[i].alias("v")) for i, c in enumerate(classes))), lambda p: p["v"] > 0)
+    return out.select("src", "node", "minutes", "km", F.map_from_entries(some).alias("km_by_class"))
 
 
 def train_offers(trips: DataFrame, stations: DataFrame, paths: DataFrame, access_km: float = 3.0) -> DataFrame:
