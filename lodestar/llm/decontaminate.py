@@ -1,18 +1,29 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every ``SEED_WORDS``-gram of the test items is looked for in all documents; it is
-a seed however many documents hold it, as edited copies may be many.  A document
-that holds a seed of an item is aligned with it around the seeds: word matches,
+A document is aligned with a test item around the item's seeds; word matches,
 mismatches and gaps are scored, so edits and insertions cost a little and a copy
-remains a copy.  Places that lack too many of the item's words to reach the least
-coverage in any alignment are left out before that.
+remains a copy.  Seeds are taken rarest first, by counts over all documents, until
+no passage that reaches the least score can be without one:
+
+* A passage of score S with m matched words has at most 2m - S other steps, so its
+  matches lie in at most 2m - S + 1 runs, and those hold at least 2S - 3m - 2
+  n-grams of three words of the item.
+* So a passage holds ``q`` of the item's n-grams, and thus one of all but the
+  ``q - 1`` most frequent; or it matches at least (2S - 1 - q) / 3 of the item's
+  words, and thus ``SEED_HITS`` of as many of its rarest words as make that certain.
+
+What the seeds find is bounded from above before it is aligned: each word of a
+passage adds a match if the item has it, else it costs one.  All bounds are exact,
+so no passage at or above the least coverage is lost.
 
 Items are the query set: they are taken in blocks of ``BLOCK_WORDS`` words, whose
-seeds are broadcast, so that the number of items bounds nothing.
+counts and seeds pass through the driver, so that the number of items bounds nothing.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,37 +33,19 @@ from .store import materialise
 from .textarrays import shingles, slices, utf8, words
 
 SEED_WORDS = 3
+SEED_HITS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_COVERAGE = 0.5
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 PIECE_HITS = 1_000_000
 
 
-class Seeds:
-    """Sorted n-gram hashes and, for each, its places (item, position) in the items."""
+class Keys:
+    """Sorted hashes, looked up in arrays of hashes."""
 
-    def __init__(self, texts: list[str], k: int):
-        column = pa.array([t or "" for t in texts], pa.string())
-        buf, off = utf8(column)
-        self.items: list[np.ndarray] = []
-        hashes, item, place = [], [], []
-        for i, j in slices(off):
-            w = words(buf, off[i : j + 1])
-            sh, ptr = shingles(w, k)
-            for r in range(j - i):
-                self.items.append(w.hash[w.indptr[r] : w.indptr[r + 1]])
-                h = sh[ptr[r] : ptr[r + 1]]
-                hashes.append(h)
-                item.append(np.full(len(h), i + r, dtype=np.int64))
-                place.append(np.arange(len(h)))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.all = h[order]
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
-        self.keys, self.first = np.unique(self.all, return_index=True)
-        self.last = np.append(self.first[1:], len(self.all))
-        # a table over 20 hash bits of the keys, to dismiss most n-grams at once
+    def __init__(self, hashes: np.ndarray):
+        self.keys = np.unique(hashes)
+        # a table over 22 hash bits of the keys, to dismiss most hashes at once
         self.slot = np.zeros(1 << 22, dtype=bool)
         self.slot[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
@@ -65,20 +58,121 @@ class Seeds:
         ok = self.keys[k] == h[at]
         return at[ok], k[ok]
 
-    def pairs(self, at: np.ndarray, k: np.ndarray, row: np.ndarray):
-        """(row, item, positions in the row's text, places in the item) of each row and item that meet in keys ``k``."""
-        many = self.last[k] - self.first[k]
-        entry = np.repeat(self.first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at, row, item = np.repeat(at, many), np.repeat(row, many), self.item[entry]
-        order = np.lexsort((at, item, row))
-        at, entry, row, item = at[order], entry[order], row[order], item[order]
-        cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(at) else np.zeros(0, np.int64)
-        for a, b in zip(cut, np.append(cut[1:], len(at))):
-            yield int(row[a]), int(item[a]), at[a:b], self.place[entry[a:b]]
+
+class Seeds(Keys):
+    """Hashes with, for each, its places (item, position) in the items."""
+
+    def __init__(self, hashes: np.ndarray, item: np.ndarray, place: np.ndarray):
+        super().__init__(hashes)
+        order = np.argsort(hashes, kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.first = np.searchsorted(hashes[order], self.keys)
+        self.last = np.append(self.first[1:], len(hashes)) if len(self.keys) else self.first
+
+    def hits(self, h: np.ndarray, ptr: np.ndarray):
+        """(row, item, position in the row, place in the item) arrays of what rows share with items, by groups of rows."""
+        at, k = self.find(h)
+        if not len(at):
+            return
+        row = np.searchsorted(ptr, at, side="right") - 1
+        n = len(ptr) - 1
+        total = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(total, row + 1, self.last[k] - self.first[k])
+        bound = np.searchsorted(row, np.arange(n + 1))
+        for x, y in slices(np.cumsum(total), PIECE_HITS):
+            part = slice(bound[x], bound[y])
+            many = self.last[k[part]] - self.first[k[part]]
+            entry = np.repeat(self.first[k[part]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            where = np.repeat(row[part], many)
+            yield where, self.item[entry], np.repeat(at[part], many) - ptr[where], self.place[entry]
+
+
+class Items:
+    """Test items as word hashes, with the bounds that a passage of the least coverage keeps."""
+
+    def __init__(self, block: list[tuple[int, str]], min_coverage: float):
+        self.names = [i for i, _ in block]
+        buf, off = utf8(pa.array([t for _, t in block], pa.string()))
+        self.words: list[np.ndarray] = []
+        self.grams: list[np.ndarray] = []
+        for i, j in slices(off):
+            w = words(buf, off[i : j + 1])
+            sh, ptr = shingles(w, SEED_WORDS)
+            for r in range(j - i):
+                x = w.hash[w.indptr[r] : w.indptr[r + 1]]
+                self.words.append(x)
+                self.grams.append(sh[ptr[r] : ptr[r + 1]] if len(x) >= SEED_WORDS else np.zeros(0, np.uint64))
+        size = [len(x) for x in self.words]
+        self.size = np.array(size, dtype=np.int64)
+        least = [max(1, math.ceil(min_coverage * MATCH * n - 1e-9)) if n >= SEED_WORDS else MATCH * n for n in size]
+        self.least = np.array(least, dtype=np.int64)
+        # the longest passage of a document: all words of the item, and as many other steps as the score allows
+        self.span = self.size + np.maximum(0, MATCH * self.size - self.least)
+        self.grams_needed = np.array([1 + len(g) // 8 for g in self.grams], dtype=np.int64)
+        some = -(-self.least // 2)
+        self.words_needed = np.maximum(np.maximum(1, some), -(-(2 * self.least - 1 - self.grams_needed) // 3))
+        self.hits_needed = np.minimum(SEED_HITS, self.words_needed)
+
+    def keys(self) -> tuple[Keys, Keys]:
+        return tuple(Keys(np.concatenate([np.zeros(0, np.uint64), *x])) for x in (self.words, self.grams))
+
+    def choose(self, word_keys: Keys, word_count: np.ndarray, gram_keys: Keys, gram_count: np.ndarray) -> None:
+        """The seeds, rarest first, given how often each word and n-gram occurs in the documents."""
+
+        def rarest(hashes, keys, count, take):
+            out = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, h in enumerate(hashes):
+                if not len(h):
+                    continue
+                place = np.argsort(count[np.searchsorted(keys.keys, h)], kind="stable")[: take(i, len(h))]
+                for got, x in zip(out, (h[place], np.full(len(place), i), place)):
+                    got.append(x)
+            return Seeds(*(np.concatenate(x) for x in out))
+
+        self.gram_seeds = rarest(self.grams, gram_keys, gram_count, lambda i, n: n - self.grams_needed[i] + 1)
+        self.word_seeds = rarest(self.words, word_keys, word_count, lambda i, n: max(0, n - self.words_needed[i] + self.hits_needed[i]))
+
+    def windows(self, w, sh: np.ndarray, ptr: np.ndarray):
+        """(row, item, first word, end word, words needed): places that may hold a passage, those of a row and item joined where they meet."""
+        for row, item, pos, place in self.gram_seeds.hits(sh, ptr):
+            extra = self.span[item] - self.size[item]
+            yield from _joined(row, item, pos - place - extra, pos - place + self.span[item], w, -(-self.least // 2))
+        for row, item, pos, _ in self.word_seeds.hits(w.hash, w.indptr):
+            order = np.lexsort((pos, item, row))
+            row, item, pos = row[order], item[order], pos[order]
+            one = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (pos[1:] != pos[:-1]))
+            row, item, pos = row[one], item[one], pos[one]
+            first = np.arange(len(row))
+            last = first + self.hits_needed[item] - 1
+            near = last < len(row)
+            first, last = first[near], last[near]
+            near = (row[first] == row[last]) & (item[first] == item[last]) & (pos[last] - pos[first] < self.span[item[first]])
+            first, last = first[near], last[near]
+            span = self.span[item[first]]
+            yield from _joined(row[first], item[first], pos[last] - span + 1, pos[first] + span, w, self.words_needed)
+
+
+def _joined(row, item, start, end, w, needed):
+    """Ranges of words as in ``Items.windows``, cut to their rows; overlapping ones of a row and item become one."""
+    start = np.maximum(0, start)
+    end = np.minimum(w.indptr[row + 1] - w.indptr[row], end)
+    order = np.lexsort((start, item, row))
+    row, item, start, end = row[order], item[order], start[order], end[order]
+    if not len(row):
+        return
+    fresh = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))
+    group = np.cumsum(fresh)
+    reach = group * (1 << 40) + end
+    reach = np.maximum.accumulate(reach)
+    cut = fresh.copy()
+    cut[1:] |= group[1:] * (1 << 40) + start[1:] > reach[:-1]
+    a = np.flatnonzero(cut)
+    b = np.append(a[1:], len(row)) - 1
+    yield from zip(row[a].tolist(), item[a].tolist(), start[a].tolist(), (reach[b] - group[b] * (1 << 40)).tolist(), needed[item[a]].tolist())
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman score of two word sequences and the end and start of the best local alignment in ``doc``.
+    """Smith-Waterman score of two word sequences and the start and end of the best local alignment in ``doc``.
 
     A row of the matrix at a time; the gap along a row is a running maximum.
     """
@@ -108,18 +202,21 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, best_from, best_at
 
 
-def _windows(pos: np.ndarray, place: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
-    """Word ranges of a document around seed hits of an item, overlapping ones joined."""
-    pad = length // 2 + 2
-    start = np.sort(np.maximum(0, pos - place - pad))
-    out: list[tuple[int, int]] = []
-    for a in start.tolist():
-        b = min(n, a + length + 2 * pad)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _places(text: np.ndarray, item: np.ndarray, needed: int, least: int, span: int):
+    """Ranges of ``text`` that may hold a passage: ``needed`` words of the item within ``span``, and words enough to score ``least``."""
+    has = np.isin(text, item)
+    n = len(text)
+    total = np.concatenate([[0], np.cumsum(has)])
+    start = np.flatnonzero(total[np.minimum(np.arange(n) + span, n)] - total[:-1] >= needed)
+    if not len(start):
+        return
+    worth = np.concatenate([[0], np.cumsum(np.where(has, MATCH, MISMATCH))])
+    cut = np.flatnonzero(np.append(True, np.diff(start) > span))
+    for a, b in zip(start[cut].tolist(), start[np.append(cut[1:], len(start)) - 1].tolist()):
+        b = min(n, b + span)
+        part = worth[a : b + 1]
+        if (part - np.minimum.accumulate(part)).max() >= least:
+            yield a, b
 
 
 def _item_blocks(items: DataFrame):
@@ -137,58 +234,71 @@ def _item_blocks(items: DataFrame):
         yield block
 
 
+def _occurrences(docs: DataFrame, parts: tuple[Keys, Keys]) -> list[np.ndarray]:
+    """How often the words and the n-grams of a block of items occur in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches):
+        parts = shared.value
+        count = [np.zeros(len(p.keys), dtype=np.int64) for p in parts]
+        for batch in batches:
+            buf, off = utf8(batch.column("text"))
+            for i, j in slices(off):
+                w = words(buf, off[i : j + 1])
+                for c, p, h in zip(count, parts, (w.hash, shingles(w, SEED_WORDS)[0])):
+                    c += np.bincount(p.find(h)[1], minlength=len(c))
+        for part, c in enumerate(count):
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int32)), pa.array(at), pa.array(c[at])], names=["part", "key", "n"])
+
+    sums = docs.select("text").mapInArrow(run, "part int, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("n")).toArrow()
+    out = [np.zeros(len(p.keys), dtype=np.int64) for p in parts]
+    part, key, n = (sums.column(c).to_numpy() for c in ("part", "key", "n"))
+    for p, o in enumerate(out):
+        o[key[part == p]] = n[part == p]
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, item_id, score, coverage, first_word, last_word): passages of test items in documents.
 
     ``docs(doc_id, text)`` and ``items(item_id, text)``; score is the best local
-    alignment over the places found, coverage its share of the item's own score,
-    and rows below ``min_coverage`` are left out.  Words are ASCII lower-cased;
-    first_word and last_word bound the passage in the document (from 0, end
-    exclusive).  Null or empty texts and null items match nothing; a row of
-    ``docs`` repeated gives its rows again; an item shorter than ``SEED_WORDS``
-    words is one seed and is found only where a document has just as few words.
+    alignment in the document, coverage its share of the item's own score, and
+    rows below ``min_coverage`` are left out; none at or above it is.  Words are
+    ASCII lower-cased; first_word and last_word bound the passage in the document
+    (from 0, end exclusive).  An item shorter than ``SEED_WORDS`` words counts only
+    where all of it is found in a row, as half of it would be any word.  Null or
+    empty texts and null items match nothing; a row of ``docs`` repeated gives its
+    rows again.  The documents are read twice a block of items, first for counts.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, score int, coverage double, first_word int, last_word int"
     found = None
     for block in _item_blocks(items):
-        names = [i for i, _ in block]
-        seeds = Seeds([t for _, t in block], SEED_WORDS)
-        shared = spark.sparkContext.broadcast((seeds, names))
+        about = Items(block, min_coverage)
+        word_keys, gram_keys = about.keys()
+        word_count, gram_count = _occurrences(docs, (word_keys, gram_keys))
+        about.choose(word_keys, word_count, gram_keys, gram_count)
+        about.grams = []
+        shared = spark.sparkContext.broadcast(about)
 
         def run(batches, shared=shared):
-            seeds, names = shared.value
+            about = shared.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 out = []
                 buf, off = utf8(batch.column("text"))
                 for i, j in slices(off):
                     w = words(buf, off[i : j + 1])
-                    sh, ptr = shingles(w, SEED_WORDS)
-                    at, k = seeds.find(sh)
-                    if not len(at):
-                        continue
-                    row = np.searchsorted(ptr, at, side="right") - 1
-                    hits = np.zeros(j - i + 1, dtype=np.int64)
-                    np.add.at(hits, row + 1, seeds.last[k] - seeds.first[k])
-                    bound = np.searchsorted(row, np.arange(j - i + 1))
-                    for x, y in slices(np.cumsum(hits), PIECE_HITS):
-                        part = slice(bound[x], bound[y])
-                        for r, it, pos, place in seeds.pairs(at[part], k[part], row[part]):
-                            text = w.hash[w.indptr[r] : w.indptr[r + 1]]
-                            target = seeds.items[it]
-                            best = (0, 0, 0)
-                            for lo, hi in _windows(pos - ptr[r], place, len(target), len(text)):
-                                # no alignment matches more words than are there
-                                if np.isin(target, text[lo:hi]).sum() < min_coverage * len(target):
-                                    continue
-                                s, a, b = align(text[lo:hi], target)
-                                if s > best[0]:
-                                    best = (s, lo + a, lo + b)
-                            coverage = best[0] / (MATCH * len(target))
-                            if best[0] and coverage >= min_coverage:
-                                out.append((ids[i + r], names[it], best[0], coverage, best[1], best[2]))
+                    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+                    for r, it, lo, hi, needed in about.windows(w, *shingles(w, SEED_WORDS)):
+                        text, target, least = w.hash[w.indptr[r] + lo : w.indptr[r] + hi], about.words[it], int(about.least[it])
+                        for x, y in _places(text, target, needed, least, int(about.span[it])):
+                            s, a, b = align(text[x:y], target)
+                            if s >= least and (s, -lo - x - a) > best.get((r, it), (0, 0, 0))[:2]:
+                                best[r, it] = (s, -lo - x - a, lo + x + b)
+                    out += [(ids[i + r], about.names[it], s, s / (MATCH * len(about.words[it])), -a, b) for (r, it), (s, a, b) in sorted(best.items())]
                 cols = list(zip(*out)) if out else [[]] * 6
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "score", "coverage", "first_word", "last_word"])

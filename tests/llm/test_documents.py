@@ -83,35 +83,96 @@ def test_edited_copies_in_many_documents_are_found(spark):
     assert all(r.score == plain_align(copy, item) for r in got)
 
 
-def test_found_pairs_are_those_of_all_pairs(spark):
-    """Against alignment of every document with every item, with edits from none to heavy and repeated rows."""
-    rng = random.Random(21)
-    words = [f"q{i}" for i in range(400)]
-    items = [(i, rng.choices(words, k=rng.choice([3, 8, 25, 60]))) for i in range(14)]
-    docs = []
-    for d in range(90):
-        text = rng.choices(words, k=rng.choice([3, 30, 120]))
-        copy = list(items[rng.randrange(14)][1])
-        for _ in range(int(len(copy) * rng.choice([0, 0.1, 0.2, 0.3, 0.45]))):
-            at = rng.randrange(len(copy))
-            copy[at : at + 1] = rng.choice([[], [rng.choice(words)], [copy[at], rng.choice(words)]])
-            copy = copy or [rng.choice(words)]
-        text[rng.randrange(len(text)) :] = copy
-        docs.append((d, text))
-    docs += [docs[0], docs[0]]
-    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(4)
-    it = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
-    got = Counter((r.doc_id, r.item_id, r.score) for r in D.contaminated(df, it).collect())
-    code = {w: i for i, w in enumerate(words)}
-    want, missed = Counter(), 0
+def all_pairs(docs, items, min_coverage=D.MIN_COVERAGE):
+    """Document, item and score by aligning every document with every item."""
+    code = {w: i for i, w in enumerate({w for _, t in docs + items for w in t})}
+    want = Counter()
     for d, t in docs:
         for i, u in items:
-            score = D.align(np.array([code[w] for w in t]), np.array([code[w] for w in u]))[0]
-            if score >= D.MIN_COVERAGE * D.MATCH * len(u):
+            score = D.align(np.array([code[w] for w in t]), np.array([code[w] for w in u]))[0] if t and u else 0
+            if u and score >= (min_coverage * D.MATCH * len(u) if len(u) >= D.SEED_WORDS else D.MATCH * len(u)):
                 want[d, i, score] += 1
-                seeds = {tuple(u[k : k + 3]) for k in range(len(u) - 2)}
-                missed += not any(tuple(t[k : k + 3]) in seeds for k in range(len(t) - 2))
-    assert not got - want and sum((want - got).values()) == missed and sum(got.values()) >= 0.9 * sum(want.values()) > 60
+    return want
+
+
+def frames(spark, docs, items):
+    return (
+        spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(4),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"),
+    )
+
+
+def edited(rng, copy, words, share):
+    for _ in range(int(len(copy) * share)):
+        at = rng.randrange(len(copy))
+        copy[at : at + 1] = rng.choice([[], [rng.choice(words)], [copy[at], rng.choice(words)]])
+        copy = copy or [rng.choice(words)]
+    return copy
+
+
+@pytest.mark.parametrize("vocabulary, least", [(400, 0.5), (60, 0.5), (400, 0.8), (400, 0.34)])
+def test_found_pairs_are_those_of_all_pairs(spark, vocabulary, least):
+    """With edits from none to heavy, words of very unequal frequency, short items and repeated rows."""
+    rng = random.Random(vocabulary)
+    words = [f"q{i}" for i in range(vocabulary)]
+    weight = [1 / (i + 3) for i in range(vocabulary)]
+    items = [(i, rng.choices(words, weight, k=n)) for i, n in enumerate([1, 2, 2, 3, 4, 5, 8, 8, 25, 25, 40, 60, 60, 60])]
+    docs = []
+    for d in range(160):
+        text = rng.choices(words, weight, k=rng.choice([1, 3, 30, 120]))
+        copy = edited(rng, list(items[rng.randrange(14)][1]), words, rng.choice([0, 0.1, 0.2, 0.3, 0.45]))
+        at = rng.randrange(len(text))
+        text[at : at + rng.choice([0, len(text)])] = copy
+        docs.append((d, text))
+    docs += [docs[0], docs[0]]
+    got = Counter((r.doc_id, r.item_id, r.score) for r in D.contaminated(*frames(spark, docs, items), least).collect())
+    want = all_pairs(docs, items, least)
+    assert got == want and sum(want.values()) > 100
+
+
+def test_copies_without_a_common_ngram_are_found(spark):
+    """Every third word another, a word put between any two, every second word left out, and short items in long texts."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(5000)]
+    items = [(i, [f"i{i}w{k}" for k in range(n)]) for i, n in enumerate([29, 30, 31, 44, 2, 1])]
+    docs = []
+    for i, u in items:
+        third = ["changed" if k % 3 == 2 else w for k, w in enumerate(u)]
+        between = [x for w in u for x in (w, "between")][:-1]
+        pairs = [x for k, w in enumerate(u) for x in ([w, "extra"] if k % 2 else [w])]
+        for k, copy in enumerate((third, between, pairs, u[::2])):
+            around = rng.choices(words, k=200)
+            docs.append((10 * i + k, around[:90] + copy + around[90:]))
+    want = all_pairs(docs, items)
+    got = Counter((r.doc_id, r.item_id, r.score) for r in D.contaminated(*frames(spark, docs, items)).collect())
+    assert got == want
+    assert {(10 * i + k, i) for i in range(4) for k in range(3)} | {(40, 4), (50, 5)} <= {(d, i) for d, i, _ in want}
+
+
+def test_frequent_words_and_passages_lose_nothing(spark):
+    """Items made of words, and sharing passages, that nearly all documents hold."""
+    rng = random.Random(3)
+    common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(900)]
+    shared = rng.choices(common, k=12)
+    items = [(i, rng.choices(rare, k=6) + shared + rng.choices(common + rare[:50], k=14)) for i in range(8)] + [(8, rng.choices(common, k=20))]
+    docs = []
+    for d in range(100):
+        text = rng.choices(common * 60 + rare, k=rng.choice([20, 200])) + shared
+        if d % 3 == 0:
+            text += edited(rng, list(items[d % 9][1]), rare, 0.3)
+        docs.append((d, text))
+    got = Counter((r.doc_id, r.item_id, r.score) for r in D.contaminated(*frames(spark, docs, items)).collect())
+    assert got == all_pairs(docs, items)
+
+
+def test_item_seeds_are_its_rarest():
+    about = D.Items([(1, " ".join(f"w{i}" for i in range(30)))], 0.5)
+    word_keys, gram_keys = about.keys()
+    often = {int(h): i for i, h in enumerate(about.words[0])}
+    about.choose(word_keys, np.array([often[int(h)] for h in word_keys.keys]), gram_keys, np.arange(len(gram_keys.keys)))
+    n = 30 - about.words_needed[0] + about.hits_needed[0]
+    assert sorted(often[int(h)] for h in about.word_seeds.keys) == list(range(n)) and n < 20
+    assert len(about.gram_seeds.keys) == 28 - about.grams_needed[0] + 1 < 28
 
 
 def test_items_in_several_blocks(spark, monkeypatch):
