@@ -2,11 +2,14 @@
 
 Each source's words, its documents in a fixed order, are cut into blocks of
 ``block`` words, of a 64th of the source where that is less, one word at least.
-Every output shard draws multinomial counts of slots per source; the running
-counts number a source's slots.  Slot j goes to block
-``permutation(j mod n)`` of the source's n blocks, so no block is taken a third
-time before all are taken twice; a source that no shard draws has its slots in
-one shard.  Slots and blocks meet in a join on the index.
+Every output shard draws multinomial counts of slots, first per range of sources
+and then within the ranges that it drew, so it handles what it draws and not all
+sources.  The running counts, put to the scale of a source's quota, number its
+slots: sources meet their targets, and a shard's counts are multinomial but for
+that scale.  Slot j goes to block ``permutation(j mod n)`` of the source's n
+blocks, so no block is taken a third time before all are taken twice; a source
+that no shard draws has its slots in one shard.  Slots and blocks meet in a join
+on the index.  Sources are a table, of any number.
 """
 
 from __future__ import annotations
@@ -27,32 +30,11 @@ LEAST_BLOCKS = 64
 SHARD_SLOTS = 4096
 BUCKET_ROWS = 4_000
 PLACE_SLOTS = 50_000
-MAX_SOURCES = 100_000
+FAN_BITS = 8
 SEED = 20_240_601
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shares(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
-    """Targets of sources in order: ``share`` of all words by weight, none above ``most`` times its size."""
-    total = share * sum(sizes)
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    target, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s]
-    left = total
-    while open_:
-        unit = left / sum(w[i] for i in open_)
-        over = [i for i in open_ if unit * w[i] > most * sizes[i]]
-        if not over:
-            for i in open_:
-                target[i] = unit * w[i]
-            break
-        for i in over:
-            target[i] = most * sizes[i]
-            left -= target[i]
-        open_ = [i for i in open_ if i not in set(over)]
-        left = max(left, 0.0)
-    return target
-
-
 def permute(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """A pseudorandom permutation of 0..n-1 for each element: a Feistel network walked until it falls below n."""
     index, n, seed = (np.asarray(x).astype(np.uint64) for x in (index, n, seed))
@@ -77,56 +59,109 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"))
 
 
-def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, list[tuple]]:
+def sources_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(source, source_no, size, n_docs, target, length, blocks, quota) of ``docs(source, size)``, written once.
+
+    Sources are numbered by code point, null last.  Targets are ``SHARE`` of all
+    words by ``WEIGHTS``, none above ``MOST`` times its source: words per unit of
+    weight rise by rounds over the table until no further source is full.
+    """
+    spark = docs.sparkSession
+    found = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n_docs")).orderBy(F.col("source").asc_nulls_last())
+    found = materialise(found.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    base, bases = 0, []
+    for r in sorted(found.groupBy(part.alias("part")).count().collect()):
+        bases.append((r["part"], base))
+        base += r["count"]
+    bases = spark.createDataFrame(bases, "part long, base long")
+    found = found.withColumn("part", part).join(F.broadcast(bases), "part").withColumn("source_no", F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    weight = F.element_at(F.array(*(F.lit(w) for w in WEIGHTS)), (F.pmod("source_no", F.lit(len(WEIGHTS))) + 1).cast("int"))
+    found = materialise(found.select("source", "source_no", "size", "n_docs", weight.alias("weight")))
+
+    most = MOST * F.col("size")
+    unit, full = 0.0, -1
+    while True:
+        over = F.lit(unit) * F.col("weight") > most
+        got = found.where("size > 0").agg(F.sum("size").alias("all"), F.count(F.when(over, 1)).alias("full"), F.sum(F.when(over, most)).alias("taken"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if got["full"] == full or not got["open"]:
+            break
+        full, unit = got["full"], max(0.0, SHARE * got["all"] - (got["taken"] or 0.0)) / got["open"]
+    length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("size") / LEAST_BLOCKS)))
+    found = found.withColumn("target", F.when(F.col("size") > 0, F.least(F.lit(unit) * F.col("weight"), most)).otherwise(0.0)).withColumn("length", length.cast("int"))
+    found = found.withColumn("blocks", F.ceil(F.col("size") / F.col("length")))
+    # a source's last block is shorter: slots are counted by the mean of its blocks
+    quota = F.when(F.col("size") > 0, F.least(2 * F.col("blocks"), F.rint(F.col("target") * F.col("blocks") / F.col("size")).cast("long"))).otherwise(0)
+    return materialise(found.withColumn("quota", quota.cast("long")).drop("weight"))
+
+
+def draws(sources: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+    """(shard, source_no, n): multinomial counts of ``SHARD_SLOTS`` slots per shard, by the quotas of ``sources``.
+
+    The counts of a shard are drawn for ranges of sources and then inside each
+    range that got any, down a tree with 2 ** ``FAN_BITS`` branches a node.
+    """
+    spark = sources.sparkSession
+    last = sources.agg(F.max("source_no")).first()[0] or 0
+    depth = max(1, -(-int(last).bit_length() // FAN_BITS))
+    drawn = spark.range(0, shards, 1, max(1, min(shards // 64, 2000))).select(F.col("id").alias("shard"), F.lit(0).cast("long").alias("node"), F.lit(SHARD_SLOTS).cast("long").alias("n"))
+    for level in reversed(range(depth)):
+        child = F.shiftright("source_no", FAN_BITS * level)
+        kids = sources.where("quota > 0").groupBy(child.alias("child")).agg(F.sum("quota").alias("q"))
+        kids = kids.groupBy(F.shiftright("child", FAN_BITS).alias("node")).agg(F.sort_array(F.collect_list(F.struct("child", "q"))).alias("kids"))
+        top = level == depth - 1
+
+        def draw(batches, level=level):
+            for batch in batches:
+                shard, node, n = (batch.column(c).to_numpy() for c in ("shard", "node", "n"))
+                kids = batch.column("kids")
+                off, flat = kids.offsets.to_numpy(), kids.values
+                child, q = flat.field("child").to_numpy(), flat.field("q").to_numpy()
+                out: list[list[np.ndarray]] = [[], [], []]
+                for i in range(len(shard)):
+                    c, p = child[off[i] : off[i + 1]], q[off[i] : off[i + 1]]
+                    got = np.random.default_rng([seed, int(shard[i]), level, int(node[i])]).multinomial(int(n[i]), p / p.sum())
+                    at = np.flatnonzero(got)
+                    for x, y in zip(out, (np.full(len(at), shard[i]), c[at], got[at])):
+                        x.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], names=["shard", "node", "n"])
+
+        # the root has one row of at most 2 ** FAN_BITS branches
+        drawn = drawn.join(F.broadcast(kids) if top else kids, "node").select("shard", "node", "n", "kids").mapInArrow(draw, "shard long, node long, n long")
+    return drawn.withColumnRenamed("node", "source_no")
+
+
+def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Placed documents, the takes of each block, and the sources.
 
     ``docs(row, doc_id, source, size)``.  Returns (row, doc_id, size, source_no,
     start, length) with start as word offset within the source and length as that
-    of the source's blocks, (source_no, block,
-    takes), and [(source, number, size, target)].
+    of the source's blocks, (source_no, block, takes), and ``sources_of``.
     """
     spark = docs.sparkSession
-    found = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
-    target = shares([r["size"] for r in found])
-    sources = [(r["source"], i, r["size"], t) for i, (r, t) in enumerate(zip(found, target))]
-    rows = sum(r["n"] for r in found)
-    length = [max(1, min(block, s // LEAST_BLOCKS)) for _, _, s, _ in sources]
-    names = spark.createDataFrame([(s, i, n) for (s, i, _, _), n in zip(sources, length)], "source string, source_no int, length int")
-    docs = docs.join(F.broadcast(names), docs["source"].eqNullSafe(names["source"])).select("row", "doc_id", "size", "source_no", "length", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(1, -(-rows // BUCKET_ROWS)))).alias("bucket"))
+    sources = sources_of(docs, block)
+    totals = sources.agg(F.sum("n_docs").alias("rows"), F.sum("quota").alias("slots")).first()
+    rows, slots = totals["rows"] or 0, totals["slots"] or 0
+    names = sources.select(F.col("source").alias("name"), "source_no", "length")
+    docs = docs.join(names, docs["source"].eqNullSafe(names["name"])).select("row", "doc_id", "size", "source_no", "length", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(1, -(-rows // BUCKET_ROWS)))).alias("bucket"))
     w = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "row")
     before = F.sum("size").over(w) - F.col("size")
     part = docs.groupBy("source_no", "bucket").agg(F.sum("size").alias("part"))
     base = part.select("source_no", "bucket", (F.sum("part").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("part")).alias("base"))
     placed = docs.withColumn("before", before).join(base, ["source_no", "bucket"]).select("row", "doc_id", "size", "source_no", "length", (F.col("before") + F.col("base")).alias("start"))
 
-    blocks = [-(-s // n) for (_, _, s, _), n in zip(sources, length)]
-    # a source's last block is shorter: slots are counted by the mean of its blocks
-    quota = [min(2 * n, round(t * n / s)) if s else 0 for (_, _, s, t), n in zip(sources, blocks)]
-    slots = sum(quota)
     if not slots:
-        return placed, spark.createDataFrame([], "source_no int, block long, takes long"), sources
-    p = np.array(quota) / slots
+        return placed, spark.createDataFrame([], "source_no long, block long, takes long"), sources
     shards = -(-slots // SHARD_SLOTS)
-
-    def draw(batches):
-        for batch in batches:
-            shard = batch.column("id").to_numpy()
-            got = np.array([np.random.default_rng([seed, int(s)]).multinomial(SHARD_SLOTS, p) for s in shard]).reshape(len(shard), len(p))
-            at, source = np.nonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(source.astype(np.int32)), pa.array(got[at, source].astype(np.int64))], names=["shard", "source_no", "n"])
-
-    drawn = spark.range(0, shards, 1, max(1, min(shards // 64, 2000))).mapInArrow(draw, "shard long, source_no int, n long")
+    drawn = draws(sources, shards, seed)
     # running counts per source, by groups of shards and then within a group
     drawn = materialise(drawn.withColumn("group", F.floor(F.col("shard") / 512)))
     groups = drawn.groupBy("source_no", "group").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("source_no")
     groups = groups.select("source_no", "group", (F.sum("n").over(by.orderBy("group")) - F.col("n")).alias("base"), F.sum("n").over(by).alias("drawn"))
-    limits = spark.createDataFrame([(i, int(q), int(n)) for i, (q, n) in enumerate(zip(quota, blocks))], "source_no int, quota long, blocks long")
+    limits = sources.select("source_no", "quota", "blocks")
     run = F.sum("n").over(Window.partitionBy("source_no", "group").orderBy("shard"))
-    slot = F.broadcast(limits).join(drawn.withColumn("upto", run).join(groups, ["source_no", "group"]), "source_no")
+    slot = drawn.withColumn("upto", run).join(groups, ["source_no", "group"]).join(limits, "source_no")
     # draws are put to the scale of the source's quota, so that its slots come out even
     scaled = lambda c: F.floor(c.cast("double") * F.col("quota") / F.col("drawn")).cast("long")
     before, after = F.col("base") + F.col("upto") - F.col("n"), F.col("base") + F.col("upto")
@@ -143,10 +178,10 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Dat
                 many = np.repeat(np.arange(i, k), count)
                 j = a[many] + np.arange(len(many)) - np.repeat(np.cumsum(count) - count, count)
                 at = permute(j % n[many], n[many], np.uint64(seed) + src[many].astype(np.uint64) * np.uint64(7919))
-                yield pa.RecordBatch.from_arrays([pa.array(src[many].astype(np.int32)), pa.array(at)], names=["source_no", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array(src[many]), pa.array(at)], names=["source_no", "block"])
 
     slot = slot.where("b > a").repartition(-(-slots // (4 * PLACE_SLOTS)), "source_no", "shard")
-    takes = slot.mapInArrow(place, "source_no int, block long").groupBy("source_no", "block").agg(F.count("*").alias("takes"))
+    takes = slot.mapInArrow(place, "source_no long, block long").groupBy("source_no", "block").agg(F.count("*").alias("takes"))
     return placed, takes, sources
 
 
@@ -171,8 +206,8 @@ def mix_report(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFra
     rows = materialise(sized(docs.select("doc_id", F.col("source").cast("string"), "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "size"))
     placed, takes, sources = plan_mix(rows, block, seed)
     taken = pieces(placed, takes).groupBy("row").agg(F.sum((F.col("last") - F.col("first")) * F.col("takes")).alias("taken"))
-    about = docs.sparkSession.createDataFrame([(i, int(s), float(t)) for _, i, s, t in sources] or [(-1, 0, 0.0)], "source_no int, source_size long, target double")
-    return placed.join(taken, "row", "left").join(F.broadcast(about), "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    about = sources.select("source_no", F.col("size").alias("source_size"), "target")
+    return placed.join(taken, "row", "left").join(about, "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:

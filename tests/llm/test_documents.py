@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate as D
 from lodestar.llm import html_mincut as H
@@ -424,10 +425,31 @@ def test_line_ratios_match_brute_force(spark):
 # ---- mixing ----------------------------------------------------------------
 
 
+def shares(sizes: list[int], weights=M.WEIGHTS, share: float = M.SHARE, most: float = M.MOST) -> list[float]:
+    """Targets of sources in order: ``share`` of all words by weight, none above ``most`` times its size."""
+    total = share * sum(sizes)
+    w = [weights[i % len(weights)] for i in range(len(sizes))]
+    target, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s]
+    left = total
+    while open_:
+        unit = left / sum(w[i] for i in open_)
+        over = [i for i in open_ if unit * w[i] > most * sizes[i]]
+        if not over:
+            for i in open_:
+                target[i] = unit * w[i]
+            break
+        for i in over:
+            target[i] = most * sizes[i]
+            left -= target[i]
+        open_ = [i for i in open_ if i not in set(over)]
+        left = max(left, 0.0)
+    return target
+
+
 def test_shares_are_capped_and_shared_anew():
-    assert M.shares([100, 100, 100]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
+    assert shares([100, 100, 100]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
     for sizes in ([], [0], [0, 5, 0], [1000, 1, 1, 1], [7, 900, 20, 3, 44]):
-        t = M.shares(sizes)
+        t = shares(sizes)
         assert all(x <= 2 * s + 1e-9 for x, s in zip(t, sizes))
         assert sum(t) == pytest.approx(min(1.5 * sum(sizes), 2 * sum(sizes)))
 
@@ -454,7 +476,7 @@ def test_mix_meets_its_targets(spark):
     for _, t, s in rows:
         size[s] += len(WORD.findall(t or ""))
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    target = dict(zip(order, M.shares([size[s] for s in order])))
+    target = dict(zip(order, shares([size[s] for s in order])))
     src = {d: s for d, _, s in rows}
     taken = Counter()
     for r in got:
@@ -475,6 +497,35 @@ def test_small_sources_beside_a_hot_one_meet_their_targets(spark):
     assert len(small) == 160 and all(abs(r.taken - r.target) <= 1 for r in small)
 
 
+def test_targets_and_numbers_of_sources_are_those_of_the_plain_rounds(spark):
+    rng = random.Random(6)
+    names = [f"n{i:04d}" for i in range(700)] + ["", "\U0001f600", "\uffee", "Z", None]
+    rows = [(s, rng.choice([0, 1, 5, 80, 3000, 100_000])) for s in names for _ in range(rng.randint(1, 3))]
+    got = M.sources_of(spark.createDataFrame(rows, "source string, size long").repartition(7)).orderBy("source_no").collect()
+    order = sorted(names, key=lambda s: (s is None, s or ""))
+    size = Counter()
+    for s, n in rows:
+        size[s] += n
+    assert [(r.source_no, r.source, r.size) for r in got] == [(i, s, size[s]) for i, s in enumerate(order)]
+    assert [r.target for r in got] == pytest.approx(shares([size[s] for s in order]))
+    drawn = M.draws(M.sources_of(spark.createDataFrame(rows, "source string, size long")), 40)
+    per = drawn.groupBy("shard").sum("n").collect()
+    assert len(per) == 40 and all(r[1] == M.SHARD_SLOTS for r in per)
+    quota, n = {r.source_no: r.quota for r in got}, {r.source_no: r[1] for r in drawn.groupBy("source_no").sum("n").collect()}
+    slots, total = sum(quota.values()), 40 * M.SHARD_SLOTS
+    for s, q in quota.items():
+        want = total * q / slots
+        assert abs(n.get(s, 0) - want) <= 6 * want**0.5 + 3 and (q or s not in n)
+
+
+def test_two_hundred_thousand_sources(spark):
+    df = spark.range(0, 200_000, 1, 8).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.format_string("s%06d", "id").alias("source"))
+    df = df.unionByName(spark.range(200_000, 200_400, 1, 4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("hot "), 1000).alias("text"), F.lit("t").alias("source")))
+    got = M.mix_report(df)
+    total = got.agg(F.count("*"), F.sum("taken"), F.max(F.col("taken") - 2 * F.col("size")), F.max(F.when(F.col("doc_id") < 200_000, F.abs(F.col("taken") - F.col("target"))))).first()
+    assert total[0] == 200_400 and total[2] <= 0 and total[3] <= 1 and abs(total[1] - 1.5 * 1_000_000) <= 0.35 * 1_500_000
+
+
 @pytest.mark.parametrize("size", [1, 10, 65, 100, 5000])
 def test_a_source_of_any_size_meets_its_target(spark, size):
     rows = [(1, "w " * size, "a")] + [(10 + i, "x " * 2000, "b") for i in range(60)]
