@@ -29,3 +29,27 @@ def test_cap_and_affordability_deal_candidates_once(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     kept = {r["poi_id"]: r["added"] for r in retrieve.keep_affordable(retrieve.stratified_cap(c.withColumn("poi_budget", F.lit(6.0)), 2, 1)).where("keep").collect()}
     assert kept.keys() >= {"p00", "p01", "p02", "p03"} and kept["p01"] and not kept["p00"]
+
+
+def test_stays_are_met_in_bands(spark, monkeypatch):
+    from lodestar.operators import near
+
+    points = spark.range(40).selectExpr("id AS pid", "6.0 + id / 40.0 AS lat", "80.0 + id % 7 / 10.0 AS lon").unionByName(spark.createDataFrame([(99, 50.0, 10.0)], "pid long, lat double, lon double"))
+    sites = spark.range(3000).selectExpr("id AS acc_id", "6.0 + id % 97 / 97.0 AS slat", "80.0 + id % 61 / 61.0 AS slon", "CASE WHEN id % 50 > 0 THEN CAST(id * 7 % 31 AS double) END AS good")
+    found, met = [], []
+    for one_pass in (near.ONE_PASS, 0):
+        monkeypatch.setattr(near, "ONE_PASS", one_pass)
+        j = near.best_within(points, sites, 25.0, "good", 5)
+        met.append(j.count())
+        j.createOrReplaceTempView("met_stays")
+        found.append(set(map(tuple, spark.sql("SELECT * FROM (SELECT pid, acc_id, row_number() OVER (PARTITION BY pid ORDER BY good DESC, round(km, 4), acc_id) AS rn FROM met_stays) WHERE rn <= 5").collect())))
+    assert found[0] == found[1] and len(found[0]) == 200 and met[1] < met[0] * 0.5
+
+
+def test_pruning_writes_no_pairs(spark, monkeypatch):
+    rows = [(1, f"p{i}", 7.0 + (i > 5) * 9 * (i - 5), 80.0, 60) for i in range(8)] + [(2, "alone", 7.0, 80.0, 60), (3, "a", 7.0, 80.0, 500), (3, "b", 7.0, 80.0, 300)]
+    c = spark.createDataFrame(rows, "request_id long, poi_id string, lat double, lon double, typical_dwell_min int")
+    monkeypatch.setattr(planner, "materialise", lambda df: 1 / 0)
+    got = {tuple(r) for r in planner.reach_prune(c).collect()}
+    assert got == {(1, s, f"p{i}") for i in range(6) for s in (0, 1)}
+    assert planner.reach_prune(c, 1).count() == len(rows)
