@@ -53,3 +53,16 @@ def test_pruning_writes_no_pairs(spark, monkeypatch):
     got = {tuple(r) for r in planner.reach_prune(c).collect()}
     assert got == {(1, s, f"p{i}") for i in range(6) for s in (0, 1)}
     assert planner.reach_prune(c, 1).count() == len(rows)
+
+
+def test_beam_writes_no_states(spark, monkeypatch):
+    rows = [(1, f"p{i:02}", 7.0 + i % 9 / 50, 80.0 + i % 4 / 40, 45, 540, 1020, i % 3 > 0, float(i % 5), i % 11 / 11, 30.0, 2, i % 6 > 0, 7.0, 80.0) for i in range(30)]
+    rows += [(2, "none", 7.0, 80.0, 45, 540, 1020, True, 99.0, 0.5, 1.0, 1, True, 7.0, 80.0)]
+    names = "request_id long, poi_id string, lat double, lon double, typical_dwell_min int, open_min int, close_min int, hours_estimated boolean, entry_fee_lkr double, utility double, poi_budget double, n_days int, keep boolean, start_lat double, start_lon double"
+    monkeypatch.setattr(planner, "materialise", lambda df: 1 / 0)
+    got = planner.beam_plan(spark.createDataFrame(rows, names), 7).collect()
+    assert len(got) == 7 and {r["request_id"] for r in got} == {1} and all(r["truncated"] for r in got)
+    kept = {r[1]: r for r in rows if r[12]}
+    for r in got:
+        assert len(set(r["stops"])) == len(r["stops"]) == len(r["days"]) and abs(sum(kept[x][8] for x in r["stops"]) - r["spent"]) < 1e-9 and r["spent"] <= 30
+    assert [r["value"] for r in sorted(got, key=lambda r: r["rank"])] == sorted((r["value"] for r in got), reverse=True)
