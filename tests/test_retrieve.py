@@ -66,3 +66,19 @@ def test_beam_writes_no_states(spark, monkeypatch):
     for r in got:
         assert len(set(r["stops"])) == len(r["stops"]) == len(r["days"]) and abs(sum(kept[x][8] for x in r["stops"]) - r["spent"]) < 1e-9 and r["spent"] <= 30
     assert [r["value"] for r in sorted(got, key=lambda r: r["rank"])] == sorted((r["value"] for r in got), reverse=True)
+
+
+def test_first_days_make_no_rows_of_pairs(spark, monkeypatch):
+    rows = [(1, f"p{i:02}", 7.0 + i % 9 / 50, 80.0 + i % 4 / 40, 45, 540, 1020, i % 3 > 0, float(i % 5), i % 11 / 11, 9.0, float(i % 7), i % 6 > 0) for i in range(30)]
+    rows += [(2, "a", 7.0, 80.0, 60, 540, 1020, True, 1.0, 0.5, 9.0, 0.0, True), (2, "b", 7.0, 80.0, 60, 540, 1020, True, 1.0, 0.5, 9.0, 0.0, True), (2, "c", 7.0, 80.0, 60, 540, 1020, True, 1.0, 0.0, 9.0, 0.0, True)]
+    rows += [(3, "alone", 7.0, 80.0, 60, 540, 1020, True, 1.0, 0.5, 9.0, 0.0, True)]
+    c = spark.createDataFrame(rows, "request_id long, poi_id string, lat double, lon double, typical_dwell_min int, open_min int, close_min int, hours_estimated boolean, entry_fee_lkr double, utility double, poi_budget double, distance_from_start_km double, keep boolean")
+    monkeypatch.setattr(planner, "materialise", lambda df: 1 / 0)
+    for days in (planner.best_day_pair(c), planner.best_day(c)):
+        plan = days._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Sort" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in planner.best_day_pair(c).where("request_id > 1").collect()} == {(2, "a", "b", 1.0)}
+    found = [{(r.request_id, tuple(r.stops), r.value) for r in planner.best_day(c, tried).collect()} for tried in (1, 4, 10_000)]
+    # a third stop that adds nothing loses to the two that come first in the order of ids
+    assert found[0] == found[1] == found[2] and (2, ("a", "b"), 1.0) in found[0] and {r[0] for r in found[0]} == {1, 2}
+    assert max(v for k, _, v in found[0] if k == 1) > planner.best_day_pair(c).where("request_id = 1").first().value
