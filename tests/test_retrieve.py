@@ -68,6 +68,17 @@ def test_beam_writes_no_states(spark, monkeypatch):
     assert [r["value"] for r in sorted(got, key=lambda r: r["rank"])] == sorted((r["value"] for r in got), reverse=True)
 
 
+def test_beams_of_many_requests_pass_a_task_together(spark):
+    names = "request_id long, poi_id string, lat double, lon double, typical_dwell_min int, open_min int, close_min int, hours_estimated boolean, entry_fee_lkr double, utility double, poi_budget double, n_days int, keep boolean, start_lat double, start_lon double"
+    rows = [(q, f"p{i:02}", 7.0 + i % 9 / 50, 80.0 + (i + q) % 4 / 40, 45, 540, 1020, i % 3 > 0, float(i % 5), (i * q) % 11 / 11, 9.0 * q, q % 4, (i + q) % 6 > 0, 7.0, 80.0) for q in range(9) for i in range(3 * q)]
+    got = planner.beam_plan(spark.createDataFrame(rows, names), 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and plan.count("Exchange hashpartitioning") == 1
+    together = {(r.request_id, r["rank"]): tuple(r) for r in got.collect()}
+    alone = {(r.request_id, r["rank"]): tuple(r) for q in range(9) for r in planner.beam_plan(spark.createDataFrame([x for x in rows if x[0] == q], names), 4).collect()}
+    assert together == alone and {k[0] for k in together} == set(range(1, 9)) and together[4, 1][2] == [] and together[3, 1][2]
+
+
 def test_first_days_make_no_rows_of_pairs(spark, monkeypatch):
     rows = [(1, f"p{i:02}", 7.0 + i % 9 / 50, 80.0 + i % 4 / 40, 45, 540, 1020, i % 3 > 0, float(i % 5), i % 11 / 11, 9.0, float(i % 7), i % 6 > 0) for i in range(30)]
     rows += [(2, "a", 7.0, 80.0, 60, 540, 1020, True, 1.0, 0.5, 9.0, 0.0, True), (2, "b", 7.0, 80.0, 60, 540, 1020, True, 1.0, 0.5, 9.0, 0.0, True), (2, "c", 7.0, 80.0, 60, 540, 1020, True, 1.0, 0.0, 9.0, 0.0, True)]
