@@ -4,18 +4,20 @@ Words are 64-bit hashes whose five low bits are a suffix class.  Exchange
 clustering runs on the ``CORE`` most frequent words: starting from classes by
 frequency rank, each pass counts in Spark every word's neighbours by class and
 moves words to the class with the best gain in likelihood, until the likelihood of
-all training text settles.  The other words up to ``HEAD`` are then exchanged
+all training text settles.  All other words are then exchanged
 against these classes in one pass: each goes from its suffix class to the best
-class where that gains more than naming a class costs.  Words beyond stay in their
-suffix class.  A text's probability is the product of smoothed class transitions
-and word emissions, its end included.
+class where that gains more than naming a class costs.  A text's probability is the
+product of smoothed class transitions and word emissions, its end included.
 
 Counts of all words are a table; the ``HEAD`` most frequent are broadcast with
 their classes, a model of fixed size, and the others meet their counts in a join.
+So do the classes of words beyond that left their suffix class, unless there are
+few of them (``FEW``), which are broadcast too, with the same results.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, replace
 
@@ -30,10 +32,10 @@ from .textarrays import mix, slices, utf8, words
 
 HEAD = 1 << 18
 CORE = 1 << 12
+FEW = 1 << 20
 CLASSES = 64
 SUFFIXES = 32
-PASSES = 24  # at most; a pass that gains less than SETTLED of the likelihood, twice, is the last
-SETTLED = 1e-4
+SETTLED = 1e-4  # a pass that gains less of the likelihood, twice in a row, is the last
 FLUSH = 2_000_000
 SMALL = 16  # gains of counts up to this come from a table
 TRANSITION_PRIOR = 0.1
@@ -130,6 +132,14 @@ class Head:
         cls[where] = np.where(at >= 0, self.classes[at], _suffix_class(ids)) if len(self.classes) else _suffix_class(ids)
         return place, cls
 
+    @staticmethod
+    def spread(ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+        """The words of a slice where ``symbols`` has them; 0 at ends."""
+        rows = len(ptr) - 1
+        out = np.zeros(len(ids) + rows + 1, dtype=np.int64)
+        out[np.arange(len(ids)) + np.repeat(np.arange(rows), np.diff(ptr)) + 1] = ids
+        return out
+
 
 def _suffix_class(ids: np.ndarray) -> np.ndarray:
     return CLASSES + (ids & (SUFFIXES - 1))
@@ -176,13 +186,73 @@ def _core_keys(head: Head, place: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return left[use] << 14 | right[use]
 
 
-def _rest_keys(head: Head, place: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Head words that are not core, with the side and the class of each neighbour."""
-    at = np.flatnonzero(place >= 0)
-    at = at[head.core[place[at]] < 0]
-    after = place[at] << 8 | cls[at + 1]
-    before = place[at] << 8 | 128 | cls[at - 1]
-    return np.concatenate([after, before])
+def _rest(texts: DataFrame, head) -> DataFrame:
+    """(word, key, n): how often each word that is not core has a neighbour of a class (key & 127) after it or (key & 128) before it."""
+
+    def summed(held):
+        word, key = (np.concatenate(x) for x in zip(*held))
+        names, at = np.unique(word, return_inverse=True)
+        both, n = np.unique(at << 8 | key, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names[both >> 8]), pa.array((both & 255).astype(np.int16)), pa.array(n.astype(np.int32))], names=["word", "key", "n"])
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            for _, _, ids, ptr in _tokens(batch):
+                place, cls = head.value.symbols(ids, ptr)
+                rest = cls != _END_CLASS
+                if len(head.value.core):
+                    rest &= (place < 0) | (head.value.core[place] < 0)
+                at = np.flatnonzero(rest)
+                word = head.value.spread(ids, ptr)[at]
+                held.append((np.concatenate([word, word]), np.concatenate([cls[at + 1], 128 | cls[at - 1]])))
+                count += 2 * len(at)
+                if count > FLUSH:
+                    yield summed(held)
+                    held, count = [], 0
+        if count:
+            yield summed(held)
+
+    return texts.select("text").mapInArrow(run, "word long, key short, n int")
+
+
+def _tail_steps(place: np.ndarray, cls: np.ndarray, word: np.ndarray):
+    """Where a symbol or the next is a word beyond the head: positions, and (word, class) of both sides, words null within the head."""
+    tail = (place < 0) & (cls != _END_CLASS)
+    at = np.flatnonzero(tail[:-1] | tail[1:])
+    name = lambda k: pa.array(word[k], mask=~tail[k])
+    return at, [name(at), pa.array(cls[at].astype(np.int32)), name(at + 1), pa.array(cls[at + 1].astype(np.int32))]
+
+
+_STEP = ["left", "lc", "right", "rc"]
+_STEP_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+
+
+def _with_classes(steps: DataFrame, tail: DataFrame) -> DataFrame:
+    """``steps(left, lc, right, rc, ..)`` where either side is a word of ``tail(word, cls)``, with both classes after the exchange as la and ra."""
+    to = lambda side, c: tail.select(F.col("word").alias(side), F.col("cls").alias(c))
+    j = steps.join(to("left", "la"), "left", "left").join(to("right", "ra"), "right", "left")
+    return j.where("la is not null or ra is not null").withColumns({"la": F.coalesce("la", "lc"), "ra": F.coalesce("ra", "rc")})
+
+
+def _tail_pairs(texts: DataFrame, head, tail: DataFrame) -> np.ndarray:
+    """What the words of ``tail`` change in the counts of adjacent class pairs."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, ids, ptr in _tokens(batch):
+                place, cls = head.value.symbols(ids, ptr)
+                yield pa.RecordBatch.from_arrays(_tail_steps(place, cls, head.value.spread(ids, ptr))[1], names=_STEP)
+
+    j = _with_classes(texts.select("text").mapInArrow(run, "left long, lc int, right long, rc int"), tail)
+    out = np.zeros((_N_CLASSES, _N_CLASSES))
+    # classes are few, so are pairs of pairs of classes
+    was = j.groupBy("lc", "rc").agg(F.count("*").alias("n")).toArrow()
+    now = j.groupBy("la", "ra").agg(F.count("*").alias("n")).toArrow()
+    for got, sign in ((was, -1), (now, 1)):
+        a, b, n = (got[i].to_numpy() for i in range(3))
+        np.add.at(out, (a, b), sign * n)
+    return out
 
 
 def _class_keys(head: Head, place: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -266,7 +336,7 @@ def exchange(pairs: DataFrame, words: int) -> np.ndarray:
     classes = np.concatenate([np.zeros(CORE, dtype=np.int64), CLASSES + np.arange(SUFFIXES), [_END_CLASS]])
     classes[:words] = np.arange(words) % CLASSES
     best, kept, share, settled = -math.inf, classes, 2, 0
-    for p in range(PASSES):
+    for p in itertools.count():
         right, left, own = _around(pairs, classes)
         joint = np.zeros((_N_CLASSES, _N_CLASSES))
         np.add.at(joint, classes[:CORE], right)
@@ -302,8 +372,8 @@ def exchange(pairs: DataFrame, words: int) -> np.ndarray:
     return kept[:words]
 
 
-def _placed(rest: DataFrame, head, joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, classes) of the head words that leave their suffix class, ``rest(key, n)`` being their neighbours.
+def _placed(rest: DataFrame, head, joint: np.ndarray) -> DataFrame:
+    """(word, cls, n, in_head) of the words that leave their suffix class, ``rest(word, key, n)`` being their neighbours.
 
     A word's gain in a class is the change of likelihood when its counts join the
     row and the column of that class, against those of its suffix class; it moves
@@ -317,18 +387,20 @@ def _placed(rest: DataFrame, head, joint: np.ndarray) -> tuple[np.ndarray, np.nd
     back = [joint.T, joint]
 
     def move(batches):
-        parts = [[b.column(c).to_numpy() for c in ("key", "n")] for b in batches]
+        parts = [[b.column(c).to_numpy() for c in ("word", "key", "n")] for b in batches]
         if not parts:
             return
-        key, n = (np.concatenate(x) for x in zip(*parts))
-        key, at = np.unique(key, return_inverse=True)
+        word, key, n = (np.concatenate(x) for x in zip(*parts))
+        words_, at = np.unique(word, return_inverse=True)
+        key, at = np.unique(at << 8 | key, return_inverse=True)
         n = np.bincount(at, weights=n)
-        suffix = head.value.classes
         cut = np.flatnonzero(np.append(True, key[1:] >> 8 != key[:-1] >> 8))
         for i, k in slices(np.append(cut, len(key)), 1 << 15):
             e = slice(cut[i], cut[k] if k < len(cut) else len(key))
-            word, side, c, m = key[e] >> 8, key[e] >> 7 & 1, key[e] & 127, n[e]
-            own = suffix[word]
+            first = cut[i:k] - cut[i]
+            names = words_[key[cut[i:k]] >> 8]
+            side, c, m = key[e] >> 7 & 1, key[e] & 127, n[e]
+            own = np.repeat(_suffix_class(names), np.diff(np.append(first, len(m))))
             gain = np.empty((len(m), CLASSES), dtype=np.float32)
             stay = np.empty(len(m))
             for s in (0, 1):
@@ -339,25 +411,30 @@ def _placed(rest: DataFrame, head, joint: np.ndarray) -> tuple[np.ndarray, np.nd
                 here = np.flatnonzero(side == s)
                 j = back[s][c[here], own[here]]
                 stay[here] = _phi(j) - _phi(np.maximum(j - m[here], 0))
-            first = cut[i:k] - cut[i]
-            names = word[first]
             total, stays = np.add.reduceat(gain, first, axis=0), np.add.reduceat(stay, first)
-            times = head.value.n[names].astype(float)
+            times = np.add.reduceat(np.where(side == 0, m, 0), first)
             total = total - grow(rows[:CLASSES], times[:, None]) - grow(cols[:CLASSES], times[:, None])
             for side_sum in (rows, cols):
-                j = side_sum[suffix[names]]
+                j = side_sum[_suffix_class(names)]
                 stays = stays - _phi(j) + _phi(np.maximum(j - times, 0))
             to = total.argmax(axis=1)
             go = total[np.arange(len(to)), to] - stays > math.log(CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(names[go].astype(np.int32)), pa.array(to[go].astype(np.int32))], names=["place", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[go]), pa.array(to[go].astype(np.int32)), pa.array(times[go].astype(np.int64)), pa.array(head.value.find(names[go]) >= 0)], names=["word", "cls", "n", "in_head"])
 
-    got = rest.repartition(F.shiftright("key", 8)).mapInArrow(move, "place int, cls int").toArrow()
-    return got["place"].to_numpy(), got["cls"].to_numpy()
+    return rest.repartition("word").mapInArrow(move, "word long, cls int, n long, in_head boolean")
+
+
+def _joined(head: Head, tail: pa.Table) -> Head:
+    """The head with the words of ``tail(word, cls, n)`` as well."""
+    ids = np.concatenate([head.find.keys, tail["word"].to_numpy().astype(np.int64)])
+    order = np.argsort(ids)
+    both = lambda a, b: np.concatenate([a, b])[order]
+    return replace(head, find=Lookup(ids[order]), n=both(head.n, tail["n"].to_numpy()), core=both(head.core, np.full(len(tail), -1)), classes=both(head.classes, tail["cls"].to_numpy().astype(np.int64)))
 
 
 @dataclass
 class Model:
-    """What scoring needs: the head, log transitions, log room of each class, totals."""
+    """What scoring needs: the head, log transitions, log room of each class, totals; ``tail(word, cls)`` are moved words beyond the head."""
 
     head: Head
     trans: np.ndarray
@@ -365,6 +442,7 @@ class Model:
     tokens: int
     kinds: int
     ends: int
+    tail: DataFrame | None = None
 
 
 def learn(train: DataFrame, counts: DataFrame) -> Model:
@@ -378,12 +456,20 @@ def learn(train: DataFrame, counts: DataFrame) -> Model:
     classes = head.classes.copy()
     classes[core] = exchange(pairs, len(core))[head.core[core]]
     head = replace(head, classes=classes)
+    tail = None
     if len(core) < len(classes):
         shared = spark.sparkContext.broadcast(head)
-        place, cls = _placed(_keyed(train, shared, _rest_keys), shared, class_pairs(train, shared))
+        moved = materialise(_placed(_rest(train, shared), shared, class_pairs(train, shared)))
+        got = moved.where("in_head").toArrow()  # at most ``HEAD``
         head = replace(head, classes=classes.copy())
-        head.classes[place] = cls
-    joint = class_pairs(train, spark.sparkContext.broadcast(head))
+        head.classes[head.find(got["word"].to_numpy())] = got["cls"].to_numpy()
+        tail = moved.where("not in_head").select("word", "cls", "n")
+        if tail.limit(FEW + 1).count() <= FEW:
+            head, tail = _joined(head, tail.toArrow()), None
+    shared = spark.sparkContext.broadcast(head)
+    joint = class_pairs(train, shared)
+    if tail is not None:
+        joint += _tail_pairs(train, shared, tail)
     trans = np.log10((joint + TRANSITION_PRIOR) / (joint.sum(axis=1, keepdims=True) + TRANSITION_PRIOR * _N_CLASSES))
 
     # tokens and distinct words of each class; those of the suffix classes from the whole table
@@ -394,7 +480,12 @@ def learn(train: DataFrame, counts: DataFrame) -> Model:
     for sign, of in ((-1, was), (1, head.classes)):
         np.add.at(tokens, of, sign * head.n)
         np.add.at(kinds, of, sign)
-    return Model(head, trans, np.log10(tokens + kinds + 1), int(total[0] or 0), int(total[1]), int(total[2] or 0))
+    if tail is not None:
+        for c, to, t, k in tail.groupBy(F.col("word").bitwiseAND(F.lit(SUFFIXES - 1)), "cls").agg(F.sum("n"), F.count("*")).collect():
+            for sign, of in ((-1, CLASSES + c), (1, to)):
+                tokens[of] += sign * t
+                kinds[of] += sign * k
+    return Model(head, trans, np.log10(tokens + kinds + 1), int(total[0] or 0), int(total[1]), int(total[2] or 0), tail)
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -415,24 +506,30 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFr
     model = spark.sparkContext.broadcast((learnt.head, np.log10(learnt.head.n + 1.0), learnt.trans, learnt.room))
     base_room = math.log10(learnt.tokens + learnt.kinds + 1)
     end_log = math.log10(learnt.ends + 1)
+    learnt_tail = learnt.tail is not None
 
     def run(batches):
         head, logn, trans, room = model.value
         start = _row_start()
+        far = learnt_tail
         for batch in batches:
             if not batch.num_rows:
                 continue
             n_tok, n_known, shared, moves, tw, tc = [], [], [], [], [], []
+            steps, step_count = [], []
             for i, j, ids, ptr in _tokens(batch):
                 place, c = head.symbols(ids, ptr)
                 step = trans[c[:-1], c[1:]] - np.where(c[1:] == _END_CLASS, 0.0, room[c[1:]])
                 row = np.repeat(np.arange(j - i), np.diff(ptr) + 1)
                 words_row = np.repeat(np.arange(j - i), np.diff(ptr))
-                at = place[1:][c[1:] != _END_CLASS]
-                hit = at >= 0
+                known = place[1:][c[1:] != _END_CLASS]
+                hit = known >= 0
                 moves.append(np.bincount(row, weights=step, minlength=j - i))
-                shared.append(np.bincount(words_row[hit], weights=logn[at[hit]], minlength=j - i))
+                shared.append(np.bincount(words_row[hit], weights=logn[known[hit]], minlength=j - i))
                 n_tok.append(np.diff(ptr) + 1)
+                at, sides = _tail_steps(place, c, head.spread(ids, ptr)) if far else (np.zeros(0, int), [pa.array([], t) for t in _STEP_TYPES])
+                steps.append(sides)
+                step_count.append(np.bincount(row[at], minlength=j - i))
                 n_known.append(np.bincount(words_row[hit], minlength=j - i))
                 rare_ptr = np.concatenate([[0], np.cumsum(np.bincount(words_row[~hit], minlength=j - i))])
                 rare = ids[~hit]
@@ -441,6 +538,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFr
                     tw.append(w)
                     tc.append(m.astype(np.int32))
             lens = np.concatenate([[0], np.cumsum([len(x) for x in tw])]).astype(np.int32)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(step_count))]).astype(np.int32))
             size = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -453,14 +551,28 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFr
                     pa.array(np.concatenate(moves)),
                     pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(tw))),
                     pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(tc))),
+                    *(pa.ListArray.from_arrays(ends, pa.concat_arrays(x)) for x in zip(*steps)),
                 ],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_head", "head_log", "moves", "rare", "times"],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_head", "head_log", "moves", "rare", "times", *_STEP],
             )
             start += size
 
-    scored = materialise(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, moves double, rare array<long>, times array<int>"))
+    scored = materialise(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, moves double, rare array<long>, times array<int>, left array<long>, lc array<int>, right array<long>, rc array<int>"))
     rare = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_log"))
+    if learnt_tail:
+        # words beyond the head that left their suffix class change the steps beside them
+
+        def changed(batches):
+            _, _, trans, room = model.value
+            step = trans - np.append(room[:_END_CLASS], 0.0)
+            for batch in batches:
+                lc, rc, la, ra = (batch.column(x).to_numpy() for x in ("lc", "rc", "la", "ra"))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(step[la, ra] - step[lc, rc])], names=["row", "by"])
+
+        steps = scored.where(F.size("left") > 0).select("row", F.explode(F.arrays_zip(*_STEP)).alias("x")).select("row", "x.*")
+        by = _with_classes(steps, learnt.tail).select("row", "lc", "rc", "la", "ra").mapInArrow(changed, "row long, by double")
+        scored = scored.join(by.groupBy("row").agg(F.sum("by").alias("by")), "row", "left").withColumn("moves", F.col("moves") + F.coalesce("by", F.lit(0.0)))
     words_log = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0))
     score = words_log + F.col("moves")
     return scored.join(rare, "row", "left").select(

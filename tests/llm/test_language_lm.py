@@ -232,3 +232,27 @@ def test_exchange_finds_planted_classes(spark, monkeypatch):
         at = int(np.flatnonzero(model.head.find.keys == next(brown_lm._tokens(batch))[2][0])[0])
         kinds.setdefault(int(model.head.classes[at]), set()).add(w[0])
     assert all(len(x) == 1 for x in kinds.values())
+
+
+def test_words_beyond_the_head_leave_their_suffix_class(spark, monkeypatch):
+    """Broadcast or joined, the classes of rare words give the same scores, and better ones than their suffix classes."""
+    monkeypatch.setattr(brown_lm, "HEAD", 40)
+    monkeypatch.setattr(brown_lm, "CORE", 30)
+    rng = np.random.default_rng(5)
+    kind = lambda k: f"{'abc'[k]}{rng.integers(10)}" if rng.random() < 0.7 else f"{'xyz'[k]}{rng.integers(400)}{'pqr'[rng.integers(3)]}"
+    rows = [(i, " ".join(kind((k + i) % 3) for k in range(60))) for i in range(400)] + [(900, None), (901, "a1 neverseen z1q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = df.where(~language.held_out(F.col("doc_id"), 7, 2))
+    counts = brown_lm.word_counts(train)
+    model = brown_lm.learn(train, counts)
+    assert model.tail is None and len(model.head.find.keys) > 300 and (model.head.classes < brown_lm.CLASSES).sum() > 300
+    found = []
+    for few in (brown_lm.FEW, 0):
+        monkeypatch.setattr(brown_lm, "FEW", few)
+        found.append(sorted(tuple(r) for r in brown_lm.score_texts(df).collect()))
+    apart = brown_lm.learn(train, counts)
+    assert apart.tail.count() == len(model.head.find.keys) - 40 and np.allclose(apart.trans, model.trans) and np.allclose(apart.room, model.room)
+    assert len(found[0]) == len(rows) and all(a[:5] == b[:5] and np.allclose(a[5:], b[5:]) for a, b in zip(*found))
+    monkeypatch.setattr(brown_lm, "_placed", lambda rest, head, joint: rest.limit(0).selectExpr("word", "0 as cls", "1L as n", "true as in_head"))
+    stay = sorted(tuple(r) for r in brown_lm.score_texts(df).collect())
+    assert sum(r[6] for r in found[0] if r[1]) > sum(r[6] for r in stay if r[1])
