@@ -189,9 +189,9 @@ def nearby_places(s, d):
 
 def nearby_stays(s, d):
     """Stays that are no hotels within 20 km of each station."""
-    st = V.v_station(s, d).select("station_id", "lat", "lon")
-    stays = V.v_stay(s, d).where(~V.is_hotel(F.col("sltda_type"))).select("acc_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    return near.within(st, stays, 20.0).select("station_id", "acc_id", F.round("km", 3).alias("km"))
+    st = V.v_station(s, d).select(F.col("station_id").alias("pid"), "lat", "lon")
+    stays = V.v_stay(s, d).where(~V.is_hotel(F.col("sltda_type"))).select(F.col("acc_id").alias("sid"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    return near.pairs_within(st, stays, 20.0, 3).select(F.col("pid").alias("station_id"), F.col("sid").alias("acc_id"), "km")
 
 
 def _dup(s, d):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import near
 
@@ -89,6 +90,41 @@ def test_a_crowded_place_meets_few_pairs(spark, monkeypatch):
     assert cost["town"] < 2 * cost["even"]
 
 
+def test_all_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """As brute force with many ids at one spot; a distance is taken once for two spots, and no task has most of the pairs."""
+    monkeypatch.setattr(near, "BLOCK", 2000)
+    monkeypatch.setattr(near, "MEMBERS", 8)
+    r = np.random.default_rng(3)
+    points = np.vstack([np.column_stack([r.uniform(6, 8, 150), r.uniform(80, 82, 150)]), np.tile([[7.0, 81.0]], (30, 1))])
+    sites = np.vstack([np.column_stack([r.uniform(6, 8, 300), r.uniform(80, 82, 300)]), np.tile([[7.05, 81.05]], (200, 1)), points[:20]])
+    p, s = frames(spark, points, sites)
+    p, s = p.union(spark.sql("select 900L, cast(null as double), 81d")), s.union(spark.sql("select 900L, 7d, cast(null as double)"))
+    got = near.pairs_within(p, s, 20.0, 3)
+    d = km(points, sites)
+    want = sorted((i, j, round(float(d[i, j]), 3)) for i, j in np.argwhere(d <= 20.0))
+    rows = sorted(tuple(x) for x in got.collect())
+    assert [x[:2] for x in rows] == [x[:2] for x in want] and np.allclose([x[2] for x in rows], [x[2] for x in want], atol=1.1e-3)
+    parts = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == len(want) > 6000 and max(parts) < len(want) / 2
+
+
+def test_nearby_stays_with_a_crowd_match_brute_force(spark, monkeypatch):
+    """Shares of the pairs that tasks have follow their number, not the bytes of the tables."""
+    from lodestar import queries_places as Q
+
+    monkeypatch.setattr(near, "BLOCK", 500, raising=False)
+    path = "/root/testdata/sf0.01"
+    got = Q.nearby_stays(spark, path)
+    st, a = Q.V.v_station(spark, path), Q.V.v_stay(spark, path).where(~Q.V.is_hotel(F.col("sltda_type")))
+    st, a = st.select("station_id", "lat", "lon").collect(), a.select("acc_id", "lat", "lon").collect()
+    d = km(np.array([x[1:] for x in st]), np.array([x[1:] for x in a]))
+    want = sorted((st[i].station_id, a[j].acc_id, round(float(d[i, j]), 3)) for i, j in np.argwhere(d <= 20.0))
+    rows = sorted(tuple(x) for x in got.collect())
+    assert [x[:2] for x in rows] == [x[:2] for x in want] and np.allclose([x[2] for x in rows], [x[2] for x in want], atol=1.1e-3)
+    parts = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(parts) < len(want) / 3
+
+
 def ragged(sides, seed, x=80.0, y=7.0):
     """A star-shaped ring of ``sides`` sides with a ragged edge, its sides in any order."""
     r = np.random.default_rng(seed)
