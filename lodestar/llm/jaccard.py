@@ -388,26 +388,30 @@ def close_nodes(sizes: np.ndarray, bits: list[np.ndarray], classes: np.ndarray,
 
 
 def _node_sets(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
-    """(node, hashes): the sets of the nodes in ``active(doc_id, node)``, each node once but for repeats of its row."""
+    """(node, label, total, hashes): the sets of the nodes in ``active(doc_id, node, label, total)``, each node once but for repeats of its row."""
+    told = ["node", "label", "total"]
+
+    def rows(batch, at, data):
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in told), pa.array(data, pa.binary())], names=[*told, "hashes"])
 
     def run(batches):
         for batch in batches:
             want = batch.column("node").to_numpy()
-            node, data = [], []
+            at, data = [], []
             for r, s in _sets(batch, k):
                 if len(s) and _name(s) == want[r]:
-                    node.append(int(want[r]))
+                    at.append(r)
                     data.append(s.tobytes())
                 if len(data) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["node", "hashes"])
-                    node, data = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["node", "hashes"])
+                    yield rows(batch, at, data)
+                    at, data = [], []
+            yield rows(batch, at, data)
 
-    active = active.select("doc_id", "node")
+    active = active.select("doc_id", *told)
     if active.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
         active = F.broadcast(active)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(active, "doc_id")
-    return rows.select("text", "node").mapInArrow(run, "node long, hashes binary")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(active, "doc_id")
+    return texts.select("text", *told).mapInArrow(run, "node long, label long, total long, hashes binary")
 
 
 def _stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -522,12 +526,15 @@ def _block_pairs(open_: DataFrame, pct: int) -> DataFrame:
 
 
 def _settled(active: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """(node, class): the classes of ``active(node, n_shingles, label)``, named by their least node; a node alone may be missing."""
+    """(node, class): the classes of ``active(node, n_shingles, label, total)``, named by their least node; a node alone may be missing.
+
+    ``sets(node, label, total, hashes)``: a small component's sets go to its tile
+    as they are, so that only those of large components are joined with blocks.
+    """
+    small = sets.where(F.col("total") <= TILE_SHINGLES).select("node", F.col("node").alias("class"), F.col("label").cast("string").alias("tile"), "hashes")
+    classes = materialise(_links(small, pct)).select(F.col("a").alias("node"), F.col("b").alias("class"))
+    sets = sets.where(F.col("total") > TILE_SHINGLES).select("node", "hashes")
     with_sets = lambda tiles: tiles.join(sets, "node")
-    total = active.groupBy("label").agg(F.sum("n_shingles").alias("total"))
-    active = materialise(active.join(total, "label").select("node", "n_shingles", "label", "total"))
-    small = active.where(F.col("total") <= TILE_SHINGLES).select("node", F.col("node").alias("class"), F.col("label").cast("string").alias("tile"))
-    classes = materialise(_links(with_sets(small), pct)).select(F.col("a").alias("node"), F.col("b").alias("class"))
     large = active.where(F.col("total") > TILE_SHINGLES).select("node", "n_shingles", "label", F.col("node").alias("class"))
     before, level = large.count(), 0
     if not before:
@@ -577,6 +584,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     peeled = materialise(_peeled(_shared(_postings(docs, common, k, pct), pct), pct))
     labels = connected_components(_ties(peeled, pct))
     active = materialise(nodes.join(labels.withColumnRenamed("id", "node"), "node").where("doc_id is not null"))
+    active = materialise(active.join(active.groupBy("label").agg(F.sum("n_shingles").alias("total")), "label"))
     sets = materialise(_node_sets(docs, active, k))
     classes = materialise(_settled(active, sets, pct))
     placed = nodes.join(classes, "node", "left").select("node", "doc_id", F.coalesce("class", "node").alias("class"))
