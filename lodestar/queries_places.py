@@ -182,7 +182,7 @@ def nearest_polygon(s, d):
 def nearby_places(s, d):
     """Places within 15 km of each station, the nearest ten."""
     st = V.v_station(s, d).select("station_id", "lat", "lon")
-    j = near.within(st, _poi(s, d).select("poi_id", F.col("lat").alias("slat"), F.col("lon").alias("slon")), 15.0).withColumn("km", F.round("km", 4))
+    j = near.within(st, _poi(s, d).select("poi_id", F.col("lat").alias("slat"), F.col("lon").alias("slon")), 15.0, first=("poi_id", 10, 4)).withColumn("km", F.round("km", 4))
     rn = F.row_number().over(Window.partitionBy("station_id").orderBy("km", "poi_id"))
     return j.withColumn("rn", rn).where("rn <= 10").select("station_id", "rn", "poi_id", "km")
 

@@ -176,3 +176,43 @@ def test_sides_met_by_a_point_do_not_grow_with_the_polygon(spark, monkeypatch):
         rows = s.where("ay <> by").crossJoin(box).selectExpr("explode(sequence(floor((least(ay, by) - y0) / high), floor((greatest(ay, by) - y0) / high))) as row")
         met[n] = points.crossJoin(box).selectExpr("floor((lat - y0) / high) as row").join(rows, "row").count() / 500
     assert met[20_000] < 1.5 * met[200] < 15
+
+
+def test_first_within_are_those_of_all_pairs(spark, monkeypatch):
+    """The first by rounded distance, then id, with crowds, ties and points of few sites in reach; not all pairs are met."""
+    r = np.random.default_rng(5)
+    fine = np.column_stack([7 + r.integers(0, 6, 120) * 4e-7, 81 + r.integers(0, 6, 120) * 4e-7])  # some 0.04 m apart: equal when rounded
+    sites = np.vstack([np.column_stack([r.uniform(6, 8, 1500), r.uniform(80, 82, 1500)]), fine, np.tile([[6.5, 80.5]], (40, 1)), shapes()["town in a plain"][40:], [[9.0, 80.0], [9.05, 80.0]]])
+    points = np.vstack([np.column_stack([r.uniform(6, 8, 60), r.uniform(80, 82, 60)]), fine[:5], [[6.5, 80.5], [6.5, 80.5], [7.0, 81.0], [9.01, 80.0], [8.9, 81.9], [40.0, 10.0]]])
+    p, s = frames(spark, points, sites)
+    p = p.withColumnRenamed("pid", "station").union(spark.sql("select 900L, cast(null as double), 81d"))
+    s = s.select(F.format_string("n%d", "sid").alias("poi"), "slat", "slon").union(spark.sql("select 'none', 7d, cast(null as double)"))
+    every = near.within(p, s, 15.0).select("station", "poi", F.round("km", 4).alias("km")).collect()
+    want = {}
+    for x in sorted(every, key=lambda x: (x.km, x.poi)):
+        want.setdefault(x.station, []).append((x.km, x.poi))
+    want = {(a, *b) for a, of in want.items() for b in of[:10]}
+    met, inside = [], near.haversine_km
+    monkeypatch.setattr(near, "haversine_km", lambda *a: met.append(a) or inside(*a))
+    got = near.within(p, s, 15.0, first=("poi", 10, 4))
+    assert {(x.station, x.km, x.poi) for x in got.collect()} == want and got.count() == len(want)
+    assert {x[0] for x in want} >= {60, 65, 66, 68} and not {x[0] for x in want} & {70, 900} and len(want) < len(every) / 4
+
+
+def test_nearby_places_meet_few_of_the_pairs(spark, monkeypatch):
+    """The query's rows are those of all pairs in reach, and it does not make these."""
+    from lodestar import queries_places as Q
+
+    path = "/root/testdata/sf0.01"
+    made = []
+    spread = near._spread
+    monkeypatch.setattr(near, "_spread", lambda *a: made.append(a) or spread(*a))
+    got = {tuple(x) for x in Q.nearby_places(spark, path).collect()}
+    assert not made
+    st, poi = Q.V.v_station(spark, path).select("station_id", "lat", "lon").collect(), Q.V.v_poi(spark, path).select("poi_id", "lat", "lon").collect()
+    d = np.round(km(np.array([x[1:] for x in st]), np.array([x[1:] for x in poi])), 4)
+    want = set()
+    for i, x in enumerate(st):
+        near_by = sorted((d[i, j], poi[j].poi_id) for j in np.flatnonzero(d[i] <= 15.0))[:10]
+        want |= {(x.station_id, n + 1, b, a) for n, (a, b) in enumerate(near_by)}
+    assert {x[:3] for x in got} == {x[:3] for x in want} and len(got) == 971
