@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import materialise
-from .textarrays import shingles, slices, utf8, words
+from .textarrays import mix, shingles, slices, utf8, words
 
 TILE_SHINGLES = 1 << 18
 PAIR_SHINGLES = 1 << 24  # of bitmaps, which take a thirtieth of the sets
 SKETCH_BITS = 22
 SLICE = 1 << 16  # cells of the sketch in a row
+COUNTED = 1 << 18  # shingles that are counted at once
 COMMON_SPARE = 16
 SALTS = 256
 BROADCAST_NODES = 1_000_000
@@ -66,6 +67,12 @@ def _cell(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _count(total: np.ndarray, held: list[np.ndarray]) -> None:
+    """Cells are counted in their order, so that memory is passed once."""
+    cell, n = np.unique(np.concatenate(held), return_counts=True)
+    total[cell] += n.astype(total.dtype)
+
+
 def least_common(n: int, pct: int) -> int:
     """How many of the least common shingles both of two linked sets post, the smaller having n."""
     return max(1, pct * n // 600)
@@ -97,11 +104,11 @@ def set_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
                 node.append(_name(s) if len(s) else None)
                 held.append(_cell(s))
                 size += len(s)
-                if size > SLICE:
-                    np.add.at(total, np.concatenate(held), 1)
+                if size > COUNTED:
+                    _count(total, held)
                     held, size = [], 0
             if held:
-                np.add.at(total, np.concatenate(held), 1)
+                _count(total, held)
             none = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *none], names=["doc_id", "n_shingles", "node", "part", "slice", "counts"])
         for i in range(0, len(total), SLICE):
@@ -145,21 +152,55 @@ def common_cells(sketch: DataFrame) -> np.ndarray:
 
 
 _POSTING = "key long, node long, n int"
+_PACKED = "bucket int, key binary, node binary, n binary"
+PACKED = 1_000_000  # postings that are dealt into buckets at once
 
 
 def _rows(*cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "n"])
 
 
+def _packed(key: np.ndarray, node: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Postings as one row for each bucket; a bucket has all postings of a shingle, or of a common one and a salt."""
+    at = np.where(n < 0, mix(key + (node.view(np.uint64) % np.uint64(SALTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), key)
+    at = ((at & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.uint16)  # the high bits say which shingles are posted
+    order = np.argsort(at, kind="stable")
+    have = np.bincount(at, minlength=buckets)
+    full = np.flatnonzero(have)
+    ends = np.concatenate([[0], np.cumsum(have[full])])
+
+    def column(x):
+        return pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x[order])])
+
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), column(key), column(node), column(n)], names=["bucket", "key", "node", "n"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The postings of all rows of a batch of ``_packed``: keys, nodes and sizes."""
+
+    def column(name, kind):
+        c = batch.column(name)
+        ends = np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1]
+        return np.frombuffer(c.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind) if len(c) else np.zeros(0, kind)
+
+    return [column("key", np.int64), column("node", np.int64), column("n", np.int32)]
+
+
+def _buckets(df: DataFrame) -> int:
+    """As many as shuffles have partitions: the fewer, the more postings of a node stand side by side and pack well."""
+    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+
+
 def _postings(docs: DataFrame, common: np.ndarray, k: int, pct: int) -> DataFrame:
-    """(key, node, n): each node's least shingles and its size, negative at common ones; each task names a node once."""
+    """(bucket, key, node, n): each node's least shingles and its size, negative at common ones, many in a row; each task names a node once."""
     cells = docs.sparkSession.sparkContext.broadcast(common)
+    buckets = _buckets(docs)
 
     def run(batches):
         crowded = np.unpackbits(cells.value).astype(bool)
         seen: set[int] = set()
+        keys, nodes, sizes, held = [], [], [], 0
         for batch in batches:
-            keys, nodes, sizes, held = [], [], [], 0
             for _, s in _sets(batch, k):
                 n = len(s)
                 if not n or (node := _name(s)) in seen:
@@ -173,13 +214,13 @@ def _postings(docs: DataFrame, common: np.ndarray, k: int, pct: int) -> DataFram
                 sizes.append(np.repeat(np.array([n, -n], np.int32), [len(light), len(heavy)]))
                 nodes.append(np.full(len(light) + len(heavy), node, np.int64))
                 held += len(light) + len(heavy)
-                if held > 200_000:
-                    yield _rows(np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes))
+                if held > PACKED:
+                    yield _packed(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes), buckets)
                     keys, nodes, sizes, held = [], [], [], 0
-            if keys:
-                yield _rows(np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes))
+        if keys:
+            yield _packed(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes), buckets)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, _POSTING)
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, _PACKED)
 
 
 def _salted() -> Column:
@@ -187,16 +228,31 @@ def _salted() -> Column:
     return F.when(F.col("n") < 0, F.xxhash64("key", F.pmod("node", F.lit(SALTS)))).otherwise(F.col("key"))
 
 
-def _by_key(batches, pct: int):
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Which rows have a key that another row has too."""
+    each = np.sort(key)
+    again = np.unique(each[1:][each[1:] == each[:-1]])
+    if not len(again):
+        return np.zeros(len(key), dtype=bool)
+    at = np.searchsorted(again, key)
+    at[at == len(again)] = 0
+    return again[at] == key
+
+
+def _by_key(batches, pct: int, alone: bool = True):
     """All rows of a partition by key, size and node, without repeats, and where runs begin.
 
     A run is a stretch of a key's nodes in which each has at least pct of the
-    size of the next; partners are in one run.
+    size of the next; partners are in one run.  Without ``alone`` rows whose key no
+    other row has are left out before the sort, but for those of common shingles.
     """
-    parts = [[batch.column(c).to_numpy() for c in ("key", "node", "n")] for batch in batches]
+    parts = [_unpacked(batch) if pa.types.is_binary(batch.schema.field("key").type) else [batch.column(c).to_numpy() for c in ("key", "node", "n")] for batch in batches]
     if not parts:
         return None
     key, node, n = (np.concatenate(x) for x in zip(*parts))
+    if not alone:
+        met = _repeated(key) | (n < 0)
+        key, node, n = key[met], node[met], n[met]
     size = np.abs(n).astype(np.int64)
     order = np.lexsort((node, size, key))
     key, node, n, size = key[order], node[order], n[order], size[order]
@@ -212,15 +268,15 @@ def _shared(postings: DataFrame, pct: int) -> DataFrame:
     """Postings of the shingles that several nodes of like size have; those of common shingles all."""
 
     def run(batches):
-        got = _by_key(batches, pct)
-        if got is None:
+        got = _by_key(batches, pct, alone=False)
+        if got is None or not len(got[0]):
             return
         key, node, n, first = got
         group = np.cumsum(first) - 1
         many = (np.bincount(group)[group] > 1) | (n < 0)
         yield _rows(key[many], node[many], n[many])
 
-    return postings.repartition(_salted()).mapInArrow(run, _POSTING)
+    return postings.repartitionById(_buckets(postings), "bucket").mapInArrow(run, _POSTING)
 
 
 def _peeled(shared: DataFrame, pct: int) -> DataFrame:
@@ -320,11 +376,51 @@ def folded(bits: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _ones(rows: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(rows).sum(axis=-1, dtype=np.int64)
+
+
+def _bound(mine: np.ndarray, left: int, theirs: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """A bound from above of the overlaps of a set with others: bits that only one side has are elements that the other lacks; ``left`` and ``rest`` are sizes less their bits."""
+    return np.minimum(left, rest) + _ones(theirs & mine)
+
+
 def most_shared(i: int, cand: np.ndarray, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A bound from above of the overlaps of set i with others: bits that only one side has are elements that the other lacks."""
-    mine, theirs = bits[i], bits[cand]
-    lacks = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
-    return np.minimum(n[i] - lacks[0], n[cand] - lacks[1])
+    """A bound from above of the overlaps of set i with others."""
+    return _bound(bits[i], n[i] - _ones(bits[i]), bits[cand], n[cand] - _ones(bits[cand]))
+
+
+class Bitmaps:
+    """Signatures of sets in the order of their sizes, as rows of arrays, one for each width, folded and counted once."""
+
+    def __init__(self, n: np.ndarray, bits: list[np.ndarray]):
+        self.widths = np.array([len(b) for b in bits], dtype=np.int64)  # grow with sizes, so a width is a range
+        self.n, self.first, self.rows = n, {}, {}
+        for w in np.unique(self.widths):
+            at = np.flatnonzero(self.widths == w)
+            self.first[int(w)] = int(at[0])
+            self._put(int(w), int(w), folded(bits[at[0] : at[-1] + 1]))
+
+    def _put(self, own: int, width: int, rows: np.ndarray) -> None:
+        self.rows[own, width] = rows, self.n[self.first[own] : self.first[own] + len(rows)] - _ones(rows)
+
+    def most_shared(self, i: int, cand: np.ndarray) -> np.ndarray:
+        """A bound of the overlaps of set i with ``cand``, smaller sets in their order."""
+        out = np.empty(len(cand), dtype=np.int64)
+        mine, of = int(self.widths[i]), self.widths[cand]
+        for w in self.first:
+            a, b = np.searchsorted(of, [w, w + 1])
+            if a == b:
+                continue
+            if (mine, w) not in self.rows:
+                own = self.rows[mine, mine][0]
+                self._put(mine, w, np.bitwise_or.reduce(own.reshape(len(own), -1, w), axis=1))
+            (wide, left), (rows, rest) = self.rows[mine, w], self.rows[w, w]
+            x, at = i - self.first[mine], cand[a:b] - self.first[w]
+            for p in range(0, b - a, 1 << 12):
+                some = at[p : p + (1 << 12)]
+                out[a + p : a + p + len(some)] = _bound(wide[x], left[x], rows[some], rest[some])
+        return out
 
 
 def tile_links(sets: list[np.ndarray], pct: int = 75, classes: list[int] | None = None) -> list[tuple[int, int]]:
@@ -339,16 +435,14 @@ def tile_links(sets: list[np.ndarray], pct: int = 75, classes: list[int] | None
     n = size[order]
     links: list[tuple[int, int]] = []
     label = np.arange(m) if classes is None else np.unique(np.array(classes)[order], return_inverse=True)[1]
-    own = [bitmap(sets[r]) for r in order] if m > 2 else []
+    own = Bitmaps(n, [bitmap(sets[r]) for r in order]) if m > 2 else None
     low = np.searchsorted(n, -(-pct * n // 100), side="left")
     for i in range(1, m):
-        cand = np.arange(low[i], i)
-        cand = cand[label[cand] != label[i]]
+        cand = low[i] + np.flatnonzero(label[low[i] : i] != label[i])
         if not len(cand):
             continue
         if own:
-            bits = folded([own[i], *(own[j] for j in cand)])
-            bound = most_shared(0, np.arange(1, len(bits)), bits, np.append(n[i], n[cand]))
+            bound = own.most_shared(i, cand)
             good = 100 * bound >= pct * (n[i] + n[cand] - bound)
             cand = cand[good][np.argsort(-bound[good], kind="stable")]
         a = sets[order[i]]
@@ -370,17 +464,15 @@ def close_nodes(sizes: np.ndarray, bits: list[np.ndarray], classes: np.ndarray,
     """Which of some sets have another of another class that their bitmaps do not keep apart."""
     order = np.argsort(sizes, kind="stable")
     n, kind = sizes[order].astype(np.int64), np.unique(classes[order], return_inverse=True)[1]
-    rows = folded([bits[r] for r in order])
+    rows = Bitmaps(n, [bits[r] for r in order])
     low = np.searchsorted(n, -(-pct * n // 100), side="left")
     near = np.zeros(len(n), dtype=bool)
     for i in range(1, len(n)):
-        cand = np.arange(low[i], i)
-        cand = cand[kind[cand] != kind[i]]
-        for part in range(0, len(cand), 1 << 12):
-            some = cand[part : part + (1 << 12)]
-            bound = most_shared(i, some, rows, n)
-            good = 100 * bound >= pct * (n[i] + n[some] - bound)
-            near[some[good]] = True
+        cand = low[i] + np.flatnonzero(kind[low[i] : i] != kind[i])
+        if len(cand):
+            bound = rows.most_shared(i, cand)
+            good = 100 * bound >= pct * (n[i] + n[cand] - bound)
+            near[cand[good]] = True
             near[i] |= good.any()
     out = np.zeros(len(n), dtype=bool)
     out[order] = near

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestar.llm import jaccard as J
@@ -176,3 +177,52 @@ def test_connected_components(spark):
     got = {r.id: r.label for r in connected_components(df).collect()}
     assert all(got[i] == 0 for i in range(51)) and got[102] == 100 and got[200] == 200
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_a_tile_takes_each_signature_once(monkeypatch):
+    """Signatures are laid out by width once a tile, not once a pair, and the links are those of all pairs, at any threshold."""
+    r = np.random.default_rng(8)
+    base = np.unique(r.integers(0, 1 << 63, 9000, dtype=np.uint64))
+    sets = []
+    for i in range(160):
+        n = int(r.integers(20, 900))
+        at = int(r.integers(0, len(base) - n))
+        s = base[at : at + n]
+        sets += [s, np.unique(np.append(s[: n - n // 9], r.integers(0, 1 << 63, n // 50 + 1, dtype=np.uint64)))]
+    laid, folded = [], J.folded
+    monkeypatch.setattr(J, "folded", lambda bits: laid.append(len(bits)) or folded(bits))
+    for pct in (75, 20):
+        del laid[:]
+        links = J.tile_links(sets, pct)
+        assert sum(laid) <= len(sets)
+        both = [[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets]
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * both[i][j] >= pct * (len(sets[i]) + len(sets[j]) - both[i][j])]
+        assert sorted(J._stars(links)) == sorted(J._stars(want)) and len(want) > len(links) > 100
+        close = J.close_nodes(np.array([len(s) for s in sets]), [J.bitmap(s) for s in sets], np.arange(len(sets)), pct)
+        assert close[sorted({x for p in want for x in p})].all()
+
+
+def test_postings_of_a_shingle_share_a_bucket_and_many_share_a_row(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(40 + i % 9))) for i in range(200)], "doc_id long, text string").repartition(3)
+    common = np.packbits(np.arange(1 << J.SKETCH_BITS) % 6 > 0)
+    rows = J._postings(docs, common, 5, 75).collect()
+    got, at = set(), {}
+    for x in rows:
+        keys, nodes, sizes = np.frombuffer(x.key, np.int64), np.frombuffer(x.node, np.int64), np.frombuffer(x.n, np.int32)
+        assert len(keys) == len(nodes) == len(sizes) > 0
+        got |= set(zip(keys.tolist(), nodes.tolist(), sizes.tolist()))
+        for k, v, n in zip(keys.tolist(), nodes.tolist(), sizes.tolist()):
+            at.setdefault((k, v % J.SALTS if n < 0 else None), set()).add(x.bucket)
+    assert all(len(b) == 1 for b in at.values()) and len(rows) < len(got) / 2
+    crowded, want = np.unpackbits(common).astype(bool), set()
+    for _, s in J._sets(pa.RecordBatch.from_pydict({"text": [x.text for x in docs.collect()]}), 5):
+        late, p = crowded[J._cell(s)], J.postings_of(len(s), 75)
+        light = s[~late][:p]
+        for keys, n in ((light, len(s)), (s[late][: p - len(light)], -len(s))):
+            want |= {(int(k), J._name(s), n) for k in keys.view(np.int64)}
+    assert got == want and {n < 0 for _, _, n in got} == {True, False}
+    held = pa.RecordBatch.from_pydict({c: [x[c] for x in rows] for c in ("bucket", "key", "node", "n")}, schema=pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("node", pa.binary()), ("n", pa.binary())]))
+    every, met = J._by_key([held.slice(1)], 75), J._by_key([held.slice(1)], 75, alone=False)
+    count = np.unique(every[0], return_counts=True)
+    many = np.isin(every[0], count[0][count[1] > 1]) | (every[2] < 0)
+    assert {*zip(*(x[many].tolist() for x in every[:3]))} <= {*zip(*(x.tolist() for x in met[:3]))} and len(met[0]) <= len(every[0])
