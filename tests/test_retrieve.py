@@ -93,3 +93,17 @@ def test_first_days_make_no_rows_of_pairs(spark, monkeypatch):
     # a third stop that adds nothing loses to the two that come first in the order of ids
     assert found[0] == found[1] == found[2] and (2, ("a", "b"), 1.0) in found[0] and {r[0] for r in found[0]} == {1, 2}
     assert max(v for k, _, v in found[0] if k == 1) > planner.best_day_pair(c).where("request_id = 1").first().value
+
+
+def test_retrieval_takes_no_place_below_the_last_band(spark, monkeypatch):
+    """Where all requests have enough in the bands above, the places of those below are not dealt out at all."""
+    _, p, asked, q = tables(spark)
+    near, given = retrieve._near, []
+    monkeypatch.setattr(retrieve, "_near", lambda *a, **k: given.append(a[1]) or near(*a, **k))
+    ids = [r.request_id for r in retrieve.retrieve_candidates(q, p, 10).groupBy("request_id").count().where("count = 10").collect()]
+    q = q.where(F.col("request_id").isin(ids))
+    want = {tuple(r) for r in retrieve.retrieve_candidates(q, p, 10).select("request_id", "poi_id", "rank").collect()}
+    monkeypatch.setattr(retrieve, "ONE_PASS", 0)
+    got = {tuple(r) for r in retrieve.retrieve_candidates(q, p, 10).select("request_id", "poi_id", "rank").collect()}
+    assert got == want and ids
+    assert given[-1].count() < given[0].count() / 2

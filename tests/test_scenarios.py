@@ -75,3 +75,51 @@ def test_gates_without_requests(spark, setting):
     requests, places, cand = setting
     rows = scenarios.gates("rule_based", cand.limit(0), requests.limit(0), places).collect()
     assert len(rows) == len(scenarios.GATES) and all(r.observed == 0 for r in rows)
+
+
+def test_slices_give_the_same_and_leave_no_candidates(spark, setting, monkeypatch):
+    """Requests in several slices have the gates and the sensitivity of all at once; what a slice wrote is gone, but for plans."""
+    from pathlib import Path
+
+    from lodestar.sources import shared
+
+    requests, places, cand = setting
+    names = ("rule_based", "greedy_eco")
+    want = {tuple(r) for name in names for r in scenarios.gates(name, cand, requests, places).collect()}
+    whole = {tuple(r) for r in scenarios.sensitivity(scenarios.scenario_plans("greedy_eco", cand), requests).collect()}
+    monkeypatch.setattr(scenarios, "SLICE", max(1, requests.count() // 3))
+    folder = Path(shared.shared_dir(spark).removeprefix("file://"))
+    before, made, inside = set(folder.iterdir()), [], scenarios.scenario_candidates
+    monkeypatch.setattr(scenarios, "scenario_candidates", lambda *a: made.append(inside(*a)) or made[-1])
+    plans, fakes = scenarios.plans_in_slices(requests, places, names)
+    assert len(made) >= 3 and cand.columns == made[0].columns
+    left = [set(spark.read.parquet(str(p)).columns) for p in set(folder.iterdir()) - before]
+    assert len(left) == 1 + 3 * len(made) and not [c for c in left if "distance_from_start_km" in c or "_held" in c]
+    assert {tuple(r) for r in scenarios.sensitivity(plans["greedy_eco"], requests).collect()} == whole
+    assert {tuple(r) for name in names for r in scenarios.gates_of(name, plans[name], fakes, requests, places).collect()} == want
+    monkeypatch.undo()
+    assert {tuple(r) for r in scenarios.all_gates(requests, places, names).collect()} == want
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    """The files of a shuffle go once its table is written; the session's setting is as before."""
+    import time
+
+    from lodestar.sources import shared
+
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.endswith(".data")}
+
+    before, set_to = shuffles(), spark.conf.get(shared.SHUFFLES)
+    t = shared.materialise(spark.range(20_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before and t.count() == 7 and spark.conf.get(shared.SHUFFLES) == set_to
+    with pytest.raises(ValueError), shared.passing_tables(spark):
+        gone, kept = shared.materialise(spark.range(5)), shared.materialise(spark.range(6), lasting=True)
+        raise ValueError
+    assert kept.count() == 6
+    with pytest.raises(Exception):
+        gone.count()
