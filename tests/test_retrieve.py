@@ -107,3 +107,21 @@ def test_retrieval_takes_no_place_below_the_last_band(spark, monkeypatch):
     got = {tuple(r) for r in retrieve.retrieve_candidates(q, p, 10).select("request_id", "poi_id", "rank").collect()}
     assert got == want and ids
     assert given[-1].count() < given[0].count() / 2
+
+
+def test_requests_that_want_more_bands_are_met_by_themselves(spark, monkeypatch):
+    """However many are met apart, the rows are those of meeting all; places of deeper bands are dealt out for these only."""
+    _, p, asked, q = tables(spark)
+    rows = lambda: {tuple(r) for r in retrieve.retrieve_candidates(q, p, 10).select("request_id", "poi_id", "rank").collect()}
+    want = rows()
+    near, given = retrieve._near, []
+    monkeypatch.setattr(retrieve, "ONE_PASS", 0)
+    monkeypatch.setattr(retrieve, "_near", lambda *a, **k: given.append(a) or near(*a, **k))
+    for one_in in (1, 2, 64):
+        monkeypatch.setattr(retrieve, "STRAGGLERS", one_in)
+        del given[:]
+        assert rows() == want
+        if one_in == 1:
+            most, late = given[-2], given[-1]
+            assert most[1].count() < late[1].count() / 2 and late[0].count() > 0
+            assert not {r.request_id for r in most[0].collect()} & {r.request_id for r in late[0].collect()}
