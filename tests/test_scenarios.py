@@ -94,7 +94,7 @@ def test_slices_give_the_same_and_leave_no_candidates(spark, setting, monkeypatc
     plans, fakes = scenarios.plans_in_slices(requests, places, names)
     assert len(made) >= 3 and cand.columns == made[0].columns
     left = [set(spark.read.parquet(str(p)).columns) for p in set(folder.iterdir()) - before]
-    assert len(left) == 1 + 3 * len(made) and not [c for c in left if "distance_from_start_km" in c or "_held" in c]
+    assert len(left) == 2 + 3 * len(made) and not [c for c in left if "distance_from_start_km" in c or "_held" in c]
     assert {tuple(r) for r in scenarios.sensitivity(plans["greedy_eco"], requests).collect()} == whole
     assert {tuple(r) for name in names for r in scenarios.gates_of(name, plans[name], fakes, requests, places).collect()} == want
     monkeypatch.undo()
